@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import decontamination, html_extraction, mixing, near_duplicates, quality, secrets, sharding, toxicity
 from .common import read_table
 
 
@@ -12,13 +12,45 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(read_table(spark, sf_dir, "documents"))
 
 
+def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.benchmark_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jump_shards, op4_rule_ledger, op10_mix_schedule)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_jump_shards,
+        op3_toxic_spans,
+        op4_rule_ledger,
+        op5_benchmark_passages,
+        op6_near_duplicates,
+        op7_main_text,
+        op9_secret_spans,
+        op10_mix_schedule,
+    )
+}
 ORACLES: dict[str, str] = {}
