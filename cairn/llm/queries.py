@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, mixing, near_duplicates, quality, secrets, sharding, toxicity
+from . import decontamination, html_extraction, language_model, mixing, near_duplicates, quality, repeated_bytes, secrets, sharding, toxicity
 from .common import read_table
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(read_table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(read_table(spark, sf_dir, "documents"))
 
@@ -43,12 +51,14 @@ def op10_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_katz_scores,
         op2_jump_shards,
         op3_toxic_spans,
         op4_rule_ledger,
         op5_benchmark_passages,
         op6_near_duplicates,
         op7_main_text,
+        op8_repeated_bytes,
         op9_secret_spans,
         op10_mix_schedule,
     )
