@@ -1,0 +1,26 @@
+"""Connected components of a small edge table, for ordered resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, c): the least vertex of each vertex's component, by least-neighbour rounds with checkpoints."""
+    spark = edges.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("c")).checkpoint()
+    while True:
+        near = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("c").alias("n"))
+        step = labels.join(near, "v").select("v", "c", F.least("c", "n").alias("n")).checkpoint()
+        moved = step.filter("n < c").limit(1).count()
+        labels = step.select("v", F.col("n").alias("c"))
+        if not moved:
+            return labels

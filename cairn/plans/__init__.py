@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import basics, discovery, matching, reports  # noqa: F401
+    from . import basics, discovery, matching, publication, reports  # noqa: F401
