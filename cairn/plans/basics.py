@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -13,11 +15,11 @@ LEEDS = (-1.55, 53.8)
 SCALARS: dict = {}
 
 
-def scalar(name: str, source: str, columns: dict, sql: str, key: str = "id"):
+def scalar(name: str, source: str, columns: Callable[[], dict], sql: str, key: str = "id"):
     """Registers a query that adds computed columns to the key of a view."""
 
     def run(spark, d):
-        return view(spark, d, source).select(key, *[c.alias(k) for k, c in columns.items()])
+        return view(spark, d, source).select(key, *[x.alias(k) for k, x in columns().items()])
 
     query(name, twin(f"SELECT {key}, {sql} FROM {source}"))(run)
 
@@ -58,7 +60,7 @@ query("case_bands", twin("SELECT CASE WHEN accuracy <= 10 THEN 'to 10' WHEN accu
     lambda s, d: view(s, d, "v_places").groupBy(F.when(c("accuracy") <= 10, "to 10").when(c("accuracy") <= 50, "to 50").when(c("accuracy") <= 250, "to 250").otherwise("over").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 )
 scalar(
-    "coalesce_nullif", "v_licences", {"credit": F.coalesce(F.nullif(c("artist"), F.lit("")), c("credit")), "same": c("artist").eqNullSafe(c("credit"))},
+    "coalesce_nullif", "v_licences", lambda: {"credit": F.coalesce(F.nullif(c("artist"), F.lit("")), c("credit")), "same": c("artist").eqNullSafe(c("credit"))},
     "coalesce(nullif(artist, ''), credit) AS credit, artist IS NOT DISTINCT FROM credit AS same",
 )
 query("range_check", twin("SELECT id, lng, lat FROM v_places WHERE lng NOT BETWEEN -2.5e0 AND 0.2e0 OR lat NOT BETWEEN 53.3e0 AND 54.7e0"))(
@@ -111,29 +113,29 @@ def tokens_sql(x: str) -> str:
     return f"list_filter(string_split({NORMAL.format(f'lower(strip_accents({x}))')}, ' '), lambda t: t <> '' AND t NOT IN ({stop}))"
 
 
-scalar("str_normalise_name", "v_names", {"normal": text.normalise_name(c("name"))}, NORMAL.format(N) + " AS normal")
-scalar("str_tokenise", "v_names", {"tokens": F.array_join(text.tokenise(c("name")), " ")}, f"array_to_string({tokens_sql('name')}, ' ') AS tokens")
+scalar("str_normalise_name", "v_names", lambda: {"normal": text.normalise_name(c("name"))}, NORMAL.format(N) + " AS normal")
+scalar("str_tokenise", "v_names", lambda: {"tokens": F.array_join(text.tokenise(c("name")), " ")}, f"array_to_string({tokens_sql('name')}, ' ') AS tokens")
 TIDY = """CASE WHEN name = upper(name) THEN array_to_string(list_transform(string_split(lower(name), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('of','the','and','to','at','in','on','for','a','an') THEN w
     WHEN i > 1 AND regexp_matches(w, '^(i{1,3}|iv|v|vi{1,3}|ix|x)$') THEN upper(w) WHEN regexp_matches(w, '^[a-z]') THEN upper(w[1]) || w[2:] ELSE w END), ' ') ELSE name END"""
-scalar("str_tidy_name", "v_names", {"tidy": text.tidy_name(c("name"))}, f"{TIDY} AS tidy")
+scalar("str_tidy_name", "v_names", lambda: {"tidy": text.tidy_name(c("name"))}, f"{TIDY} AS tidy")
 scalar(
-    "str_alt_names", "v_names", {"alts": F.array_join(F.array_sort(text.alternative_names(c("name"), c("other"))), "|")},
+    "str_alt_names", "v_names", lambda: {"alts": F.array_join(F.array_sort(text.alternative_names(c("name"), c("other"))), "|")},
     f"""array_to_string(list_sort(list_distinct(list_filter([CASE WHEN length(trim(regexp_split_to_array(name, '[;:]')[1])) > 2 THEN {TIDY.replace('name', "trim(regexp_split_to_array(name, '[;:]')[1])")} END, trim(name)], lambda n: n IS NOT NULL AND n <> other))), '|') AS alts""",
 )
 SLUG = "left(coalesce(nullif(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'place'), 120)"
-scalar("str_slugify", "v_names", {"slug": text.slugify(c("name"))}, f"{SLUG} AS slug")
+scalar("str_slugify", "v_names", lambda: {"slug": text.slugify(c("name"))}, f"{SLUG} AS slug")
 STRIP = "regexp_replace({0}, '<[^>]*>', ' ', 'g')"
 for _p, _t in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#0*39;|&apos;", "''")):
     STRIP = f"regexp_replace({STRIP}, '{_p}', '{_t}', 'gi')"
 STRIP = f"nullif(trim(regexp_replace({STRIP}, '\\s+', ' ', 'g')), '')"
-scalar("str_strip_html", "pages", {"text": text.strip_html(c("html"))}, STRIP.format("html") + " AS text", key="page_id")
-scalar("str_host_equal", "pages", {"host": text.host_of(c("url"))}, "lower(regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), ''), url), '^www[.]', '')) AS host", key="page_id")
-scalar("str_regex_first_int", "v_claims", {"ordinal": c("ordinal"), "source_id": c("source_id"), "year": text.leading_year(F.concat(F.lit("-"), c("value"), F.lit(" or so")))}, "ordinal, source_id, CAST(nullif(regexp_extract('-' || value || ' or so', '^(-?\\d{1,6})', 1), '') AS INTEGER) AS year", key="entity_id")
+scalar("str_strip_html", "pages", lambda: {"text": text.strip_html(c("html"))}, STRIP.format("html") + " AS text", key="page_id")
+scalar("str_host_equal", "pages", lambda: {"host": text.host_of(c("url"))}, "lower(regexp_replace(coalesce(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1), ''), url), '^www[.]', '')) AS host", key="page_id")
+scalar("str_regex_first_int", "v_claims", lambda: {"ordinal": c("ordinal"), "source_id": c("source_id"), "year": text.leading_year(F.concat(F.lit("-"), c("value"), F.lit(" or so")))}, "ordinal, source_id, CAST(nullif(regexp_extract('-' || value || ' or so', '^(-?\\d{1,6})', 1), '') AS INTEGER) AS year", key="entity_id")
 SCALE = "CASE WHEN regexp_matches(coalesce(capture_scale, ''), '1\\s*:\\s*\\d+') THEN CAST(regexp_extract(capture_scale, '1\\s*:\\s*(\\d+)', 1) AS DOUBLE) * 0.0005e0 ELSE 25e0 END"
-scalar("str_capture_scale", "v_grid", {"metres": text.capture_scale_metres(c("capture_scale"))}, f"{SCALE} AS metres")
-scalar("str_postcode_norm", "v_candidates", {"code": text.postcode_key(c("postcode"))}, "upper(regexp_replace(postcode, '\\s+', '', 'g')) AS code")
-scalar("str_reason_mask", "v_places", {"reason": text.mask_numbers(F.concat(F.lit("distance "), c("accuracy").cast("int").cast("string"), F.lit(".5 m over 500")))}, "regexp_replace('distance ' || CAST(CAST(accuracy AS INTEGER) AS VARCHAR) || '.5 m over 500', '\\d+(\\.\\d+)?', 'N', 'g') AS reason")
-scalar("str_label", "v_designations", {"label": text.label(c("designation"))}, "array_to_string(list_transform(string_split(replace(designation, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label")
+scalar("str_capture_scale", "v_grid", lambda: {"metres": text.capture_scale_metres(c("capture_scale"))}, f"{SCALE} AS metres")
+scalar("str_postcode_norm", "v_candidates", lambda: {"code": text.postcode_key(c("postcode"))}, "upper(regexp_replace(postcode, '\\s+', '', 'g')) AS code")
+scalar("str_reason_mask", "v_places", lambda: {"reason": text.mask_numbers(F.concat(F.lit("distance "), c("accuracy").cast("int").cast("string"), F.lit(".5 m over 500")))}, "regexp_replace('distance ' || CAST(CAST(accuracy AS INTEGER) AS VARCHAR) || '.5 m over 500', '\\d+(\\.\\d+)?', 'N', 'g') AS reason")
+scalar("str_label", "v_designations", lambda: {"label": text.label(c("designation"))}, "array_to_string(list_transform(string_split(replace(designation, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label")
 GRAMS = "[substr({0}, CAST(i AS INTEGER), 2) FOR i IN range(1, length({0}))]"
 
 
@@ -143,25 +145,25 @@ def dice_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 1e0 WHEN length({a}) < 2 OR length({b}) < 2 THEN 0e0 ELSE 2e0 * coalesce({over}, 0) / (length({a}) + length({b}) - 2) END"
 
 
-scalar("str_bigram_dice", "v_names", {"score": F.round(text.dice(text.normalise_name(c("name")), text.normalise_name(c("other"))), 6)}, "round(" + dice_sql("a", "b") + ", 6) AS score")
+scalar("str_bigram_dice", "v_names", lambda: {"score": F.round(text.dice(text.normalise_name(c("name")), text.normalise_name(c("other"))), 6)}, "round(" + dice_sql("a", "b") + ", 6) AS score")
 from .catalog import ORACLES  # noqa: E402
 
 ORACLES["str_bigram_dice"] = twin(f"SELECT id, round({dice_sql('a', 'b')}, 6) AS score FROM (SELECT id, {NORMAL.format(N)} AS a, {NORMAL.format('lower(strip_accents(other))')} AS b FROM v_names)")
 scalar(
-    "str_token_containment", "v_names", {"score": F.round(text.containment(text.tokenise(c("name")), text.tokenise(c("other"))), 6)},
+    "str_token_containment", "v_names", lambda: {"score": F.round(text.containment(text.tokenise(c("name")), text.tokenise(c("other"))), 6)},
     f"round(CASE WHEN least(len({tokens_sql('name')}), len({tokens_sql('other')})) > 0 THEN len(list_intersect({tokens_sql('name')}, {tokens_sql('other')}))::DOUBLE / least(len(list_distinct({tokens_sql('name')})), len(list_distinct({tokens_sql('other')}))) ELSE 0e0 END, 6) AS score",
 )
-scalar("str_csv_quote", "v_names", {"cell": text.csv_quoted(F.concat(c("name"), F.lit(' "x"')))}, """'"' || replace(name || ' "x"', '"', '""') || '"' AS cell""")
-scalar("str_format_year", "v_periods", {"label": text.format_year(c("start_year"))}, "CASE WHEN start_year <= -10000 THEN format('{:,}', CAST(floor(-start_year / 1000e0 + 0.5e0) * 1000 AS BIGINT)) || ' BC' WHEN start_year < 0 THEN (-start_year)::VARCHAR || ' BC' ELSE 'AD ' || start_year::VARCHAR END AS label")
-scalar("math_round_half", "v_places", {"a": text.round_half_up(c("lng"), 1), "b": text.round_half_up(c("lat"), 3)}, "floor(lng * 10e0 + 0.5e0) / 10e0 AS a, floor(lat * 1000e0 + 0.5e0) / 1000e0 AS b")
-scalar("math_equiv_radius", "v_grid", {"radius": F.round(geo.equivalent_radius_m(c("area_ha")), 6)}, "round(CASE WHEN area_ha > 0 THEN sqrt(area_ha * 10000e0 / pi()) ELSE 0e0 END, 6) AS radius")
-scalar("math_cell_degrees", "v_places", {"cell": F.when(c("content_level") <= 1, 1.0).when(c("content_level") == 2, 0.25).when(c("content_level") == 3, 0.05).otherwise(0.01)}, "CASE WHEN content_level <= 1 THEN 1e0 WHEN content_level = 2 THEN 0.25e0 WHEN content_level = 3 THEN 0.05e0 ELSE 0.01e0 END AS cell")
-scalar("math_cluster_px", "v_places", {"px": F.round(F.least(F.lit(64.0), 26 + F.sqrt("id") * 2.2), 6)}, "round(least(64e0, 26 + sqrt(id) * 2.2e0), 6) AS px")
-scalar("date_epoch_ms", "v_places", {"iso": text.iso_from_millis((c("id") - 500) * 86400000 + 123)}, "strftime(make_timestamp(((id - 500) * 86400000 + 123) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso")
-scalar("date_slice10", "v_audit", {"day": F.substring(c("moment").cast("string"), 1, 10)}, "left(CAST(moment AS VARCHAR), 10) AS day")
-scalar("arr_distinct_sort", "v_names", {"same": text.same_tokens(text.tokenise(c("name")), text.tokenise(c("other")))}, f"list_sort({tokens_sql('name')}) = list_sort({tokens_sql('other')}) AS same")
-scalar("arr_subset", "v_names", {"inside": text.is_subset(text.tokenise(c("name")), text.tokenise(c("other")))}, f"len({tokens_sql('name')}) > 0 AND list_has_all({tokens_sql('other')}, {tokens_sql('name')}) AS inside")
-scalar("json_path", "v_audit", {"k": F.get_json_object("props", "$.k").cast("long")}, "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k")
+scalar("str_csv_quote", "v_names", lambda: {"cell": text.csv_quoted(F.concat(c("name"), F.lit(' "x"')))}, """'"' || replace(name || ' "x"', '"', '""') || '"' AS cell""")
+scalar("str_format_year", "v_periods", lambda: {"label": text.format_year(c("start_year"))}, "CASE WHEN start_year <= -10000 THEN format('{:,}', CAST(floor(-start_year / 1000e0 + 0.5e0) * 1000 AS BIGINT)) || ' BC' WHEN start_year < 0 THEN (-start_year)::VARCHAR || ' BC' ELSE 'AD ' || start_year::VARCHAR END AS label")
+scalar("math_round_half", "v_places", lambda: {"a": text.round_half_up(c("lng"), 1), "b": text.round_half_up(c("lat"), 3)}, "floor(lng * 10e0 + 0.5e0) / 10e0 AS a, floor(lat * 1000e0 + 0.5e0) / 1000e0 AS b")
+scalar("math_equiv_radius", "v_grid", lambda: {"radius": F.round(geo.equivalent_radius_m(c("area_ha")), 6)}, "round(CASE WHEN area_ha > 0 THEN sqrt(area_ha * 10000e0 / pi()) ELSE 0e0 END, 6) AS radius")
+scalar("math_cell_degrees", "v_places", lambda: {"cell": F.when(c("content_level") <= 1, 1.0).when(c("content_level") == 2, 0.25).when(c("content_level") == 3, 0.05).otherwise(0.01)}, "CASE WHEN content_level <= 1 THEN 1e0 WHEN content_level = 2 THEN 0.25e0 WHEN content_level = 3 THEN 0.05e0 ELSE 0.01e0 END AS cell")
+scalar("math_cluster_px", "v_places", lambda: {"px": F.round(F.least(F.lit(64.0), 26 + F.sqrt("id") * 2.2), 6)}, "round(least(64e0, 26 + sqrt(id) * 2.2e0), 6) AS px")
+scalar("date_epoch_ms", "v_places", lambda: {"iso": text.iso_from_millis((c("id") - 500) * 86400000 + 123)}, "strftime(make_timestamp(((id - 500) * 86400000 + 123) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso")
+scalar("date_slice10", "v_audit", lambda: {"day": F.substring(c("moment").cast("string"), 1, 10)}, "left(CAST(moment AS VARCHAR), 10) AS day")
+scalar("arr_distinct_sort", "v_names", lambda: {"same": text.same_tokens(text.tokenise(c("name")), text.tokenise(c("other")))}, f"list_sort({tokens_sql('name')}) = list_sort({tokens_sql('other')}) AS same")
+scalar("arr_subset", "v_names", lambda: {"inside": text.is_subset(text.tokenise(c("name")), text.tokenise(c("other")))}, f"len({tokens_sql('name')}) > 0 AND list_has_all({tokens_sql('other')}, {tokens_sql('name')}) AS inside")
+scalar("json_path", "v_audit", lambda: {"k": F.get_json_object("props", "$.k").cast("long")}, "CAST(json_extract_string(props, '$.k') AS BIGINT) AS k")
 
 
 @query("json_unnest", twin("SELECT id, unnest(string_split(name, ' ')) AS item FROM v_names"))
@@ -181,7 +183,7 @@ def stable_id(*parts) -> F.Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-scalar("hash_id", "v_places", {"uid": stable_id(c("slug"), c("id").cast("string"))}, "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uid")
+scalar("hash_id", "v_places", lambda: {"uid": stable_id(c("slug"), c("id").cast("string"))}, "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uid")
 ORACLES["hash_id"] = twin("SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uid FROM (SELECT id, sha256(slug || chr(31) || id::VARCHAR) AS h FROM v_places)")
 
 
@@ -200,7 +202,7 @@ def distance_sql(x1, y1, x2, y2) -> str:
 
 
 LEEDS_SQL = distance_sql("lng", "lat", "-1.55e0", "53.8e0")
-scalar("geo_haversine", "v_places", {"metres": F.round(geo.haversine_m(c("lng"), c("lat"), F.lit(LEEDS[0]), F.lit(LEEDS[1])), 3)}, f"round({LEEDS_SQL}, 3) AS metres")
+scalar("geo_haversine", "v_places", lambda: {"metres": F.round(geo.haversine_m(c("lng"), c("lat"), F.lit(LEEDS[0]), F.lit(LEEDS[1])), 3)}, f"round({LEEDS_SQL}, 3) AS metres")
 
 
 @query("geo_radius", twin(f"SELECT id, round({LEEDS_SQL}, 3) AS metres FROM v_places WHERE {LEEDS_SQL} <= 15000"))
@@ -214,17 +216,17 @@ query("geo_bbox", twin("SELECT id, lng, lat FROM v_places WHERE lng BETWEEN -2e0
     lambda s, d: view(s, d, "v_places").filter(geo.in_box(c("lng"), c("lat"), (-2.0, 53.5, -1.0, 54.0))).select("id", "lng", "lat")
 )
 scalar(
-    "geo_grid_cells", "v_places", {"gx": geo.cell_of(c("lng")), "gy": geo.cell_of(c("lat")), "side": geo.lng_cells(c("lat"), 5000.0)},
+    "geo_grid_cells", "v_places", lambda: {"gx": geo.cell_of(c("lng")), "gy": geo.cell_of(c("lat")), "side": geo.lng_cells(c("lat"), 5000.0)},
     "CAST(floor(lng / 0.05e0) AS BIGINT) AS gx, CAST(floor(lat / 0.05e0) AS BIGINT) AS gy, CAST(ceil(least(180e0, (5000e0 / 111195e0) / greatest(0.01e0, cos(radians(lat)))) / 0.05e0) AS INTEGER) AS side",
 )
-scalar("grid_plausible", "v_grid", {"plausible": geo.grid_plausible(c("easting"), c("northing"))}, "easting BETWEEN 0 AND 800000 AND northing BETWEEN 0 AND 1400000 AS plausible")
-ESTIMATE = geo.position_estimate(c("capture_scale"), c("area_ha"), c("is_area"))
+scalar("grid_plausible", "v_grid", lambda: {"plausible": geo.grid_plausible(c("easting"), c("northing"))}, "easting BETWEEN 0 AND 800000 AND northing BETWEEN 0 AND 1400000 AS plausible")
+ESTIMATE = lambda: geo.position_estimate(c("capture_scale"), c("area_ha"), c("is_area"))
 scalar(
-    "position_estimate", "v_grid", {"method": ESTIMATE["method"], "accuracy_m": ESTIMATE["accuracy_m"]},
+    "position_estimate", "v_grid", lambda: {"method": ESTIMATE()["method"], "accuracy_m": ESTIMATE()["accuracy_m"]},
     f"CASE WHEN is_area THEN 'geometry_centroid' ELSE 'source_coordinate' END AS method, floor(greatest({SCALE} + 5e0, CASE WHEN is_area AND area_ha > 0 THEN sqrt(area_ha * 10000e0 / pi()) ELSE 0e0 END) * 10e0 + 0.5e0) / 10e0 AS accuracy_m",
 )
-scalar("wd_accuracy", "v_places", {"metres": F.round(geo.stated_accuracy_m(c("accuracy") / 50000.0), 6), "approximate": geo.stated_accuracy_m(c("accuracy") / 50000.0) > 250}, "round(greatest(25e0, accuracy / 50000e0 * 111320e0), 6) AS metres, greatest(25e0, accuracy / 50000e0 * 111320e0) > 250 AS approximate")
-scalar("st_xy_view", "v_places", {"lng": c("lng"), "lat": c("lat")}, "lng, lat")
+scalar("wd_accuracy", "v_places", lambda: {"metres": F.round(geo.stated_accuracy_m(c("accuracy") / 50000.0), 6), "approximate": geo.stated_accuracy_m(c("accuracy") / 50000.0) > 250}, "round(greatest(25e0, accuracy / 50000e0 * 111320e0), 6) AS metres, greatest(25e0, accuracy / 50000e0 * 111320e0) > 250 AS approximate")
+scalar("st_xy_view", "v_places", lambda: {"lng": c("lng"), "lat": c("lat")}, "lng, lat")
 
 
 def arc_sql(x: str) -> str:
@@ -258,18 +260,18 @@ def _wgs_sql() -> str:
     return out
 
 
-OSGB = geo.grid_to_osgb36(c("easting"), c("northing"))
+OSGB = lambda: geo.grid_to_osgb36(c("easting"), c("northing"))
 
 
 @query("osgb_inverse_tm", twin(_grid_sql() + " SELECT id, round(degrees(lat), 9) AS lat, round(degrees(lng), 9) AS lng FROM o"))
 def osgb_inverse_tm(spark, d):
-    grid = view(spark, d, "v_grid").filter(geo.grid_plausible(c("easting"), c("northing"))).withColumn("o", OSGB)
+    grid = view(spark, d, "v_grid").filter(geo.grid_plausible(c("easting"), c("northing"))).withColumn("o", OSGB())
     return grid.select("id", F.round(F.degrees("o.lat"), 9).alias("lat"), F.round(F.degrees("o.lng"), 9).alias("lng"))
 
 
 @query("osgb_to_wgs84", twin(_wgs_sql() + " SELECT id, floor(degrees(q) * 1e7 + 0.5e0) / 1e7 AS lat, floor(degrees(atan2(y, x)) * 1e7 + 0.5e0) / 1e7 AS lng FROM w6"))
 def osgb_to_wgs84(spark, d):
-    grid = view(spark, d, "v_grid").withColumn("w", geo.osgb36_to_wgs84(OSGB)).filter("w is not null")
+    grid = view(spark, d, "v_grid").withColumn("w", geo.osgb36_to_wgs84(OSGB())).filter("w is not null")
     return grid.select("id", "w.lat", "w.lng")
 
 
@@ -290,3 +292,9 @@ def queue_distance(spark, d):
 def period_registry(spark, d):
     table = spark.createDataFrame(PERIODS, "id string, display_name string, start_year int, end_year int")
     return table.filter("start_year <> 0 AND end_year >= start_year")
+
+
+scalar(
+    "math_trig", "v_places", lambda: {"s": F.round(F.sin(F.radians("lat")), 9), "t": F.round(F.atan2(F.tan(F.radians("lng")), F.cos(F.radians("lat"))), 9), "p": F.round(F.pow("lat", F.lit(1.5)), 6)},
+    "round(sin(radians(lat)), 9) AS s, round(atan2(tan(radians(lng)), cos(radians(lat))), 9) AS t, round(pow(lat, 1.5e0), 6) AS p",
+)

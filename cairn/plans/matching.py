@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from ..functions import classify, names, rights, temporal, text
@@ -11,7 +13,6 @@ from .catalog import query
 from .discovery import distance_sql as _d  # noqa: F401
 from .substrate import PERIODS, twin, view
 
-n1 = F.count(F.lit(1))
 
 
 def quoted(pattern: str) -> str:
@@ -46,7 +47,7 @@ def analyse_name(spark, d):
 
 
 GENERIC_SQL = f"len(list_filter({{0}}, lambda t: NOT (t IN {any_of(names.GENERIC)} OR regexp_matches(t, '^\\d+$')))) = 0"
-scalar("is_generic_name", "v_names", {"generic": names.is_generic(c("name"))}, GENERIC_SQL.format(tokens_sql("name")) + " AS generic")
+scalar("is_generic_name", "v_names", lambda: {"generic": names.is_generic(c("name"))}, GENERIC_SQL.format(tokens_sql("name")) + " AS generic")
 
 
 def both_sides() -> str:
@@ -107,10 +108,10 @@ def rule_case(pick, battle, park, other) -> str:
 KIND = rule_case(lambda r: f"'{r[2]}'", "'battlefield'", "'historic_landscape'", lambda k, v: f"'{v}'")
 SURE = rule_case(lambda r: f"{r[3]}e0", "0.98e0", "0.9e0", lambda k, v: "0.3e0" if k else "0e0")
 RULE = rule_case(lambda r: f"'{r[0]}'", "'designation:battlefield'", "'designation:park-garden'", lambda k, v: f"'generic-fallback:{k}'" if k else "'generic-fallback'")
-INFERRED = classify.place_type(c("name"), c("designation"))
-scalar("infer_place_type", "v_names", {"kind": INFERRED["kind"], "confidence": INFERRED["confidence"], "rule": INFERRED["rule"]}, f"{KIND} AS kind, {SURE} AS confidence, {RULE} AS rule")
-scalar("is_fallback", "v_names", {"fallback": classify.is_fallback(INFERRED["rule"])}, f"starts_with({RULE}, 'generic-fallback') AS fallback")
-scalar("normalise_grade", "v_designations", {"known": classify.grade(c("grade")), "warned": classify.grade(c("grade")).isNull() & c("grade").isNotNull()}, "CASE WHEN trim(grade) IN ('I','II*','II','A','B','C') THEN trim(grade) END AS known, grade IS NOT NULL AND trim(grade) NOT IN ('I','II*','II','A','B','C') AS warned")
+INFERRED = lambda: classify.place_type(c("name"), c("designation"))
+scalar("infer_place_type", "v_names", lambda: {"kind": INFERRED()["kind"], "confidence": INFERRED()["confidence"], "rule": INFERRED()["rule"]}, f"{KIND} AS kind, {SURE} AS confidence, {RULE} AS rule")
+scalar("is_fallback", "v_names", lambda: {"fallback": classify.is_fallback(INFERRED()["rule"])}, f"starts_with({RULE}, 'generic-fallback') AS fallback")
+scalar("normalise_grade", "v_designations", lambda: {"known": classify.grade(c("grade")), "warned": classify.grade(c("grade")).isNull() & c("grade").isNotNull()}, "CASE WHEN trim(grade) IN ('I','II*','II','A','B','C') THEN trim(grade) END AS known, grade IS NOT NULL AND trim(grade) NOT IN ('I','II*','II','A','B','C') AS warned")
 
 
 def compatible_sql(a: str, b: str) -> str:
@@ -125,7 +126,7 @@ def types_compatible(spark, d):
     return a.crossJoin(F.broadcast(b)).select("a", "b", classify.types_compatible(c("a"), c("b")).alias("fits"))
 
 
-scalar("role_predicate_map", "v_audit", {"predicate": F.when(c("action").isin("click", "view"), "built_by").when(c("action") == "purchase", "owned_by").otherwise("associated_with")}, "CASE WHEN action IN ('click', 'view') THEN 'built_by' WHEN action = 'purchase' THEN 'owned_by' ELSE 'associated_with' END AS predicate")
+scalar("role_predicate_map", "v_audit", lambda: {"predicate": F.when(c("action").isin("click", "view"), "built_by").when(c("action") == "purchase", "owned_by").otherwise("associated_with")}, "CASE WHEN action IN ('click', 'view') THEN 'built_by' WHEN action = 'purchase' THEN 'owned_by' ELSE 'associated_with' END AS predicate")
 
 
 @query("build_facts", twin("SELECT DISTINCT entity_id, predicate, value FROM v_claims WHERE predicate <> 'postcode'"))
@@ -138,7 +139,7 @@ def build_facts(spark, d):
 
 PUBLISHABLE = ("inception_year", "official_website", "style", "architect")
 query("publishable_predicate", twin("SELECT predicate, predicate IN ('inception_year', 'official_website', 'style', 'architect') AS registered, count(*) AS n FROM v_claims GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_claims").groupBy("predicate").agg(n1.alias("n")).join(F.broadcast(s.createDataFrame([(x, True) for x in PUBLISHABLE], "predicate string, registered boolean")), "predicate", "left").select("predicate", F.coalesce("registered", F.lit(False)).alias("registered"), "n")
+    lambda s, d: view(s, d, "v_claims").groupBy("predicate").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(s.createDataFrame([(x, True) for x in PUBLISHABLE], "predicate string, registered boolean")), "predicate", "left").select("predicate", F.coalesce("registered", F.lit(False)).alias("registered"), "n")
 )
 
 
@@ -160,7 +161,7 @@ CENTURIES = f"""(SELECT id, k, n FROM (SELECT id, 1 AS k, CAST(unnest(regexp_ext
     UNION ALL SELECT id, 2, CAST(unnest(regexp_extract_all(text, '(?i)\\b(\\d{{1,2}})(?:st|nd|rd|th)[\\s-]century\\b', 1)) AS INTEGER) FROM v_period_text
     UNION ALL SELECT id, 3, CASE lower(w) {SPELLED} END FROM (SELECT id, unnest(regexp_extract_all(text, '(?i)\\b({'|'.join(temporal.SPELLED)})[\\s-]century\\b', 1)) AS w FROM v_period_text)) WHERE n BETWEEN 1 AND 21)"""
 query("century_extract", twin(f"SELECT id, n FROM {CENTURIES}"))(lambda s, d: view(s, d, "v_period_text").select("id", F.explode(temporal.centuries(c("text"))).alias("n")))
-scalar("period_false_positive", "v_period_text", {"veto": temporal.is_false_friend(c("text"))}, f"({FRIEND}) AS veto")
+scalar("period_false_positive", "v_period_text", lambda: {"veto": temporal.is_false_friend(c("text"))}, f"({FRIEND}) AS veto")
 WORDS = " UNION ALL ".join(f"SELECT id, {i} AS o, '{k}' AS period, regexp_extract(text, {quoted('(?i)' + p)}, 0) AS hit FROM v_period_text WHERE regexp_matches(text, {quoted('(?i)' + p)}) AND (descriptive OR regexp_matches(text, {quoted('(?i)' + temporal.MONUMENT_NOUNS)}))" for i, (k, p) in enumerate(temporal.PERIOD_WORDS))
 query("period_word_extract", twin(f"SELECT id, period, hit FROM ({WORDS})"))(
     lambda s, d: view(s, d, "v_period_text").select("id", F.explode(temporal.period_words(c("text"), c("descriptive"))).alias("x")).select("id", "x.period", c("x.text").alias("hit"))
@@ -202,12 +203,12 @@ def media(spark, d):
 
 query("licence_normalise", twin(f"SELECT id, {CODE} AS code FROM v_licences"))(lambda s, d: media(s, d).select("id", "code"))
 query("licence_terms", twin(f"SELECT code, code IN {REUSE} AS reusable, starts_with(code, 'CC-BY') AS attribution, contains(code, '-SA-') AS share_alike, count(*) AS n FROM {MEDIA} GROUP BY 1"))(
-    lambda s, d: media(s, d).groupBy("code").agg(n1.alias("n")).select("code", rights.is_reusable(c("code")).alias("reusable"), rights.needs_attribution(c("code")).alias("attribution"), c("code").contains("-SA-").alias("share_alike"), "n")
+    lambda s, d: media(s, d).groupBy("code").agg(F.count(F.lit(1)).alias("n")).select("code", rights.is_reusable(c("code")).alias("reusable"), rights.needs_attribution(c("code")).alias("attribution"), c("code").contains("-SA-").alias("share_alike"), "n")
 )
 query("build_attribution", twin(f"SELECT id, line FROM {MEDIA}"))(lambda s, d: media(s, d).select("id", "line"))
 query("assess_rights", twin(f"SELECT id, {STATE} AS state FROM {MEDIA}"))(lambda s, d: media(s, d).select("id", "state"))
-LINK = rights.association(c("depicts"), c("via_qid"), c("via_category"))
-scalar("assess_association", "v_licences", {"outcome": LINK["outcome"], "confidence": LINK["confidence"]}, "CASE WHEN depicts = via_qid THEN 'media_match_confident' WHEN via_category <> '' THEN 'media_match_review' ELSE 'media_no_match' END AS outcome, CASE WHEN depicts = via_qid THEN 0.95e0 WHEN via_category <> '' THEN 0.5e0 ELSE 0e0 END AS confidence")
+LINK = lambda: rights.association(c("depicts"), c("via_qid"), c("via_category"))
+scalar("assess_association", "v_licences", lambda: {"outcome": LINK()["outcome"], "confidence": LINK()["confidence"]}, "CASE WHEN depicts = via_qid THEN 'media_match_confident' WHEN via_category <> '' THEN 'media_match_review' ELSE 'media_no_match' END AS outcome, CASE WHEN depicts = via_qid THEN 0.95e0 WHEN via_category <> '' THEN 0.5e0 ELSE 0e0 END AS confidence")
 query("creator_extract", twin(f"SELECT id, creator, artist FROM {MEDIA}"))(lambda s, d: media(s, d).select("id", "creator", "artist"))
 query("publish_media", twin(f"SELECT id, media_url, line, CASE WHEN {STATE} = 'media_ready' THEN 'published' ELSE 'refused' END AS outcome FROM {MEDIA}"))(
     lambda s, d: media(s, d).select("id", "media_url", "line", F.when(c("state") == "media_ready", "published").otherwise("refused").alias("outcome"))
@@ -240,30 +241,30 @@ def signalled(spark, d):
     return op.signals(op.pairs_of(view(spark, d, "v_candidates"), view(spark, d, "v_places")))
 
 
-def pair_query(name: str, columns: dict, sql: str, where: str = "", keep=None):
+def pair_query(name: str, columns: Callable[[], dict], sql: str, where: str = "", keep=None):
     def run(spark, d):
         s = signalled(spark, d)
-        return (s.filter(keep) if keep is not None else s).select("l", "r", *[x.alias(k) for k, x in columns.items()])
+        return (s.filter(keep()) if keep else s).select("l", "r", *[x.alias(k) for k, x in columns().items()])
 
     query(name, twin(f"{ALL} SELECT l, r, {sql} FROM scored {where}"))(run)
 
 
-pair_query("agreement_radius", {"radius": c("radius")}, "radius")
-pair_query("distance_signal", {"weight": c("s_distance")}, "s_distance AS weight")
-pair_query("name_signal", {"sim": F.round("sim.score", 6), "weight": c("s_name")}, "round(sim, 6) AS sim, s_name AS weight")
-pair_query("type_signal", {"weight": c("s_type")}, "s_type AS weight")
-pair_query("postcode_town_signal", {"postcode": c("s_postcode"), "town": c("s_town")}, "s_postcode AS postcode, s_town AS town")
-pair_query("register_veto", {"metres": F.round("metres", 3)}, "round(metres, 3) AS metres", "WHERE register_veto", c("register_veto"))
-pair_query("score_pair", {"score": F.round("score", 9)}, "round(score, 9) AS score", "WHERE NOT register_veto", ~c("register_veto"))
-pair_query("collect_conflicts", {"conflicts": F.array_join("conflicts", ",")}, "conflicts")
-pair_query("area_vs_structure", {"area": c("area")}, "area")
+pair_query("agreement_radius", lambda: {"radius": c("radius")}, "radius")
+pair_query("distance_signal", lambda: {"weight": c("s_distance")}, "s_distance AS weight")
+pair_query("name_signal", lambda: {"sim": F.round("sim.score", 6), "weight": c("s_name")}, "round(sim, 6) AS sim, s_name AS weight")
+pair_query("type_signal", lambda: {"weight": c("s_type")}, "s_type AS weight")
+pair_query("postcode_town_signal", lambda: {"postcode": c("s_postcode"), "town": c("s_town")}, "s_postcode AS postcode, s_town AS town")
+pair_query("register_veto", lambda: {"metres": F.round("metres", 3)}, "round(metres, 3) AS metres", "WHERE register_veto", lambda: c("register_veto"))
+pair_query("score_pair", lambda: {"score": F.round("score", 9)}, "round(score, 9) AS score", "WHERE NOT register_veto", lambda: ~c("register_veto"))
+pair_query("collect_conflicts", lambda: {"conflicts": F.array_join("conflicts", ",")}, "conflicts")
+pair_query("area_vs_structure", lambda: {"area": c("area")}, "area")
 
 
 @query("distance_veto", twin(f"WITH {NEAR} SELECT count(*) AS kept, (SELECT count(*) FROM v_candidates) * (SELECT count(*) FROM v_places) - count(*) AS vetoed FROM near"))
 def distance_veto(spark, d):
     k, p = view(spark, d, "v_candidates"), view(spark, d, "v_places")
-    sizes = k.agg(n1.alias("a")).crossJoin(p.agg(n1.alias("b")))
-    return op.pairs_of(k, p).agg(n1.alias("kept")).crossJoin(sizes).select("kept", (c("a") * c("b") - c("kept")).alias("vetoed"))
+    sizes = k.agg(F.count(F.lit(1)).alias("a")).crossJoin(p.agg(F.count(F.lit(1)).alias("b")))
+    return op.pairs_of(k, p).agg(F.count(F.lit(1)).alias("kept")).crossJoin(sizes).select("kept", (c("a") * c("b") - c("kept")).alias("vetoed"))
 
 
 @query("shared_identifier", twin("SELECT k.id AS l, p.id AS r FROM v_candidates k JOIN v_places p ON k.qid = p.qid"))
@@ -281,7 +282,7 @@ def shortlist(spark, d):
 
 
 query("join_union_pairs", twin(UNION))(shortlist)
-query("union_shortlist", twin(f"SELECT l, count(*) AS candidates FROM ({UNION}) GROUP BY 1"))(lambda s, d: shortlist(s, d).groupBy("l").agg(n1.alias("candidates")))
+query("union_shortlist", twin(f"SELECT l, count(*) AS candidates FROM ({UNION}) GROUP BY 1"))(lambda s, d: shortlist(s, d).groupBy("l").agg(F.count(F.lit(1)).alias("candidates")))
 DECIDED = f"""{ALL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM scored WHERE NOT register_veto),
     best AS (SELECT b.*, s.score AS second FROM (SELECT * FROM ranked WHERE k = 1) b LEFT JOIN (SELECT l, score FROM ranked WHERE k = 2) s ON s.l = b.l),
     decided AS (SELECT v.id, CASE WHEN score IS NULL OR score < 0.5e0 THEN 'NEW_CANONICAL' WHEN conflicts <> '' THEN 'CONFLICT_REVIEW' WHEN score >= 0.85e0 AND sim >= 0.9e0 AND NOT (second IS NOT NULL AND score - second < 0.1e0) AND NOT area AND NOT carried AND metres <= radius THEN 'MATCH_CONFIDENT' ELSE 'MATCH_REVIEW' END AS outcome,
@@ -293,7 +294,7 @@ def decided(spark, d):
 
 
 query("match_decision", twin(f"{DECIDED} SELECT id, outcome, matched, round(confidence, 9) AS confidence FROM decided"))(lambda s, d: decided(s, d).withColumn("confidence", F.round("confidence", 9)))
-query("run_report", twin(f"{DECIDED} SELECT outcome, count(*) AS n FROM decided GROUP BY 1"))(lambda s, d: decided(s, d).groupBy("outcome").agg(n1.alias("n")))
+query("run_report", twin(f"{DECIDED} SELECT outcome, count(*) AS n FROM decided GROUP BY 1"))(lambda s, d: decided(s, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")))
 CLASS = "CASE WHEN outcome IN ('NEW_CANONICAL', 'MATCH_CONFIDENT') THEN 'AUTO_SAFE' WHEN outcome = 'REJECT_INVALID' THEN 'REJECTED' ELSE 'REVIEW_REQUIRED' END"
 
 
@@ -305,18 +306,18 @@ query("publication_policy", twin(f"{DECIDED} SELECT id, {CLASS} AS class, CASE W
     lambda s, d: decided(s, d).select("id", policy(c("outcome")).alias("class"), F.when(policy(c("outcome")) == "AUTO_SAFE", "approved").otherwise("needs_review").alias("state"))
 )
 query("review_cause", twin(f"{DECIDED} SELECT CASE WHEN outcome = 'CONFLICT_REVIEW' THEN 'sources disagree' WHEN outcome = 'MATCH_REVIEW' THEN 'not distinctive' ELSE 'none' END AS cause, count(*) AS n FROM decided GROUP BY 1"))(
-    lambda s, d: decided(s, d).groupBy(F.when(c("outcome") == "CONFLICT_REVIEW", "sources disagree").when(c("outcome") == "MATCH_REVIEW", "not distinctive").otherwise("none").alias("cause")).agg(n1.alias("n"))
+    lambda s, d: decided(s, d).groupBy(F.when(c("outcome") == "CONFLICT_REVIEW", "sources disagree").when(c("outcome") == "MATCH_REVIEW", "not distinctive").otherwise("none").alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 )
 query("match_work_stats", twin(f"{ALL} SELECT count(*) AS comparisons, count(*) FILTER (WHERE register_veto) AS by_register, count(*) FILTER (WHERE metres > 1000) AS beyond_1km FROM scored"))(
-    lambda s, d: signalled(s, d).agg(n1.alias("comparisons"), F.count_if("register_veto").alias("by_register"), F.count_if(c("metres") > 1000).alias("beyond_1km"))
+    lambda s, d: signalled(s, d).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if("register_veto").alias("by_register"), F.count_if(c("metres") > 1000).alias("beyond_1km"))
 )
 
 
 @query("candidate_stats", twin(f"WITH {NEAR} SELECT (SELECT count(*) FROM v_candidates) * (SELECT count(*) FROM v_places) AS possible, count(*) AS candidates, round(1e0 - count(*) * 1e0 / ((SELECT count(*) FROM v_candidates) * (SELECT count(*) FROM v_places)), 6) AS pruned FROM near"))
 def candidate_stats(spark, d):
     k, p = view(spark, d, "v_candidates"), view(spark, d, "v_places")
-    sizes = k.agg(n1.alias("a")).crossJoin(p.agg(n1.alias("b"))).select((c("a") * c("b")).alias("possible"))
-    return op.near_pairs(k, p, op.FARTHEST_M).agg(n1.alias("candidates")).crossJoin(sizes).select("possible", "candidates", F.round(1 - c("candidates") / c("possible"), 6).alias("pruned"))
+    sizes = k.agg(F.count(F.lit(1)).alias("a")).crossJoin(p.agg(F.count(F.lit(1)).alias("b"))).select((c("a") * c("b")).alias("possible"))
+    return op.near_pairs(k, p, op.FARTHEST_M).agg(F.count(F.lit(1)).alias("candidates")).crossJoin(sizes).select("possible", "candidates", F.round(1 - c("candidates") / c("possible"), 6).alias("pruned"))
 
 
 @query("exhaustive_vs_bounded", twin(f"WITH {NEAR} SELECT count(*) AS bounded, count(*) AS exhaustive, CAST(0 AS BIGINT) AS differences FROM near WHERE l % 10 = 0"))
@@ -328,7 +329,7 @@ def exhaustive_vs_bounded(spark, d):
     bounded = op.near_pairs(k, p, op.FARTHEST_M).select("l", "r")
     a, b = k.select(c("id").alias("l"), c("lng").alias("x"), c("lat").alias("y")), p.select(c("id").alias("r"), "lng", "lat")
     every = b.join(F.broadcast(a), geo.haversine_m(c("x"), c("y"), c("lng"), c("lat")) <= op.FARTHEST_M).select("l", "r")
-    count = lambda df, n: df.agg(n1.alias(n))
+    count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
     odd = bounded.exceptAll(every).union(every.exceptAll(bounded))
     return count(bounded, "bounded").crossJoin(count(every, "exhaustive")).crossJoin(count(odd, "differences"))
 

@@ -17,7 +17,6 @@ from .catalog import query
 from .matching import compatible_sql
 from .substrate import twin, view
 
-n1 = F.count(F.lit(1))
 
 # comparison of candidates (new) with the place of the same number (known) --------------------------------------------
 
@@ -39,19 +38,19 @@ def both(spark, d):
 
 ids = lambda x: F.array_compact(F.array(c(x)))
 FIELDS = {
-    "cmp_identifiers": (cmp.identifiers(ids("pq"), ids("kq")), "CASE WHEN kq IS NOT NULL THEN CASE WHEN pq IS NULL THEN 'COMPLEMENTARY' WHEN pq = kq THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
-    "cmp_name": (cmp.name(names.similarity(names.analyse(c("pn")), names.analyse(c("kn")))["score"]), "CASE WHEN pn = kn THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
-    "cmp_type": (cmp.kind(c("pt"), c("pc"), c("kt"), c("kc")), f"CASE WHEN kc >= 0.7e0 THEN CASE WHEN pc < 0.7e0 THEN 'COMPLEMENTARY' WHEN {compatible_sql('pt', 'kt')} THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
-    "cmp_position": (cmp.position(geo.positions_conflict(c("metres"), c("pa"), c("ka"))), "CASE WHEN metres > pa + ka + 25e0 THEN 'CONFLICT' ELSE 'AGREEMENT' END"),
-    "cmp_inception": (cmp.year(c("py"), c("ky")), "CASE WHEN ky IS NOT NULL THEN CASE WHEN py IS NULL THEN 'COMPLEMENTARY' WHEN abs(py - ky) <= 25 THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
-    "cmp_website": (cmp.website(c("pw"), c("kw")), "CASE WHEN kw IS NOT NULL THEN CASE WHEN pw IS NULL THEN 'COMPLEMENTARY' WHEN replace(regexp_extract(pw, '//([^/]+)', 1), 'www.', '') = regexp_extract(kw, '//([^/]+)', 1) THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
-    "cmp_designations": (cmp.designation(F.array("pd"), c("kd")), "CASE WHEN pd = kd THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
+    "cmp_identifiers": (lambda: cmp.identifiers(ids("pq"), ids("kq")), "CASE WHEN kq IS NOT NULL THEN CASE WHEN pq IS NULL THEN 'COMPLEMENTARY' WHEN pq = kq THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
+    "cmp_name": (lambda: cmp.name(names.similarity(names.analyse(c("pn")), names.analyse(c("kn")))["score"]), "CASE WHEN pn = kn THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
+    "cmp_type": (lambda: cmp.kind(c("pt"), c("pc"), c("kt"), c("kc")), f"CASE WHEN kc >= 0.7e0 THEN CASE WHEN pc < 0.7e0 THEN 'COMPLEMENTARY' WHEN {compatible_sql('pt', 'kt')} THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
+    "cmp_position": (lambda: cmp.position(geo.positions_conflict(c("metres"), c("pa"), c("ka"))), "CASE WHEN metres > pa + ka + 25e0 THEN 'CONFLICT' ELSE 'AGREEMENT' END"),
+    "cmp_inception": (lambda: cmp.year(c("py"), c("ky")), "CASE WHEN ky IS NOT NULL THEN CASE WHEN py IS NULL THEN 'COMPLEMENTARY' WHEN abs(py - ky) <= 25 THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
+    "cmp_website": (lambda: cmp.website(c("pw"), c("kw")), "CASE WHEN kw IS NOT NULL THEN CASE WHEN pw IS NULL THEN 'COMPLEMENTARY' WHEN replace(regexp_extract(pw, '//([^/]+)', 1), 'www.', '') = regexp_extract(kw, '//([^/]+)', 1) THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
+    "cmp_designations": (lambda: cmp.designation(F.array("pd"), c("kd")), "CASE WHEN pd = kd THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
 }
 for _key, (_column, _sql) in FIELDS.items():
-    query(_key, twin(f"WITH {BOTH} SELECT id, {_sql} AS outcome FROM sides"))(lambda s, d, x=_column: both(s, d).select("id", x.alias("outcome")))
+    query(_key, twin(f"WITH {BOTH} SELECT id, {_sql} AS outcome FROM sides"))(lambda s, d, x=_column: both(s, d).select("id", x().alias("outcome")))
 LISTED = "[" + ", ".join(sql for _, sql in FIELDS.values()) + "]"
 query("cmp_outcome", twin(f"WITH {BOTH} SELECT id, CASE WHEN list_contains({LISTED}, 'CONFLICT') THEN 'CONFLICT' WHEN list_contains({LISTED}, 'COMPLEMENTARY') THEN 'COMPLEMENTARY' ELSE 'AGREEMENT' END AS outcome FROM sides"))(
-    lambda s, d: both(s, d).select("id", cmp.overall(F.array_compact(F.array(*[x for x, _ in FIELDS.values()]))).alias("outcome"))
+    lambda s, d: both(s, d).select("id", cmp.overall(F.array_compact(F.array(*[x() for x, _ in FIELDS.values()]))).alias("outcome"))
 )
 query("field_difference", twin(f"WITH {BOTH} SELECT id, CASE WHEN kq IS NULL THEN 'missing' WHEN pq IS NULL THEN 'complementary' WHEN pq = kq THEN 'agreement' ELSE 'conflict' END AS qid, CASE WHEN kt IS NULL THEN 'missing' WHEN pt IS NULL THEN 'complementary' WHEN pt = kt THEN 'agreement' ELSE 'conflict' END AS kind FROM sides"))(
     lambda s, d: both(s, d).select("id", cmp.for_review(c("pq"), c("kq")).alias("qid"), cmp.for_review(c("pt"), c("kt")).alias("kind"))
@@ -66,14 +65,14 @@ GATE = "CASE WHEN published THEN 'already_published' WHEN state <> 'approved' TH
 
 def staged(spark, d):
     k = view(spark, d, "v_candidates").select("id", "source_id", "name", "place_type")
-    open_ = view(spark, d, "v_temporal").filter("status <> 'approved'").groupBy(c("place_id").alias("id")).agg(n1.alias("unresolved"))
+    open_ = view(spark, d, "v_temporal").filter("status <> 'approved'").groupBy(c("place_id").alias("id")).agg(F.count(F.lit(1)).alias("unresolved"))
     k = k.join(open_, "id", "left").withColumns({"unresolved": F.coalesce("unresolved", F.lit(0)), "state": F.when(c("id") % 8 == 0, "needs_review").otherwise("approved"), "published": c("id") % 50 == 1, "matched": F.when(c("id") % 9 == 0, c("id") * 3)})
     return k.join(view(spark, d, "v_places").select(c("id").alias("target")), c("matched") == c("target"), "left")
 
 
 query("publish_gate", twin(f"WITH {STAGED} SELECT id, {GATE} AS verdict FROM staged"))(lambda s, d: staged(s, d).select("id", op.gate(None).alias("verdict")))
 query("publication_log", twin(f"WITH {STAGED} SELECT split_part({GATE}, ':', 1) AS status, count(*) AS n FROM staged GROUP BY 1"))(
-    lambda s, d: staged(s, d).groupBy(F.split(op.gate(None), ":")[0].alias("status")).agg(n1.alias("n"))
+    lambda s, d: staged(s, d).groupBy(F.split(op.gate(None), ":")[0].alias("status")).agg(F.count(F.lit(1)).alias("n"))
 )
 
 
@@ -106,7 +105,7 @@ def replay_idempotent(spark, d):
     old, new = versions(spark, d)
     once = op.upsert(old, new, KEY, "ordinal")
     again = op.upsert(once, new, KEY, "ordinal")
-    return once.agg(n1.alias("n")).crossJoin(again.exceptAll(once).union(once.exceptAll(again)).agg(n1.alias("changed")))
+    return once.agg(F.count(F.lit(1)).alias("n")).crossJoin(again.exceptAll(once).union(once.exceptAll(again)).agg(F.count(F.lit(1)).alias("changed")))
 
 
 FACTS = "facts AS (SELECT entity_id, predicate, source_id, min(value) AS value, min(ordinal) AS ordinal FROM v_claims WHERE predicate <> 'postcode' GROUP BY 1, 2, 3)"
@@ -171,7 +170,7 @@ query("review_queue", twin(f"SELECT k.id, p.name AS matched_name, coalesce(x.n,
 def _queue(spark, d):
     p = view(spark, d, "v_places").filter("status = 'approved' AND qid IS NOT NULL").select("qid", c("name").alias("matched_name"), c("lng").alias("x"), c("lat").alias("y"))
     k = view(spark, d, "v_candidates").join(p, "qid", "left")
-    open_ = view(spark, d, "v_temporal").filter("status <> 'approved'").groupBy(c("place_id").alias("id")).agg(n1.alias("unresolved"))
+    open_ = view(spark, d, "v_temporal").filter("status <> 'approved'").groupBy(c("place_id").alias("id")).agg(F.count(F.lit(1)).alias("unresolved"))
     k = k.join(open_, "id", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
     return k.orderBy(F.desc("unresolved"), "id").limit(200).select("id", "matched_name", "unresolved", F.round(geo.haversine_m(c("lng"), c("lat"), c("x"), c("y")), 3).alias("metres"))
 
@@ -208,7 +207,7 @@ def src_sparql_collapse(spark, d):
 
 
 query("checksum_manifest", twin("SELECT place_type, sha256(string_agg(slug, chr(10) ORDER BY id)) AS digest, count(*) AS n FROM v_places GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_places").groupBy("place_type").agg(F.array_sort(F.collect_list(F.struct("id", "slug"))).alias("r"), n1.alias("n")).select("place_type", F.sha2(F.array_join(F.transform("r", lambda x: x["slug"]), "\n"), 256).alias("digest"), "n")
+    lambda s, d: view(s, d, "v_places").groupBy("place_type").agg(F.array_sort(F.collect_list(F.struct("id", "slug"))).alias("r"), F.count(F.lit(1)).alias("n")).select("place_type", F.sha2(F.array_join(F.transform("r", lambda x: x["slug"]), "\n"), 256).alias("digest"), "n")
 )
 
 
@@ -216,7 +215,7 @@ query("checksum_manifest", twin("SELECT place_type, sha256(string_agg(slug, chr(
 def tier_multiset_prefix(spark, d):
     """Rows of the keys of a manifest's first entries, each key as often as the entries repeat it."""
     audit = view(spark, d, "v_audit").select("id", "target_id")
-    need = audit.filter("id < 3000").groupBy(c("target_id").alias("t")).agg(n1.alias("need"))
+    need = audit.filter("id < 3000").groupBy(c("target_id").alias("t")).agg(F.count(F.lit(1)).alias("need"))
     numbered = audit.withColumn("k", F.row_number().over(Window.partitionBy("target_id").orderBy("id")))
     return numbered.join(need, c("target_id") == c("t")).filter("k <= need").select("id", "target_id")
 
@@ -246,7 +245,7 @@ def src_contract(spark, d):
 
     out = None
     for name, reader in SOURCES.items():
-        part = reader(spark, {"dir": d}).agg(n1.alias("records")).select(F.lit(name).alias("source"), "records")
+        part = reader(spark, {"dir": d}).agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("source"), "records")
         out = part if out is None else out.unionByName(part)
     return out
 

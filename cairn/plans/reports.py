@@ -12,7 +12,6 @@ from .basics import c
 from .catalog import query
 from .substrate import twin, view
 
-n1 = F.count(F.lit(1))
 
 # aggregates --------------------------------------------------------------------------------------------------------
 
@@ -26,7 +25,7 @@ query("agg_count_distinct", twin("SELECT predicate, count(DISTINCT source_id) AS
 def agg_filter_clause(spark, d):
     rights = view(spark, d, "v_rights").select(c("image_id").alias("id")).distinct().withColumn("has", F.lit(True))
     both = view(spark, d, "v_images").join(rights, "id", "left")
-    return both.agg(n1.alias("images"), F.count("has").alias("with_rights"), F.count_if(c("status") == "approved").alias("approved"))
+    return both.agg(F.count(F.lit(1)).alias("images"), F.count("has").alias("with_rights"), F.count_if(c("status") == "approved").alias("approved"))
 
 
 query("agg_percentile_cont", twin("SELECT action, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM v_audit GROUP BY 1"))(
@@ -53,19 +52,19 @@ def agg_json(spark, d):
     places = view(spark, d, "v_places")
 
     def mapped(key: str):
-        return places.groupBy(key).agg(n1.alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(key))
+        return places.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(key))
 
     return mapped("place_type").crossJoin(mapped("status")).select(F.to_json(F.struct(c("place_type").alias("types"), c("status").alias("statuses"))).alias("report"))
 
 
 query("agg_having", twin("SELECT count(*) AS unresolved FROM v_temporal WHERE status <> 'approved' HAVING count(*) > 0"))(
-    lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").agg(n1.alias("unresolved")).filter("unresolved > 0")
+    lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").agg(F.count(F.lit(1)).alias("unresolved")).filter("unresolved > 0")
 )
 query("agg_two_level", twin("SELECT max(p95) AS worst FROM (SELECT target_id % 50 AS g, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM v_audit GROUP BY 1)"))(
     lambda s, d: view(s, d, "v_audit").groupBy((c("target_id") % 50).alias("g")).agg(F.percentile("value", F.lit(0.95)).alias("p95")).agg(F.max("p95").alias("worst"))
 )
 query("agg_ratio", twin("SELECT predicate, round(count(DISTINCT entity_id) * 1e0 / greatest(count(*), 1), 4) AS ratio FROM v_claims GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_claims").groupBy("predicate").agg(F.round(F.countDistinct("entity_id") / F.greatest(n1, F.lit(1)), 4).alias("ratio"))
+    lambda s, d: view(s, d, "v_claims").groupBy("predicate").agg(F.round(F.countDistinct("entity_id") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("ratio"))
 )
 query("agg_histogram_normalised_reason", twin("SELECT regexp_replace(action || ' took ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ' ms', '\\d+(\\.\\d+)?', 'N', 'g') AS reason, count(*) AS n FROM v_audit WHERE value IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason"))(
     lambda s, d: op.histogram(view(s, d, "v_audit").filter("value IS NOT NULL"), text.mask_numbers(F.concat("action", F.lit(" took "), F.floor("value").cast("string"), F.lit(" ms"))), "reason").orderBy(F.desc("n"), "reason")
@@ -103,10 +102,10 @@ query("win_even_sample", twin("SELECT id FROM (SELECT id, row_number() OVER (ORD
 )
 TIERS = "SELECT year(moment) * 100 + month(moment) AS tier, count(*) AS n FROM v_audit GROUP BY 1"
 query("win_growth_vs_previous", twin(f"SELECT CAST(tier AS INTEGER) AS tier, n, round(n * 1e0 / lag(n) OVER (ORDER BY tier), 4) AS growth FROM ({TIERS})"))(
-    lambda s, d: view(s, d, "v_audit").groupBy((F.year("moment") * 100 + F.month("moment")).alias("tier")).agg(n1.alias("n")).withColumn("growth", F.round(c("n") / F.lag("n").over(Window.orderBy("tier")), 4))
+    lambda s, d: view(s, d, "v_audit").groupBy((F.year("moment") * 100 + F.month("moment")).alias("tier")).agg(F.count(F.lit(1)).alias("n")).withColumn("growth", F.round(c("n") / F.lag("n").over(Window.orderBy("tier")), 4))
 )
 query("sort_queue", twin("SELECT place_id, count(*) AS unresolved FROM v_temporal WHERE status <> 'approved' GROUP BY 1 ORDER BY unresolved DESC, place_id LIMIT 200"))(
-    lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").groupBy("place_id").agg(n1.alias("unresolved")).orderBy(F.desc("unresolved"), "place_id").limit(200)
+    lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").groupBy("place_id").agg(F.count(F.lit(1)).alias("unresolved")).orderBy(F.desc("unresolved"), "place_id").limit(200)
 )
 PRIORITY = {"error": 0, "purchase": 1, "signup": 2}
 query("sort_priority_map", twin("SELECT id, action FROM v_audit ORDER BY CASE action WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 9 END, id LIMIT 100"))(
@@ -148,7 +147,7 @@ def seen(rows, by_actor):
     """(actor, n): how many rows each actor sees."""
     out = None
     for name, df in by_actor.items():
-        part = df.agg(n1.alias("n")).select(F.lit(name).alias("actor"), "n")
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("actor"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -185,7 +184,7 @@ FIGURES = "SELECT count(*) AS n, avg(CASE WHEN status = 'approved' THEN 1e0 ELSE
 
 
 def _figures(spark, d):
-    return view(spark, d, "v_places").agg(n1.alias("n"), F.avg((c("status") == "approved").cast("double")).alias("approved"), F.max("accuracy").alias("worst"))
+    return view(spark, d, "v_places").agg(F.count(F.lit(1)).alias("n"), F.avg((c("status") == "approved").cast("double")).alias("approved"), F.max("accuracy").alias("worst"))
 
 
 def gates_sql(tests: dict) -> str:
@@ -206,8 +205,8 @@ def verify_report(spark, d):
     bare = images.join(view(spark, d, "v_rights").select(c("image_id").alias("id")), "id", "left_anti")
     figure = lambda df, name, agg: df.agg(agg.cast("double").alias("figure")).select(F.lit(name).alias("metric"), "figure")
     parts = (
-        figure(places, "places", n1), figure(places, "approved share", F.round(F.avg((c("status") == "approved").cast("double")), 4)),
-        figure(orphans, "claims without place", n1), figure(bare, "images without rights", n1),
+        figure(places, "places", F.count(F.lit(1))), figure(places, "approved share", F.round(F.avg((c("status") == "approved").cast("double")), 4)),
+        figure(orphans, "claims without place", F.count(F.lit(1))), figure(bare, "images without rights", F.count(F.lit(1))),
     )
     out = parts[0]
     for p in parts[1:]:
@@ -216,7 +215,7 @@ def verify_report(spark, d):
 
 
 query("audit_report", twin("SELECT predicate, count(*) AS merged, CAST(max(sources) AS BIGINT) AS most FROM (SELECT entity_id, predicate, count(DISTINCT source_id) AS sources FROM v_claims GROUP BY 1, 2) WHERE sources > 1 GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_claims").groupBy("entity_id", "predicate").agg(F.countDistinct("source_id").alias("sources")).filter("sources > 1").groupBy("predicate").agg(n1.alias("merged"), F.max("sources").alias("most"))
+    lambda s, d: view(s, d, "v_claims").groupBy("entity_id", "predicate").agg(F.countDistinct("source_id").alias("sources")).filter("sources > 1").groupBy("predicate").agg(F.count(F.lit(1)).alias("merged"), F.max("sources").alias("most"))
 )
 query("discovery_report", twin("SELECT action AS scenario, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) <= 300 AS ok FROM v_audit GROUP BY 1"))(
     lambda s, d: view(s, d, "v_audit").groupBy(c("action").alias("scenario")).agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95")).withColumn("ok", c("p95") <= 300)
@@ -247,7 +246,7 @@ def storage_stats(spark, d):
     """Bytes and rows of each table's files."""
     out = None
     for name in ("documents", "orders", "lineitem"):
-        part = view(spark, d, name).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("bytes"), n1.alias("rows"))
+        part = view(spark, d, name).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.max("file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
         part = part.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).select(F.lit(name).alias("table"), "bytes", "rows")
         out = part if out is None else out.unionByName(part)
     return out
@@ -270,5 +269,5 @@ def query_bench(spark, d):
 
 
 query("rights_ready_counts", twin("SELECT count(*) AS images, count(r.image_id) AS with_rights, count(CASE WHEN r.attribution IS NOT NULL AND r.licence <> 'UNSUPPORTED' THEN 1 END) AS ready FROM v_images i LEFT JOIN v_rights r ON r.image_id = i.id"))(
-    lambda s, d: view(s, d, "v_images").join(view(s, d, "v_rights"), c("image_id") == c("id"), "left").agg(n1.alias("images"), F.count("image_id").alias("with_rights"), F.count_if(c("attribution").isNotNull() & (c("licence") != "UNSUPPORTED")).alias("ready"))
+    lambda s, d: view(s, d, "v_images").join(view(s, d, "v_rights"), c("image_id") == c("id"), "left").agg(F.count(F.lit(1)).alias("images"), F.count("image_id").alias("with_rights"), F.count_if(c("attribution").isNotNull() & (c("licence") != "UNSUPPORTED")).alias("ready"))
 )
