@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 #: ASCII white space of the contracts, as a regular expression class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-MASK = (1 << 64) - 1
+#: While it holds, Spark deletes a query's shuffle files at its end; a kept table needs its shuffles no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ class Store:
         self.n += 1
         path = f"{self.root}/{self.n}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        release(self.spark)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
@@ -69,12 +73,6 @@ class Store:
                 p.getFileSystem(conf).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps now, not at the next chance collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
