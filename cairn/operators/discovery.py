@@ -162,11 +162,16 @@ def period_summaries(temporal: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def map_places(t: Tables, box: Box, ranking: tuple[str, ...], f: Filters | None = None, rows: int | None = None) -> DataFrame:
-    """Markers of a viewport, the most important first. Details are joined to the few rows that are kept."""
+    """Markers of a viewport, the most important first.
+
+    Details are aggregated for the kept places alone: their ids, MAX_MARKERS at most, are broadcast to the detail scans.
+    """
     check_box(box)
     kept = matching_places(t, box, f or Filters()).orderBy(F.desc("content_level"), "name", "id").limit(min(max(rows or 250, 1), MAX_MARKERS))
     kept = kept.select("id", "slug", "name", "place_type", "lng", "lat", "accuracy", "survival_status")
-    for more in (primary_designations(t.designations, ranking), thumbnails(t.images, t.rights), period_summaries(t.temporal, t.periods)):
+    few = F.broadcast(kept.select(F.col("id").alias("place_id")))
+    of_few = lambda df: df.join(few, "place_id", "left_semi")
+    for more in (primary_designations(of_few(t.designations), ranking), thumbnails(of_few(t.images), t.rights), period_summaries(of_few(t.temporal), t.periods)):
         kept = kept.join(more.withColumnRenamed("place_id", "id"), "id", "left")
     return kept
 
