@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, WordHashes, mix, windows
@@ -17,6 +17,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 SHINGLES_AT_ONCE = 400_000
+#: Components of the sketches by which pairs of a bucket are screened, first some and then all, and how many must
+#: agree. A component of a pair of similarity 0.8 agrees with probability 0.8125, so either screen loses such a pair
+#: less than once in 100,000, and pairs above 0.8 far more rarely.
+SKETCH, FIRST, LEAST_FIRST, LEAST_ALL = 512, 128, 85, 378
 _ARRIVAL, _REGISTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -26,15 +30,15 @@ def weighted_shingles(text: str | None, known: WordHashes) -> tuple[np.ndarray,
     return np.unique(windows(words, SHINGLE), return_counts=True)
 
 
-def probminhash(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, SIZE) signatures; a component of two texts agrees with the probability Jaccard of their weighted shingles.
+def probminhash(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
+    """(n, size) signatures; a component of two texts agrees with the probability Jaccard of their weighted shingles.
 
     Every shingle is a Poisson process whose rate is its weight; each arrival picks a register, and a register keeps
     the shingle that arrived first. Arrivals come in rounds; a shingle stops once its next arrival is later than
     every register of its text.
     """
-    first = np.full(n * SIZE, np.inf)
-    kept = np.zeros(n * SIZE, np.uint64)
+    first = np.full(n * size, np.inf)
+    kept = np.zeros(n * size, np.uint64)
     time = np.zeros(len(keys))
     weights = weights.astype(float)
     with np.errstate(over="ignore"):
@@ -43,14 +47,14 @@ def probminhash(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int
             step += np.uint64(1)
             u = (mix(keys + step * _ARRIVAL) >> np.uint64(11)).astype(float)
             time = time - np.log((u + 0.5) * 2.0**-53) / weights
-            latest = first.reshape(n, SIZE).max(axis=1)
+            latest = first.reshape(n, size).max(axis=1)
             on = time < latest[owner]
             keys, weights, owner, time = keys[on], weights[on], owner[on], time[on]
-            at = owner * SIZE + (mix(keys ^ (step * _REGISTER)) % np.uint64(SIZE)).astype(np.int64)
+            at = owner * size + (mix(keys ^ (step * _REGISTER)) % np.uint64(size)).astype(np.int64)
             np.minimum.at(first, at, time)
             won = first[at] == time
             kept[at[won]] = keys[won]
-    return kept.reshape(n, SIZE)
+    return kept.reshape(n, size)
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -63,6 +67,20 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each component, sixteen components to a number."""
+    nibbles = (mix(signatures) & np.uint64(15)).reshape(len(signatures), -1, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def _alike_components(a: Column, b: Column) -> Column:
+    """How many of the 16 components in two numbers agree."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.lit(16) - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """The exact similarity: sum over common x of 1 / sum over all y of max(a_y / a_x, b_y / b_x)."""
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -108,13 +126,20 @@ def _signed(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def _shingle_table(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(u, s, w, sketch): each text's shingles, how often they occur, and its sketch."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for batch in batches:
-            made = [weighted_shingles(t, known) for t in batch["t"]]
-            yield pd.DataFrame({"u": batch["k"], "s": [k.view(np.int64) for k, _ in made], "w": [w.astype(np.int32) for _, w in made]})
+            ids, texts = batch["k"].to_numpy(), batch["t"].tolist()
+            for a in range(0, len(texts), 200):
+                made = [weighted_shingles(t, known) for t in texts[a : a + 200]]
+                keys, weights = (np.concatenate(x) for x in zip(*made, strict=True))
+                owner = np.repeat(np.arange(len(made)), [len(k) for k, _ in made])
+                sketch = sketches(probminhash(keys, weights, owner, len(made), SKETCH)).view(np.int64)
+                yield pd.DataFrame({"u": ids[a : a + 200], "s": [k.view(np.int64) for k, _ in made], "w": [w.astype(np.int32) for _, w in made], "sketch": list(sketch)})
 
-    return docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(scan, "u long, s array<long>, w array<int>")
+    return docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(scan, "u long, s array<long>, w array<int>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -134,16 +159,36 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "wa", "sb", "wb").mapInPandas(scan, "a long, b long, similarity double")
 
 
+def _screened_pairs(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes that share a band and may be alike; named has (band, u, c, bands, sketch).
+
+    In each bucket only texts outside its largest class are paired with the others. A pair comes out once, at the
+    first band it shares, if its sketches agree well enough, so what leaves the join is near the number of links.
+    """
+    sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "main")
+    entries = named.join(main, "band")
+    x = entries.filter("c <> main").select("band", F.col("u").alias("x"), F.col("c").alias("cx"), F.col("bands").alias("bx"), F.col("sketch").alias("sx"))
+    y = entries.select(F.col("band").alias("band_y"), F.col("u").alias("y"), F.col("c").alias("cy"), F.col("c").eqNullSafe(F.col("main")).alias("inside"), F.col("bands").alias("by"), F.col("sketch").alias("sy"))
+    some = sum(_alike_components(F.col("sx")[i], F.col("sy")[i]) for i in range(FIRST // 16))
+    all_ = F.aggregate(F.zip_with("sx", "sy", _alike_components), F.lit(0), lambda n, k: n + k)
+    shared = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
+    once = F.col("inside") | (F.col("x") < F.col("y"))
+    on = (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & once & (some >= LEAST_FIRST) & (all_ >= LEAST_ALL) & (shared[0] == F.col("band"))
+    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id) of each row of docs: class_id is the least doc_id of its class of near copies.
 
     A class is a connected component of links; a link is a probability Jaccard of five-word shingles, weighted by how
     often they occur, of 0.8 or more (word order alone counts in a text of fewer words). Equal word sequences are one
-    text first. Within a bucket of texts that share a band, every text is verified against the bucket's head; texts
-    of different classes that still share a bucket are then verified pair by pair, so a large group of near copies
-    costs about its size and no link between classes is lost. Texts without words are alone in their classes; a null
-    doc_id takes the class of its text; repeated rows share a class; an empty table gives no rows; other columns
-    aren't read.
+    text first. Among texts that share a band, every text is verified against the bucket's head, the text that meets
+    most others over all its bands. Texts of different classes that still share a bucket are screened by longer
+    sketches and verified pair by pair, so a large group costs about its size in verified pairs, and no link between
+    its classes is left out.
+    Texts without words are alone in their classes; a null doc_id takes the class of its text; repeated rows share a
+    class; an empty table gives no rows; other columns aren't read.
     """
     store = Store(docs.sparkSession, "near")
     signed = store.keep(_signed(docs, doc, text))
@@ -151,22 +196,23 @@ def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("u"), F.first("bands").alias("bands"))
     )
     members = texts.select("u", F.explode("bands").alias("band"))
-    order = F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("u"))
-    heads = members.groupBy("band").agg(F.min(order)["u"].alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
-    shared = store.keep(members.join(heads, "band"))
-    wanted = shared.select(F.col("u").alias("k")).distinct()
+    buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = store.keep(members.join(buckets, "band"))
+    met = shared.groupBy("u").agg(F.sum("n").alias("met"))
+    heads = shared.join(met, "u").groupBy("band").agg(F.max(F.struct("met", F.xxhash64("u").alias("h"), "u"))["u"].alias("head"))
+    pairs = store.keep(
+        shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
+    )
+    wanted = met.select(F.col("u").alias("k"))
     rows = docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t"))
-    # a doc_id that several rows have stands for the text that was signed first in order
+    # a doc_id that rows of different texts have stands for the least of them
     shingles = store.keep(_shingle_table(rows.join(wanted, "k").groupBy("k").agg(F.min("t").alias("t")), "k", "t"))
-    pairs = shared.filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     links = store.keep(_verified(pairs, shingles))
     labels = components(links, store)
     named = store.keep(shared.select("band", "u").join(labels, F.col("u") == F.col("v"), "left").select("band", "u", F.coalesce("c", "u").alias("c")))
     mixed = named.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    left = store.keep(named.join(mixed, "band"))
-    one, two = left.select("band", F.col("u").alias("a"), F.col("c").alias("ca")), left.select("band", F.col("u").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, "band").filter("ca <> cb and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = store.keep(_verified(rest, shingles))
+    left = named.join(mixed, "band", "left_semi").join(texts.select("u", "bands"), "u").join(shingles.select("u", "sketch"), "u")
+    more = store.keep(_verified(_screened_pairs(store.keep(left)), shingles))
     labels = components(links.unionByName(more), store)
     classes = texts.select("digest", "u").join(labels, F.col("u") == F.col("v"), "left").select("digest", F.coalesce("c", "u").alias("class_id"))
     return signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, mixing, near_duplicates, quality, sharding
 from cairn.llm.common import Store
@@ -11,8 +12,9 @@ N_SHARDS = 16
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules don't reject."""
-    return quality.apply_policy(quality.rule_ledger(docs), kept="__kept").filter("__kept").select(*docs.columns)
+    """Documents that the rules don't reject. The row travels as one column, so its columns may have any names."""
+    ledger = quality.rule_ledger(docs.select(F.struct("*").alias("__row"), "text"))
+    return quality.apply_policy(ledger).filter("kept").select("__row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
