@@ -17,6 +17,7 @@ REPEAT, Q = 100, 32
 SIDE = REPEAT - Q
 CONTEXT = REPEAT + SIDE
 BYTES_A_PART = 16 << 20
+CONTEXTS_AT_ONCE = 20_000
 FIRST = -(1 << 63)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -59,66 +60,55 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, h[at]
 
 
-def _ranked(values: np.ndarray) -> np.ndarray:
-    return np.unique(values.reshape(-1), return_inverse=True)[1].reshape(values.shape)
+def side_buckets(keys: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """(SIDE + 1, n) bucket numbers: at depth r, rows of one key whose first r bytes of ``sides`` are equal share one.
 
-
-def refine(contexts: np.ndarray) -> np.ndarray:
-    """(n, SIDE + 1) bucket numbers of the REPEAT-byte strings at each offset of n contexts, equal for equal strings.
-
-    The first buckets are the 8-byte strings. Each pass sorts pairs of bucket numbers, an offset's own and that of a
-    later offset, so the numbers found by one pass are the keys of the next: 8, 16, 32, 64 and then REPEAT bytes.
+    The buckets of the keys, which are q-grams, are refined by sorting on the buckets of later offsets: the strings of
+    8 bytes from each eighth offset. In that order a bucket of any depth is a run, and the number of bytes that
+    neighbours share gives the runs of all depths, each one refining those before it.
     """
-    n = len(contexts)
-    flat = _words(contexts.reshape(-1))
-    at = np.arange(n)[:, None] * CONTEXT + np.arange(CONTEXT - 7)[None, :]
-    bucket = _ranked(flat[at])
-    length = 8
-    for offset in (8, 16, 32, REPEAT - 64):
-        length += offset
-        width = CONTEXT - length + 1
-        top = int(bucket.max()) + 1
-        bucket = _ranked(bucket[:, :width].astype(np.int64) * top + bucket[:, offset : offset + width])
-    return bucket
-
-
-def later_runs(contexts: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, from, to): byte ranges whose REPEAT-byte strings occur earlier, of rows of contexts in order of (doc, start).
+    n = len(keys)
+    later = np.zeros((n, -(-SIDE // 8) * 8), np.uint8)
+    later[:, :SIDE] = sides
+    order = np.lexsort((*later.view(">u8").T[::-1], keys))
+    s, k = sides[order], keys[order]
+    differ = s[1:] != s[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
+    shared = np.append(-1, np.where(k[1:] != k[:-1], -1, shared))
+    out = np.empty((SIDE + 1, n), np.int32)
+    for r in range(SIDE + 1):
+        out[r, order] = np.cumsum(shared < r)
+    return out
+
+
+def later_runs(keys: np.ndarray, contexts: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, from, to): byte ranges whose REPEAT-byte strings occur earlier, of rows in order of (document, start).
 
     ``start`` is the offset of a context's first byte in its document, [lo, hi) the offsets inside the context at which
-    a string starts that lies in the document.
+    a string starts that lies in the document. Equal strings have their q-gram at the same place, so strings are
+    compared offset by offset: they are equal if both sides' buckets are.
     """
-    whole, first, same = np.unique(contexts.view(f"V{CONTEXT}").reshape(-1), return_index=True, return_inverse=True)
-    # equal contexts: all strings of the later ones occur earlier, if the first has them too
-    head = first[same]
-    copy = (head != np.arange(len(contexts))) & (lo[head] <= lo) & (hi[head] >= hi)
-    ranges = [(np.flatnonzero(copy), (start + lo)[copy], (start + hi - 1 + REPEAT)[copy])]
-    rest = np.flatnonzero(~copy)
-    if len(rest):
-        bucket = refine(contexts[rest])
-        offset = np.arange(SIDE + 1)[None, :]
-        valid = (offset >= lo[rest, None]) & (offset < hi[rest, None])
-        row, off = np.nonzero(valid)
-        where = start[rest][row] + off
-        order = np.lexsort((where, doc[rest][row], bucket[valid]))
-        b, d, s = bucket[valid][order], doc[rest][row][order], where[order]
-        new = np.append(True, b[1:] != b[:-1])
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = np.zeros(len(order), bool)
-        later[order] = (d != d[lead]) | (s != s[lead])
-        r, w = rest[row[later]], where[later]
-        if len(r):
-            cut = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1))
-            last = np.append(np.flatnonzero(cut)[1:] - 1, len(r) - 1)
-            ranges.append((r[cut], w[cut], w[last] + REPEAT))
-    return tuple(np.concatenate(x) for x in zip(*ranges, strict=True))
+    right = side_buckets(keys, contexts[:, REPEAT:])
+    left = side_buckets(keys, contexts[:, SIDE - 1 :: -1])
+    n = len(keys)
+    later = np.zeros((n, SIDE + 3), bool)
+    for at in range(SIDE + 1):
+        rows = np.flatnonzero((lo <= at) & (at < hi))
+        code, _ = pd.factorize(left[SIDE - at, rows].astype(np.int64) * (n + 1) + right[at, rows])
+        first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
+        first[code[::-1]] = rows[::-1]
+        later[rows, at + 1] = first[code] != rows
+    step = np.diff(later.astype(np.int8), axis=1)
+    row, a = np.nonzero(step == 1)
+    _, b = np.nonzero(step == -1)
+    return row, start[row] + a, start[row] + b - 1 + REPEAT
 
 
 def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(part, columns of its rows) for each part."""
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for rows in np.split(order, cuts):
+    for rows in np.split(order, cuts) if len(order) else ():
         if len(rows):
             yield int(part[rows[0]]), *(c[rows] for c in columns)
 
@@ -129,13 +119,15 @@ def _anchor_rows(rows: DataFrame, parts: int) -> DataFrame:
             texts = [(t or "").encode() for t in batch["t"]]
             k, v = batch["k"].to_numpy(np.int64), batch["v"].to_numpy(np.int64)
             sizes = np.array([len(t) for t in texts])
-            for a, b in _chunks(sizes, 8 << 20):
+            found = []
+            for a, b in _chunks(sizes, 1 << 18):  # small enough for the processor's cache
                 ends = np.cumsum(sizes[a:b])
                 at, h = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), ends)
                 of = np.searchsorted(ends, at, "right")
-                pos = (at - (ends - sizes[a:b])[of]).astype(np.int32)
-                made = list(_split((h % np.uint64(parts)).astype(np.int64), h.view(np.int64), k[a:b][of], v[a:b][of], pos))
-                yield pd.DataFrame(made, columns=["part", "h", "k", "v", "pos"])
+                found.append((h, a + of, (at - (ends - sizes[a:b])[of]).astype(np.int32)))
+            h, of, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+            made = list(_split((h % np.uint64(parts)).astype(np.int64), h.view(np.int64), k[of], v[of], pos))
+            yield pd.DataFrame(made, columns=["part", "h", "k", "v", "pos"])
 
     return rows.mapInPandas(scan, "part long, h array<long>, k array<long>, v array<long>, pos array<int>")
 
@@ -170,15 +162,33 @@ def _repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"k": k[first], "v": v[first], "pos": np.split(pos, cut)})
 
 
+def _first_of_each(k: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Marks the first of equal rows among ordered ones: rows of one document that the table repeats count once."""
+    return np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1]))
+
+
+def _copies(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Marks contexts, in order of document and offset, that equal an earlier one byte for byte, with all its strings."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(c), np.uint64)
+        for word in np.ascontiguousarray(c).view("<u8").T:
+            h = mix(h + word)
+    _, first, same = np.unique(h, return_index=True, return_inverse=True)
+    head = first[same]
+    copy = (head != np.arange(len(c))) & (lo[head] <= lo) & (hi[head] >= hi)
+    copy[copy] = (c[copy] == c[head[copy]]).all(axis=1)
+    return copy
+
+
 def _context_rows(rows: DataFrame, parts: int) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes = batch["pos"].map(lambda x: sum(map(len, x))).to_numpy()
+            sizes = batch["pos"].map(len).to_numpy()
             for a, b in _chunks(sizes, 50_000):
                 keys, cs, ks, vs, ps, los, his = [], [], [], [], [], [], []
                 for k, v, t, found in zip(*(batch[c].iloc[a:b] for c in ("k", "v", "t", "pos")), strict=True):
                     text = np.frombuffer(t.encode(), np.uint8)
-                    pos = np.concatenate([np.asarray(x) for x in found]).astype(np.int64)
+                    pos = np.asarray(found).astype(np.int64)
                     padded = np.concatenate([np.zeros(SIDE, np.uint8), text, np.zeros(CONTEXT, np.uint8)])
                     c = padded[pos[:, None] + np.arange(CONTEXT)[None, :]]
                     cs.append(c)
@@ -189,32 +199,58 @@ def _context_rows(rows: DataFrame, parts: int) -> DataFrame:
                     los.append(np.maximum(0, SIDE - pos))
                     his.append(np.minimum(SIDE + 1, len(text) - REPEAT + 1 - (pos - SIDE)))
                 key, c, k, v, p, lo, hi = (np.concatenate(x) for x in (keys, cs, ks, vs, ps, los, his))
+                order = np.lexsort((p, v, k))
+                order = order[_first_of_each(k[order], v[order], p[order])]
+                key, c, k, v, p, lo, hi = (x[order] for x in (key, c, k, v, p, lo, hi))
+                copy = _copies(c, lo, hi)
                 part = (key % np.uint64(parts)).astype(np.int64)
-                made = [(g, c2.tobytes(), *more) for g, c2, *more in _split(part, c, k, v, p, lo, hi)]
-                yield pd.DataFrame(made, columns=["part", "c", "k", "v", "p", "lo", "hi"])
+                made = []
+                for g, at in _split(part, np.arange(len(part))):
+                    new, old = at[~copy[at]], at[copy[at]]
+                    made.append((g, c[new].tobytes(), k[new], v[new], p[new], lo[new], hi[new], k[old], v[old], (p + lo)[old], (p + hi - 1 + REPEAT)[old]))
+                yield pd.DataFrame(made, columns=["part", "c", "k", "v", "p", "lo", "hi", "dk", "dv", "da", "db"])
 
-    return rows.mapInPandas(scan, "part long, c binary, k array<long>, v array<long>, p array<int>, lo array<int>, hi array<int>")
+    return rows.mapInPandas(scan, "part long, c binary, k array<long>, v array<long>, p array<int>, lo array<int>, hi array<int>, dk array<long>, dv array<long>, da array<int>, db array<int>")
 
 
 def _ranges(group: pd.DataFrame) -> pd.DataFrame:
-    """Byte ranges of a part's documents whose strings occur earlier."""
+    """Byte ranges of a part's documents whose strings occur earlier, some q-grams at a time."""
     c = np.frombuffer(b"".join(group["c"]), np.uint8).reshape(-1, CONTEXT)
+    told = [np.concatenate(group[x].to_list()) for x in ("dk", "dv", "da", "db")]
     k, v, p, lo, hi = (np.concatenate(group[x].to_list()).astype(np.int64) for x in ("k", "v", "p", "lo", "hi"))
-    order = np.lexsort((p, v, k))
-    c, k, v, p, lo, hi = (x[order] for x in (c, k, v, p, lo, hi))
-    doc = np.cumsum(np.append(0, (k[1:] != k[:-1]) | (v[1:] != v[:-1])))
-    row, a, b = later_runs(np.ascontiguousarray(c), lo, hi, p, doc)
-    return pd.DataFrame({"k": k[row], "v": v[row], "a": a, "b": b})
-
-
-def _merged(ranges) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    del group
+    words = np.ascontiguousarray(c[:, SIDE:REPEAT]).view(">u8")
+    order = np.lexsort((p, v, k, *words.T))  # by q-gram, then by document and offset
+    same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    number = np.append(0, np.cumsum(~same))
+    out = [pd.DataFrame(dict(zip(("k", "v", "a", "b"), told, strict=True)))]
+    for a, b in _chunks(np.bincount(number), CONTEXTS_AT_ONCE):
+        rows = order[np.searchsorted(number, a) : np.searchsorted(number, b)]
+        rows = rows[np.lexsort((p[rows], v[rows], k[rows]))]
+        rows = rows[_first_of_each(k[rows], v[rows], p[rows])]
+        copy = _copies(c[rows], lo[rows], hi[rows])
+        gone, rows = rows[copy], rows[~copy]
+        out.append(pd.DataFrame({"k": k[gone], "v": v[gone], "a": (p + lo)[gone], "b": (p + hi - 1 + REPEAT)[gone]}))
+        row, x, y = later_runs(_numbered(words[rows]), c[rows], lo[rows], hi[rows], p[rows])
+        out.append(pd.DataFrame({"k": k[rows][row], "v": v[rows][row], "a": x, "b": y}))
+    return pd.concat(out)
+
+
+def _numbered(words: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal rows."""
+    order = np.lexsort(words.T)
+    new = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    out = np.empty(len(words), np.int64)
+    out[order] = np.append(0, np.cumsum(new))
+    return out
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The union of the ranges [a, b), touching ones joined."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    return list(zip(a[new].tolist(), b[np.append(new[1:] - 1, len(b) - 1)].tolist(), strict=True))
 
 
 def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -226,19 +262,19 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     """
     store = Store(docs.sparkSession, "bytes")
     body = text_or_empty(F.col(text))
-    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(FIRST)).alias("k"), F.xxhash64(body, F.crc32(body)).alias("v"), F.col(doc).cast("long").alias("doc_id"), body.alias("t"))
+    rows = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(FIRST)).alias("k"), F.xxhash64(body).alias("v"), F.col(doc).cast("long").alias("doc_id"), body.alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_PART)
     candidates = store.keep(
         _anchor_rows(rows.select("k", "v", "t"), parts).groupBy("part").applyInPandas(_repeated_anchors, "k long, v long, pos array<int>")
     )
-    asked = candidates.groupBy("k", "v").agg(F.collect_list("pos").alias("pos"))
+    asked = candidates.groupBy("k", "v").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     texts = rows.select("k", "v", "t").join(asked, ["k", "v"])
     ranges = store.keep(_context_rows(texts, parts).groupBy("part").applyInPandas(_ranges, "k long, v long, a int, b int"))
     store.drop(candidates)
-    plain = rows.select("k", "v", F.octet_length("t").alias("n"))
-    heads = plain.groupBy("v").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head < last")
-    copies = plain.filter(F.col("n") >= REPEAT).join(heads, "v").filter("k > head").select("k", "v", F.lit(0).alias("a"), F.col("n").alias("b"))
+    plain = rows.select("k", "v", F.octet_length("t").alias("n"), F.crc32("t").alias("crc"))
+    heads = plain.groupBy("v", "n", "crc").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head < last")
+    copies = plain.filter(F.col("n") >= REPEAT).join(heads, ["v", "n", "crc"]).filter("k > head").select("k", "v", F.lit(0).alias("a"), F.col("n").alias("b"))
     found = store.keep(ranges.unionByName(copies).groupBy("k", "v").agg(F.collect_list(F.struct("a", "b")).alias("r")))
     return rows, found
 
@@ -256,17 +292,17 @@ def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = []
-            for t, r in zip(batch["t"], batch["r"], strict=True):
+            for t, a, b in zip(batch["t"], batch["a"], batch["b"], strict=True):
                 data = t.encode()
-                spans = _merged((x["a"], x["b"]) for x in r) if r is not None else []
+                spans = _merged(np.asarray(a), np.asarray(b)) if a is not None else []
                 digest, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    digest.update(data[at:a])
-                    at = b
+                for start, end in spans:
+                    digest.update(data[at:start])
+                    at = end
                 digest.update(data[at:])
-                made.append((len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()))
+                made.append((len(data), sum(end - start for start, end in spans), len(spans), digest.hexdigest()))
             out = pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return rows.join(found, ["k", "v"], "left").select("doc_id", "t", "r").mapInPandas(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(found, ["k", "v"], "left").select("doc_id", "t", F.col("r.a").alias("a"), F.col("r.b").alias("b")).mapInPandas(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -316,7 +316,7 @@ def test_pages(spark):
 
 def repeats(rows):
     seen, out = set(), {}
-    for k, t in sorted(rows):
+    for k, t in sorted(set(rows)):
         b = t.encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 99):
@@ -330,7 +330,7 @@ def repeats(rows):
 
 def test_repeated_bytes(spark, docs, empty):
     y = "".join(chr(97 + i * i % 23) for i in range(300))
-    odd = [(1, "ab" * 200), (2, y), (3, "q" * 99), (4, "q" * 101 + y[:120]), (5, None), (6, y), (7, "z" + "ab" * 200 + y), (8, ""), (9, "é" * 80 + y[50:200]), (-4, "a" * 5000)]
+    odd = [(1, "ab" * 200), (2, y), (3, "q" * 99), (4, "q" * 101 + y[:120]), (5, None), (6, y), (7, "z" + "ab" * 200 + y), (8, ""), (9, "é" * 80 + y[50:200]), (-4, "a" * 5000), (6, y), (2, y)]
     for df in (docs, spark.createDataFrame(odd, "doc_id long, text string")):
         assert {r.doc_id: tuple(r)[1:] for r in repeated_bytes.without_repeats(df).collect()} == repeats(pairs_of(df))
     assert repeated_bytes.without_repeats(empty).count() == 0
