@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, WordHashes, mix
 
-TOKENS_A_BATCH = 1_000_000
+TOKENS_A_BATCH = 1_500_000
 #: Counts up to DISCOUNTED are discounted; a history is hot if it holds 1 / HOT of all tokens, so at most HOT are.
 DISCOUNTED, HOT = 5, 1000
 #: The hash of the token that ends each text and stands before its first word.
@@ -75,7 +75,8 @@ def _encoded(docs: DataFrame, doc: str, text: str) -> DataFrame:
             place = np.empty(len(vocab), np.int64)
             place[order] = np.arange(len(vocab))
             cells = [np.array(docs_), np.array(held, np.int64), np.array(lens), place[ids], vocab[order].view(np.int64), train[order]]
-            return pd.DataFrame([[number, int(train.sum()), *map(pack, cells)]], columns=["batch", "n_train", "docs", "held", "lens", "ids", "vocab", "train"])
+            end = int(place[np.searchsorted(vocab, END)])
+            return pd.DataFrame([[number, int(train.sum()), end, *map(pack, cells)]], columns=["batch", "n_train", "end", "docs", "held", "lens", "ids", "vocab", "train"])
 
         docs_, held, lens, tokens, total = [], [], [], [], 0
         for batch in batches:
@@ -95,7 +96,7 @@ def _encoded(docs: DataFrame, doc: str, text: str) -> DataFrame:
     key = F.col(doc).cast("long")
     held = F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == HELD_OUT
     rows = docs.select(F.coalesce(key, F.lit(NO_ID)).alias("k"), held.alias("h"), F.col(text).alias("t"))
-    return rows.mapInPandas(scan, "batch long, n_train long, docs binary, held binary, lens binary, ids binary, vocab binary, train binary")
+    return rows.mapInPandas(scan, "batch long, n_train long, end long, docs binary, held binary, lens binary, ids binary, vocab binary, train binary")
 
 
 def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,9 +114,9 @@ def _word_requests(batches: DataFrame, parts: int) -> DataFrame:
             for r in frame.itertuples():
                 vocab, train = unpack(r.vocab), unpack(r.train)
                 part = (vocab.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at])) for g, at in _by_part(part, parts)], columns=["part", "batch", "a", "b"])
+                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at]), pack(at)) for g, at in _by_part(part, parts)], columns=["part", "batch", "a", "b", "c"])
 
-    return batches.select("batch", "vocab", "train").mapInPandas(scan, "part long, batch long, a binary, b binary")
+    return batches.select("batch", "vocab", "train").mapInPandas(scan, "part long, batch long, a binary, b binary, c binary")
 
 
 ROW = "kind string, batch long, part long, n array<long>, a binary, b binary, c binary, d binary"
@@ -141,8 +142,8 @@ def _word_counter(parts: int):
         seen = total > 0
         number = np.where(seen, np.cumsum(seen) * parts + part, 0)
         made = [("words", -1, part, [int(seen.sum())], pack(words[seen]), pack(number[seen]), pack(total[seen]))]
-        for batch, places in zip(group["batch"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
-            made.append(("word_answer", batch, part, None, pack(number[places]), pack(total[places])))
+        for batch, local, places in zip(group["batch"], group["c"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
+            made.append(("word_answer", batch, part, None, pack(number[places]), pack(total[places]), local))
         return _rows(made)
 
     return count
@@ -151,18 +152,19 @@ def _word_counter(parts: int):
 class _Batch:
     """A batch with its words' answers: pairs (history, word) by local numbers, in the order of the requests."""
 
-    def __init__(self, row, answers: pd.DataFrame, word_parts: int, parts: int, hot: int):
+    def __init__(self, row, answers: pd.DataFrame, parts: int, hot: int):
         self.docs, self.held, self.lens, self.ids = unpack(row.docs), unpack(row.held).astype(bool), unpack(row.lens), unpack(row.ids)
-        vocab = unpack(row.vocab)
-        self.number, self.count = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-        told = {r.part: r for r in answers.itertuples() if r.kind == "word_answer"}
-        for g, at in _by_part((vocab.view(np.uint64) % np.uint64(word_parts)).astype(np.int64), word_parts):
-            self.number[at], self.count[at] = unpack(told[g].a), unpack(told[g].b)
+        size = int(self.ids.max()) + 1
+        self.number, self.count = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for r in answers.itertuples():
+            if r.kind == "word_answer":
+                at = unpack(r.c)
+                self.number[at], self.count[at] = unpack(r.a), unpack(r.b)
         before = np.append(0, self.ids[:-1])
         starts = np.append(0, np.cumsum(self.lens)[:-1])
-        before[starts] = int(np.flatnonzero(vocab == END)[0])
-        pairs, self.pair_of = np.unique(before * len(vocab) + self.ids, return_inverse=True)
-        self.h, self.w = pairs // len(vocab), pairs % len(vocab)
+        before[starts] = row.end
+        pairs, self.pair_of = np.unique(before * size + self.ids, return_inverse=True)
+        self.h, self.w = pairs // size, pairs % size
         self.asked = self.count[self.h] > 0  # a known history is asked for even if the word is unknown
         self.hot = self.count[self.h] >= hot
         h, w = self.number[self.h], self.number[self.w]
@@ -175,7 +177,7 @@ class _Batch:
         trained = np.bincount(self.pair_of[~self.token_held], minlength=len(pairs))
         self.trained = trained
         # histories whose backoff weight the batch may need: those of pairs it has in held-out texts
-        self.wanted = np.zeros(len(vocab), bool)
+        self.wanted = np.zeros(size, bool)
         self.wanted[self.h[np.bincount(self.pair_of[self.token_held], minlength=len(pairs)) > 0]] = True
 
     def runs(self, at: np.ndarray) -> np.ndarray:
@@ -184,12 +186,12 @@ class _Batch:
         return np.flatnonzero(np.append(True, h[1:] != h[:-1]))
 
 
-def _pair_requests(batches: DataFrame, answers: DataFrame, word_parts: int, parts: int, hot: int) -> DataFrame:
+def _pair_requests(batches: DataFrame, answers: DataFrame, parts: int, hot: int) -> DataFrame:
     """Rows (part, batch, h, n, hc, want, w, wc, t): a batch's distinct pairs by part, with their training counts."""
 
     def ask(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         r = next(row.itertuples())
-        b = _Batch(r, told, word_parts, parts, hot)
+        b = _Batch(r, told, parts, hot)
         made = []
         for g, at in b.requests:
             first = b.runs(at)
@@ -275,9 +277,10 @@ def katz_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     words = store.keep(_word_requests(batches, parts).groupBy("part").applyInPandas(_word_counter(parts), ROW), "kind")
     vocabulary = words.filter("kind = 'words'").agg(F.coalesce(F.sum(F.col("n")[0]), F.lit(0))).first()[0]
     told = words.filter("kind = 'word_answer'")
+    texts = batches.select("batch", "end", "docs", "held", "lens", "ids")
     hot = max(1, -(-total // HOT))
     pairs = store.keep(
-        _pair_requests(batches, told, parts, parts, hot).groupBy("part").applyInPandas(_counter(total, vocabulary, hot), ROW), "kind"
+        _pair_requests(texts, told, parts, hot).groupBy("part").applyInPandas(_counter(total, vocabulary, hot), ROW), "kind"
     )
     found = pairs.filter("kind = 'pairs'").agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
     d = discounts(list(found))
@@ -296,7 +299,7 @@ def katz_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
 
     def score(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         r = next(row.itertuples())
-        b = _Batch(r, told, parts, parts, hot)
+        b = _Batch(r, told, parts, hot)
         size = len(b.count)
         extra, backoff = np.zeros(size), np.ones(size)
         seen = np.zeros(len(b.h), np.int64)
@@ -329,4 +332,4 @@ def katz_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     both = told.unionByName(pairs.filter("kind = 'pair_answer'"))
-    return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(score, schema)
+    return texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(score, schema)
