@@ -73,6 +73,14 @@ class Store:
                 p.getFileSystem(conf).delete(p, True)
 
 
+def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which it counts; else as it is, for a shuffled join.
+
+    For narrow tables of ids, so what is broadcast stays within some tens of megabytes.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, WordHashes, mix, windows
+from .common import Store, WordHashes, if_few, mix, windows
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -198,12 +198,12 @@ def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     members = texts.select("u", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = store.keep(members.join(buckets, "band"))
-    met = shared.groupBy("u").agg(F.sum("n").alias("met"))
+    met = store.keep(shared.groupBy("u").agg(F.sum("n").alias("met")))
     heads = shared.join(met, "u").groupBy("band").agg(F.max(F.struct("met", F.xxhash64("u").alias("h"), "u"))["u"].alias("head"))
     pairs = store.keep(
         shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     )
-    wanted = met.select(F.col("u").alias("k"))
+    wanted = if_few(met.select(F.col("u").alias("k")))
     rows = docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t"))
     # a doc_id that rows of different texts have stands for the least of them
     shingles = store.keep(_shingle_table(rows.join(wanted, "k").groupBy("k").agg(F.min("t").alias("t")), "k", "t"))
@@ -224,6 +224,7 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     classes = store.keep(duplicate_classes(docs))
     # rows of one doc_id are one document; they are few, so only they are compared as rows
     again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id") == F.col("class_id")).alias("first")).filter("n > 1 or not first")
-    once = docs.join(again, "doc_id", "left_anti")
-    repeated = docs.join(again.filter("first").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = store.keep(again)
+    once = docs.join(if_few(again.select("doc_id")), "doc_id", "left_anti")
+    repeated = docs.join(if_few(again.filter("first").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
