@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,15 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Store
+
 WORDS = re.compile(r"[^\W_]+")
 #: The model is fitted on at most so many labelled rows of either label, taken in order of a hash of doc_id.
 SAMPLE_EACH = 1000
-#: Fitting reads so many words of a sampled text at most from each of its thirds; scoring reads all.
-SAMPLE_WORDS = 1500
 #: A word counts as labelled toxic if it is in so many toxic texts and, smoothed, so many times likelier there.
 LEAST_TEXTS, LEAST_ODDS = 5, 20.0
 ROUNDS, STEP, RIDGE = 40, 0.5, 0.02
 TOKENS_AT_ONCE = 1_000_000
+#: Fitting holds the arrays of about so many words at a time.
+TOKENS_A_STEP = 200_000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -132,59 +133,62 @@ class Model:
         return np.array([1.0, math.log(top / (1 - top)) / 5.0, math.log1p(float(p[p > 0.5].sum()))])
 
 
-def fit(texts: list[list[str]], toxic: list[int]) -> Model:
-    """Labels words from the labelled texts, fits the field to them by gradient steps, then calibrates."""
-    seen = dict.fromkeys((tuple(w), y) for w, y in zip(texts, toxic, strict=True))  # one of each text
-    texts, toxic = [list(w) for w, _ in seen], [y for _, y in seen]
+def _blocks(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """Numbers of the texts in blocks of about TOKENS_A_STEP words; a text is never cut."""
+    ends = np.cumsum([len(t) for t in texts])
+    return [part for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // TOKENS_A_STEP)) + 1) if len(part)]
+
+
+def fit(words: list[str], yes: np.ndarray, no: np.ndarray, texts: list[np.ndarray], toxic: list[int]) -> Model:
+    """Labels words from the labelled texts, fits the field to them by gradient steps, then calibrates.
+
+    ``words`` is the vocabulary, ``yes`` and ``no`` are the numbers of toxic and other texts with each word; a text is
+    the places of its words there, len(words) for others. Gradients are sums over blocks of whole texts.
+    """
     n1 = sum(toxic)
     n0 = len(toxic) - n1
     if not n1 or not n0:
         share = (n1 + 0.5) / (len(toxic) + 1)
         return Model({}, -8.0, np.zeros((2, 2)), np.array([math.log(share / (1 - share)), 0.0, 0.0]))
-    yes, no = Counter(), Counter()
-    for words, y in zip(texts, toxic, strict=True):
-        (yes if y else no).update(set(words))
-    odds = lambda w: (yes[w] + 0.5) / (n1 + 1) / ((no[w] + 0.5) / (n0 + 1))
-    marked = {w for w in yes if yes[w] >= LEAST_TEXTS and odds(w) >= LEAST_ODDS}
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w in yes.keys() | no.keys() if yes[w] + no[w] >= LEAST_TEXTS))}
-    size = len(vocabulary)
-    ids = np.array([vocabulary.get(w, size) for words in texts for w in words])
-    first = np.zeros(len(ids), bool)
-    first[np.cumsum([0] + [len(w) for w in texts if w])[:-1]] = True
-    y = np.array([w in marked for words, t in zip(texts, toxic, strict=True) for w in words], float) * np.repeat(toxic, [len(w) for w in texts])
+    size = len(words)
+    marked = np.append((yes >= LEAST_TEXTS) & ((yes + 0.5) / (n1 + 1) >= LEAST_ODDS * (no + 0.5) / (n0 + 1)), False)
+    blocks, told = [], np.zeros(4)
+    for part in _blocks(texts):
+        sizes = np.array([len(texts[i]) for i in part])
+        ids = np.concatenate([texts[i] for i in part])
+        first = np.zeros(len(ids), bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        y = marked[ids] & np.repeat(np.array([toxic[i] > 0 for i in part]), sizes)
+        last = np.append(False, y[:-1])
+        told += np.bincount((2 * last + y)[~first], minlength=4)
+        blocks.append((part, sizes, ids, first, y))
     weights, bias, move = np.zeros(size + 1), -4.0, np.zeros((2, 2))
-    last = np.append(0.0, y[:-1])
-    told = np.stack([(1 - last) * (1 - y), (1 - last) * y, last * (1 - y), last * y])[:, ~first].sum(axis=1)
     square = np.full(size + 6, 1e-3)
     for _ in range(ROUNDS):
-        p, joint = marginals(weights[ids] + bias, first, move, pairs=True)
-        off = y - p
-        by_word = np.bincount(ids, off, size + 1) - RIDGE * weights
+        by_word, total, moved = -RIDGE * weights, 0.0, np.zeros(4)
+        for _, _, ids, first, y in blocks:
+            p, joint = marginals(weights[ids] + bias, first, move, pairs=True)
+            off = y - p
+            by_word += np.bincount(ids, off, size + 1)
+            total += off.sum()
+            moved += joint.sum(axis=1)
         by_word[size] = 0.0  # words out of the vocabulary have no weight
-        step = np.concatenate([by_word, [off.sum()], told - joint.sum(axis=1) - RIDGE * move.reshape(-1)])
+        step = np.concatenate([by_word, [total], told - moved - RIDGE * move.reshape(-1)])
         square += step**2
         step = STEP * step / np.sqrt(square) * 4
         weights, bias, move = weights + step[: size + 1], bias + step[size + 1], move + step[size + 2 :].reshape(2, 2)
         weights[size] = 0.0
-    kept = {w: float(weights[i]) for w, i in vocabulary.items() if abs(weights[i]) > 1e-3}
-    model = Model(kept, float(bias), move, np.zeros(3))
-    x = np.array([Model.features(p) for p in model.tag(texts)])
+    weights[np.abs(weights) <= 1e-3] = 0.0
+    x = np.empty((len(texts), 3))
+    for part, sizes, ids, first, _ in blocks:
+        for i, p in zip(part, np.split(marginals(weights[ids] + bias, first, move), np.cumsum(sizes)[:-1]), strict=True):
+            x[i] = Model.features(p)
     target, prior = np.array(toxic, float), np.zeros(3)
     for _ in range(25):  # Newton steps of a ridge logistic regression
         q = sigmoid(x @ prior)
         hessian = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
         prior = prior + np.linalg.solve(hessian, x.T @ (target - q) - 0.05 * prior)
-    model.calibration = prior
-    return model
-
-
-def _sampled(text: str | None) -> list[str]:
-    words = words_in(text)
-    if len(words) <= SAMPLE_WORDS:
-        return words
-    third = SAMPLE_WORDS // 3
-    middle = len(words) // 2
-    return words[:third] + words[middle - third // 2 : middle + third // 2] + words[-third:]
+    return Model({w: float(weights[i]) for i, w in enumerate(words) if weights[i]}, float(bias), move, prior)
 
 
 def remainder(key: str) -> F.Column:
@@ -194,19 +198,43 @@ def remainder(key: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """The model from labelled rows whose crc32 of doc_id has a remainder other than 0 by 5.
 
-    The sample is bounded by SAMPLE_EACH rows of either label, so its size doesn't grow with the corpus.
+    The sample is bounded by SAMPLE_EACH rows of either label, so its size doesn't grow with the corpus; its texts are
+    read whole. Tasks count the words and number them; the driver gets four bytes for each word.
     """
     marked = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("k")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     marked = marked.filter(F.crc32(F.col("k").cast("string")) % 5 != 0)
     order = F.xxhash64("k", F.lit(7))
     chosen = marked.filter("y = 1").orderBy(order, "k").limit(SAMPLE_EACH).unionByName(marked.filter("y = 0").orderBy(order, "k").limit(SAMPLE_EACH))
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y")).orderBy("k").toLocalIterator()
-    words, toxic = [], []
-    for r in rows:
-        words.append(_sampled(r.t))
+    found = texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.max("t").alias("t"), F.max("y").alias("y"))
+
+    def lowered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"y": batch["y"], "words": [" ".join(words_in(t)) for t in batch["t"]]})
+
+    store = Store(docs.sparkSession, "toxic")
+    kept = store.keep(found.mapInPandas(lowered, "y int, words string"))
+    rows = kept.withColumn("digest", F.sha2("words", 256)).dropDuplicates(["digest", "y"])  # one of each text
+    each = rows.select("y", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).filter("w <> ''").groupBy("w")
+    known = each.agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no")).filter(F.col("yes") + F.col("no") >= LEAST_TEXTS)
+    counts = sorted((r.w, r.yes, r.no) for r in known.toLocalIterator())
+    vocabulary = {w: i for i, (w, _, _) in enumerate(counts)}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, size = shared.value.get, len(shared.value)
+        for batch in batches:
+            ids = [np.array([get(w, size) for w in t.split()], np.int32).tobytes() for t in batch["words"]]
+            yield pd.DataFrame({"digest": batch["digest"], "y": batch["y"], "ids": ids})
+
+    ids, toxic = [], []
+    for r in rows.select("digest", "y", "words").mapInPandas(numbered, "digest string, y int, ids binary").orderBy("digest", "y").toLocalIterator():
+        ids.append(np.frombuffer(r.ids, np.int32))
         toxic.append(r.y)
-    return fit(words, toxic) if words else Model({}, -8.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
+    store.drop(kept)
+    if not ids:
+        return Model({}, -8.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
+    return fit(list(vocabulary), np.array([c[1] for c in counts], float), np.array([c[2] for c in counts], float), ids, toxic)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

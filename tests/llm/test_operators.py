@@ -153,6 +153,16 @@ def test_toxicity(spark, edges, empty):
     assert toxicity.toxic_scores(empty, labels).count() == 0
 
 
+def test_toxic_span_in_the_second_quarter_of_a_long_text(spark):
+    """Toxic words that only long training texts have, between their start and middle, are learned all the same."""
+    filler = " ".join(f"plain{i % 50}" for i in range(1500))
+    texts = [f"{filler} {'vilest slur ' if i % 2 else ''}tail{i} {filler} {filler}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    for r in toxicity.toxic_scores(docs, labels).collect():
+        assert (r.predicted, r.n_toxic_words) == (r.doc_id % 2, 2 * (r.doc_id % 2))
+
+
 # 4
 
 
