@@ -23,8 +23,15 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 #: Parts of identifiers, paths and words: letters alone, or figures alone, or letters with a short number behind.
 IDENTIFIER = re.compile(r"(?:[A-Za-z]+\d{0,4}|\d+)?(?:[+/_=-]+(?:[A-Za-z]+\d{0,4}|\d+)?)*")
+#: The letters and the figures of one part of an identifier.
+NAMED = re.compile(r"([A-Za-z]*)(\d*)")
+#: Digests and other parts of a candidate, and its pieces around signs of assignment.
+PART = re.compile(rf"(?<![A-Za-z0-9])(?:{DIGEST.pattern})(?![A-Za-z0-9])|[A-Za-z0-9]+", re.I)
+PIECE = re.compile(r"[^=]+=*")
 #: Fewer characters a token than this mark a random string.
 LEAST_RATIO = 2.2
+#: Letters of a part that tell nothing if they are fewer, of a part that can be a word between others, and of a string.
+LEAST_LETTERS, LEAST_WORD, LEAST_CHARS = 3, 4, 20
 #: Long strings are encoded in slices, as byte-pair merging is slow on very long pieces.
 SLICE = 256
 
@@ -37,12 +44,56 @@ def encoder(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def _tokens(s: str, encode) -> int:
+    return sum(len(encode(s[i : i + SLICE])) for i in range(0, len(s), SLICE))
+
+
 def is_random(s: str, encode) -> bool:
-    """Few characters a token, and neither a digest nor made of identifier parts."""
-    if DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
+    """Few characters a token, and neither a digest nor made of identifier parts whose letters are words by tokens."""
+    if DIGEST.fullmatch(s) or len(s) >= LEAST_RATIO * _tokens(s, encode):
+        return False
+    if not IDENTIFIER.fullmatch(s):
+        return True
+    letters = [x for x in re.findall("[A-Za-z]+", s) if len(x) >= LEAST_LETTERS]
+    return sum(map(len, letters)) < LEAST_RATIO * sum(_tokens(x, encode) for x in letters)
+
+
+def _is_word(part: str, encode) -> bool:
+    """A digest, or a part of an identifier whose letters are words by tokens."""
+    if DIGEST.fullmatch(part):
+        return True
+    if not IDENTIFIER.fullmatch(part):
         return False
-    tokens = sum(len(encode(s[i : i + SLICE])) for i in range(0, len(s), SLICE))
-    return len(s) < LEAST_RATIO * tokens
+    letters = NAMED.match(part)[1]
+    return len(letters) >= LEAST_WORD and len(letters) >= LEAST_RATIO * _tokens(letters, encode)
+
+
+def random_parts(s: str, encode) -> list[tuple[int, int]]:
+    """(start, end) of the random strings in a candidate: itself, else its pieces around =, else what is in these.
+
+    In a piece those are the runs of parts between words, and the single parts of a run that isn't random as a whole.
+    So readable text before or behind a key doesn't hide it.
+    """
+    if is_random(s, encode):
+        return [(0, len(s))]
+    found = []
+    long = lambda a, b: b - a >= LEAST_CHARS and is_random(s[a:b], encode)
+    for piece in PIECE.finditer(s):
+        if len(piece[0]) < LEAST_CHARS:
+            continue
+        if piece[0] != s and long(*piece.span()):
+            found.append(piece.span())
+            continue
+        runs: list[list[tuple[int, int]]] = [[]]
+        for part in PART.finditer(s, *piece.span()):
+            if _is_word(part[0], encode):
+                runs.append([])
+            else:
+                runs[-1].append(part.span())
+        for run in filter(None, runs):
+            a, b = run[0][0], run[-1][1]
+            found += [(a, b)] if long(a, b) else [x for x in run if long(*x)]
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -55,7 +106,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def random_spans(text: str, encode) -> list[tuple[int, int, str, int]]:
-    return [(m.start(), len(BASE), "random", m.end()) for m in CANDIDATE.finditer(text) if is_random(m.group(), encode)]
+    return [(m.start() + a, len(BASE), "random", m.start() + b) for m in CANDIDATE.finditer(text) for a, b in random_parts(m.group(), encode)]
 
 
 def _joined(spans) -> str:

@@ -371,6 +371,28 @@ def test_token_efficiency():
         assert not secrets.is_random(harmless, encode)
 
 
+def test_random_letters_and_keys_behind_readable_text():
+    import random
+    import string
+
+    import public_tokenizers as P
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        encode = secrets.encoder(f.read(), P.PATTERN).encode_ordinary
+    rng = random.Random(4)
+    key = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    for prefix in ("", "database_connection_credential=", "https_proxy_authorization_header=", "service/configuration/production/"):
+        for signs, n in ((string.ascii_letters, 40), (string.ascii_letters + string.digits, 24)):
+            for _ in range(200):
+                text = prefix + key(signs, n)
+                (found,) = secrets.random_spans(text, encode)
+                assert found[0] in (0, len(prefix)) and found[3] == len(text)
+    for _ in range(50):
+        assert secrets.random_spans(key(string.ascii_letters, 18) + key(string.digits, 2), encode)
+    for harmless in ("getConnectionFactoryBuilder", "service/configuration/production/123e4567-e89b-12d3-a456-426614174000", "a-b-c-d-e-f-g-h-i-j-k-l", "=" * 40, "2026-11-28-10-11-12-13"):
+        assert not secrets.random_spans(harmless, encode)
+
+
 def test_base_patterns_against_plain_ones(docs):
     plain = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
     for _, t in pairs_of(docs):
