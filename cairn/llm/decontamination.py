@@ -176,6 +176,9 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a passage of the benchmark; columns unchanged."""
-    found = benchmark_passages(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents that hold a passage of the benchmark; columns unchanged.
+
+    A document is named by a hash of its text, so null and repeated ids don't matter.
+    """
+    found = benchmark_passages(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__h")).distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == F.col("__h"), "left_anti").select(*docs.columns)

@@ -96,15 +96,23 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((x / total[where]).sum())
 
 
+def _text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes that name a text."""
+    return [F.xxhash64(text).alias("r1"), F.xxhash64(F.lit(1), text).alias("r2")]
+
+
 def _signed(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc_id, digest, bands): of each row, a digest of its words and the keys of its bands; null without words."""
+    """(doc_id, r1, r2, digest, bands): of each row, two hashes of its text, a digest of its words and the keys of its bands.
+
+    The digest is null without words.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         known = WordHashes()
         for batch in batches:
-            ids, texts = batch["k"].to_numpy(), batch["t"].tolist()
+            texts = batch["t"].tolist()
             start = 0
             while start < len(texts):
                 keys, weights, digests, n, end = [], [], [], 0, start
@@ -118,11 +126,13 @@ def _signed(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     end += 1
                 owner = np.repeat(np.arange(end - start), [len(k) for k in keys])
                 bands = band_keys(probminhash(np.concatenate(keys), np.concatenate(weights), owner, end - start)).view(np.int64)
-                yield pd.DataFrame({"doc_id": pd.array(ids[start:end], dtype="Int64"), "digest": digests, "bands": list(bands)})
+                yield batch[["k", "e", "r1", "r2"]].iloc[start:end].assign(digest=digests, bands=list(bands))
                 start = end
 
-    rows = docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t"))
-    return rows.mapInPandas(scan, "doc_id long, digest string, bands array<long>")
+    k = F.col(doc).cast("long")  # a null would make pandas turn the column into floats
+    rows = docs.select(F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("e"), *_text_key(F.col(text)), F.col(text).alias("t"))
+    signed = rows.mapInPandas(scan, "k long, e boolean, r1 long, r2 long, digest string, bands array<long>")
+    return signed.select(F.when(~F.col("e"), F.col("k")).alias("doc_id"), "r1", "r2", "digest", "bands")
 
 
 def _shingle_table(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -178,23 +188,13 @@ def _screened_pairs(named: DataFrame) -> DataFrame:
     return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id) of each row of docs: class_id is the least doc_id of its class of near copies.
-
-    A class is a connected component of links; a link is a probability Jaccard of five-word shingles, weighted by how
-    often they occur, of 0.8 or more (word order alone counts in a text of fewer words). Equal word sequences are one
-    text first. Among texts that share a band, every text is verified against the bucket's head, the text that meets
-    most others over all its bands. Texts of different classes that still share a bucket are screened by longer
-    sketches and verified pair by pair, so a large group costs about its size in verified pairs, and no link between
-    its classes is left out.
-    Texts without words are alone in their classes; a null doc_id takes the class of its text; repeated rows share a
-    class; an empty table gives no rows; other columns aren't read.
-    """
-    store = Store(docs.sparkSession, "near")
+def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame:
+    """(doc_id, r1, r2, digest, c, class_id) of each row: c numbers the classes of texts with words, class_id names them."""
     signed = store.keep(_signed(docs, doc, text))
-    texts = store.keep(
-        signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("u"), F.first("bands").alias("bands"))
-    )
+    first = F.min(F.struct("r1", "r2"))
+    grouped = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), first.alias("r"))
+    # written once, so the numbers stay
+    texts = store.keep(grouped.select("digest", "least", "bands", "r.*", F.monotonically_increasing_id().alias("u")))
     members = texts.select("u", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = store.keep(members.join(buckets, "band"))
@@ -203,10 +203,9 @@ def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     pairs = store.keep(
         shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     )
-    wanted = if_few(met.select(F.col("u").alias("k")))
-    rows = docs.select(F.col(doc).cast("long").alias("k"), F.col(text).alias("t"))
-    # a doc_id that rows of different texts have stands for the least of them
-    shingles = store.keep(_shingle_table(rows.join(wanted, "k").groupBy("k").agg(F.min("t").alias("t")), "k", "t"))
+    wanted = if_few(store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi")))
+    rows = docs.select(*_text_key(F.col(text)), F.col(text).alias("t")).join(wanted, ["r1", "r2"])
+    shingles = store.keep(_shingle_table(rows.groupBy("u").agg(F.min("t").alias("t")), "u", "t"))
     links = store.keep(_verified(pairs, shingles))
     labels = components(links, store)
     named = store.keep(shared.select("band", "u").join(labels, F.col("u") == F.col("v"), "left").select("band", "u", F.coalesce("c", "u").alias("c")))
@@ -214,17 +213,48 @@ def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     left = named.join(mixed, "band", "left_semi").join(texts.select("u", "bands"), "u").join(shingles.select("u", "sketch"), "u")
     more = store.keep(_verified(_screened_pairs(store.keep(left)), shingles))
     labels = components(links.unionByName(more), store)
-    classes = texts.select("digest", "u").join(labels, F.col("u") == F.col("v"), "left").select("digest", F.coalesce("c", "u").alias("class_id"))
-    return signed.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    numbered = store.keep(texts.join(labels, F.col("u") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "u").alias("c")))
+    # a class that only null ids carry has a negative number made from its least digest
+    unnamed = -F.shiftrightunsigned(F.xxhash64(F.min("digest")), 1) - 1
+    names = numbered.groupBy("c").agg(F.coalesce(F.min("least"), unnamed).alias("class_id"))
+    classes = numbered.join(names, "c").select("digest", "c", "class_id")
+    return signed.select("doc_id", "r1", "r2", "digest").join(classes, "digest", "left")
+
+
+def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id) of each row of docs: class_id is the least doc_id of its class of near copies.
+
+    A class is a connected component of links; a link is a probability Jaccard of five-word shingles, weighted by how
+    often they occur, of 0.8 or more (word order alone counts in a text of fewer words). Equal word sequences are one
+    text first. Among texts that share a band, every text is verified against the bucket's head, the text that meets
+    most others over all its bands. Texts of different classes that still share a bucket are screened by longer
+    sketches and verified pair by pair, so a large group costs about its size in verified pairs, and no link between
+    its classes is left out.
+    Texts without words are alone in their classes. A null doc_id takes the class of its text; a class that only null
+    ids carry has a negative number made from its words. Rows of one doc_id with different texts are classed by their
+    texts, and two classes whose least doc_id is the same have that one name; repeated rows share a class; an empty table gives no rows; other columns aren't read.
+    """
+    rows = _classified(docs, Store(docs.sparkSession, "near"), doc, text)
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one of the least doc_id; columns unchanged."""
+    """docs with one document of each class, the least by doc_id (nulls last) and words; columns unchanged.
+
+    Texts without words are one document for each doc_id; with a null doc_id all of them stay.
+    """
     store = Store(docs.sparkSession, "dedup")
-    classes = store.keep(duplicate_classes(docs))
-    # rows of one doc_id are one document; they are few, so only they are compared as rows
-    again = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id") == F.col("class_id")).alias("first")).filter("n > 1 or not first")
-    again = store.keep(again)
-    once = docs.join(if_few(again.select("doc_id")), "doc_id", "left_anti")
-    repeated = docs.join(if_few(again.filter("first").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = F.struct(F.col("doc_id").isNull().alias("e"), "doc_id", "digest", "r1", "r2")
+    group = F.struct("c", F.when(F.col("c").isNull(), F.col("doc_id")).alias("d"))
+    rows = store.keep(_classified(docs, store, "doc_id", "text").filter("c is not null or doc_id is not null").select(group.alias("g"), key.alias("key")))
+    # rows that meet others of their class are few, so only they are compared as rows
+    many = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).filter("n > 1").select("g", "least")
+    again = store.keep(rows.join(many, "g").select("key.doc_id", "key.r1", "key.r2", (F.col("key").eqNullSafe(F.col("least"))).alias("first")).distinct())
+
+    def met(ids: DataFrame, how: str) -> DataFrame:
+        ids = if_few(ids.select(F.col("doc_id").alias("__k"), F.col("r1").alias("__r1"), F.col("r2").alias("__r2")))
+        r1, r2 = _text_key(docs["text"])
+        return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__k")) & (r1 == F.col("__r1")) & (r2 == F.col("__r2")), how)
+
+    once, repeated = met(again, "left_anti"), met(again.filter("first"), "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))

@@ -275,6 +275,23 @@ def test_duplicate_classes(docs, edges, empty):
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 8, 9, 10, 12, 13]
 
 
+def test_null_and_shared_ids(spark):
+    """Copies are dropped and passages found whatever the ids; texts of one doc_id are classed by what they say."""
+    long = lambda k, n=300: " ".join(f"{k}{i}" for i in range(n))
+    big = 2**60 + 1
+    rows = [(None, long("a")), (None, long("a", 299) + " x"), (None, long("b")), (None, long("b")), (7, long("c")), (None, long("c", 299) + " y"), (8, long("d")), (8, long("e")), (big, long("f"))]
+    rows += [(9, ""), (9, None), (None, ""), (None, None), (7, long("c")), (None, PASSAGE), (4, long("g") + " " + PASSAGE), (4, long("h"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = collections.Counter((r.doc_id, r.class_id) for r in near_duplicates.duplicate_classes(df).collect())
+    unnamed = {k: n for k, n in classes.items() if k[0] is None and k[1] is not None and k[1] < 0}
+    assert sorted(unnamed.values()) == [1, 2, 2] and classes[None, 7] == 1 and classes[big, big] == 1 and classes[None, None] == 2
+    kept = [(r.doc_id, (r.text or "")[:2]) for r in near_duplicates.without_duplicates(df).collect()]
+    want = [(None, "a0"), (None, "b0"), (7, "c0"), (8, "d0"), (8, "e0"), (big, "f0"), (9, ""), (None, ""), (None, ""), (None, "wo"), (4, "g0"), (4, "h0")]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    clean = decontamination.without_passages(df, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, clean))) == sorted(str(r) for r in rows if PASSAGE not in (r[1] or ""))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 4)], "a long, b long")
     assert {r.v: r.c for r in components(edges, Store(spark, "test")).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8}
