@@ -32,8 +32,6 @@ PIECE = re.compile(r"[^=]+=*")
 LEAST_RATIO = 2.2
 #: Letters of a part that tell nothing if they are fewer, of a part that can be a word between others, and of a string.
 LEAST_LETTERS, LEAST_WORD, LEAST_CHARS = 3, 4, 20
-#: Long strings are encoded in slices, as byte-pair merging is slow on very long pieces.
-SLICE = 256
 
 
 def encoder(ranks: bytes, pattern: str):
@@ -45,7 +43,7 @@ def encoder(ranks: bytes, pattern: str):
 
 
 def _tokens(s: str, encode) -> int:
-    return sum(len(encode(s[i : i + SLICE])) for i in range(0, len(s), SLICE))
+    return len(encode(s))
 
 
 def is_random(s: str, encode) -> bool:

@@ -223,11 +223,59 @@ def test_benchmark_passages(spark, docs, edges, empty):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    index = decontamination.Index([(i, rng.integers(0, 2**63, 40).astype(np.uint64)) for i in range(50)], 5)
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 26), replace=False)) for _ in index.prints], np.uint64)
+    index = decontamination.Index([(i, rng.integers(0, 2**63, 40).astype(np.uint64)) for i in range(400)], 5)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 22), replace=False)) for _ in index.prints], np.uint64)
     prints = index.prints ^ flips
     near = set(zip(*(x.tolist() for x in index.near(prints)), strict=True))
-    assert near == {(i, j) for i in range(50) for j in range(50) if int(prints[i] ^ index.prints[j]).bit_count() <= decontamination.RADIUS}
+    distance = np.bitwise_count(prints[:, None] ^ index.prints[None, :])
+    assert near == set(zip(*(x.tolist() for x in np.nonzero(distance <= decontamination.RADIUS)), strict=True))
+
+
+def test_multi_index_prunes():
+    """Candidates are under a twentieth of all pairs."""
+    rng = np.random.default_rng(6)
+    index = decontamination.Index([(i, rng.integers(0, 2**63, 40).astype(np.uint64)) for i in range(2000)], 5)
+    prints = rng.integers(0, 2**63, 1000).astype(np.uint64)
+    pairs = np.unique(np.concatenate([w * 2000 + i for w, i in (index.candidates(prints, b) for b in range(decontamination.BLOCKS))]))
+    assert 0 < len(pairs) < 0.05 * 1000 * 2000
+
+
+def test_recall_of_the_radius():
+    """Of passages alike by 0.8 or more, edited at random, 0.99 are within the radius."""
+    rng = np.random.default_rng(7)
+    total = missed = 0
+    for n in (20, 60, 200):
+        for _ in range(400):
+            words = rng.integers(0, 2**63, n).astype(np.uint64)
+            other = words.copy()
+            for at in rng.choice(n, rng.integers(0, max(2, n // 30) + 1), replace=False):
+                other[at] = rng.integers(0, 2**63)
+            a, b = decontamination.windows(words, 5), decontamination.windows(other, 5)
+            if decontamination.weighted_similarity(a, b) >= 0.8:
+                total += 1
+                x, y = (decontamination.fingerprints(s, np.array([0]), len(s)) for s in (a, b))
+                missed += int(np.bitwise_count(x ^ y)[0]) > decontamination.RADIUS
+    assert total > 600 and missed <= 0.01 * total
+
+
+def test_passages_do_not_depend_on_blocks(spark, docs, monkeypatch):
+    """One block of the benchmark or many, null and repeated ids: the same rows."""
+    odd = docs.select("doc_id", "text").union(docs.select("doc_id", "text").limit(100)).union(spark.createDataFrame([(None, PASSAGE), (None, PASSAGE)], "doc_id long, text string"))
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(1, PASSAGE), (1, PASSAGE)], "item_id long, text string"))
+    whole = sorted(map(str, decontamination.benchmark_passages(odd, items).collect()))
+    kept = sorted(map(str, decontamination.without_passages(odd, items).collect()))
+    assert sum("doc_id=None" in r for r in whole) == 2 and not any("doc_id=None" in r for r in kept)
+    monkeypatch.setattr(decontamination, "ITEMS_A_BLOCK", 15)
+    assert sorted(map(str, decontamination.benchmark_passages(odd, items).collect())) == whole
+    assert sorted(map(str, decontamination.without_passages(odd, items).collect())) == kept
+
+
+def test_without_passages_keeps_odd_columns(spark, edges, empty):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    kept = decontamination.without_passages(edges, items)
+    assert kept.columns == edges.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in edge_rows() if PASSAGE not in (r[1] or ""))
+    assert decontamination.without_passages(empty, items).count() == 0
 
 
 # 6
