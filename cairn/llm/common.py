@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the contracts, as a regular expression class body.
@@ -81,6 +81,25 @@ def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def cumulated(df: DataFrame, order: list[str | Column], value: str | Column, store: Store) -> DataFrame:
+    """df, kept, with ``before``: the sum of a whole-numbered value over all rows ahead in the order, which has no ties.
+
+    Rows are dealt by ranges of the order, so a hot key is spread like any other; one sum for each partition goes to
+    the driver. Only a task's rows are sorted together.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = store.keep(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    total, sums = 0, []
+    for r in rows.groupBy("__part").agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("n")).orderBy("__part").collect():
+        sums.append((r[0], total))
+        total += r.n
+    ahead = spark.createDataFrame(sums, "__part int, __ahead long")  # one row a partition, so the broadcast is bounded
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__ahead") + F.coalesce(F.sum(value).over(within), F.lit(0))
+    return rows.join(F.broadcast(ahead), "__part").withColumn("before", before.cast("long")).drop("__part", "__ahead")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

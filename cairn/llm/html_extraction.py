@@ -3,51 +3,99 @@
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Markup: comments, elements whose content isn't text, tags, declarations; the last may be cut off by the page's end.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|canvas|audio|video)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select|canvas|audio|video)(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements that stay inside a line of text; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mfenced mstyle mspace semantics""".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening sibling closes.
 CLOSED_BY_LIKE = frozenset("p li dt dd tr td th option".split())
-BOILERPLATE = frozenset("head title nav header footer aside form menu button dialog fieldset figcaption".split())
+BOILERPLATE = frozenset("head title nav header footer aside form menu button dialog fieldset".split())
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CUE = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|header|masthead|footer|foot|side\w*|aside|ad|ads|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|notice\w*|consent\w*|gdpr|alert\w*|comment\w*|disqus"
-    r"|repl(?:y|ies)|shar(?:e|ing)|social|related|recommend\w*|breadcrumbs?|subscribe\w*|newsletter|popup|modal|widget\w*|toolbar|login|signup|copyright|disclaimer|pag(?:ination|er)|skip\w*|tags?|form|search)(?=$|[\s_-])",
-    re.I,
-)
-CONTENT_CUE = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
+LISTED = frozenset("li dt dd td th option".split())
+#: Names of classes, ids and roles that tell boilerplate wherever they stand, those of reader comments, those that only
+#: hint at boilerplate, and those that hint at content.
+NAMES = {
+    "strong": r"nav\w*|menu\w*|header|masthead|footer|sidebar\w*|aside|ad|ads|adsbygoogle|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|notice\w*|consent\w*|gdpr|alert\w*|shar(?:e|ing)|social|recommend\w*"
+    r"|breadcrumbs?|subscribe\w*|newsletter|popup|modal|widget\w*|toolbar|login|signup|copyright|disclaimer|pagination|contentinfo|complementary|related(?=$|\s|[_-](?:post|article|link|stor|content|item|read|news|topic))",
+    "readers": r"comments?|comment(?:list|ers?|form|text|body)|disqus|repl(?:y|ies)",
+    "weak": r"related|side|foot|pager|skip\w*|tags?|form|search",
+    "content": r"article|content|post|entry|story|main|body|text",
+}
+NAMES = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])", re.I) for k, v in NAMES.items()}
+#: Names of boxes around a whole layout: if they hold an article, their hints don't count.
+WRAPPER = re.compile(r"(?:^|[\s_-])(?:\w*wrap\w*|container|layout|site|has|with)(?=$|[\s_-])", re.I)
 NAMED = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LINK = "a"
-#: Cost of cutting a block off its kind, from what surrounds it and from its text; and of parting neighbours and siblings.
-STRUCTURE, TEXT, NEXT, SIBLING = 8.0, 1.0, 0.6, 0.4
+#: Log-odds of content that the elements around a block give, each kind once: one kind of strong boilerplate outweighs
+#: all hints at content, whichever is inside the other.
+EVIDENCE = {"strong": -7.0, "readers": -7.0, "weak": -1.5, "article": 3.0, "content": 1.5}
+#: Log-odds of content by a block's own text, for the features of text_features(); fit() starts from these.
+WEIGHTS = np.array([-0.9, 2.0, -3.0, 0.6, -0.4, 0.3])
+#: Cost of parting neighbours that share a parent, less for each step between them in the tree; of parting siblings; and
+#: the share of it where one of both is boilerplate by markup, as the page parts them itself.
+NEXT, STEP, SIBLING, MARKED = 1.2, 0.5, 0.8, 0.2
+STRONG = frozenset({"strong", "readers"})
+#: The weights are fitted on so many blocks at most, of so many pages at most, taken by hashes; RIDGE holds them near WEIGHTS.
+SAMPLE_PAGES, SAMPLE_BLOCKS, RIDGE = 500, 20_000, 5.0
 SPACES = re.compile(r"\s+")
+SENTENCE = re.compile(r"[.!?;:,](?:\s|$)|[。！？]")
+
+
+@dataclass
+class Element:
+    tag: str
+    parent: Element | None
+    depth: int
+    kinds: frozenset[str] = frozenset()
+    wraps: bool = False
+    holds_article: bool = False
+
+
+@dataclass
+class Block:
+    """A run of text with no block markup inside."""
+
+    element: Element | None
+    text: str
+    words: int
+    linked: int
+    kinds: frozenset[str] = field(default=frozenset())
 
+    @property
+    def evidence(self) -> float:
+        return sum(EVIDENCE[k] for k in self.kinds)
 
-class Blocks:
-    """Text blocks of a page in order: (container, kind of evidence, words, words in links, text)."""
+
+class Page:
+    """The text blocks of a page in order, with the elements around them."""
 
     def __init__(self, page: str):
-        self.found: list[tuple[int, int, int, int, str]] = []
-        self.stack: list[tuple[str, int, int]] = []  # tag, number, evidence: 1 content, -1 boilerplate, 0 none
-        self.number = self.links = 0
+        self.blocks: list[Block] = []
+        self.open: list[Element] = []
+        self.links = self.linked = 0
         self.parts: list[str] = []
-        self.linked = 0
         at = 0
         for m in MARKUP.finditer(page):
             if m.start() > at:
@@ -60,6 +108,8 @@ class Blocks:
         if at < len(page):
             self.add(page[at:])
         self.close()
+        for block in self.blocks:
+            block.kinds = self.kinds_around(block.element)
 
     def add(self, text: str) -> None:
         self.parts.append(text)
@@ -70,16 +120,28 @@ class Blocks:
         if self.parts:
             text = SPACES.sub(" ", entities.unescape("".join(self.parts))).strip()
             if text:
-                self.found.append((self.stack[-1][1] if self.stack else 0, self.evidence(), len(text.split()), self.linked, text))
+                self.blocks.append(Block(self.open[-1] if self.open else None, text, len(text.split()), self.linked))
             self.parts, self.linked = [], 0
 
-    def evidence(self) -> int:
-        heading = False
-        for tag, _, said in reversed(self.stack):
-            heading |= tag in HEADINGS
-            if said and not (heading and tag == "header" and any(t in CONTENT for t, _, _ in self.stack)):
-                return said
-        return 0
+    @staticmethod
+    def kinds_around(element: Element | None) -> frozenset[str]:
+        """The kinds of evidence in the elements around a block.
+
+        A heading in an article's header is the article's. A form or a box of layout around the article isn't
+        boilerplate for that; reader comments stay what they are.
+        """
+        found: set[str] = set()
+        heading = in_header = False
+        while element is not None:
+            kinds = element.kinds
+            heading |= element.tag in HEADINGS
+            if heading and element.tag == "header":
+                in_header, kinds = True, kinds - {"strong"}
+            if element.holds_article and element.wraps:
+                kinds = kinds - {"strong", "weak"}
+            found |= kinds
+            element = element.parent
+        return frozenset(found | {"strong"} if in_header and "article" not in found else found)
 
     def element(self, tag: str, end: bool, attrs: str) -> None:
         if tag in INLINE:
@@ -89,29 +151,54 @@ class Blocks:
         if tag in VOID:
             return
         if end:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == tag:
-                    del self.stack[i:]
+            for i in range(len(self.open) - 1, -1, -1):
+                if self.open[i].tag == tag:
+                    del self.open[i:]
                     self.links = 0
                     break
             return
-        if tag in CLOSED_BY_LIKE and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
-        self.number += 1
-        said = -1 if tag in BOILERPLATE else 1 if tag in CONTENT else 0
+        if tag in CLOSED_BY_LIKE and self.open and self.open[-1].tag == tag:
+            self.open.pop()
+        kinds, wraps = set(), tag == "form"
         if attrs and tag not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in NAMED.findall(attrs))
-            if names and tag not in CONTENT:
-                said = -1 if CUE.search(names) else said or (1 if CONTENT_CUE.search(names) else 0)
-        number = self.stack[-1][1] if tag in CLOSED_BY_LIKE and self.stack else self.number
-        self.stack.append((tag, number, said))
+            kinds = {k for k, pattern in NAMES.items() if pattern.search(names)} if names else kinds
+            if kinds & STRONG:
+                kinds -= {"weak", "content"}
+            wraps |= bool(WRAPPER.search(names)) and tag not in BOILERPLATE
+        if tag in BOILERPLATE:
+            kinds.add("strong")
+        if tag in CONTENT and not kinds & STRONG:
+            kinds.add("article")
+            for outer in self.open:
+                outer.holds_article = True
+        parent = self.open[-1] if self.open else None
+        self.open.append(Element(tag, parent, len(self.open), frozenset(kinds), wraps))
+
+
+def text_features(block: Block) -> list[float]:
+    """1, length, share of words in links, has a sentence's punctuation, stands in a list or table, is a heading."""
+    tag = block.element.tag if block.element else ""
+    return [1.0, min(math.log1p(block.words), 4.0) / 4.0, min(1.0, block.linked / max(1, block.words)), float(bool(SENTENCE.search(block.text))), float(tag in LISTED), float(tag in HEADINGS)]
+
+
+def fit(features: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression on labelled blocks, held near WEIGHTS, by Newton steps; either label weighs the same."""
+    share = content.mean() if len(content) else 0.0
+    if not 0 < share < 1:
+        return WEIGHTS
+    each = np.where(content > 0, 0.5 / share, 0.5 / (1 - share))
+    w = WEIGHTS.copy()
+    for _ in range(25):
+        p = 1.0 / (1.0 + np.exp(-np.clip(features @ w, -30, 30)))
+        hessian = (features * (each * p * (1 - p))[:, None]).T @ features + RIDGE * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, features.T @ (each * (content - p)) - RIDGE * (w - WEIGHTS))
+    return w
 
 
-def costs(evidence: int, words: int, linked: int) -> tuple[float, float]:
-    """(cost of calling it boilerplate, cost of calling it content)."""
-    prose = min(words, 40) / 40 - 2.0 * min(1.0, linked / max(1, words)) + (0.2 if words >= 8 else -0.2)
-    content, boilerplate = max(0.0, TEXT * prose), max(0.0, -TEXT * prose)
-    return (content + STRUCTURE, boilerplate) if evidence > 0 else (content, boilerplate + STRUCTURE) if evidence < 0 else (content, boilerplate)
+def costs(block: Block, weights: np.ndarray) -> float:
+    """Log-odds of content: the capacity to the source if above 0, to the sink if below."""
+    return block.evidence + float(np.dot(text_features(block), weights))
 
 
 class Network:
@@ -173,55 +260,99 @@ class Network:
         return [x >= 0 for x in self.levels(source)]
 
 
-def label_blocks(found: list[tuple[int, int, int, int, str]]) -> list[bool]:
+def distance(a: Element | None, b: Element | None) -> int:
+    """Steps between two elements in the tree."""
+    steps = 0
+    while a is not b:
+        if b is None or (a is not None and a.depth >= b.depth):
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
+def label_blocks(blocks: list[Block], weights: np.ndarray = WEIGHTS) -> list[bool]:
     """Content or not, for each block, by a minimum cut.
 
-    Neighbouring blocks of one container and evidence are one node, whose terminal capacities add up.
+    Neighbouring blocks of one parent and evidence are one node, whose capacities add up. Edges join neighbours, the
+    more the nearer they are in the tree, and the nodes of one parent; so a block that its own text doesn't decide, or
+    that a weak hint speaks against, goes with what is around it.
     """
-    nodes: list[list[float]] = []
-    container: list[tuple[int, int]] = []
+    capacity: list[float] = []
+    node: list[tuple[Element | None, frozenset[str]]] = []
     of: list[int] = []
-    for number, evidence, words, linked, _ in found:
-        if not container or container[-1] != (number, evidence):
-            container.append((number, evidence))
-            nodes.append([0.0, 0.0])
-        content, boilerplate = costs(evidence, words, linked)
-        nodes[-1][0] += content
-        nodes[-1][1] += boilerplate
-        of.append(len(nodes) - 1)
-    n = len(nodes)
+    for block in blocks:
+        around = block.element.parent if block.element and block.element.tag in CLOSED_BY_LIKE | HEADINGS else block.element
+        if not node or node[-1] != (around, block.kinds):
+            node.append((around, block.kinds))
+            capacity.append(0.0)
+        capacity[-1] += costs(block, weights)
+        of.append(len(node) - 1)
+    n = len(node)
     net = Network(n + 2)
+
+    def join(a: int, b: int, cost: float) -> None:
+        cost *= MARKED if bool(node[a][1] & STRONG) != bool(node[b][1] & STRONG) else 1.0
+        net.edge(a, b, cost, cost)
+
     last: dict[int, int] = {}
-    for i, (content, boilerplate) in enumerate(nodes):
-        both = min(content, boilerplate)  # what flows straight through
-        net.edge(n, i, content - both, 0.0)
-        net.edge(i, n + 1, boilerplate - both, 0.0)
+    for i, c in enumerate(capacity):
+        net.edge(n, i, max(c, 0.0), 0.0)
+        net.edge(i, n + 1, max(-c, 0.0), 0.0)
         if i:
-            net.edge(i - 1, i, NEXT, NEXT)
-        before = last.get(container[i][0])
+            join(i - 1, i, NEXT / (1.0 + STEP * distance(node[i - 1][0], node[i][0])))
+        before = last.get(id(node[i][0]))
         if before is not None and before < i - 1:
-            net.edge(before, i, SIBLING, SIBLING)
-        last[container[i][0]] = i
+            join(before, i, SIBLING)
+        last[id(node[i][0])] = i
     net.max_flow(n, n + 1)
     side = net.source_side(n)
     return [side[i] for i in of]
 
 
-def main_text(page: str | None) -> str:
-    found = Blocks(page or "").found
-    return " ".join(x[4] for x, keep in zip(found, label_blocks(found), strict=True) if keep)
+def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
+    blocks = Page(page or "").blocks
+    return " ".join(x.text for x, keep in zip(blocks, label_blocks(blocks, weights), strict=True) if keep)
+
+
+def fitted_weights(pages: DataFrame, page: str = "page_id", html: str = "html") -> np.ndarray:
+    """Weights of text_features() from blocks that markup alone labels: inside an article, or in strong boilerplate.
+
+    The sample is bounded by SAMPLE_PAGES and SAMPLE_BLOCKS, taken in order of hashes, so it doesn't grow with the
+    table; its pages are read whole, and the driver gets a few numbers for each block.
+    """
+    ids = pages.select(F.col(page).cast("long").alias("p")).filter("p is not null").distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PAGES)
+    chosen = pages.select(F.col(page).cast("long").alias("p"), F.col(html).alias("h")).join(F.broadcast(ids), "p")
+    schema = "p long, n int, x array<double>, y int"
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, h in zip(batch["p"], batch["h"], strict=True):
+                for n, block in enumerate(Page(h or "").blocks):
+                    strong = bool(block.kinds & STRONG)
+                    if strong or "article" in block.kinds:
+                        rows.append((p, n, text_features(block), int(not strong)))
+            yield pd.DataFrame(rows, columns=["p", "n", "x", "y"]).astype({"p": "int64", "n": "int32", "y": "int32"})
+
+    rows = chosen.mapInPandas(scan, schema).orderBy(F.xxhash64("p", "n"), "p", "n").limit(SAMPLE_BLOCKS).select("x", "y").collect()
+    if not rows:
+        return WEIGHTS
+    return fit(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
 
 
 def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages, over the whole html; no shuffle.
 
-    Null and empty pages, and pages of boilerplate alone, give an empty text; repeated rows are treated alike; other
-    columns are not read.
+    Null and empty pages, and pages of boilerplate alone, give an empty text; repeated rows are treated alike; an empty
+    table gives no rows; other columns are not read. What is broadcast is the weights of fitted_weights().
     """
+    weights = fitted_weights(pages, page, html)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(x) for x in batch["h"]]
+            texts = [main_text(x, weights) for x in batch["h"]]
             yield pd.DataFrame({"page_id": batch["p"].astype("Int64"), "url": batch["u"], "text": texts, "n_chars": [len(x) for x in texts]})
 
     return pages.selectExpr(f"cast(`{page}` as long) as p", f"`{url}` as u", f"`{html}` as h").mapInPandas(scan, "page_id long, url string, text string, n_chars long")

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by bucket-pointer refinement of suffixes at sampled offsets."""
+"""Removal of repeated byte strings by bucket-pointer refinement of suffixes around repeated q-grams."""
 
 from __future__ import annotations
 
@@ -16,8 +16,12 @@ from .common import Store, mix, text_or_empty
 REPEAT, Q = 100, 32
 SIDE = REPEAT - Q
 CONTEXT = REPEAT + SIDE
+#: Bytes of the first buckets, and the later offsets by whose buckets they are refined: to 16, 32, 64 and 100 bytes.
+GRAM, STEPS = 8, (8, 16, 32, 36)
 BYTES_A_PART = 16 << 20
-CONTEXTS_AT_ONCE = 20_000
+CONTEXTS_AT_ONCE = 8_000
+#: An anchor with more places than this is dealt in two bands of offsets, each by HALF more bytes than the q-gram.
+HOT, HALF, MIDDLE = 10_000, 32, SIDE // 2
 FIRST = -(1 << 63)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -60,44 +64,54 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, h[at]
 
 
-def side_buckets(keys: np.ndarray, sides: np.ndarray) -> np.ndarray:
-    """(SIDE + 1, n) bucket numbers: at depth r, rows of one key whose first r bytes of ``sides`` are equal share one.
+def first_buckets(contexts: np.ndarray) -> np.ndarray:
+    """(n, offsets) bucket pointers of the GRAM bytes from every offset: where the bucket starts in sorted order."""
+    flat = np.append(_words(np.ascontiguousarray(contexts).reshape(-1)), np.zeros(GRAM - 1, np.uint64))
+    grams = flat.reshape(contexts.shape)[:, : contexts.shape[1] - GRAM + 1]
+    _, bucket, size = np.unique(grams, return_inverse=True, return_counts=True)
+    return (np.cumsum(size) - size).astype(np.int32)[bucket.reshape(grams.shape)]
 
-    The buckets of the keys, which are q-grams, are refined by sorting on the buckets of later offsets: the strings of
-    8 bytes from each eighth offset. In that order a bucket of any depth is a run, and the number of bytes that
-    neighbours share gives the runs of all depths, each one refining those before it.
+
+def refined(bucket: np.ndarray, step: int) -> np.ndarray:
+    """Pointers of buckets of depth d + step, from those of depth d, d being step or more.
+
+    The members of each bucket are sorted on the pointer of the offset ``step`` later, and a sub-bucket's pointer is
+    where it starts inside its bucket. Suffixes alone in their bucket keep their pointer and aren't sorted again; the
+    pointers made here are what the next refinement sorts on.
     """
-    n = len(keys)
-    later = np.zeros((n, -(-SIDE // 8) * 8), np.uint8)
-    later[:, :SIDE] = sides
-    order = np.lexsort((*later.view(">u8").T[::-1], keys))
-    s, k = sides[order], keys[order]
-    differ = s[1:] != s[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), SIDE)
-    shared = np.append(-1, np.where(k[1:] != k[:-1], -1, shared))
-    out = np.empty((SIDE + 1, n), np.int32)
-    for r in range(SIDE + 1):
-        out[r, order] = np.cumsum(shared < r)
+    size = np.bincount(bucket.reshape(-1))
+    out = bucket[:, :-step].copy()
+    row, offset = np.nonzero(size[out] > 1)
+    own = out[row, offset]
+    order = np.argsort(own * np.int64(len(size)) + bucket[row, offset + step], kind="stable")
+    row, offset, own = row[order], offset[order], own[order]
+    later = bucket[row, offset + step]
+    if len(own):
+        place = np.arange(len(own), dtype=np.int32)
+        other = own[1:] != own[:-1]
+        start = np.maximum.accumulate(np.where(np.append(True, other), place, 0))
+        inner = np.maximum.accumulate(np.where(np.append(True, other | (later[1:] != later[:-1])), place, 0))
+        out[row, offset] = own + inner - start
     return out
 
 
-def later_runs(keys: np.ndarray, contexts: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_runs(contexts: np.ndarray, lo: np.ndarray, hi: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, from, to): byte ranges whose REPEAT-byte strings occur earlier, of rows in order of (document, start).
 
     ``start`` is the offset of a context's first byte in its document, [lo, hi) the offsets inside the context at which
-    a string starts that lies in the document. Equal strings have their q-gram at the same place, so strings are
-    compared offset by offset: they are equal if both sides' buckets are.
+    a string starts that lies in the document. Strings are equal if they are in one bucket of depth REPEAT; equal ones
+    have their q-gram, hence their offset, at the same place in the context.
     """
-    right = side_buckets(keys, contexts[:, REPEAT:])
-    left = side_buckets(keys, contexts[:, SIDE - 1 :: -1])
-    n = len(keys)
-    later = np.zeros((n, SIDE + 3), bool)
-    for at in range(SIDE + 1):
-        rows = np.flatnonzero((lo <= at) & (at < hi))
-        code, _ = pd.factorize(left[SIDE - at, rows].astype(np.int64) * (n + 1) + right[at, rows])
-        first = np.empty(code.max() + 1 if len(code) else 0, np.int64)
-        first[code[::-1]] = rows[::-1]
-        later[rows, at + 1] = first[code] != rows
+    bucket = first_buckets(contexts)
+    for step in STEPS:
+        bucket = refined(bucket, step)
+    at = np.arange(SIDE + 1)
+    mask = (lo[:, None] <= at) & (at < hi[:, None]) & (np.bincount(bucket.reshape(-1))[bucket] > 1)
+    row, at = np.nonzero(mask)
+    _, first, same = np.unique(bucket[row, at].astype(np.int64) * (SIDE + 1) + at, return_index=True, return_inverse=True)
+    old = first[same] != np.arange(len(row))
+    later = np.zeros((len(contexts), SIDE + 3), bool)
+    later[row[old], at[old] + 1] = True
     step = np.diff(later.astype(np.int8), axis=1)
     row, a = np.nonzero(step == 1)
     _, b = np.nonzero(step == -1)
@@ -144,7 +158,7 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def _repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """The anchors of a part that occur at two places or more, copies of whole texts counted once."""
+    """The anchors of a part that occur at two places or more, and the hot ones, copies of whole texts counted once."""
     h, k, v, pos = (np.concatenate(group[c].to_list()) for c in ("h", "k", "v", "pos"))
     order = np.lexsort((k, pos, v, h))
     h, k, v, pos = h[order], k[order], v[order], pos[order]
@@ -152,19 +166,21 @@ def _repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
     h, k, v, pos = h[new], k[new], v[new], pos[new]
     same = h[1:] == h[:-1]
     many = np.append(same, False) | np.append(False, same)
+    number = np.append(0, np.cumsum(~same))
+    hot = (np.bincount(number)[number] > HOT)[many]
     k, v, pos = k[many], v[many], pos[many]
     if not len(k):
-        return pd.DataFrame({"k": k, "v": v, "pos": pd.Series([], dtype=object)})
+        return pd.DataFrame({"k": k, "v": v, "pos": pd.Series([], dtype=object), "hot": pd.Series([], dtype=object)})
     order = np.lexsort((pos, v, k))
-    k, v, pos = k[order], v[order], pos[order]
+    k, v, pos, hot = k[order], v[order], pos[order], hot[order]
     cut = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1])) + 1
     first = np.append(0, cut)
-    return pd.DataFrame({"k": k[first], "v": v[first], "pos": np.split(pos, cut)})
+    return pd.DataFrame({"k": k[first], "v": v[first], "pos": np.split(pos, cut), "hot": np.split(pos[hot], np.searchsorted(np.flatnonzero(hot), cut))})
 
 
-def _first_of_each(k: np.ndarray, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _first_of_each(*columns: np.ndarray) -> np.ndarray:
     """Marks the first of equal rows among ordered ones: rows of one document that the table repeats count once."""
-    return np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1]))
+    return np.append(True, np.any([x[1:] != x[:-1] for x in columns], axis=0))
 
 
 def _copies(c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -185,66 +201,76 @@ def _context_rows(rows: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             sizes = batch["pos"].map(len).to_numpy()
             for a, b in _chunks(sizes, 50_000):
-                keys, cs, ks, vs, ps, los, his = [], [], [], [], [], [], []
-                for k, v, t, found in zip(*(batch[c].iloc[a:b] for c in ("k", "v", "t", "pos")), strict=True):
+                cs, ks, vs, ps, los, his, hots = [], [], [], [], [], [], []
+                for k, v, t, found, hot in zip(*(batch[c].iloc[a:b] for c in ("k", "v", "t", "pos", "hot")), strict=True):
                     text = np.frombuffer(t.encode(), np.uint8)
                     pos = np.asarray(found).astype(np.int64)
                     padded = np.concatenate([np.zeros(SIDE, np.uint8), text, np.zeros(CONTEXT, np.uint8)])
                     c = padded[pos[:, None] + np.arange(CONTEXT)[None, :]]
                     cs.append(c)
-                    keys.append(mix(np.ascontiguousarray(c[:, SIDE:REPEAT]).view("<u8").sum(axis=1, dtype=np.uint64)))
+                    hots.append(np.isin(pos, hot))
                     ks.append(np.full(len(pos), k))
                     vs.append(np.full(len(pos), v))
                     ps.append(pos - SIDE)
                     los.append(np.maximum(0, SIDE - pos))
                     his.append(np.minimum(SIDE + 1, len(text) - REPEAT + 1 - (pos - SIDE)))
-                key, c, k, v, p, lo, hi = (np.concatenate(x) for x in (keys, cs, ks, vs, ps, los, his))
+                c, k, v, p, lo, hi, hot = (np.concatenate(x) for x in (cs, ks, vs, ps, los, his, hots))
                 order = np.lexsort((p, v, k))
                 order = order[_first_of_each(k[order], v[order], p[order])]
-                key, c, k, v, p, lo, hi = (x[order] for x in (key, c, k, v, p, lo, hi))
+                c, k, v, p, lo, hi, hot = (x[order] for x in (c, k, v, p, lo, hi, hot))
                 copy = _copies(c, lo, hi)
+                split = hot & ~copy
+                picked = [np.flatnonzero(~split), np.flatnonzero(split & (lo < MIDDLE)), np.flatnonzero(split & (hi > MIDDLE))]
+                band = np.repeat([0, 1, 2], list(map(len, picked)))
+                c, k, v, p, lo, hi, copy = (x[np.concatenate(picked)] for x in (c, k, v, p, lo, hi, copy))
+                lo, hi = np.where(band == 2, np.maximum(lo, MIDDLE), lo), np.where(band == 1, np.minimum(hi, MIDDLE), hi)
+                key = np.zeros(len(c), np.uint64)
+                for words in (np.ascontiguousarray(c[:, SIDE:REPEAT]), _half(c, band)):
+                    for word in words.view("<u8").T:
+                        key = mix(key + word)
                 part = (key % np.uint64(parts)).astype(np.int64)
                 made = []
                 for g, at in _split(part, np.arange(len(part))):
                     new, old = at[~copy[at]], at[copy[at]]
-                    made.append((g, c[new].tobytes(), k[new], v[new], p[new], lo[new], hi[new], k[old], v[old], (p + lo)[old], (p + hi - 1 + REPEAT)[old]))
-                yield pd.DataFrame(made, columns=["part", "c", "k", "v", "p", "lo", "hi", "dk", "dv", "da", "db"])
+                    made.append((g, c[new].tobytes(), band[new], k[new], v[new], p[new], lo[new], hi[new], k[old], v[old], (p + lo)[old], (p + hi - 1 + REPEAT)[old]))
+                yield pd.DataFrame(made, columns=["part", "c", "band", "k", "v", "p", "lo", "hi", "dk", "dv", "da", "db"])
 
-    return rows.mapInPandas(scan, "part long, c binary, k array<long>, v array<long>, p array<int>, lo array<int>, hi array<int>, dk array<long>, dv array<long>, da array<int>, db array<int>")
+    return rows.mapInPandas(scan, "part long, c binary, band array<int>, k array<long>, v array<long>, p array<int>, lo array<int>, hi array<int>, dk array<long>, dv array<long>, da array<int>, db array<int>")
+
+
+def _half(c: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """HALF bytes that all strings of a context's band hold besides the q-gram: those before or behind it; zeros in band 0."""
+    out = np.zeros((len(c), HALF), np.uint8)
+    out[band == 1] = c[band == 1, SIDE - HALF : SIDE]
+    out[band == 2] = c[band == 2, REPEAT : REPEAT + HALF]
+    return out
 
 
 def _ranges(group: pd.DataFrame) -> pd.DataFrame:
     """Byte ranges of a part's documents whose strings occur earlier, some q-grams at a time."""
     c = np.frombuffer(b"".join(group["c"]), np.uint8).reshape(-1, CONTEXT)
     told = [np.concatenate(group[x].to_list()) for x in ("dk", "dv", "da", "db")]
-    k, v, p, lo, hi = (np.concatenate(group[x].to_list()).astype(np.int64) for x in ("k", "v", "p", "lo", "hi"))
+    band, k, v, p, lo, hi = (np.concatenate(group[x].to_list()).astype(np.int64) for x in ("band", "k", "v", "p", "lo", "hi"))
+    out = [pd.DataFrame(dict(zip(("k", "v", "a", "b"), told, strict=True)))]
+    if not len(c):
+        return out[0]
     del group
-    words = np.ascontiguousarray(c[:, SIDE:REPEAT]).view(">u8")
-    order = np.lexsort((p, v, k, *words.T))  # by q-gram, then by document and offset
-    same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    words = np.concatenate([c[:, SIDE:REPEAT], _half(c, band)], axis=1).view(">u8")
+    order = np.lexsort((p, v, k, band, *words.T))  # by q-gram, then by document and offset
+    same = (words[order[1:]] == words[order[:-1]]).all(axis=1) & (band[order[1:]] == band[order[:-1]])
     number = np.append(0, np.cumsum(~same))
-    out = [pd.DataFrame(dict(zip(("k", "v", "a", "b"), told, strict=True)))]
     for a, b in _chunks(np.bincount(number), CONTEXTS_AT_ONCE):
         rows = order[np.searchsorted(number, a) : np.searchsorted(number, b)]
-        rows = rows[np.lexsort((p[rows], v[rows], k[rows]))]
-        rows = rows[_first_of_each(k[rows], v[rows], p[rows])]
+        rows = rows[np.lexsort((band[rows], p[rows], v[rows], k[rows]))]
+        rows = rows[_first_of_each(k[rows], v[rows], p[rows], band[rows])]
         copy = _copies(c[rows], lo[rows], hi[rows])
         gone, rows = rows[copy], rows[~copy]
         out.append(pd.DataFrame({"k": k[gone], "v": v[gone], "a": (p + lo)[gone], "b": (p + hi - 1 + REPEAT)[gone]}))
-        row, x, y = later_runs(_numbered(words[rows]), c[rows], lo[rows], hi[rows], p[rows])
+        row, x, y = later_runs(c[rows], lo[rows], hi[rows], p[rows])
         out.append(pd.DataFrame({"k": k[rows][row], "v": v[rows][row], "a": x, "b": y}))
     return pd.concat(out)
 
 
-def _numbered(words: np.ndarray) -> np.ndarray:
-    """Equal numbers for equal rows."""
-    order = np.lexsort(words.T)
-    new = (words[order[1:]] != words[order[:-1]]).any(axis=1)
-    out = np.empty(len(words), np.int64)
-    out[order] = np.append(0, np.cumsum(new))
-    return out
-
-
 def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """The union of the ranges [a, b), touching ones joined."""
     order = np.argsort(a, kind="stable")
@@ -256,9 +282,11 @@ def _merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, found): docs as (k, v, doc_id, t) and the byte ranges (k, v, r) to remove from each.
 
-    k orders the documents (null first), v tells texts of one doc_id apart. Three passes: anchors, whose repeated ones
-    are found by hash; the bytes around those, whose buckets are refined; and the ranges per document. What is
-    shuffled by anchor comes in parts whose number grows with the bytes of the corpus.
+    k orders the documents (null first), v tells texts of one doc_id apart. Three passes: anchors, which are q-grams at
+    sampled offsets, in buckets by hash; the bytes around those that share a bucket, whose suffixes are refined to
+    REPEAT bytes by bucket pointers; and the ranges per document. Copies of a whole text are told by two checksums and
+    length; all other strings are compared byte by byte. What is shuffled by anchor comes in parts whose number grows
+    with the bytes of the corpus; a hot anchor's places are dealt by HALF more bytes, in two bands of offsets.
     """
     store = Store(docs.sparkSession, "bytes")
     body = text_or_empty(F.col(text))
@@ -266,9 +294,9 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_PART)
     candidates = store.keep(
-        _anchor_rows(rows.select("k", "v", "t"), parts).groupBy("part").applyInPandas(_repeated_anchors, "k long, v long, pos array<int>")
+        _anchor_rows(rows.select("k", "v", "t"), parts).groupBy("part").applyInPandas(_repeated_anchors, "k long, v long, pos array<int>, hot array<int>")
     )
-    asked = candidates.groupBy("k", "v").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    asked = candidates.groupBy("k", "v").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("hot")).alias("hot"))
     texts = rows.select("k", "v", "t").join(asked, ["k", "v"])
     ranges = store.keep(_context_rows(texts, parts).groupBy("part").applyInPandas(_ranges, "k long, v long, a int, b int"))
     store.drop(candidates)

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cairn.llm import decontamination, html_extraction, language_model, mixing, near_duplicates, quality, repeated_bytes, secrets, sharding, toxicity
 from cairn.llm.components import components
@@ -363,6 +364,59 @@ def test_main_text(page, text):
     assert html_extraction.main_text(page) == text
 
 
+PROSE = "The house was built of local stone, and it was sold after the long winter of that year."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{PROSE}</p></article><section class=comments><article class=comment><p>{PROSE}</p></article></section>", PROSE),
+        (f"<main><p>{PROSE}</p></main><aside><div class=content><p>{PROSE}</p></div></aside>", PROSE),
+        (f"<main><p>{PROSE}</p></main><div class=sidebar><div class=post><p>{PROSE}</p></div></div>", PROSE),
+        (f"<div class=sidebar><article><p>{PROSE}</p></article></div>", ""),
+        (f"<div class=content><p>{PROSE}</p></div><footer><div class=content><p>{PROSE}</p></div></footer>", PROSE),
+        (f"<nav><ul class=main><li>{PROSE}</li></ul></nav><article>{PROSE}</article>", PROSE),
+        (f"<article><p>{PROSE}</p><figure><img src=x><figcaption>A view from the south.</figcaption></figure></article>", f"{PROSE} A view from the south."),
+        (f"<article><p>{PROSE}</p><section id=related-work><h2>Related work</h2><p>{PROSE}</p></section></article>", f"{PROSE} Related work {PROSE}"),
+        (f"<article><p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", f"{PROSE} x=1 holds."),
+        (f"<form id=aspnet><div class=content-sidebar-wrap><main><p>{PROSE}</p></main></div></form>", PROSE),
+        (f"<article><header><h1>Title</h1><p>by Someone</p></header><p>{PROSE}</p></article><header><h2>Site</h2></header>", f"Title {PROSE}"),
+        (f"<body><div>{PROSE}</div><p>See it</p><div>{PROSE}</div><div class=cookie-notice>{PROSE}</div></body>", f"{PROSE} See it {PROSE}"),
+    ],
+)
+def test_enclosing_boilerplate_outweighs_inner_hints(page, text):
+    assert html_extraction.main_text(page) == text
+
+
+def test_smoothing_can_overturn_a_block():
+    """A short line that its text alone would drop stays between paragraphs and goes between links."""
+    line = "<div>Two words</div>"
+    prose, links = f"<div>{PROSE}</div>", "<div><a href=x>Some link text</a></div>"
+    assert html_extraction.main_text(line) == "" and html_extraction.main_text(prose + line + prose) == f"{PROSE} Two words {PROSE}"
+    assert html_extraction.main_text(links + line + links) == ""
+
+
+def test_fitted_costs(spark):
+    """Markup labels blocks; the costs fitted to them tell text from boilerplate by text alone, on pages left out.
+
+    Of nine blocks of boilerplate here six are links; the title, advert and footer read like the article, so two thirds
+    is about what text can tell of that label.
+    """
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extraction.fitted_weights(pages.filter("page_id % 2 = 0"))
+    right, total = {}, collections.Counter()
+    for r in pages.filter("page_id % 2 = 1").collect():
+        for block in html_extraction.Page(r.html).blocks:
+            if block.kinds & {"strong", "article"}:
+                content = "strong" not in block.kinds
+                total[content] += 1
+                for name, w in (("fitted", weights), ("start", html_extraction.WEIGHTS)):
+                    right[name, content] = right.get((name, content), 0) + ((np.dot(html_extraction.text_features(block), w) > 0) == content)
+    fitted, start = (min(right[name, c] / total[c] for c in (False, True)) for name in ("fitted", "start"))
+    assert fitted > max(0.66, start)
+    assert np.allclose(html_extraction.fitted_weights(pages.limit(0)), html_extraction.WEIGHTS)
+
+
 def test_minimum_cut_against_all_labellings():
     rng = np.random.default_rng(3)
     for _ in range(30):
@@ -384,6 +438,21 @@ def test_minimum_cut_against_all_labellings():
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, "<p>x"), (1, "u", None)], "page_id long, url string, html string")
     assert sorted((str(r.page_id), r.n_chars) for r in html_extraction.extract_pages(pages).collect()) == [("1", 0), ("1", 0), ("None", len("x") if html_extraction.main_text("<p>x") else 0)]
+    assert html_extraction.extract_pages(pages.limit(0)).count() == 0
+    long = "<article>" + f"<p>{PROSE}</p>" * 5000 + "</article>"
+    clashing = spark.createDataFrame([(1, "u", long, "t", 5, "p", "h")], "page_id long, url string, html string, text string, n_chars int, p string, h string")
+    (row,) = html_extraction.extract_pages(clashing).collect()
+    assert row.text == " ".join([PROSE] * 5000) and row.n_chars == len(row.text)
+
+
+def test_generated_pages(spark):
+    """The query gives the blocks of each article and nothing else, by a plain reading of the generated pages."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html_extraction.entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br|div)\b[^>]*>", article)]
+        assert got[r.page_id] == " ".join(filter(None, blocks))
 
 
 # 8
@@ -403,10 +472,32 @@ def repeats(rows):
     return out
 
 
-def test_repeated_bytes(spark, docs, empty):
+def test_bucket_pointers():
+    """After every refinement two suffixes have one pointer if and only if they share that many bytes."""
+    rng = np.random.default_rng(8)
+    c = rng.integers(0, 2, (40, repeated_bytes.CONTEXT)).astype(np.uint8)
+    c[10:20] = c[:10]
+    c[20:30, 30:] = c[:10, 30:]
+    c[30:] = 7
+    bucket, depth = repeated_bytes.first_buckets(c), repeated_bytes.GRAM
+    for step in (0, *repeated_bytes.STEPS):
+        if step:
+            bucket, depth = repeated_bytes.refined(bucket, step), depth + step
+        assert bucket.shape == (40, repeated_bytes.CONTEXT - depth + 1)
+        pointer = {}
+        for (row, at), p in np.ndenumerate(bucket):
+            assert pointer.setdefault(c[row, at : at + depth].tobytes(), p) == p
+        assert len(set(pointer.values())) == len(pointer)
+    assert depth == repeated_bytes.REPEAT
+
+
+@pytest.mark.parametrize("hot", [repeated_bytes.HOT, 1])
+def test_repeated_bytes(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(repeated_bytes, "HOT", hot)
     y = "".join(chr(97 + i * i % 23) for i in range(300))
     odd = [(1, "ab" * 200), (2, y), (3, "q" * 99), (4, "q" * 101 + y[:120]), (5, None), (6, y), (7, "z" + "ab" * 200 + y), (8, ""), (9, "é" * 80 + y[50:200]), (-4, "a" * 5000), (6, y), (2, y)]
-    for df in (docs, spark.createDataFrame(odd, "doc_id long, text string")):
+    common = [(i, f"own text {i * i} {'x' * (i % 7)} " + y[:200] + f" {i} the end of number {i}" * 3) for i in range(60)]
+    for df in (docs, *(spark.createDataFrame(x, "doc_id long, text string") for x in (odd, common))):
         assert {r.doc_id: tuple(r)[1:] for r in repeated_bytes.without_repeats(df).collect()} == repeats(pairs_of(df))
     assert repeated_bytes.without_repeats(empty).count() == 0
 
@@ -506,6 +597,57 @@ def test_mix_of_nothing(empty):
 def test_schedule_is_spread_evenly(docs):
     """In any stretch of the schedule each source has about its share of the slots."""
     slots = sorted({(r.slot, r.source) for r in mixing.mix_schedule(docs).select("slot", "source").collect() if r.slot is not None})
+    assert [s for s, _ in slots] == list(range(len(slots)))
     half = len(slots) // 2
     whole, part = collections.Counter(s for _, s in slots), collections.Counter(s for _, s in slots[:half])
     assert all(abs(part[s] - whole[s] / 2) <= 4 for s in whole)
+
+
+def test_golden_points(spark):
+    for n in (1, 2, 7, 1000, 10**6 + 3):
+        step = mixing.golden_step(n)
+        got = [r[0] for r in spark.range(min(n, 2000)).select(mixing.golden_point(F.col("id"), n, step)).collect()]
+        assert got == [i * step % n for i in range(min(n, 2000))] and (n > 2000 or sorted(got) == list(range(n)))
+    n = (1 << 41) - 1
+    step = mixing.golden_step(n)
+    ids = [0, 1, n - 1, n // 3]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.golden_point(F.col("id"), n, step).alias("x")).collect()
+    assert {r.id: r.x for r in got} == {i: i * step % n for i in ids}
+
+
+def test_what_is_taken_follows_from_the_slots(docs):
+    """Half of the schedule serves half of each target, and another step serves other documents near the cut."""
+    whole = mixing.mix_counts(docs).collect()
+    n = max(r.first_slot for r in whole if r.first_slot is not None) + 1
+    half = mixing.mix_counts(docs, slots=n // 2).collect()
+    target, taken = {r.source: r.target for r in whole}, collections.Counter()
+    for r in half:
+        taken[r.source] += r.taken
+        assert (r.taken == 0) == (r.n_slots == 0) == (r.first_slot is None) and (r.first_slot is None or r.first_slot < n // 2)
+    served = sum(taken.values()) / sum(target.values())
+    assert all(abs(taken[s] - served * target[s]) <= 8 * mixing.BLOCK for s in target)
+    total = sum(math.ceil(round(t) / mixing.BLOCK) for t in target.values())
+    other = mixing.mix_counts(docs, slots=n // 2, step=next(k for k in range(2, total) if math.gcd(k, total) == 1)).collect()
+    assert {(r.doc_id, r.taken) for r in half} != {(r.doc_id, r.taken) for r in other}
+    with pytest.raises(ValueError):
+        mixing.mix_counts(docs, step=total)
+
+
+def test_mixed_documents(spark, edges, empty, docs):
+    """Rows travel whole, whatever their columns are called, in slot order; each as often as passes take it."""
+    clashing = edges.withColumn("words", F.lit(99)).withColumn("row", F.lit("r")).withColumn("slot", F.lit(7)).withColumn("n", F.lit(1))
+    mixed = mixing.mixed_documents(clashing)
+    assert mixed.columns == clashing.columns
+    rows = collections.Counter(map(str, clashing.collect()))
+    for r in mixed.collect():
+        assert (r.words, r.row, r.slot, r.n) == (99, "r", 7, 1) and str(r) in rows
+    assert mixing.mixed_documents(empty).count() == 0
+    counts = {(r.doc_id, r.size): r for r in mixing.mix_counts(docs).collect()}
+    times = collections.Counter()
+    order = []
+    for r in mixing.mixed_documents(docs).collect():
+        key = (r.doc_id, len((r.text or "").encode().split()))
+        if not times[key]:
+            order.append(counts[key].first_slot)
+        times[key] += 1
+    assert all(abs(times[k] * k[1] - r.taken) <= k[1] for k, r in counts.items()) and order == sorted(order)
