@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .geo import let
-from .text import containment, dice, is_subset, same_tokens, tokenise
+from .text import bigram_set, bigram_dice, containment, is_subset, same_tokens, tokenise
 
 #: Phrases that place the subject relative to something else, richer forms first.
 RELATIONS = (
@@ -39,9 +39,10 @@ GENERIC = tuple(
 
 
 def analyse(name: Column) -> Column:
-    """Struct (head, head_tokens, relation, relation_tokens, object_tokens, street_numbers).
+    """Struct (head, head_tokens, relation, relation_tokens, object_tokens, street_numbers, chars, bigrams).
 
     The part after ; or : is dropped, then the name is cut at its first relational phrase, unless it starts with one.
+    All that a comparison needs is made here, once a record: chars are the joined head tokens.
     """
 
     def cut(x: Column) -> Column:
@@ -52,14 +53,17 @@ def analyse(name: Column) -> Column:
         head = F.when(has, F.trim(F.substr(x, F.lit(1), at - 1))).otherwise(F.trim(x))
         street = F.nullif(F.regexp_extract(x, STREET, 1), F.lit(""))
         none = F.array().cast("array<string>")
-        return F.struct(
+        numbers = F.coalesce(F.transform(F.split(street, r"(?i)\s*(?:-|–|and|&)\s*"), lambda n: F.lower(F.trim(n))), none)
+        return let(tokenise(head), lambda tokens: let(F.array_join(tokens, " "), lambda chars: F.struct(
             head.alias("head"),
-            tokenise(head).alias("head_tokens"),
+            tokens.alias("head_tokens"),
             relation.alias("relation"),
             F.when(has, tokenise(relation)).otherwise(none).alias("relation_tokens"),
             F.when(has, tokenise(F.substr(relation, F.length(phrase) + 1))).otherwise(none).alias("object_tokens"),
-            F.coalesce(F.transform(F.split(street, r"(?i)\s*(?:-|–|and|&)\s*"), lambda n: F.lower(F.trim(n))), none).alias("street_numbers"),
-        )
+            numbers.alias("street_numbers"),
+            chars.alias("chars"),
+            bigram_set(chars).alias("bigrams"),
+        )))
 
     return let(F.split(name, "[;:]")[0], cut)
 
@@ -86,9 +90,14 @@ def distinct_things(a: Column, b: Column) -> Column:
     return streets | moved | _against(a, b) | _against(b, a)
 
 
+def _one_each(a: Column, b: Column) -> Column:
+    return (F.size(a) == 1) & (F.size(b) == 1)
+
+
 def all_pairs_distinct(a: Column, b: Column) -> Column:
     """Every pair from two arrays of analysed names is distinct; false if either is empty."""
-    return (F.size(a) > 0) & (F.size(b) > 0) & F.forall(a, lambda x: F.forall(b, lambda y: distinct_things(x, y)))
+    every = (F.size(a) > 0) & (F.size(b) > 0) & F.forall(a, lambda x: F.forall(b, lambda y: distinct_things(x, y)))
+    return F.when(_one_each(a, b), distinct_things(F.get(a, F.lit(0)), F.get(b, F.lit(0)))).otherwise(every)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -100,7 +109,7 @@ def similarity(a: Column, b: Column) -> Column:
 
     inside = containment(a["head_tokens"], b["head_tokens"])
     weight = F.when(a["relation"].isNotNull() | b["relation"].isNotNull(), 0.7).otherwise(0.95)
-    chars = dice(F.array_join(a["head_tokens"], " "), F.array_join(b["head_tokens"], " "))
+    chars = bigram_dice(a["chars"], a["bigrams"], b["chars"], b["bigrams"])
     zero = lambda x: F.when(empty, 0.0).otherwise(x)
     return let(F.struct(zero(chars).alias("dice"), zero(inside).alias("containment"), zero(inside * weight).alias("weighted")), scored)
 
@@ -109,4 +118,5 @@ def best_similarity(a: Column, b: Column) -> Column:
     """The best similarity over two arrays of analysed names; the first of equals."""
     pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: similarity(x, y))))
     none = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("dice"), F.lit(0.0).alias("containment"), F.lit(False).alias("carried"))
-    return F.aggregate(pairs, none, lambda best, s: F.when(s["score"] > best["score"], s).otherwise(best))
+    best = F.aggregate(pairs, none, lambda best, s: F.when(s["score"] > best["score"], s).otherwise(best))
+    return F.when(_one_each(a, b), similarity(F.get(a, F.lit(0)), F.get(b, F.lit(0)))).otherwise(best)

@@ -88,13 +88,21 @@ def bigrams(x: Column) -> Column:
     return F.when(F.length(x) > 1, F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substr(x, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def bigram_set(x: Column) -> Column:
+    """The bigrams of x, each with its number among equal ones, so that sets of them intersect like multisets."""
+    grams = bigrams(x)
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda y: y == g)).cast("string")))
+
+
+def bigram_dice(a: Column, grams_a: Column, b: Column, grams_b: Column) -> Column:
+    """Sorensen-Dice coefficient of two texts whose bigram sets are given."""
+    score = F.lit(2.0) * F.size(F.array_intersect(grams_a, grams_b)) / (F.length(a) + F.length(b) - 2)
+    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
+
+
 def dice(a: Column, b: Column) -> Column:
     """Sorensen-Dice coefficient on character-bigram multisets."""
-    left, right = bigrams(a), bigrams(b)
-    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    overlap = F.aggregate(F.array_distinct(left), F.lit(0), lambda s, g: s + F.least(times(left, g), times(right, g)))
-    score = F.lit(2.0) * overlap / (F.length(a) + F.length(b) - 2)
-    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
+    return bigram_dice(a, bigram_set(a), b, bigram_set(b))
 
 
 def containment(a: Column, b: Column) -> Column:

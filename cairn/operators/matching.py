@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, names
+from ..functions import classify, geo, names
 from ..functions.text import postcode_key
 from .blocking import identifier_pairs, near_pairs
+from .checkpoints import checkpoint_folder
 
 #: Thresholds of the decision.
 FARTHEST_M, CONFIDENT, REVIEW, CONFIDENT_NAME, NEAR_TIE = 5000.0, 0.85, 0.5, 0.9, 0.1
 RADIUS_M, CONFLICT_M, TYPED = (50.0, 150.0), 500.0, 0.7
-FIELDS = ("name", "accuracy", "place_type", "type_confidence", "postcode", "town", "source_id", "qid", "designation")
+FIELDS = ("names", "generic", "accuracy", "place_type", "type_confidence", "postcode", "town", "source_id", "designation")
+
+
+def prepared(records: DataFrame) -> DataFrame:
+    """Records with all that pairs are scored on, made once a record: analysed names, the main one first, and whether that is generic.
+
+    Records have a name and alt_names (array, may be null).
+    """
+    every = F.concat(F.array("name"), F.coalesce("alt_names", F.array().cast("array<string>")))
+    return records.withColumns({"names": F.transform(F.array_compact(every), names.analyse), "generic": names.is_generic(F.col("name"))})
 
 
 def agreement_radius(a: Column, b: Column) -> Column:
@@ -45,7 +55,7 @@ def same_register(source_a: Column, source_b: Column, record_a: Column, record_b
 
 
 def pairs_of(candidates: DataFrame, places: DataFrame, metres: float = FARTHEST_M) -> DataFrame:
-    """Near pairs with both sides' fields as l_ and r_ columns."""
+    """Near pairs of prepared records, with both sides' fields as l_ and r_ columns."""
     return near_pairs(candidates, places, metres, keep=FIELDS)
 
 
@@ -55,27 +65,42 @@ def shared_identifiers(candidates: DataFrame, places: DataFrame) -> DataFrame:
     return identifier_pairs(keyed(candidates), keyed(places))
 
 
+def identified_pairs(candidates: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of prepared records that share an identifier, with both sides' fields and their distance."""
+    kept = ("id", "lng", "lat", *FIELDS)
+    a = candidates.select(*[F.col(k).alias("l" if k == "id" else f"l_{k}") for k in kept])
+    b = places.select(*[F.col(k).alias("r" if k == "id" else f"r_{k}") for k in kept])
+    pairs = shared_identifiers(candidates, places).join(a, "l").join(b, "r")
+    metres = geo.haversine_m(F.col("l_lng"), F.col("l_lat"), F.col("r_lng"), F.col("r_lat"))
+    return pairs.withColumn("metres", metres).drop("l_lng", "l_lat", "r_lng", "r_lat")
+
+
+def vetoes(pairs: DataFrame) -> DataFrame:
+    """pairs with what forbids a match, and the fields on which one would disagree."""
+    c = F.col
+    return pairs.withColumns({
+        "name_veto": names.all_pairs_distinct(c("l_names"), c("r_names")),
+        "register_veto": same_register(c("l_source_id"), c("r_source_id"), c("l"), c("r"), F.array("l_designation"), F.array("r_designation")),
+        "compatible": classify.types_compatible(c("l_place_type"), c("r_place_type")),
+    }).withColumn("conflicts", conflicts(c("l_type_confidence"), c("compatible"), c("metres"), c("l_postcode"), c("r_postcode")))
+
+
 def signals(pairs: DataFrame) -> DataFrame:
     """pairs with every signal, the vetoes, and the score: signals added in order, kept within 0 and 1."""
     c = F.col
-    named = pairs.withColumns({"la": names.analyse(c("l_name")), "ra": names.analyse(c("r_name"))})
-    named = named.withColumns({
-        "sim": names.similarity(c("la"), c("ra")),
-        "name_veto": names.distinct_things(c("la"), c("ra")),
-        "register_veto": same_register(c("l_source_id"), c("r_source_id"), c("l"), c("r"), F.array("l_designation"), F.array("r_designation")),
-        "generic": names.is_generic(c("l_name")) & names.is_generic(c("r_name")),
+    named = vetoes(pairs).withColumns({
+        "sim": names.best_similarity(c("l_names"), c("r_names")),
+        "generic": c("l_generic") & c("r_generic"),
         "radius": agreement_radius(c("l_accuracy"), c("r_accuracy")),
-        "compatible": classify.types_compatible(c("l_place_type"), c("r_place_type")),
         "area": classify.area_against_structure(F.array("l_designation"), F.array("r_designation")),
     })
     named = named.withColumns({
         "s_distance": distance_signal(c("metres"), c("radius")), "s_name": name_signal(c("sim.score"), c("generic")),
         "s_type": type_signal(c("l_type_confidence"), c("r_type_confidence"), c("compatible")),
         "s_postcode": postcode_signal(c("l_postcode"), c("r_postcode")), "s_town": town_signal(c("l_town"), c("r_town")),
-        "conflicts": conflicts(c("l_type_confidence"), c("compatible"), c("metres"), c("l_postcode"), c("r_postcode")),
     })
     total = c("s_distance") + c("s_name") + c("s_type") + c("s_postcode") + c("s_town")
-    return named.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).drop("la", "ra")
+    return named.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).drop("l_names", "r_names")
 
 
 def conflicts(confidence: Column, compatible: Column, metres: Column, postcode_a: Column, postcode_b: Column) -> Column:
@@ -84,11 +109,22 @@ def conflicts(confidence: Column, compatible: Column, metres: Column, postcode_a
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def decisions(candidates: DataFrame, scored: DataFrame) -> DataFrame:
-    """(id, outcome, matched, confidence) of each candidate over its scored pairs that no veto removes.
+def identified(pairs: DataFrame) -> DataFrame:
+    """(l, said) of candidates that share an identifier with a place: what the first such place by id says.
 
-    The best pair decides; of equals the first place. A runner-up within NEAR_TIE, a conflict or a failed gate sends
-    the candidate to review.
+    Names that denote different things send it to review, other disagreements to conflict review; else it is a match.
+    """
+    c = F.col
+    outcome = F.when(c("name_veto"), "MATCH_REVIEW").when(F.size("conflicts") > 0, "CONFLICT_REVIEW").otherwise("MATCH_CONFIDENT")
+    said = F.struct(outcome.alias("outcome"), c("r").alias("matched"), F.when(c("name_veto"), 0.5).otherwise(1.0).alias("confidence"))
+    return vetoes(pairs).filter(~c("register_veto")).groupBy("l").agg(F.min_by(said, "r").alias("said"))
+
+
+def decisions(candidates: DataFrame, scored: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, outcome, matched, confidence) of each candidate.
+
+    A shared identifier decides first, at any distance. Else the best of the scored pairs that no veto removes, of
+    equals the first place; a runner-up within NEAR_TIE, a conflict or a failed gate sends the candidate to review.
     """
     kept = scored.filter(~F.col("name_veto") & ~F.col("register_veto") & (F.col("metres") <= FARTHEST_M))
     ranked = kept.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "r"))).filter("k <= 2")
@@ -99,37 +135,38 @@ def decisions(candidates: DataFrame, scored: DataFrame) -> DataFrame:
     outcome = (
         F.when(b["score"].isNull() | (b["score"] < REVIEW), "NEW_CANONICAL").when(F.size(b["conflicts"]) > 0, "CONFLICT_REVIEW").when(gates, "MATCH_CONFIDENT").otherwise("MATCH_REVIEW")
     )
-    out = candidates.select("id").join(best, F.col("id") == F.col("l"), "left").withColumn("outcome", outcome)
-    return out.select("id", "outcome", F.when(F.col("outcome") != "NEW_CANONICAL", b["r"]).alias("matched"), F.coalesce(b["score"], F.lit(0.0)).alias("confidence"))
-
-
-def resolve_in_order(rows: DataFrame, scored: DataFrame, components: DataFrame) -> DataFrame:
-    """(id, outcome, matched) of records decided in order, where only new canonical ones join the comparison set.
-
-    ``scored`` has pairs (l, r, score) of later and earlier records that no veto removes. A pair under REVIEW less
-    NEAR_TIE can change no outcome, so records are replayed in order inside the components of the other pairs, and
-    records without such pairs are new at once. A component's size bounds what one task replays.
+    by_id = identified(shared).withColumnRenamed("l", "s")
+    out = candidates.select("id").join(best, F.col("id") == F.col("l"), "left").join(by_id, F.col("id") == F.col("s"), "left").withColumn("scored", outcome)
+    said = F.col("said")
+    return out.select(
+        "id", F.coalesce(said["outcome"], "scored").alias("outcome"), F.coalesce(said["matched"], F.when(F.col("scored") != "NEW_CANONICAL", b["r"])).alias("matched"),
+        F.coalesce(said["confidence"], b["score"], F.lit(0.0)).alias("confidence"),
+    )
+
+
+def resolve_in_order(rows: DataFrame) -> DataFrame:
+    """(id, outcome, matched, confidence) of prepared records decided in order of id, each against those that became canonical before it.
+
+    A pair that scores under REVIEW less NEAR_TIE and shares no identifier can change no outcome, so only the others
+    link records. Each round decides the records none of whose earlier linked ones is undecided, by decisions() over
+    the pairs with canonical ones; rounds are joins over the pairs that are left, and a checkpoint ends each. A record
+    without links is new at once.
     """
-    strong = scored.filter(F.col("score") >= REVIEW - NEAR_TIE - 1e-9).select("l", "r", "score")
-    linked = strong.join(components, F.col("l") == F.col("v")).select("c", "l", "r", "score")
-
-    def replay(group):
-        import pandas as pd
-
-        canonical: set = set()
-        by = {k: list(zip(g["r"], g["score"], strict=True)) for k, g in group.groupby("l")}
-        out = []
-        for i in sorted(set(group["l"]) | set(group["r"])):
-            met = sorted(((-s, r) for r, s in by.get(i, ()) if r in canonical))
-            if not met or -met[0][0] < REVIEW:
-                canonical.add(i)
-                out.append((i, "NEW_CANONICAL", None))
-            elif len(met) > 1 and -met[0][0] + met[1][0] < NEAR_TIE or -met[0][0] < CONFIDENT:
-                out.append((i, "MATCH_REVIEW", met[0][1]))
-            else:
-                out.append((i, "MATCH_CONFIDENT", met[0][1]))
-        return pd.DataFrame(out, columns=["id", "outcome", "matched"]).astype({"matched": "Int64"})
-
-    told = linked.groupBy("c").applyInPandas(replay, "id long, outcome string, matched long")
-    rest = rows.select("id").join(told, "id", "left_anti")
-    return told.unionByName(rest.select("id", F.lit("NEW_CANONICAL").alias("outcome"), F.lit(None).cast("long").alias("matched")))
+    checkpoint_folder(rows.sparkSession)
+    earlier = F.col("r") < F.col("l")
+    scored = signals(pairs_of(rows, rows).filter(earlier)).filter((F.col("score") >= REVIEW - NEAR_TIE - 1e-9) & ~F.col("name_veto") & ~F.col("register_veto")).checkpoint()
+    shared = vetoes(identified_pairs(rows, rows).filter(earlier)).filter(~F.col("register_veto")).checkpoint()
+    links = scored.select("l", "r").union(shared.select("l", "r")).distinct().checkpoint()
+    linked = links.select(F.col("l").alias("id")).distinct()
+    new = rows.select("id").join(linked, "id", "left_anti")
+    empty = {"outcome": F.lit("NEW_CANONICAL"), "matched": F.lit(None).cast("long"), "confidence": F.lit(0.0)}
+    told = new.withColumns(empty).checkpoint()
+    left = linked.checkpoint()
+    while left.limit(1).count():
+        waiting = links.join(left.select(F.col("id").alias("r")), "r").join(left.select(F.col("id").alias("l")), "l", "left_semi").select(F.col("l").alias("id")).distinct()
+        ready = left.join(waiting, "id", "left_anti")
+        canonical = told.filter("outcome = 'NEW_CANONICAL'").select(F.col("id").alias("r"))
+        now = lambda pairs: pairs.join(ready.select(F.col("id").alias("l")), "l", "left_semi").join(canonical, "r", "left_semi")  # noqa: B023, E731
+        told = told.unionByName(decisions(ready, now(scored), now(shared))).checkpoint()
+        left = left.join(told, "id", "left_anti").checkpoint()
+    return told

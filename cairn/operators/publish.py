@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The old table with the new rows in; a key that both have takes the new row, but for the columns in ``keep``.
 
-    Of new rows with one key the last in order counts. Null keys are equal to each other.
+    Of new rows with one key the last in order counts. Null keys are equal to each other. Rows travel as one column, so
+    their columns may have any names.
     """
+    row = F.struct(*old.columns)
+    keys = lambda p: [F.col(k).alias(f"{p}{i}") for i, k in enumerate(key)]
+    names = lambda p: [f"{p}{i}" for i in range(len(key))]
+    a = old.select(*keys("a"), row.alias("old"))
+    b = new.select(*keys("b"), row.alias("new"), *([F.col(order).alias("at")] if order else []))
     if order:
-        new = new.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter("__k = 1").drop("__k")
-    columns = old.columns
-    a, b = old.withColumn("__a", F.lit(True)).alias("a"), new.select(*columns).withColumn("__b", F.lit(True)).alias("b")
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    both = a.join(b, on, "full")
+        b = b.groupBy(*names("b")).agg(F.max_by("new", F.struct("at")).alias("new"))
+    both = a.join(b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(names("a"), names("b"), strict=True)], "full")
 
     def value(c: str) -> Column:
-        old_first = c in keep
-        first, second = ("a", "b") if old_first else ("b", "a")
-        return F.when(F.col(f"__{first}"), F.col(f"{first}.{c}")).otherwise(F.col(f"{second}.{c}")).alias(c)
+        first, second = ("old", "new") if c in keep else ("new", "old")
+        return F.when(F.col(first).isNotNull(), F.col(f"{first}.`{c}`")).otherwise(F.col(f"{second}.`{c}`")).alias(c)
 
-    return both.select(*[value(c) for c in columns])
+    return both.select(*[value(c) for c in old.columns])
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -76,3 +76,90 @@ def missing_ends(edges: DataFrame, entities: dict[str, DataFrame]) -> DataFrame:
             odd = edges.filter(F.col(f"{side}_type") == kind).join(table.select(F.col("id").alias(f"{side}_id")), f"{side}_id", "left_anti").select("id", F.lit(side).alias("side"), F.lit(kind).alias("kind"))
             out = odd if out is None else out.unionByName(odd)
     return out
+
+
+REVIEWABLE = ("approved", "rejected", "needs_review")
+
+
+def review(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(decision_id, candidate_id, actor, accepted, entry, state): the audit row of each decision, replayed in order.
+
+    Candidates have id, state and published; decisions have decision_id, candidate_id, decision, actor, editor and
+    moment. A decision is refused if its actor is no editor, if it names a state that reviewers can't choose, if there
+    is no such candidate, or if that is published. An accepted one records the state before and after it; ``state`` is
+    the candidate's state then.
+    """
+    c = F.col
+    known = candidates.select(c("id").alias("candidate_id"), c("state").alias("first"), "published")
+    told = decisions.join(known, "candidate_id", "left")
+    refused = (
+        F.when(~c("editor"), "refused: not an editor").when(~c("decision").isin(*REVIEWABLE), "refused: not a reviewer's decision")
+        .when(c("first").isNull(), "refused: no such candidate").when(c("published"), "refused: already published")
+    )
+    told = told.withColumn("refused", refused)
+    earlier = Window.partitionBy("candidate_id").orderBy("moment", "decision_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.last(F.when(c("refused").isNull(), c("decision")), ignorenulls=True).over(earlier), c("first"))
+    told = told.withColumn("before", before)
+    entry = F.coalesce("refused", F.concat(F.lit("review:"), "before", F.lit("->"), "decision"))
+    return told.select("decision_id", "candidate_id", "actor", c("refused").isNull().alias("accepted"), entry.alias("entry"), F.when(c("refused").isNull(), c("decision")).otherwise(c("before")).alias("state"))
+
+
+def reviewed(candidates: DataFrame, audit: DataFrame) -> DataFrame:
+    """candidates with the state that the last accepted decision gave them."""
+    last = audit.filter("accepted").groupBy(F.col("candidate_id").alias("__candidate")).agg(F.max_by("state", "decision_id").alias("__state"))
+    out = candidates.join(last, F.col("id") == F.col("__candidate"), "left")
+    return out.withColumn("state", F.coalesce("__state", "state")).drop("__candidate", "__state")
+
+
+OUTCOMES = ("keep_canonical", "accept_source_value", "keep_both", "reject_source", "defer")
+
+
+def resolve(conflicts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """conflicts with what the last valid resolution made of them; both original values stay.
+
+    Conflicts have id, existing_value and incoming_value; resolutions have resolution_id, conflict_id, outcome, editor
+    and moment. One whose actor is no editor, or with an outcome that there isn't, changes nothing. The shown value is
+    the incoming one if it was accepted, else the existing one; a conflict is open while unresolved or deferred.
+    """
+    c = F.col
+    valid = resolutions.filter(c("editor") & c("outcome").isin(*OUTCOMES))
+    last = valid.groupBy(c("conflict_id").alias("__conflict")).agg(F.max(F.struct("moment", "resolution_id", "outcome")).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    out = conflicts.join(last, c("id") == c("__conflict"), "left")
+    outcome = c("__last.outcome")
+    return out.select(
+        *conflicts.columns, outcome.alias("resolution"), F.coalesce("__n", F.lit(0)).alias("times"),
+        F.when(outcome == "accept_source_value", c("incoming_value")).otherwise(c("existing_value")).alias("shown"),
+        F.when(outcome.isNull() | (outcome == "defer"), "needs_review").otherwise("approved").alias("state"),
+    )
+
+
+ROLES = ("user", "contributor", "editor", "moderator", "admin")
+
+
+def change_roles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """(change_id, user_id, verdict, role): what becomes of asked changes of roles, each on its own.
+
+    Profiles have user_id and role; changes have change_id, actor_id, user_id and role. Only an administrator changes
+    roles, nobody changes their own, and a role must be one of ROLES; a refused change leaves the role as it is.
+    """
+    c = F.col
+    actors = profiles.select(c("user_id").alias("actor_id"), c("role").alias("actor_role"))
+    users = profiles.select("user_id", c("role").alias("now"))
+    told = changes.join(actors, "actor_id", "left").join(users, "user_id", "left")
+    verdict = (
+        F.when(c("now").isNull(), "refused: no such user").when(c("actor_id") == c("user_id"), "refused: own role").when(F.coalesce("actor_role", F.lit("")) != "admin", "refused: not an administrator")
+        .when(~c("role").isin(*ROLES), "refused: no such role").otherwise("changed")
+    )
+    return told.withColumn("verdict", verdict).select("change_id", "user_id", "verdict", F.when(c("verdict") == "changed", c("role")).otherwise(c("now")).alias("role"))
+
+
+def badges_earned(visits: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(user_id, badge_id) of users who meet a badge's criteria.
+
+    Visits have user_id, place_id and place_type; criteria have badge_id, place_count and place_type (null: any). A
+    place counts once, however often it is visited. Criteria are a registry; users meet them by counts of their kinds.
+    """
+    kinds = visits.groupBy("user_id", "place_type").agg(F.countDistinct("place_id").alias("n"))
+    every = visits.groupBy("user_id").agg(F.countDistinct("place_id").alias("n")).select("user_id", F.lit(None).cast("string").alias("place_type"), "n")
+    rules = criteria.select("badge_id", F.col("place_type").alias("kind"), "place_count")
+    return kinds.unionByName(every).join(rules, F.col("place_type").eqNullSafe(F.col("kind")) & (F.col("n") >= F.col("place_count"))).select("user_id", "badge_id").distinct()

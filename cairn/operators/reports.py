@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: dict[str, float]) -> DataFrame:
-    """Percentiles that are values of the group: the one of rank ceil(p / 100 * n), by a sorted window."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(order).alias("rn"), F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n"))
-    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p / 100.0) * F.col("n")))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("rn") == rank(p), F.col(value))).alias(k) for k, p in percents.items()])
+from .ranks import cumulated, cumulated_within
 
 
 def histogram(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
@@ -38,11 +32,12 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
 
 def even_sample(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows spread evenly over the order: those numbered floor(i * rows / n)."""
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(order)) - 1)
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    at = F.ceil(F.col("rn") * n / F.col("total"))
-    picked = numbered.join(F.broadcast(total)).filter((F.floor(at * F.col("total") / n) == F.col("rn")) & (at < n) | (F.col("total") <= n))
-    return picked.drop("rn", "total")
+    numbered = cumulated(df, [order], name="__rn")
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row, so the broadcast is bounded
+    rn, rows = F.col("__rn"), F.col("__total")
+    at = F.ceil(rn * n / rows)
+    picked = numbered.join(F.broadcast(total)).filter((F.floor(at * rows / n) == rn) & (at < n) | (rows <= n))
+    return picked.drop("__rn", "__total")
 
 
 def multiset_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -53,16 +48,27 @@ def multiset_difference(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return a.join(b, key, "full").select(key, verdict.alias("verdict")).filter("verdict IS NOT NULL")
 
 
-def unique_slugs(df: DataFrame, base: str, order: str, rounds: int = 10) -> DataFrame:
-    """df with ``slug``: the base, or base-2, base-3 ... in order; repeated until no made slug is another's base."""
-    w = Window.partitionBy("__base").orderBy(order)
-    out = df.withColumn("__base", F.col(base))
-    for _ in range(rounds):
-        k = F.row_number().over(w)
-        out = out.withColumn("slug", F.when(k == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), k.cast("string"))))
-        clash = out.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-        if not clash:
-            break
-        again = Window.partitionBy("slug").orderBy(F.when(F.col("slug") == F.col("__base"), 0).otherwise(1), order)
-        out = out.withColumn("__base", F.when(F.row_number().over(again) == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-x"))))
-    return out.drop("__base")
+def unique_slugs(df: DataFrame, base: str, order: str) -> DataFrame:
+    """df with ``slug``: in order, the first of base, base-2, base-3 ... that no row before has.
+
+    Each row starts with its number within its base. Of rows with one slug the first in order keeps it; the others
+    learn that the number is taken in their base for all rows behind its owner, and every row takes its number anew
+    among those that are free for it. Rounds go on until no slug is shared, however many that takes; each is
+    checkpointed.
+    """
+    rows = cumulated_within(df.select(F.col(base).alias("__base"), F.col(order).alias("__order")), ["__base"], ["__order"], name="__m").withColumn("__m", F.col("__m") + 1)
+    taken = None
+    while True:
+        number = F.col("__m")
+        if taken is not None:
+            by_base = taken.groupBy("__b").agg(F.array_sort(F.collect_list(F.struct("__n", "__owner"))).alias("__taken"))
+            free = F.aggregate("__taken", F.col("__m"), lambda k, t: F.when((t["__n"] <= k) & (t["__owner"] < F.col("__order")), k + 1).otherwise(k))
+            number = F.coalesce(free, F.col("__m"))
+        now = rows if taken is None else rows.join(by_base, F.col("__base") == F.col("__b"), "left")
+        now = now.select("__base", "__order", "__m", number.alias("__k"))
+        now = now.withColumn("slug", F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__k").cast("string")))).checkpoint()
+        shared = now.groupBy("slug").agg(F.min("__order").alias("__owner"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+        lost = now.join(shared, "slug").filter("__order > __owner").select(F.col("__base").alias("__b"), F.col("__k").alias("__n"), "__owner").checkpoint()
+        if not lost.limit(1).count():
+            return df.join(now.select(F.col("__order").alias("__o"), "slug"), F.col(order) == F.col("__o")).drop("__o")
+        taken = (lost if taken is None else taken.unionByName(lost)).groupBy("__b", "__n").agg(F.min("__owner").alias("__owner")).checkpoint()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from urllib.parse import parse_qs, urlencode
+
+MODES = ("all", "sacred", "industry")
 
 
 @dataclass
@@ -46,3 +49,56 @@ class CorrectionRequest:
 
     def problems(self) -> list[str]:
         return [] if self.value or self.note else ["a value or a note is needed"]
+
+
+def comma_list(value: str | None) -> list[str] | None:
+    """Trimmed parts of a comma list, empty ones left out; None for none at all."""
+    return [x.strip() for x in value.split(",") if x.strip()] if value else None
+
+
+def _number(value: str | None, default: float) -> float:
+    try:
+        x = float(value) if value is not None else default
+    except ValueError:
+        return default
+    return x if x - x == 0 else default
+
+
+def _year(value: str | None) -> int | None:
+    """A whole year; there is no year 0."""
+    try:
+        return int(value or "") or None
+    except ValueError:
+        return None
+
+
+@dataclass
+class DiscoveryState:
+    """What a discovery link says; what is missing or unreadable takes the default."""
+
+    lng: float = -1.55
+    lat: float = 53.96
+    zoom: float = 8.0
+    words: str = ""
+    period: str | None = None
+    first_year: int | None = None
+    last_year: int | None = None
+    mode: str = "all"
+    types: list[str] = field(default_factory=list)
+    with_image: bool = False
+    selected: str | None = None
+
+    @classmethod
+    def parse(cls, query: str, periods: tuple[str, ...]) -> DiscoveryState:
+        said = {k: v[0] for k, v in parse_qs(query.lstrip("?"), keep_blank_values=True).items()}
+        get = said.get
+        return cls(
+            _number(get("lng"), cls.lng), _number(get("lat"), cls.lat), _number(get("z"), cls.zoom), get("q", ""), get("period") if get("period") in periods else None, _year(get("from")), _year(get("to")),
+            get("mode") if get("mode") in MODES else "all", comma_list(get("types")) or [], get("image") == "1", get("place"),
+        )
+
+    def query(self) -> str:
+        """The link's parameters; but for the position only what differs from the default."""
+        said = {"lng": f"{self.lng:.4f}", "lat": f"{self.lat:.4f}", "z": f"{self.zoom:.1f}", "q": self.words, "period": self.period, "from": self.first_year, "to": self.last_year}
+        said |= {"mode": self.mode if self.mode != "all" else None, "types": ",".join(self.types), "image": "1" if self.with_image else None, "place": self.selected}
+        return urlencode({k: v for k, v in said.items() if v not in (None, "")})

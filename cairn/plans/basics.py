@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..operators.ranks import ordered_digest
 from .catalog import query
 from .substrate import PERIODS, twin, view
 
@@ -172,9 +173,9 @@ def json_unnest(spark, d):
     return arrays.select("id", F.explode(F.coalesce(F.from_json("j", "array<string>"), F.array().cast("array<string>"))).alias("item"))
 
 
-@query("json_build")
+@query("json_build", twin("""SELECT id, '{"name":"' || name || '","location":{"lng":"' || printf('%.4f', lng) || '","lat":"' || printf('%.4f', lat) || '"},"areas":["' || town || '","' || county || '"]}' AS document FROM v_places"""))
 def json_build(spark, d):
-    return view(spark, d, "v_places").select("id", F.to_json(F.struct("name", F.struct("lng", "lat").alias("location"), F.array("town", "county").alias("areas"))).alias("document"))
+    return view(spark, d, "v_places").select("id", F.to_json(F.struct("name", F.struct(*[F.format_string("%.4f", x).alias(x) for x in ("lng", "lat")]).alias("location"), F.array("town", "county").alias("areas"))).alias("document"))
 
 
 def stable_id(*parts) -> F.Column:
@@ -187,11 +188,17 @@ scalar("hash_id", "v_places", lambda: {"uid": stable_id(c("slug"), c("id").cast(
 ORACLES["hash_id"] = twin("SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uid FROM (SELECT id, sha256(slug || chr(31) || id::VARCHAR) AS h FROM v_places)")
 
 
-@query("hash_digest_set", twin("SELECT place_type, sha256(string_agg(id::VARCHAR || chr(31) || name, chr(30) ORDER BY id)) AS digest FROM v_places GROUP BY 1"))
+def digest_sql(content: str, between: str) -> str:
+    """SQL of the digest of each type's places in order, by chunks of a thousand."""
+    rows = f"SELECT place_type, id, {content} AS x, (row_number() OVER (PARTITION BY place_type ORDER BY id) - 1) // 1000 AS chunk FROM v_places"
+    chunks = f"SELECT place_type, chunk, count(*) AS n, sha256(string_agg(x, {between} ORDER BY id)) AS d FROM ({rows}) GROUP BY 1, 2"
+    return f"SELECT place_type, sha256(string_agg(d, {between} ORDER BY chunk)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM ({chunks}) GROUP BY 1"
+
+
+@query("hash_digest_set", twin("SELECT place_type, digest FROM (" + digest_sql("id::VARCHAR || chr(31) || name", "chr(30)") + ")"))
 def hash_digest_set(spark, d):
     """Digest of each group's rows in order; groups of places by type."""
-    rows = view(spark, d, "v_places").groupBy("place_type").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("r"))
-    return rows.select("place_type", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws("\x1f", x["id"].cast("string"), x["name"])), "\x1e"), 256).alias("digest"))
+    return ordered_digest(view(spark, d, "v_places"), ["place_type"], ["id"], F.concat_ws("\x1f", c("id").cast("string"), c("name")), between="\x1e")
 
 
 # geography ---------------------------------------------------------------------------------------------------------

@@ -10,7 +10,6 @@ from ..functions import classify, names, rights, temporal, text
 from ..operators import matching as op
 from .basics import STRIP, c, dice_sql, distance_sql, scalar, tokens_sql
 from .catalog import query
-from .discovery import distance_sql as _d  # noqa: F401
 from .substrate import PERIODS, twin, view
 
 
@@ -70,12 +69,6 @@ def names_distinct(spark, d):
     return view(spark, d, "v_names").select("id", names.distinct_things(names.analyse(c("name")), names.analyse(c("other"))).alias("apart"))
 
 
-@query("all_pairs_distinct", twin(f"SELECT id % 200 AS g, bool_and({DISTINCT}) AS apart FROM {SIDES} GROUP BY 1"))
-def all_pairs_distinct(spark, d):
-    pairs = view(spark, d, "v_names").select((c("id") % 200).alias("g"), F.array(names.analyse(c("name"))).alias("a"), F.array(names.analyse(c("other"))).alias("b"))
-    return pairs.groupBy("g").agg(F.bool_and(names.all_pairs_distinct(c("a"), c("b"))).alias("apart"))
-
-
 def sim_sql() -> str:
     dice = dice_sql("sa", "sb")
     inside = "len(list_intersect(ah, bh))::DOUBLE / least(len(list_distinct(ah)), len(list_distinct(bh)))"
@@ -88,11 +81,34 @@ def name_similarity(spark, d):
     return s.select("id", F.round("s.score", 6).alias("score"), F.round("s.containment", 6).alias("containment"), "s.carried")
 
 
-@query("best_name_similarity", twin(f"SELECT id % 200 AS g, round(max(greatest(dice, weighted)), 6) AS score FROM {sim_sql()} GROUP BY 1"))
-def best_name_similarity(spark, d):
-    s = view(spark, d, "v_names").select((c("id") % 200).alias("g"), names.best_similarity(F.array(names.analyse(c("name"))), F.array(names.analyse(c("other"))))["score"].alias("s"))
-    return s.groupBy("g").agg(F.round(F.max("s"), 6).alias("score"))
+def titles(view_name: str, p: str, columns: str = "title, alt_title") -> str:
+    """SQL of the analysed names of a view: one row a record and name, the main one first."""
+    every = f"(SELECT * FROM (SELECT id, unnest([1, 2]) AS i, unnest([{columns}]) AS name FROM {view_name}) WHERE name IS NOT NULL)"
+    return f"(SELECT id AS {p}id, i AS {p}i, {tokens_sql('head')} AS {p}h, has AS {p}has, CASE WHEN has THEN {tokens_sql('relation')} ELSE [] END AS {p}r, CASE WHEN has THEN {tokens_sql(OBJECT)} ELSE [] END AS {p}o, CASE WHEN street IS NULL THEN [] ELSE {NUMBERS} END AS {p}s FROM {analysed(every, 'name', ', i')})".replace(" AS as FROM", " AS as_ FROM")
+
+
+INSIDE = "len(list_intersect(ah, bh))::DOUBLE / least(len(list_distinct(ah)), len(list_distinct(bh)))"
+
+
+def name_scores(key: str, source: str) -> str:
+    """SQL of key, ai, bi, apart, dice and weighted of the pairs of names in source."""
+    both = f"SELECT {key}, ai, bi, {DISTINCT} AS apart, len(ah) = 0 OR len(bh) = 0 AS e, ah, bh, ahas OR bhas AS has, array_to_string(ah, ' ') AS sa, array_to_string(bh, ' ') AS sb FROM {source}"
+    return f"(SELECT *, CASE WHEN e THEN 0e0 ELSE {dice_sql('sa', 'sb')} END AS dice, CASE WHEN e THEN 0e0 ELSE {INSIDE} * CASE WHEN has THEN 0.7e0 ELSE 0.95e0 END END AS weighted FROM ({both}))"
+
 
+LISTS = name_scores("aid AS id", f"{titles('v_names', 'a', 'name, other')} JOIN {titles('(SELECT id - 1 AS id, name, other FROM v_names)', 'b', 'name, other')} ON bid = aid")
+
+
+def name_lists(spark, d):
+    """Two lists of analysed names for each id: its own two and those of the next."""
+    both = view(spark, d, "v_names").select("id", F.array(names.analyse(c("name")), names.analyse(c("other"))).alias("a"))
+    return both.join(both.select((c("id") - 1).alias("id"), c("a").alias("b")), "id")
+
+
+query("all_pairs_distinct", twin(f"SELECT id, bool_and(apart) AS apart FROM {LISTS} GROUP BY 1"))(lambda s, d: name_lists(s, d).select("id", names.all_pairs_distinct(c("a"), c("b")).alias("apart")))
+query("best_name_similarity", twin(f"SELECT id, round(max(greatest(dice, weighted)), 6) AS score FROM {LISTS} GROUP BY 1"))(
+    lambda s, d: name_lists(s, d).select("id", F.round(names.best_similarity(c("a"), c("b"))["score"], 6).alias("score"))
+)
 
 # classification ----------------------------------------------------------------------------------------------------
 
@@ -222,23 +238,46 @@ query("media_queue", twin(f"SELECT id, title, code, {STATE} AS state FROM {MEDIA
 
 # matching ----------------------------------------------------------------------------------------------------------
 
-NEAR = f"""near AS (SELECT k.id AS l, p.id AS r, {distance_sql('k.lng', 'k.lat', 'p.lng', 'p.lat')} AS metres, k.name AS ln, p.name AS rn, k.accuracy AS la, p.accuracy AS ra, k.place_type AS lt, p.place_type AS rt, k.type_confidence AS lc, p.type_confidence AS rc,
-    k.postcode AS lp, p.postcode AS rp, k.town AS lw, p.town AS rw, k.source_id AS ls, p.source_id AS rs, k.designation AS ld, p.designation AS rd FROM v_candidates k JOIN v_places p ON p.lat BETWEEN k.lat - 0.05e0 AND k.lat + 0.05e0 WHERE {distance_sql('k.lng', 'k.lat', 'p.lng', 'p.lat')} <= 5000)"""
+FIELDS_SQL = """k.id AS l, p.id AS r, k.accuracy AS la, p.accuracy AS ra, k.place_type AS lt, p.place_type AS rt, k.type_confidence AS lc, p.type_confidence AS rc,
+    k.postcode AS lp, p.postcode AS rp, k.town AS lw, p.town AS rw, k.source_id AS ls, p.source_id AS rs, k.designation AS ld, p.designation AS rd, k.title AS ln, p.title AS rn"""
+METRES = distance_sql("k.lng", "k.lat", "p.lng", "p.lat")
+NEAR = f"near AS (SELECT {FIELDS_SQL}, {METRES} AS metres FROM v_candidates k JOIN v_places p ON p.lat BETWEEN k.lat - 0.05e0 AND k.lat + 0.05e0 WHERE {METRES} <= 5000)"
+SHARED = f"shared AS (SELECT {FIELDS_SQL}, {METRES} AS metres FROM v_candidates k JOIN v_places p ON p.qid = k.qid)"
 CONFLICTS = f"concat_ws(',', CASE WHEN lc >= 0.7e0 AND NOT {compatible_sql('lt', 'rt')} THEN 'place_type' END, CASE WHEN metres > 500 THEN 'location' END, CASE WHEN lp <> rp THEN 'postcode' END)"
-PAIR = f"""pair AS (SELECT *, greatest(dice, inside * 0.95e0) AS sim, inside * 0.95e0 > dice AS carried FROM (SELECT *, {dice_sql('sa', 'sb')} AS dice, len(list_intersect(ah, bh))::DOUBLE / least(len(list_distinct(ah)), len(list_distinct(bh))) AS inside
-    FROM (SELECT *, {tokens_sql('ln')} AS ah, {tokens_sql('rn')} AS bh, array_to_string({tokens_sql('ln')}, ' ') AS sa, array_to_string({tokens_sql('rn')}, ' ') AS sb FROM near)))"""
+
+
+TITLES = f"ta AS {titles('v_candidates', 'a')}, tb AS {titles('v_places', 'b')}"
+
+
+def named(name: str, pairs: str) -> str:
+    """SQL of pairs with what their titles say: apart, sim and carried."""
+    best = f"SELECT l, r, bool_and(apart) AS apart, max(greatest(dice, weighted)) AS sim, arg_max(weighted > dice, (greatest(dice, weighted), -ai, -bi)) AS carried FROM {name_scores('l, r', f'{pairs} JOIN ta ON aid = l JOIN tb ON bid = r')} GROUP BY 1, 2"
+    return f"{name} AS (SELECT x.*, y.apart, y.sim, y.carried FROM {pairs} x JOIN ({best}) y ON y.l = x.l AND y.r = x.r)"
+
+
 RADIUS = "least(greatest(50e0, la, coalesce(ra, 0e0)), 150e0)"
 POST = "upper(regexp_replace({0}, '\\s+', '', 'g'))"
-SIGNALS = f"""sig AS (SELECT *, CASE WHEN metres <= radius THEN 0.45e0 WHEN metres <= 250 THEN 0.3e0 WHEN metres <= 1000 THEN 0.1e0 ELSE -0.1e0 END AS s_distance, CASE WHEN sim >= 0.92e0 THEN 0.4e0 WHEN sim >= 0.75e0 THEN 0.2e0 WHEN sim >= 0.55e0 THEN 0.05e0 ELSE -0.2e0 END AS s_name,
+GENERIC_PAIR = f"({GENERIC_SQL.format(tokens_sql('ln'))} AND {GENERIC_SQL.format(tokens_sql('rn'))})"
+REGISTER = "ls = rs AND l <> r AND ld = rd"
+SIGNALS = f"""sig AS (SELECT *, CASE WHEN metres <= radius THEN 0.45e0 WHEN metres <= 250 THEN 0.3e0 WHEN metres <= 1000 THEN 0.1e0 ELSE -0.1e0 END AS s_distance, CASE WHEN sim >= 0.92e0 THEN CASE WHEN generic THEN 0.1e0 ELSE 0.4e0 END WHEN sim >= 0.75e0 THEN 0.2e0 WHEN sim >= 0.55e0 THEN 0.05e0 ELSE -0.2e0 END AS s_name,
     CASE WHEN lc >= 0.7e0 AND rc >= 0.7e0 AND {compatible_sql('lt', 'rt')} THEN 0.1e0 WHEN lc >= 0.7e0 AND NOT {compatible_sql('lt', 'rt')} THEN -0.35e0 ELSE 0e0 END AS s_type,
     CASE WHEN lp IS NULL OR rp IS NULL THEN 0e0 WHEN {POST.format('lp')} = {POST.format('rp')} THEN 0.2e0 ELSE -0.15e0 END AS s_postcode, CASE WHEN lower(lw) = lower(rw) THEN 0.05e0 ELSE 0e0 END AS s_town,
-    ls = rs AND l <> r AND ld = rd AS register_veto, {CONFLICTS} AS conflicts, (ld IN {any_of(classify.AREAS)}) <> (rd IN {any_of(classify.AREAS)}) AS area FROM (SELECT *, {RADIUS} AS radius FROM pair)),
+    {REGISTER} AS register_veto, {CONFLICTS} AS conflicts, (ld IN {any_of(classify.AREAS)}) <> (rd IN {any_of(classify.AREAS)}) AS area FROM (SELECT *, {RADIUS} AS radius, {GENERIC_PAIR} AS generic FROM pair)),
     scored AS (SELECT *, greatest(0e0, least(1e0, s_distance + s_name + s_type + s_postcode + s_town)) AS score FROM sig)"""
-ALL = f"WITH {NEAR}, {PAIR}, {SIGNALS}"
+ALL = f"WITH {NEAR}, {TITLES}, {named('pair', 'near')}, {SIGNALS}"
+
+
+def records(spark, d, name: str):
+    """A view's records as the matcher takes them: named by their titles, with names analysed."""
+    return op.prepared(view(spark, d, name).withColumns({"name": c("title"), "alt_names": F.array_compact(F.array("alt_title"))}))
+
+
+def both_records(spark, d):
+    return records(spark, d, "v_candidates"), records(spark, d, "v_places")
 
 
 def signalled(spark, d):
-    return op.signals(op.pairs_of(view(spark, d, "v_candidates"), view(spark, d, "v_places")))
+    return op.signals(op.pairs_of(*both_records(spark, d)))
 
 
 def pair_query(name: str, columns: Callable[[], dict], sql: str, where: str = "", keep=None):
@@ -255,7 +294,8 @@ pair_query("name_signal", lambda: {"sim": F.round("sim.score", 6), "weight": c("
 pair_query("type_signal", lambda: {"weight": c("s_type")}, "s_type AS weight")
 pair_query("postcode_town_signal", lambda: {"postcode": c("s_postcode"), "town": c("s_town")}, "s_postcode AS postcode, s_town AS town")
 pair_query("register_veto", lambda: {"metres": F.round("metres", 3)}, "round(metres, 3) AS metres", "WHERE register_veto", lambda: c("register_veto"))
-pair_query("score_pair", lambda: {"score": F.round("score", 9)}, "round(score, 9) AS score", "WHERE NOT register_veto", lambda: ~c("register_veto"))
+pair_query("score_pair", lambda: {"score": F.round("score", 9)}, "round(score, 9) AS score", "WHERE NOT register_veto AND NOT apart", lambda: ~c("register_veto") & ~c("name_veto"))
+pair_query("name_veto", lambda: {"metres": F.round("metres", 3)}, "round(metres, 3) AS metres", "WHERE apart", lambda: c("name_veto"))
 pair_query("collect_conflicts", lambda: {"conflicts": F.array_join("conflicts", ",")}, "conflicts")
 pair_query("area_vs_structure", lambda: {"area": c("area")}, "area")
 
@@ -264,7 +304,7 @@ pair_query("area_vs_structure", lambda: {"area": c("area")}, "area")
 def distance_veto(spark, d):
     k, p = view(spark, d, "v_candidates"), view(spark, d, "v_places")
     sizes = k.agg(F.count(F.lit(1)).alias("a")).crossJoin(p.agg(F.count(F.lit(1)).alias("b")))
-    return op.pairs_of(k, p).agg(F.count(F.lit(1)).alias("kept")).crossJoin(sizes).select("kept", (c("a") * c("b") - c("kept")).alias("vetoed"))
+    return op.near_pairs(k, p, op.FARTHEST_M).agg(F.count(F.lit(1)).alias("kept")).crossJoin(sizes).select("kept", (c("a") * c("b") - c("kept")).alias("vetoed"))
 
 
 @query("shared_identifier", twin("SELECT k.id AS l, p.id AS r FROM v_candidates k JOIN v_places p ON k.qid = p.qid"))
@@ -283,14 +323,17 @@ def shortlist(spark, d):
 
 query("join_union_pairs", twin(UNION))(shortlist)
 query("union_shortlist", twin(f"SELECT l, count(*) AS candidates FROM ({UNION}) GROUP BY 1"))(lambda s, d: shortlist(s, d).groupBy("l").agg(F.count(F.lit(1)).alias("candidates")))
-DECIDED = f"""{ALL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM scored WHERE NOT register_veto),
+DECIDED = f"""{ALL}, {SHARED}, {named('told', 'shared')}, by_id AS (SELECT l, arg_min(outcome, r) AS outcome, min(r) AS matched, arg_min(confidence, r) AS confidence FROM (SELECT l, r, CASE WHEN apart THEN 'MATCH_REVIEW' WHEN {CONFLICTS} <> '' THEN 'CONFLICT_REVIEW' ELSE 'MATCH_CONFIDENT' END AS outcome,
+        CASE WHEN apart THEN 0.5e0 ELSE 1e0 END AS confidence FROM told WHERE NOT ({REGISTER})) GROUP BY 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS k FROM scored WHERE NOT register_veto AND NOT apart),
     best AS (SELECT b.*, s.score AS second FROM (SELECT * FROM ranked WHERE k = 1) b LEFT JOIN (SELECT l, score FROM ranked WHERE k = 2) s ON s.l = b.l),
-    decided AS (SELECT v.id, CASE WHEN score IS NULL OR score < 0.5e0 THEN 'NEW_CANONICAL' WHEN conflicts <> '' THEN 'CONFLICT_REVIEW' WHEN score >= 0.85e0 AND sim >= 0.9e0 AND NOT (second IS NOT NULL AND score - second < 0.1e0) AND NOT area AND NOT carried AND metres <= radius THEN 'MATCH_CONFIDENT' ELSE 'MATCH_REVIEW' END AS outcome,
-        CASE WHEN score >= 0.5e0 THEN r END AS matched, coalesce(score, 0e0) AS confidence FROM v_candidates v LEFT JOIN best ON best.l = v.id)"""
+    decided AS (SELECT v.id, coalesce(i.outcome, CASE WHEN score IS NULL OR score < 0.5e0 THEN 'NEW_CANONICAL' WHEN conflicts <> '' THEN 'CONFLICT_REVIEW' WHEN score >= 0.85e0 AND sim >= 0.9e0 AND NOT generic AND NOT (second IS NOT NULL AND score - second < 0.1e0) AND NOT area AND NOT carried AND metres <= radius THEN 'MATCH_CONFIDENT' ELSE 'MATCH_REVIEW' END) AS outcome,
+        coalesce(i.matched, CASE WHEN score >= 0.5e0 THEN r END) AS matched, coalesce(i.confidence, score, 0e0) AS confidence FROM v_candidates v LEFT JOIN best ON best.l = v.id LEFT JOIN by_id i ON i.l = v.id)"""
 
 
 def decided(spark, d):
-    return op.decisions(view(spark, d, "v_candidates"), signalled(spark, d))
+    candidates, places = both_records(spark, d)
+    return op.decisions(candidates, op.signals(op.pairs_of(candidates, places)), op.identified_pairs(candidates, places))
 
 
 query("match_decision", twin(f"{DECIDED} SELECT id, outcome, matched, round(confidence, 9) AS confidence FROM decided"))(lambda s, d: decided(s, d).withColumn("confidence", F.round("confidence", 9)))
@@ -308,8 +351,8 @@ query("publication_policy", twin(f"{DECIDED} SELECT id, {CLASS} AS class, CASE W
 query("review_cause", twin(f"{DECIDED} SELECT CASE WHEN outcome = 'CONFLICT_REVIEW' THEN 'sources disagree' WHEN outcome = 'MATCH_REVIEW' THEN 'not distinctive' ELSE 'none' END AS cause, count(*) AS n FROM decided GROUP BY 1"))(
     lambda s, d: decided(s, d).groupBy(F.when(c("outcome") == "CONFLICT_REVIEW", "sources disagree").when(c("outcome") == "MATCH_REVIEW", "not distinctive").otherwise("none").alias("cause")).agg(F.count(F.lit(1)).alias("n"))
 )
-query("match_work_stats", twin(f"{ALL} SELECT count(*) AS comparisons, count(*) FILTER (WHERE register_veto) AS by_register, count(*) FILTER (WHERE metres > 1000) AS beyond_1km FROM scored"))(
-    lambda s, d: signalled(s, d).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if("register_veto").alias("by_register"), F.count_if(c("metres") > 1000).alias("beyond_1km"))
+query("match_work_stats", twin(f"{ALL} SELECT count(*) AS comparisons, count(*) FILTER (WHERE register_veto) AS by_register, count(*) FILTER (WHERE apart AND NOT register_veto) AS by_name, count(*) FILTER (WHERE metres > 1000) AS beyond_1km FROM scored"))(
+    lambda s, d: signalled(s, d).agg(F.count(F.lit(1)).alias("comparisons"), F.count_if("register_veto").alias("by_register"), F.count_if(c("name_veto") & ~c("register_veto")).alias("by_name"), F.count_if(c("metres") > 1000).alias("beyond_1km"))
 )
 
 
@@ -320,23 +363,41 @@ def candidate_stats(spark, d):
     return op.near_pairs(k, p, op.FARTHEST_M).agg(F.count(F.lit(1)).alias("candidates")).crossJoin(sizes).select("possible", "candidates", F.round(1 - c("candidates") / c("possible"), 6).alias("pruned"))
 
 
-@query("exhaustive_vs_bounded", twin(f"WITH {NEAR} SELECT count(*) AS bounded, count(*) AS exhaustive, CAST(0 AS BIGINT) AS differences FROM near WHERE l % 10 = 0"))
+ASKED_AT_ONCE = 5_000
+
+
+@query("exhaustive_vs_bounded", twin(f"""WITH bounded AS (SELECT k.id AS l, p.id AS r FROM v_candidates k JOIN v_places p ON p.lat BETWEEN k.lat - 0.05e0 AND k.lat + 0.05e0 WHERE {METRES} <= 5000 AND k.id % 50 = 0),
+    every AS (SELECT k.id AS l, p.id AS r FROM v_candidates k, v_places p WHERE {METRES} <= 5000 AND k.id % 50 = 0)
+    SELECT (SELECT count(*) FROM bounded) AS bounded, (SELECT count(*) FROM every) AS exhaustive, (SELECT count(*) FROM (SELECT * FROM bounded EXCEPT SELECT * FROM every)) + (SELECT count(*) FROM (SELECT * FROM every EXCEPT SELECT * FROM bounded)) AS differences"""))
 def exhaustive_vs_bounded(spark, d):
-    """Pairs by blocking and by comparing a stated set of queries with all places; there must be no difference."""
+    """Pairs and decisions by blocking, and by comparing a stated set of queries with all places, in blocks; no decision may differ.
+
+    The queries are the candidates whose id is divisible by 50. A block of them is broadcast; its size is bounded.
+    """
     from ..functions import geo
 
-    k, p = view(spark, d, "v_candidates").filter("id % 10 = 0"), view(spark, d, "v_places")
-    bounded = op.near_pairs(k, p, op.FARTHEST_M).select("l", "r")
-    a, b = k.select(c("id").alias("l"), c("lng").alias("x"), c("lat").alias("y")), p.select(c("id").alias("r"), "lng", "lat")
-    every = b.join(F.broadcast(a), geo.haversine_m(c("x"), c("y"), c("lng"), c("lat")) <= op.FARTHEST_M).select("l", "r")
+    candidates, places = both_records(spark, d)
+    asked = candidates.filter("id % 50 = 0")
+    shared = op.identified_pairs(asked, places)
+    bounded = op.pairs_of(asked, places)
+    blocks = max(1, -(-view(spark, d, "v_candidates").filter("id % 50 = 0").count() // ASKED_AT_ONCE))
+    every = None
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        a = some.select(c("id").alias("l"), c("lng").alias("x"), c("lat").alias("y"), *[c(k).alias(f"l_{k}") for k in op.FIELDS])
+        b = places.select(c("id").alias("r"), "lng", "lat", *[c(k).alias(f"r_{k}") for k in op.FIELDS])
+        metres = geo.haversine_m(c("x"), c("y"), c("lng"), c("lat"))
+        found = b.join(F.broadcast(a), metres <= op.FARTHEST_M).withColumn("metres", metres).drop("x", "y", "lng", "lat")
+        every = found if every is None else every.unionByName(found)
+    one, two = op.decisions(asked, op.signals(bounded), shared), op.decisions(asked, op.signals(every), shared)
     count = lambda df, n: df.agg(F.count(F.lit(1)).alias(n))
-    odd = bounded.exceptAll(every).union(every.exceptAll(bounded))
+    odd = one.exceptAll(two).union(two.exceptAll(one))
     return count(bounded, "bounded").crossJoin(count(every, "exhaustive")).crossJoin(count(odd, "differences"))
 
 
 query("source_pair_relation", twin(f"WITH {NEAR} SELECT l, r, CASE WHEN ls IS NOT DISTINCT FROM rs THEN 'SAME_SOURCE' ELSE 'CROSS_SOURCE' END AS relation FROM near"))(
-    lambda s, d: op.pairs_of(view(s, d, "v_candidates"), view(s, d, "v_places")).select("l", "r", F.when(c("l_source_id").eqNullSafe(c("r_source_id")), "SAME_SOURCE").otherwise("CROSS_SOURCE").alias("relation"))
+    lambda s, d: op.near_pairs(view(s, d, "v_candidates"), view(s, d, "v_places"), op.FARTHEST_M, keep=("source_id",)).select("l", "r", F.when(c("l_source_id").eqNullSafe(c("r_source_id")), "SAME_SOURCE").otherwise("CROSS_SOURCE").alias("relation"))
 )
 query("same_source_overlap", twin(f"WITH {NEAR} SELECT l, r, CASE WHEN l = r THEN 'REPEATED_ENTRY' WHEN ld <> rd THEN 'MULTI_DESIGNATION' ELSE 'DISTINCT_ENTRIES' END AS overlap FROM near WHERE ls = rs"))(
-    lambda s, d: op.pairs_of(view(s, d, "v_candidates"), view(s, d, "v_places")).filter("l_source_id = r_source_id").select("l", "r", F.when(c("l") == c("r"), "REPEATED_ENTRY").when(c("l_designation") != c("r_designation"), "MULTI_DESIGNATION").otherwise("DISTINCT_ENTRIES").alias("overlap"))
+    lambda s, d: op.near_pairs(view(s, d, "v_candidates"), view(s, d, "v_places"), op.FARTHEST_M, keep=("source_id", "designation")).filter("l_source_id = r_source_id").select("l", "r", F.when(c("l") == c("r"), "REPEATED_ENTRY").when(c("l_designation") != c("r_designation"), "MULTI_DESIGNATION").otherwise("DISTINCT_ENTRIES").alias("overlap"))
 )

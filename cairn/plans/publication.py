@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import geo, names
 from ..operators import compare as cmp
 from ..operators import publish as op
+from ..operators.ranks import ordered_digest
 from ..operators.reports import unique_slugs
-from .basics import c, distance_sql
+from .basics import c, digest_sql, distance_sql
 from .catalog import query
 from .matching import compatible_sql
 from .substrate import twin, view
@@ -148,7 +149,7 @@ query("attach_by_source_record", twin("SELECT k.id, min(p.id) AS place_id FROM v
 )
 
 
-@query("preview_candidate")
+@query("preview_candidate", twin(f"""WITH {STAGED} SELECT id, '{{"action":"' || CASE WHEN {GATE} <> 'published' THEN {GATE} WHEN matched IS NULL THEN 'create' ELSE 'attach' END || '"' || coalesce(',"matched":' || matched, '') || ',"unresolved":' || unresolved || ',"blockers":[' || CASE WHEN unresolved > 0 THEN '"conflicts"' ELSE '' END || ']}}' AS preview FROM staged"""))
 def preview_candidate(spark, d):
     """What publishing each candidate would do, as a document; nothing is written."""
     s = staged(spark, d).withColumn("verdict", op.gate(None))
@@ -156,12 +157,62 @@ def preview_candidate(spark, d):
     return s.select("id", F.to_json(F.struct(action.alias("action"), "matched", "unresolved", F.filter(F.array(F.when(c("unresolved") > 0, "conflicts")), lambda x: x.isNotNull()).alias("blockers"))).alias("preview"))
 
 
-query("review_candidate", twin(f"WITH {STAGED} SELECT id, CASE WHEN published THEN 'refused' WHEN id % 2 = 0 THEN 'review:' || state || '->approved' ELSE 'review:' || state || '->rejected' END AS entry FROM staged"))(
-    lambda s, d: staged(s, d).select("id", F.when(c("published"), "refused").otherwise(F.concat(F.lit("review:"), "state", F.lit("->"), F.when(c("id") % 2 == 0, "approved").otherwise("rejected"))).alias("entry"))
+DECISION = "CASE action WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'needs_review' WHEN 'click' THEN 'approved' ELSE 'published' END"
+EDITORS = "('editor', 'moderator', 'admin')"
+DECISIONS = f"told AS (SELECT a.id AS decision_id, a.target_id AS candidate_id, {DECISION} AS decision, a.id % 1000 AS actor, coalesce(p.role IN {EDITORS}, false) AS editor, a.moment FROM v_audit a LEFT JOIN v_profiles p ON p.user_id = a.id % 1000)"
+REVIEWED = f"""{DECISIONS}, verdicts AS (SELECT d.*, s.state AS first, CASE WHEN NOT editor THEN 'refused: not an editor' WHEN decision NOT IN ('approved', 'rejected', 'needs_review') THEN 'refused: not a reviewer''s decision' WHEN s.id IS NULL THEN 'refused: no such candidate' WHEN s.published THEN 'refused: already published' END AS refused
+    FROM told d LEFT JOIN staged s ON s.id = d.candidate_id), replayed AS (SELECT *, coalesce(last_value(CASE WHEN refused IS NULL THEN decision END IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY moment, decision_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first) AS prior FROM verdicts)"""
+
+
+def decisions_asked(spark, d):
+    """Reviewers' decisions: one for each event, on the candidate it names, by an actor with a role."""
+    actions = {"purchase": "approved", "error": "rejected", "view": "needs_review", "click": "approved"}
+    chosen = F.coalesce(F.create_map(*[F.lit(x) for kv in actions.items() for x in kv])[c("action")], F.lit("published"))
+    roles = view(spark, d, "v_profiles").select(c("user_id").alias("actor"), c("role").isin("editor", "moderator", "admin").alias("editor"))
+    asked = view(spark, d, "v_audit").select(c("id").alias("decision_id"), c("target_id").alias("candidate_id"), chosen.alias("decision"), (c("id") % 1000).alias("actor"), "moment")
+    return asked.join(roles, "actor", "left").withColumn("editor", F.coalesce("editor", F.lit(False)))
+
+
+query("review_candidate", twin(f"WITH {STAGED}, {REVIEWED} SELECT decision_id, candidate_id, actor, refused IS NULL AS accepted, coalesce(refused, 'review:' || prior || '->' || decision) AS entry, CASE WHEN refused IS NULL THEN decision ELSE prior END AS state FROM replayed"))(
+    lambda s, d: op.review(staged(s, d), decisions_asked(s, d))
 )
-query("resolve_conflict", twin("SELECT id, place_id, CASE WHEN id % 4 = 0 THEN 'defer' WHEN id % 4 = 1 THEN 'keep_canonical' ELSE 'accept_source_value' END AS resolution, CASE WHEN id % 4 = 0 THEN 'needs_review' ELSE 'approved' END AS state FROM v_temporal WHERE status <> 'approved'"))(
-    lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").select("id", "place_id", F.when(c("id") % 4 == 0, "defer").when(c("id") % 4 == 1, "keep_canonical").otherwise("accept_source_value").alias("resolution"), F.when(c("id") % 4 == 0, "needs_review").otherwise("approved").alias("state"))
+OUTCOME = "CASE CAST(id % 6 AS INTEGER) WHEN 0 THEN 'keep_canonical' WHEN 1 THEN 'accept_source_value' WHEN 2 THEN 'keep_both' WHEN 3 THEN 'reject_source' WHEN 4 THEN 'defer' ELSE 'unheard_of' END"
+query("resolve_conflict", twin(f"""WITH {DECISIONS}, asked AS (SELECT decision_id, 1 + candidate_id % 400 AS conflict_id, {OUTCOME.replace('id % 6', 'decision_id % 6')} AS outcome, moment FROM told WHERE editor),
+    last AS (SELECT conflict_id, arg_max(outcome, (moment, decision_id)) AS outcome, count(*) AS n FROM asked WHERE outcome <> 'unheard_of' GROUP BY 1)
+    SELECT t.id, t.start_year AS existing_value, t.end_year AS incoming_value, outcome AS resolution, coalesce(n, 0) AS times, CASE WHEN outcome = 'accept_source_value' THEN t.end_year ELSE t.start_year END AS shown, CASE WHEN outcome IS NULL OR outcome = 'defer' THEN 'needs_review' ELSE 'approved' END AS state
+    FROM v_temporal t LEFT JOIN last ON conflict_id = t.id WHERE t.status <> 'approved'"""))(
+    lambda s, d: op.resolve(
+        view(s, d, "v_temporal").filter("status <> 'approved'").select("id", c("start_year").alias("existing_value"), c("end_year").alias("incoming_value")),
+        decisions_asked(s, d).select(c("decision_id").alias("resolution_id"), (1 + c("candidate_id") % 400).alias("conflict_id"), F.expr(OUTCOME.replace("id % 6", "decision_id % 6")).alias("outcome"), "editor", "moment"),
+    )
 )
+query("change_role", twin("""WITH asked AS (SELECT a.id AS change_id, a.id % 700 AS actor_id, a.target_id AS user_id, CASE WHEN a.id % 7 = 0 THEN 'owner' ELSE 'editor' END AS role FROM v_audit a),
+    told AS (SELECT x.*, u.role AS was, CASE WHEN u.role IS NULL THEN 'refused: no such user' WHEN x.actor_id = x.user_id THEN 'refused: own role' WHEN coalesce(a.role, '') <> 'admin' THEN 'refused: not an administrator' WHEN x.role = 'owner' THEN 'refused: no such role' ELSE 'changed' END AS verdict
+    FROM asked x LEFT JOIN v_profiles a ON a.user_id = x.actor_id LEFT JOIN v_profiles u ON u.user_id = x.user_id) SELECT change_id, user_id, verdict, CASE WHEN verdict = 'changed' THEN role ELSE was END AS role FROM told"""))(
+    lambda s, d: op.change_roles(view(s, d, "v_profiles"), view(s, d, "v_audit").select(c("id").alias("change_id"), (c("id") % 700).alias("actor_id"), c("target_id").alias("user_id"), F.when(c("id") % 7 == 0, "owner").otherwise("editor").alias("role")))
+)
+BADGES = (("first-steps", 1, None), ("explorer", 20, None), ("castles", 3, "castle"), ("churches", 4, "church"))
+query("badge_criteria", twin("""WITH visits AS (SELECT a.target_id AS user_id, p.id AS place_id, p.place_type FROM v_audit a JOIN v_places p ON p.id = a.id % 400 WHERE a.action = 'view'),
+    rules AS (SELECT * FROM (VALUES ('first-steps', 1, NULL), ('explorer', 20, NULL), ('castles', 3, 'castle'), ('churches', 4, 'church')) AS t(badge_id, place_count, kind))
+    SELECT user_id, badge_id FROM visits, rules WHERE kind IS NULL OR kind = place_type GROUP BY 1, 2, place_count HAVING count(DISTINCT place_id) >= place_count"""))(
+    lambda s, d: op.badges_earned(
+        view(s, d, "v_audit").filter("action = 'view'").select(c("target_id").alias("user_id"), (c("id") % 400).alias("place_id")).join(view(s, d, "v_places").select(c("id").alias("place_id"), "place_type"), "place_id"),
+        F.broadcast(s.createDataFrame([(a, n, k) for a, n, k in BADGES], "badge_id string, place_count int, place_type string")),
+    )
+)
+query("user_writes", twin("SELECT user_id, place_id, max(moment) AS moment, count(*) AS times FROM (SELECT target_id AS user_id, id % 300 AS place_id, moment FROM v_audit WHERE action IN ('signup', 'click')) GROUP BY 1, 2"))(lambda s, d: wishlist(s, d))
+
+
+def wishlist(spark, d):
+    """A wishlist after two rounds of writes: a wish that is there already is renewed, and its visits are counted."""
+    writes = view(spark, d, "v_audit").filter("action IN ('signup', 'click')").select(c("target_id").alias("user_id"), (c("id") % 300).alias("place_id"), "moment", "action")
+    key = ["user_id", "place_id"]
+    first = writes.filter("action = 'signup'").groupBy(*key).agg(F.max("moment").alias("moment"), F.count(F.lit(1)).alias("times"))
+    again = writes.filter("action = 'click'").groupBy(*key).agg(F.max("moment").alias("moment"), F.count(F.lit(1)).alias("times"))
+    known = again.join(first.select(*key, c("moment").alias("m"), c("times").alias("n")), key, "left")
+    return op.upsert(first, known.select(*key, F.greatest("moment", "m").alias("moment"), (c("times") + F.coalesce("n", F.lit(0))).alias("times")), key)
+
+
 query("review_queue", twin(f"SELECT k.id, p.name AS matched_name, coalesce(x.n, 0) AS unresolved, round({distance_sql('k.lng', 'k.lat', 'p.lng', 'p.lat')}, 3) AS metres FROM v_candidates k LEFT JOIN (SELECT * FROM v_places WHERE status = 'approved') p ON p.qid = k.qid LEFT JOIN (SELECT place_id, count(*) AS n FROM v_temporal WHERE status <> 'approved' GROUP BY 1) x ON x.place_id = k.id ORDER BY unresolved DESC, k.id LIMIT 200"))(
     lambda s, d: _queue(s, d)
 )
@@ -206,9 +257,11 @@ def src_sparql_collapse(spark, d):
     return items.select("entity_id", "first_value", "last_source", F.array_join(F.array_sort("p"), "|").alias("predicates"))
 
 
-query("checksum_manifest", twin("SELECT place_type, sha256(string_agg(slug, chr(10) ORDER BY id)) AS digest, count(*) AS n FROM v_places GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_places").groupBy("place_type").agg(F.array_sort(F.collect_list(F.struct("id", "slug"))).alias("r"), F.count(F.lit(1)).alias("n")).select("place_type", F.sha2(F.array_join(F.transform("r", lambda x: x["slug"]), "\n"), 256).alias("digest"), "n")
-)
+@query("checksum_manifest", twin(digest_sql("slug", "chr(10)")))
+def checksum_manifest(spark, d):
+    """Digest of the slugs of each type's places in order, and how many there are."""
+    places = view(spark, d, "v_places")
+    return ordered_digest(places, ["place_type"], ["id"], c("slug")).join(places.groupBy("place_type").agg(F.count(F.lit(1)).alias("n")), "place_type")
 
 
 @query("tier_multiset_prefix", twin("SELECT id, target_id FROM (SELECT id, target_id, row_number() OVER (PARTITION BY target_id ORDER BY id) AS k FROM v_audit) a JOIN (SELECT target_id AS t, count(*) AS need FROM v_audit WHERE id < 3000 GROUP BY 1) m ON m.t = a.target_id WHERE k <= need"))
@@ -220,32 +273,39 @@ def tier_multiset_prefix(spark, d):
     return numbered.join(need, c("target_id") == c("t")).filter("k <= need").select("id", "target_id")
 
 
-def register_layers(spark, path: str):
-    """Features of a register's layer file: one row each, those without a whole-number entry or a name left out."""
+def register_layers(spark, path: str, lines: bool = False):
+    """Features of register layer files (a document each, or one a line): one row each, those without a whole-number entry or a name left out."""
+    from ..sources.remote import register_entries
+
     schema = "layers array<struct<layerId int, layerName string, features array<struct<attributes map<string, string>>>>>"
-    layers = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("layers").alias("l"))
-    rows = layers.select("l.layerId", "l.layerName", F.explode("l.features.attributes").alias("a"))
-    return rows.filter(c("a.ListEntry").rlike(r"^\d+$") & (F.trim(c("a.Name")) != "")).select("layerId", "layerName", c("a.ListEntry").cast("long").alias("entry"), c("a.Name").alias("name"), "a")
+    layers = spark.read.schema(schema).json(path, multiLine=not lines).select(F.explode("layers").alias("l"))
+    rows = layers.select(c("l.layerId").alias("layer"), F.explode("l.features.attributes").alias("a")).select("layer", F.to_json("a").alias("attributes"))
+    return register_entries(rows)
 
 
-@query("src_nhle_layers")
+@query("src_nhle_layers", twin("SELECT CASE WHEN id % 2 = 0 THEN 0 ELSE 6 END AS layer, id AS entry, name FROM v_names WHERE id % 5 <> 0"))
 def src_nhle_layers(spark, d):
-    """The reader on a small layer file, written to the shared folder by Spark itself."""
-    layer = {"layers": [{"layerId": 0, "layerName": "Listed", "features": [{"attributes": {"ListEntry": "100", "Name": "HALL"}}, {"attributes": {"ListEntry": "x", "Name": "Y"}}, {"attributes": {"ListEntry": "7", "Name": " "}}]}]}
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-layers-")
-    path = f"{shared}/cairn/layers"
-    spark.createDataFrame([(json.dumps(layer),)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return register_layers(spark, path).select("layerId", "layerName", "entry", "name")
+    """The reader on layer files: the names are written as a register's layers and read again, those of a bad entry left out."""
+    from ..operators.checkpoints import shared_folder
+
+    entry = F.when(c("id") % 5 == 0, F.concat(F.lit("x"), "id")).otherwise(c("id").cast("string"))
+    features = view(spark, d, "v_names").groupBy((c("id") % 2).alias("odd"), F.floor(c("id") / 1000)).agg(F.collect_list(F.struct(F.struct(entry.alias("ListEntry"), c("name").alias("Name")).alias("attributes"))).alias("features"))
+    layer = F.struct(F.when(c("odd") == 0, 0).otherwise(6).alias("layerId"), F.lit("entries").alias("layerName"), "features")
+    path = f"{shared_folder(spark)}/cairn-layers-{uuid.uuid4().hex}"
+    features.select(F.to_json(F.struct(F.array(layer).alias("layers")))).write.text(path)
+    return register_layers(spark, path, lines=True).select("layer", "entry", "name")
 
 
-@query("src_contract")
+@query("src_contract", twin("""SELECT 'events' AS source, count(*) AS records, CAST(0 AS BIGINT) AS in_box FROM events UNION ALL SELECT 'orders', count(*), 0 FROM orders
+    UNION ALL SELECT 'customers', count(*), count(*) FILTER (WHERE lng BETWEEN -2e0 AND -1e0 AND lat BETWEEN 53.5e0 AND 54e0) FROM v_places"""))
 def src_contract(spark, d):
-    """The registered sources, each with its rows read through the common contract."""
+    """The registered sources, each with its rows read through the common contract, and those in a box."""
     from ..sources import SOURCES
 
     out = None
     for name, reader in SOURCES.items():
-        part = reader(spark, {"dir": d}).agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("source"), "records")
+        count = lambda options, n: reader(spark, {"dir": d} | options).agg(F.count(F.lit(1)).alias(n))  # noqa: B023, E731
+        part = count({}, "records").crossJoin(count({"box": (-2.0, 53.5, -1.0, 54.0)}, "in_box")).select(F.lit(name).alias("source"), "records", "in_box")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -273,18 +333,11 @@ def normalise_wikidata(spark, d):
 
 @query("sequential_resolution")
 def sequential_resolution(spark, d):
-    """Records decided in order against those that became canonical before them."""
-    from ..functions.text import dice, normalise_name
-    from ..operators.blocking import near_pairs
+    """Records decided in order against those that became canonical before them, by the matcher's own score."""
     from ..operators.matching import resolve_in_order
-    from ..operators.components import components
-
-    rows = view(spark, d, "v_candidates")
-    pairs = near_pairs(rows, rows, 1500.0, keep=("place_type", "name")).filter("l > r")
-    score = F.when(c("metres") <= 150, 0.45).when(c("metres") <= 250, 0.3).otherwise(0.1) + F.when(c("l_place_type") == c("r_place_type"), 0.1).otherwise(0.0) + 0.4 * dice(normalise_name(c("l_name")), normalise_name(c("r_name")))
-    scored = pairs.select("l", "r", score.alias("score"))
-    linked = components(scored.filter("score >= 0.4").select(c("l").alias("a"), c("r").alias("b")))
-    return resolve_in_order(rows, scored, linked)
+    from .matching import records
+
+    return resolve_in_order(records(spark, d, "v_candidates")).select("id", "outcome", "matched")
 
 
 @query("validate_search")

@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import ranks
 from ..operators import reports as op
 from ..operators import visibility as vis
 from .basics import c
 from .catalog import query
-from .substrate import twin, view
+from .substrate import DESIGNATIONS, twin, view
+
+LISTED = "(" + ", ".join(f"'{x}'" for x in DESIGNATIONS) + ")"
 
 
 # aggregates --------------------------------------------------------------------------------------------------------
@@ -29,11 +32,11 @@ def agg_filter_clause(spark, d):
 
 
 query("agg_percentile_cont", twin("SELECT action, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM v_audit GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_audit").groupBy("action").agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95"))
+    lambda s, d: ranks.interpolated(view(s, d, "v_audit"), ["action"], "value", {"p50": 50, "p95": 95})
 )
 RANKED = "SELECT action, value, row_number() OVER (PARTITION BY action ORDER BY value) AS rn, count(*) OVER (PARTITION BY action) AS n FROM v_audit WHERE value IS NOT NULL"
 query("agg_nearest_rank", twin(f"SELECT action, max(CASE WHEN rn = ceil(0.5e0 * n) THEN value END) AS p50, max(CASE WHEN rn = ceil(0.95e0 * n) THEN value END) AS p95 FROM ({RANKED}) GROUP BY 1"))(
-    lambda s, d: op.nearest_rank(view(s, d, "v_audit"), ["action"], "value", {"p50": 50, "p95": 95})
+    lambda s, d: ranks.nearest_rank(view(s, d, "v_audit"), ["action"], "value", {"p50": 50, "p95": 95})
 )
 query("agg_min_max_avg_sum", twin("SELECT action, min(value) AS lo, max(value) AS hi, round(avg(value), 3) AS mean, round(sum(value), 3) AS total FROM v_audit GROUP BY 1"))(
     lambda s, d: view(s, d, "v_audit").groupBy("action").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 3).alias("mean"), F.round(F.sum("value"), 3).alias("total"))
@@ -46,7 +49,7 @@ query("agg_string_distinct", twin("SELECT place_id, string_agg(designation, ', '
 )
 
 
-@query("agg_json")
+@query("agg_json", twin("SELECT '{\"types\":{' || (SELECT string_agg('\"' || place_type || '\":' || n, ',' ORDER BY place_type) FROM (SELECT place_type, count(*) AS n FROM v_places GROUP BY 1)) || '},\"statuses\":{' || (SELECT string_agg('\"' || status || '\":' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM v_places GROUP BY 1)) || '}}' AS report"))
 def agg_json(spark, d):
     """One nested document of counts by type and by status."""
     places = view(spark, d, "v_places")
@@ -61,7 +64,7 @@ query("agg_having", twin("SELECT count(*) AS unresolved FROM v_temporal WHERE st
     lambda s, d: view(s, d, "v_temporal").filter("status <> 'approved'").agg(F.count(F.lit(1)).alias("unresolved")).filter("unresolved > 0")
 )
 query("agg_two_level", twin("SELECT max(p95) AS worst FROM (SELECT target_id % 50 AS g, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM v_audit GROUP BY 1)"))(
-    lambda s, d: view(s, d, "v_audit").groupBy((c("target_id") % 50).alias("g")).agg(F.percentile("value", F.lit(0.95)).alias("p95")).agg(F.max("p95").alias("worst"))
+    lambda s, d: ranks.interpolated(view(s, d, "v_audit").select((c("target_id") % 50).alias("g"), "value"), ["g"], "value", {"p95": 95}).agg(F.max("p95").alias("worst"))
 )
 query("agg_ratio", twin("SELECT predicate, round(count(DISTINCT entity_id) * 1e0 / greatest(count(*), 1), 4) AS ratio FROM v_claims GROUP BY 1"))(
     lambda s, d: view(s, d, "v_claims").groupBy("predicate").agg(F.round(F.countDistinct("entity_id") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("ratio"))
@@ -71,10 +74,11 @@ query("agg_histogram_normalised_reason", twin("SELECT regexp_replace(action || '
 )
 
 
-@query("agg_payload_bytes")
+@query("agg_payload_bytes", twin("""SELECT town, CAST(sum(strlen('{"id":' || id || ',"name":"' || name || '","lng":"' || printf('%.4f', lng) || '","lat":"' || printf('%.4f', lat) || '"}') + 1) + 1 AS BIGINT) AS bytes FROM v_places GROUP BY 1"""))
 def agg_payload_bytes(spark, d):
-    """Bytes of each town's places as JSON."""
-    return view(spark, d, "v_places").groupBy("town").agg(F.octet_length(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name", "lng", "lat"))))).cast("long").alias("bytes"))
+    """Bytes of each town's places as a JSON array: those of its elements, the commas between and the brackets."""
+    element = F.to_json(F.struct("id", "name", F.format_string("%.4f", "lng").alias("lng"), F.format_string("%.4f", "lat").alias("lat")))
+    return view(spark, d, "v_places").groupBy("town").agg((F.sum(F.octet_length(element) + 1) + 1).cast("long").alias("bytes"))
 
 
 query("agg_share", twin("SELECT action AS cause, count(*) AS n, round(count(*) * 1e0 / (SELECT count(*) FROM v_audit), 4) AS share, arg_min(target_id, id) AS example FROM v_audit GROUP BY 1"))(
@@ -97,7 +101,7 @@ query("win_first_wins", twin("SELECT entity_id, predicate, arg_min(value, (ordin
 query("win_slug_suffix", twin("SELECT id, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM (SELECT id, regexp_replace(lower(place_type || '-' || town), '[^a-z0-9]+', '-', 'g') AS base FROM v_places))"))(
     lambda s, d: op.unique_slugs(view(s, d, "v_places").select("id", text.slugify(F.concat_ws("-", "place_type", "town")).alias("base")), "base", "id").select("id", "slug")
 )
-query("win_even_sample", twin("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM v_places) WHERE rn IN (SELECT CAST(floor(i * 1500 / 40e0) AS BIGINT) FROM (SELECT unnest(range(0, 40)) AS i))"))(
+query("win_even_sample", twin("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM v_places) WHERE n <= 40 OR rn IN (SELECT CAST(floor(i * (SELECT count(*) FROM v_places) / 40e0) AS BIGINT) FROM (SELECT unnest(range(0, 40)) AS i))"))(
     lambda s, d: op.even_sample(view(s, d, "v_places").select("id"), "id", 40)
 )
 TIERS = "SELECT year(moment) * 100 + month(moment) AS tier, count(*) AS n FROM v_audit GROUP BY 1"
@@ -224,21 +228,20 @@ query("review_pressure", twin("SELECT date_precision AS cause, count(*) AS n, ro
     lambda s, d: op.histogram(view(s, d, "v_temporal").filter("status <> 'approved'"), c("date_precision"), "cause").withColumn("hours", F.round(c("n") * 2.0 / 60, 2))
 )
 query("timing_stats", twin(f"SELECT a.action, round(a.mean, 6) AS mean, a.worst, b.p50, b.p99 FROM (SELECT action, avg(value) AS mean, max(value) AS worst FROM v_audit GROUP BY 1) a JOIN (SELECT action, max(CASE WHEN rn = ceil(0.5e0 * n) THEN value END) AS p50, max(CASE WHEN rn = ceil(0.99e0 * n) THEN value END) AS p99 FROM ({RANKED}) GROUP BY 1) b ON a.action = b.action"))(
-    lambda s, d: view(s, d, "v_audit").groupBy("action").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("worst")).join(op.nearest_rank(view(s, d, "v_audit"), ["action"], "value", {"p50": 50, "p99": 99}), "action")
+    lambda s, d: view(s, d, "v_audit").groupBy("action").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("worst")).join(ranks.nearest_rank(view(s, d, "v_audit"), ["action"], "value", {"p50": 50, "p99": 99}), "action")
 )
 query("commons_projection", twin("SELECT lang AS category, count(*) AS files, round(count(*) / 14.2e0 / 60, 4) AS hours FROM documents GROUP BY 1"))(
     lambda s, d: op.histogram(view(s, d, "documents"), c("lang"), "category").select("category", c("n").alias("files"), F.round(c("n") / 14.2 / 60, 4).alias("hours"))
 )
 
 
-@query("enum_parity")
+@query("enum_parity", twin(f"SELECT designation, 'used' AS only FROM (SELECT DISTINCT designation FROM v_designations WHERE designation NOT IN {LISTED}) UNION ALL SELECT x, 'listed' FROM (SELECT unnest([{LISTED[1:-1]}]) AS x) WHERE x NOT IN (SELECT designation FROM v_designations WHERE id % 2 = 0)"))
 def enum_parity(spark, d):
-    """Values that only one of two vocabularies has."""
-    from .substrate import DESIGNATIONS
-
+    """Values that only one of two vocabularies has: the registry, and the designations of entries with an even id."""
     listed = spark.createDataFrame([(x,) for x in DESIGNATIONS], "designation string")
-    used = view(spark, d, "v_designations").select("designation").distinct()
-    return used.exceptAll(listed).withColumn("only", F.lit("used")).unionByName(listed.exceptAll(used).withColumn("only", F.lit("listed")))
+    entries = view(spark, d, "v_designations")
+    used, even = entries.select("designation").distinct(), entries.filter("id % 2 = 0").select("designation").distinct()
+    return used.exceptAll(listed).withColumn("only", F.lit("used")).unionByName(listed.exceptAll(even).withColumn("only", F.lit("listed")))
 
 
 @query("storage_stats")

@@ -62,6 +62,8 @@ def _forms(forms, key: str, name: str) -> str:
     return f"CASE {key} % {len(forms)} " + " ".join(f"WHEN {i} THEN {concat(f)}" for i, f in enumerate(forms)) + " END"
 
 
+#: What a place's title is made with; some neighbours share it.
+STEM = "'Ash' || CAST(c_custkey % 97 AS STRING)"
 YEAR = "-800 + CAST((o_orderkey * 37) % 2800 AS INT)"
 VIEWS = {
     "v_places": f"""SELECT c_custkey AS id, c_name AS name, lower(replace(c_name, '#', '-')) AS slug,
@@ -71,7 +73,8 @@ VIEWS = {
         CAST(5 + c_custkey % 300 AS DOUBLE) AS accuracy, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'surviving' ELSE 'ruined' END AS survival_status,
         'Town ' || c_nationkey AS town, c_mktsegment AS county, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS cost, c_custkey % 1000 AS owner_id,
         CASE WHEN c_custkey % 4 <> 0 THEN 0.9e0 ELSE 0.5e0 END AS type_confidence, CASE WHEN c_custkey % 5 = 0 THEN 'ls1 ' || c_custkey % 9 || 'ab' ELSE NULL END AS postcode,
-        CASE WHEN c_custkey % 12 = 0 THEN 'Q' || c_custkey ELSE NULL END AS qid, c_custkey % 3 AS source_id, {case('c_custkey % 8', DESIGNATIONS)} AS designation FROM {{customer}}""",
+        CASE WHEN c_custkey % 12 = 0 THEN 'Q' || c_custkey ELSE NULL END AS qid, c_custkey % 3 AS source_id, {case('c_custkey % 8', DESIGNATIONS)} AS designation,
+        {_forms(NAME_FORMS, 'c_custkey', STEM)} AS title, CASE WHEN c_custkey % 7 = 0 THEN {STEM} || ' Manor' ELSE NULL END AS alt_title FROM {{customer}}""",
     "v_designations": f"""SELECT o_orderkey AS id, o_custkey AS place_id, {case('o_orderkey % 8', DESIGNATIONS)} AS designation,
         {case('o_orderkey % 4', ('I', 'II*', 'II'))} AS grade, o_orderdate AS created_at, CAST(1000000 + o_orderkey AS STRING) AS reference FROM {{orders}}""",
     "v_temporal": f"""SELECT o_orderkey AS id, o_custkey AS place_id, CASE WHEN o_orderkey % 2 = 0 THEN 'built' ELSE 'occupied' END AS association_type,
@@ -105,7 +108,8 @@ VIEWS = {
     "v_candidates": f"""SELECT c_custkey AS id, c_name AS name, -2.6e0 + ((c_custkey * 7919) % 30000) / 10000e0 + ((c_custkey % 41) - 20) / 5000e0 AS lng, 53.2e0 + ((c_custkey * 10473) % 16000) / 10000e0 + ((c_custkey % 29) - 14) / 5000e0 AS lat,
         {case('(c_nationkey + c_custkey % 2) % 6', ('castle', 'church', 'monument', 'building', 'industrial_site', 'unknown'))} AS place_type, CASE WHEN c_custkey % 3 = 0 THEN 0.9e0 ELSE 0.5e0 END AS type_confidence, CAST(5 + c_custkey % 200 AS DOUBLE) AS accuracy,
         CASE WHEN c_custkey % 4 = 0 THEN 'LS1 ' || c_custkey % 9 || 'AB' ELSE NULL END AS postcode, 'town ' || c_nationkey AS town, c_custkey % 2 AS source_id, CASE WHEN c_custkey % 6 = 0 THEN 'Q' || c_custkey ELSE NULL END AS qid,
-        {case('(c_custkey + c_nationkey % 2) % 8', DESIGNATIONS)} AS designation FROM {{customer}}""",
+        {case('(c_custkey + c_nationkey % 2) % 8', DESIGNATIONS)} AS designation,
+        {_forms(NAME_FORMS, '(c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END)', STEM)} AS title, CASE WHEN c_custkey % 11 = 0 THEN {STEM} || ' Manor' ELSE NULL END AS alt_title FROM {{customer}}""",
 }
 
 

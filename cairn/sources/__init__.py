@@ -37,7 +37,16 @@ def orders(spark: SparkSession, options: dict) -> DataFrame:
     return narrowed(rows.select(F.lit("orders").alias("source_id"), F.col("o_orderkey").cast("string").alias("source_record_id"), F.col("o_orderpriority").alias("name"), none.alias("lng"), none.alias("lat"), F.col("o_orderdate").alias("modified")), options)
 
 
-SOURCES: dict[str, Reader] = {"events": events, "orders": orders}
+def customers(spark: SparkSession, options: dict) -> DataFrame:
+    """Records with positions: where each customer is put on the map."""
+    key = F.col("c_custkey")
+    lng, lat = F.lit(-2.6) + key * 7919 % 30000 / 10000.0, F.lit(53.2) + key * 10473 % 16000 / 10000.0
+    rows = spark.read.parquet(f"{options['dir']}/customer.parquet")
+    seen = F.timestamp_seconds(F.lit(1_700_000_000) + key * 3600)
+    return narrowed(rows.select(F.lit("customers").alias("source_id"), key.cast("string").alias("source_record_id"), F.col("c_name").alias("name"), lng.alias("lng"), lat.alias("lat"), seen.alias("modified")), options)
+
+
+SOURCES: dict[str, Reader] = {"events": events, "orders": orders, "customers": customers}
 
 
 def write_staging(df: DataFrame, path: str, form: str = "parquet") -> None:
@@ -49,3 +58,8 @@ def write_staging(df: DataFrame, path: str, form: str = "parquet") -> None:
 def read_staging(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
     reader = spark.read.schema(schema)
     return reader.csv(path, header=True, quote='"', escape='"') if form == "csv" else reader.parquet(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Report sink: a report of a few rows as one file of JSON lines."""
+    df.coalesce(1).write.mode("errorifexists").json(path)

@@ -36,11 +36,7 @@ def in_order(rows):
     return sorted(rows, key=lambda r: [(v is None, str(type(v)), v if v is not None else 0) for v in r])
 
 
-#: Queries whose oracle has figures of the larger tables in it.
-FIXED_SIZE = {"win_even_sample"}
-
-
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - FIXED_SIZE))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_its_oracle(spark, oracle, name):
     df = QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
