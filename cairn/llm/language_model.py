@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, WordHashes, mix
 
+ORDER = 3
 TOKENS_A_BATCH = 1_500_000
 #: Counts up to DISCOUNTED are discounted; a history is hot if it holds 1 / HOT of all tokens, so at most HOT are.
 DISCOUNTED, HOT = 5, 1000
@@ -99,13 +100,12 @@ def _encoded(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return rows.mapInPandas(scan, "batch long, n_train long, end long, docs binary, held binary, lens binary, ids binary, vocab binary, train binary")
 
 
-def _by_part(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, its rows in order) of the parts that have rows."""
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for g in range(parts):
-        if edges[g] < edges[g + 1]:
-            yield g, order[edges[g] : edges[g + 1]]
+    for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(at):
+            yield int(part[at[0]]), at
 
 
 def _word_requests(batches: DataFrame, parts: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _word_requests(batches: DataFrame, parts: int) -> DataFrame:
             for r in frame.itertuples():
                 vocab, train = unpack(r.vocab), unpack(r.train)
                 part = (vocab.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at]), pack(at)) for g, at in _by_part(part, parts)], columns=["part", "batch", "a", "b", "c"])
+                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at]), pack(at)) for g, at in _by_part(part)], columns=["part", "batch", "a", "b", "c"])
 
     return batches.select("batch", "vocab", "train").mapInPandas(scan, "part long, batch long, a binary, b binary, c binary")
 
@@ -149,96 +149,177 @@ def _word_counter(parts: int):
     return count
 
 
-class _Batch:
-    """A batch with its words' answers: pairs (history, word) by local numbers, in the order of the requests."""
+def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows given by columns, and a number for each row that equal rows share, ascending in that order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    return order, number
 
-    def __init__(self, row, answers: pd.DataFrame, parts: int, hot: int):
+
+class _Words:
+    """A batch's texts by local word numbers, with what the word table says of the words."""
+
+    def __init__(self, row, answers: pd.DataFrame):
         self.docs, self.held, self.lens, self.ids = unpack(row.docs), unpack(row.held).astype(bool), unpack(row.lens), unpack(row.ids)
-        size = int(self.ids.max()) + 1
-        self.number, self.count = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for r in answers.itertuples():
-            if r.kind == "word_answer":
-                at = unpack(r.c)
-                self.number[at], self.count[at] = unpack(r.a), unpack(r.b)
-        before = np.append(0, self.ids[:-1])
-        starts = np.append(0, np.cumsum(self.lens)[:-1])
-        before[starts] = row.end
-        pairs, self.pair_of = np.unique(before * size + self.ids, return_inverse=True)
-        self.h, self.w = pairs // size, pairs % size
-        self.asked = self.count[self.h] > 0  # a known history is asked for even if the word is unknown
-        self.hot = self.count[self.h] >= hot
-        h, w = self.number[self.h], self.number[self.w]
-        spread = _hash_of(h + np.where(self.hot, w * 1_000_003 + 1, 0))
-        part = np.where(self.asked, (spread % np.uint64(parts)).astype(np.int64), parts)
-        order = np.lexsort((w, h, part))
-        cut = np.searchsorted(part[order], np.arange(parts + 1))
-        self.requests = [(g, order[cut[g] : cut[g + 1]]) for g in range(parts) if cut[g] < cut[g + 1]]
-        self.token_held = np.repeat(self.held, self.lens)
-        trained = np.bincount(self.pair_of[~self.token_held], minlength=len(pairs))
-        self.trained = trained
-        # histories whose backoff weight the batch may need: those of pairs it has in held-out texts
-        self.wanted = np.zeros(size, bool)
-        self.wanted[self.h[np.bincount(self.pair_of[self.token_held], minlength=len(pairs)) > 0]] = True
-
-    def runs(self, at: np.ndarray) -> np.ndarray:
-        """First of each run of one history among the pairs of a request."""
+        self.batch, self.size = row.batch, int(self.ids.max()) + 1
+        self.number, self.count = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
+        for r in answers[answers["kind"] == "word_answer"].itertuples():
+            at = unpack(r.c)
+            self.number[at], self.count[at] = unpack(r.a), unpack(r.b)
+        self.starts = np.append(0, np.cumsum(self.lens)[:-1])
+        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, self.lens)
+        self.before = np.append(0, self.ids[:-1])
+        self.before[self.starts] = row.end
+        self.held_token = np.repeat(self.held, self.lens)
+
+
+class _Grams:
+    """The distinct m-grams of a batch, each a history and a word, and the requests that ask the parts for their counts.
+
+    A history is a word (m = 2) or a gram of the level below; a token has a gram if so many tokens stand before it,
+    counting the one that ends texts, before the first. Histories that training lacks are not asked for.
+    """
+
+    def __init__(self, words: _Words, m: int, below: _Grams | None, parts: int, hot: int):
+        self.words, self.m, self.below = words, m, below
+        self.tokens = np.flatnonzero(words.place >= m - 2)
+        h = words.before if below is None else np.append(-1, below.gram_of[:-1])
+        grams, gram = np.unique(h[self.tokens] * words.size + words.ids[self.tokens], return_inverse=True)
+        self.h, self.w = grams // words.size, grams % words.size
+        self.gram_of = np.full(len(words.ids), -1)
+        self.gram_of[self.tokens] = gram
+        under = words.ids if below is None else below.gram_of
+        self.lower = np.empty(len(grams), np.int64)  # the same gram without its first word, a level below
+        self.lower[gram] = under[self.tokens]
+        if below is None:
+            self.history, self.count, self.lower_count = [words.number], words.count, words.count[self.lower]
+            self.under = np.zeros(words.size, np.int64)
+        else:
+            self.history = [*(x[below.h] for x in below.history), words.number[below.w]]
+            self.count, self.lower_count = below.seen, below.seen[self.lower]
+            self.under = np.zeros(len(below.h), np.int64)  # what a history's lower grams are divided by
+            self.under[self.h] = below.divisor[below.h[self.lower]]
+        self.trained = np.bincount(gram[~words.held_token[self.tokens]], minlength=len(grams))
+        self.wanted = np.zeros(len(self.count), bool)  # histories whose backoff weight held-out texts may need
+        self.wanted[self.h[gram[words.held_token[self.tokens]]]] = True
+        number = words.number[self.w]
+        spread = np.zeros(len(self.count), np.uint64)
+        for x in self.history:
+            spread = _hash_of(spread + x.view(np.uint64))
+        spread = spread[self.h] + np.where(self.count[self.h] >= hot, number * 1_000_003 + 1, 0).astype(np.uint64)
+        asked = np.flatnonzero(self.count[self.h] > 0)
+        part = (_hash_of(spread[asked]) % np.uint64(parts)).astype(np.int64)
+        rank = _order(self.history)[1]
+        order = np.lexsort((number[asked], rank[self.h[asked]], part))
+        self.requests = [(g, asked[order][at]) for g, at in _by_part(part[order])]
+
+    def heads(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The histories of a request, and where each one's run of grams starts."""
         h = self.h[at]
-        return np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        return h[first], first
+
+    def asks(self) -> list[tuple]:
+        made = []
+        for g, at in self.requests:
+            heads, first = self.heads(at)
+            cells = (np.concatenate([x[heads] for x in self.history]), np.diff(np.append(first, len(at))), self.count[heads], self.wanted[heads].astype(np.int64), self.under[heads])
+            made.append((g, self.words.batch, *map(pack, cells), *map(pack, (self.words.number[self.w[at]], self.lower_count[at], self.trained[at]))))
+        return made
+
+    def told(self, answers: pd.DataFrame, hot: int, hot_sums: dict, d: np.ndarray) -> None:
+        """Takes the parts' answers: counts of the grams, divisors and backoff weights of the histories."""
+        self.seen = np.zeros(len(self.h), np.int64)
+        extra, self.backoff = np.zeros(len(self.count), np.int64), np.ones(len(self.count))
+        by_part = {x.part: x for x in answers[answers["kind"] == f"answer{self.m}"].itertuples()}
+        for g, at in self.requests:
+            x, heads = by_part[g], self.heads(at)[0]
+            self.seen[at] = unpack(x.a)
+            cold = self.count[heads] < hot
+            extra[heads[cold]] = unpack(x.b)[cold]
+            wanted = heads[self.wanted[heads] & cold]
+            self.backoff[wanted] = left_over(unpack(x.c).reshape(DISCOUNTED + 1, -1), self.count[wanted], d)[2]
+        for v in np.flatnonzero(self.count >= hot):
+            sums = hot_sums.get(tuple(int(x[v]) for x in self.history))
+            if sums is not None:
+                more, _, weight = left_over(sums[:, None], self.count[v : v + 1], d)
+                extra[v], self.backoff[v] = more[0], weight[0]
+        self.divisor = self.count + extra
+        self.d = d
+
 
+ASKED = "part long, batch long, h binary, n binary, hc binary, want binary, under binary, w binary, wc binary, t binary"
 
-def _pair_requests(batches: DataFrame, answers: DataFrame, parts: int, hot: int) -> DataFrame:
-    """Rows (part, batch, h, n, hc, want, w, wc, t): a batch's distinct pairs by part, with their training counts."""
+
+class Level:
+    """What is known of a finished level: its order, parts, discounts, and the sums of its hot histories."""
+
+    def __init__(self, m: int, parts: int, hot: int, d: np.ndarray, hot_sums: dict):
+        self.m, self.parts, self.hot, self.d, self.hot_sums = m, parts, hot, d, hot_sums
+
+
+def _grams(words: _Words, answers: pd.DataFrame, levels: list[Level]) -> _Grams | None:
+    """The grams of the highest of some finished levels, with their answers."""
+    grams = None
+    for x in levels:
+        grams = _Grams(words, x.m, grams, x.parts, x.hot)
+        grams.told(answers, x.hot, x.hot_sums, x.d)
+    return grams
+
+
+def _gram_requests(batches: DataFrame, answers: DataFrame, shared, m: int, parts: int, hot: int) -> DataFrame:
+    """A batch's distinct m-grams by part, with their training counts."""
 
     def ask(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        r = next(row.itertuples())
-        b = _Batch(r, told, parts, hot)
-        made = []
-        for g, at in b.requests:
-            first = b.runs(at)
-            heads = b.h[at][first]
-            cells = (b.number[heads], np.diff(np.append(first, len(at))), b.count[heads], b.wanted[heads].astype(np.int64), b.number[b.w[at]], b.count[b.w[at]], b.trained[at])
-            made.append((g, r.batch, *map(pack, cells)))
-        return pd.DataFrame(made, columns=["part", "batch", "h", "n", "hc", "want", "w", "wc", "t"])
+        words = _Words(next(row.itertuples()), told)
+        return pd.DataFrame(_Grams(words, m, _grams(words, told, shared.value), parts, hot).asks(), columns=[c.split()[0] for c in ASKED.split(", ")])
 
-    schema = "part long, batch long, h binary, n binary, hc binary, want binary, w binary, wc binary, t binary"
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(ask, schema)
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(ask, ASKED)
 
 
-def _counter(total: int, words: int, hot: int):
-    """The function that counts a part's pairs: its table, its histories' sums, and an answer for each batch."""
-    norm = total + 0.5 * (words + 1)
+def held_back(d: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The share of each count r that its discount leaves, 0 for 0."""
+    return np.append(np.append(0.0, d), 1.0)[np.minimum(r, DISCOUNTED + 1)]
+
+
+def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
+    """The function that counts a part's m-grams: its table, its histories' sums, and an answer for each batch."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
-        col = {c: [unpack(x) for x in group[c]] for c in ("h", "n", "hc", "want", "w", "wc", "t")}
-        lengths = [len(x) for x in col["w"]]
-        h = np.concatenate([np.repeat(a, n) for a, n in zip(col["h"], col["n"], strict=True)])
-        hc = np.concatenate([np.repeat(a, n) for a, n in zip(col["hc"], col["n"], strict=True)])
+        col = {c: [unpack(x) for x in group[c]] for c in ("h", "n", "hc", "want", "under", "w", "wc", "t")}
+        asked = [len(x) for x in col["n"]]
+        history = [np.concatenate([h.reshape(m - 1, -1)[k] for h in col["h"]]) for k in range(m - 1)]
+        first_head, head = _order(history)
+        heads = first_head[np.append(True, np.diff(head[first_head]) > 0)]
+        n, hc, under = (np.concatenate(col[c]) for c in ("n", "hc", "under"))
         w, wc, t = (np.concatenate(col[c]) for c in ("w", "wc", "t"))
+        h, u = np.repeat(head, n), np.repeat(under, n)
         order = np.lexsort((w, h))
         new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
         first = order[new]
-        pair = np.empty(len(h), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        r = np.bincount(pair, t, len(first)).astype(np.int64)
-        h1, w1, wc1, hc1 = h[first], w[first], wc[first], hc[first]
-        heads, of = np.unique(h1, return_inverse=True)
+        gram = np.empty(len(h), np.int64)
+        gram[order] = np.cumsum(new) - 1
+        r = np.bincount(gram, t, len(first)).astype(np.int64)
+        of, w1, wc1 = h[first], w[first], wc[first]
         seen = r > 0
-        sums = [np.bincount(of, r == k, len(heads)) for k in range(1, DISCOUNTED + 1)]
-        sums.append(np.bincount(of, np.where(seen, (wc1 + 0.5) / norm, 0.0), len(heads)))
-        sums = np.stack(sums)
-        is_hot = np.zeros(len(heads), bool)
-        is_hot[of] = hc1 >= hot
+        lower = (wc1 + 0.5) / norm if lower_d is None else held_back(lower_d, wc1) * wc1 / np.maximum(u[first], 1)
+        sums = np.stack([np.bincount(of, x, len(heads)) for x in (*(r == k for k in range(1, DISCOUNTED + 1)), np.where(seen, lower, 0.0))])
+        is_hot = hc[heads] >= hot
         kept = np.flatnonzero(seen)
-        made = [("pairs", -1, part, [int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], pack(h1[kept]), pack(w1[kept]), pack(r[kept]))]
-        made.append(("histories", -1, part, None, pack(heads[~is_hot]), pack(sums[:, ~is_hot].reshape(-1))))
-        made.append(("hot", -1, part, None, pack(heads[is_hot]), pack(sums[:, is_hot].reshape(-1))))
-        answers = np.split(r[pair], np.cumsum(lengths)[:-1])
-        for batch, a, asked, want in zip(group["batch"], answers, col["h"], col["want"], strict=True):
-            at = np.searchsorted(heads, asked)
+        numbers = np.stack([x[heads] for x in history])
+        made = [(f"grams{m}", -1, part, [int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], pack(numbers[:, of[kept]].reshape(-1)), pack(w1[kept]), pack(r[kept]))]
+        for kind, which in ((f"histories{m}", ~is_hot), (f"hot{m}", is_hot)):
+            made.append((kind, -1, part, None, pack(numbers[:, which].reshape(-1)), pack(sums[:, which].reshape(-1))))
+        answers = np.split(r[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
+        for batch, a, at, want in zip(group["batch"], answers, np.split(head, np.cumsum(asked)[:-1]), col["want"], strict=True):
             bare = sums[:DISCOUNTED, at].sum(axis=0) == 0
             wanted = at[(want > 0) & ~is_hot[at]]
-            made.append(("pair_answer", batch, part, None, pack(a), pack(bare.astype(np.int64)), pack(sums[:, wanted].reshape(-1))))
+            made.append((f"answer{m}", batch, part, None, pack(a), pack(bare.astype(np.int64)), pack(sums[:, wanted].reshape(-1))))
         return _rows(made)
 
     return count
@@ -255,19 +336,36 @@ def left_over(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.nd
     return extra, mass, mass / (1.0 - sums[DISCOUNTED])
 
 
-def katz_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def _hot_sums(table: DataFrame, m: int) -> dict:
+    """The sums of the hot histories, which parts hold in pieces; at most HOT of them."""
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                heads, sums = unpack(r.a).reshape(m - 1, -1).T, unpack(r.b).reshape(DISCOUNTED + 1, -1).T
+                yield pd.DataFrame({"h": [x.tolist() for x in heads], "s": list(sums)})
+
+    rows = table.filter(F.col("kind") == f"hot{m}").select("a", "b").mapInPandas(opened, "h array<long>, s array<double>")
+    total = rows.groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(DISCOUNTED + 1)])
+    return {tuple(r.h): np.array(list(r)[1:]) for r in total.collect()}
+
+
+def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs.
 
-    The model has order 2. P(w | h) is d(r) r / c(h) for a pair seen r times in training, else the backoff weight of
-    h times the unigram probability (c(w) + 0.5) / (N + 0.5 (V + 1)), whose half counts also serve the one unknown
-    word; a history that training lacks backs off with weight 1. Training reads the rows whose crc32 of doc_id isn't
-    1 by 5. Texts are cut at white space, A-Z lowered, and end with a token, which is also the first word's history.
+    P(w | h) is d(r) r / c(h) for a gram seen r times in training, else the backoff weight of h times P(w | h without
+    its first word), down to the unigram (c(w) + 0.5) / (N + 0.5 (V + 1)), whose half counts also serve the one unknown
+    word; a history that training lacks backs off with weight 1. Discounts are those of each length. Training reads
+    the rows whose crc32 of doc_id isn't 1 by 5. Texts are cut at white space, A-Z lowered, and end with a token,
+    which is also the first word's history; words further back than the text are no history.
 
     The texts are encoded once into batches of about a million tokens. Each batch asks for the counts of its distinct
-    words and then pairs, from parts dealt by hash; a part totals what all batches ask, stores its partition of the
-    tables (kinds words, pairs and histories) and answers the batches. The pairs of hot histories are dealt by pair,
-    so no part gathers them; there are at most HOT of those, and their sums are broadcast. Null texts have the end
-    token alone; repeated rows count as often as they occur; an empty table gives no rows; other columns aren't read.
+    words and then, length by length, of its distinct grams, from parts dealt by hash; a part totals what all batches
+    ask, stores its partition of the tables (kinds words, grams2, histories2, grams3 ...) and answers the batches. What
+    a history needs to be normalised exactly, the lower probabilities of the words seen with it, follows from counts
+    that come along. Grams of hot histories are dealt by gram, so no part gathers them; there are at most HOT of those
+    of each length, and their sums are broadcast. Words are told apart by 64-bit hashes. Null texts have the end token
+    alone; repeated rows count as often as they occur; an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
     store = Store(spark, "katz")
@@ -278,58 +376,33 @@ def katz_scores(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     vocabulary = words.filter("kind = 'words'").agg(F.coalesce(F.sum(F.col("n")[0]), F.lit(0))).first()[0]
     told = words.filter("kind = 'word_answer'")
     texts = batches.select("batch", "end", "docs", "held", "lens", "ids")
-    hot = max(1, -(-total // HOT))
-    pairs = store.keep(
-        _pair_requests(texts, told, parts, hot).groupBy("part").applyInPandas(_counter(total, vocabulary, hot), ROW), "kind"
-    )
-    found = pairs.filter("kind = 'pairs'").agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
-    d = discounts(list(found))
-
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                heads = unpack(r.a)
-                for h, s in zip(heads.tolist(), unpack(r.b).reshape(DISCOUNTED + 1, -1).T, strict=True):
-                    yield pd.DataFrame({"h": [h], "s": [s]})
-
-    parts_of_hot = pairs.filter("kind = 'hot'").select("a", "b").mapInPandas(opened, "h long, s array<double>")
-    hot_sums = {r.h: np.array(list(r)[1:]) for r in parts_of_hot.groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(DISCOUNTED + 1)]).collect()}
-    shared = spark.sparkContext.broadcast(hot_sums)
-    norm = total + 0.5 * (vocabulary + 1)
+    hot, norm = max(1, -(-total // HOT)), total + 0.5 * (vocabulary + 1)
+    levels: list[Level] = []
+    for m in range(2, order + 1):
+        asked = _gram_requests(texts, told, spark.sparkContext.broadcast(levels), m, parts, hot)
+        table = store.keep(asked.groupBy("part").applyInPandas(_counter(m, norm, levels[-1].d if levels else None, hot), ROW), "kind")
+        found = table.filter(F.col("kind") == f"grams{m}").agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
+        levels = [*levels, Level(m, parts, hot, discounts(list(found)), _hot_sums(table, m))]
+        told = told.unionByName(table.filter(F.col("kind") == f"answer{m}"))
+    shared = spark.sparkContext.broadcast(levels)
 
     def score(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        r = next(row.itertuples())
-        b = _Batch(r, told, parts, hot)
-        size = len(b.count)
-        extra, backoff = np.zeros(size), np.ones(size)
-        seen = np.zeros(len(b.h), np.int64)
-        answers = {x.part: x for x in told.itertuples() if x.kind == "pair_answer"}
-        for g, at in b.requests:
-            x = answers[g]
-            seen[at] = unpack(x.a)
-            heads = b.h[at][b.runs(at)]
-            cold = b.count[heads] < hot
-            extra[heads[cold]] = unpack(x.b)[cold]
-            wanted = heads[b.wanted[heads] & cold]
-            sums = unpack(x.c).reshape(DISCOUNTED + 1, -1)
-            backoff[wanted] = left_over(sums, b.count[wanted], d)[2]
-        for v in np.flatnonzero(b.count >= hot):
-            s = shared.value.get(int(b.number[v]))
-            if s is not None:
-                more, _, weight = left_over(s[:, None], b.count[v : v + 1], d)
-                extra[v], backoff[v] = more[0], weight[0]
-        base = np.log10((b.count + 0.5) / norm)
-        held_back = np.append(np.append(0.0, d), 1.0)[np.minimum(seen, DISCOUNTED + 1)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            direct = np.log10(held_back * seen / (b.count[b.h] + extra[b.h]))
-        value = np.where(seen > 0, direct, np.log10(backoff[b.h]) + base[b.w])
-        starts = np.append(0, np.cumsum(b.lens)[:-1])
+        words = _Words(next(row.itertuples()), told)
+        base = np.log10((words.count + 0.5) / norm)
+        value, under = base[words.ids], base
+        grams = None
+        for x in shared.value:
+            grams = _Grams(words, x.m, grams, x.parts, x.hot)
+            grams.told(told, x.hot, x.hot_sums, x.d)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                direct = np.log10(held_back(x.d, grams.seen) * grams.seen / grams.divisor[grams.h])
+            under = np.where(grams.seen > 0, direct, np.log10(grams.backoff[grams.h]) + under[grams.lower])
+            value[grams.tokens] = under[grams.gram_of[grams.tokens]]
         return pd.DataFrame({
-            "doc_id": pd.Series(b.docs, dtype="Int64").mask(b.docs == NO_ID),
-            "held_out": b.held, "n_tokens": b.lens, "n_known": np.add.reduceat((b.count[b.ids] > 0).astype(np.int64), starts), "train_tokens": total,
-            "base_score": np.add.reduceat(base[b.ids], starts), "score": np.add.reduceat(value[b.pair_of], starts),
+            "doc_id": pd.Series(words.docs, dtype="Int64").mask(words.docs == NO_ID),
+            "held_out": words.held, "n_tokens": words.lens, "n_known": np.add.reduceat((words.count[words.ids] > 0).astype(np.int64), words.starts), "train_tokens": total,
+            "base_score": np.add.reduceat(base[words.ids], words.starts), "score": np.add.reduceat(value, words.starts),
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    both = told.unionByName(pairs.filter("kind = 'pair_answer'"))
-    return texts.groupBy("batch").cogroup(both.groupBy("batch")).applyInPandas(score, schema)
+    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +12,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import Store, mix
 
 WORDS = re.compile(r"[^\W_]+")
 #: The model is fitted on at most so many labelled rows of either label, taken in order of a hash of doc_id.
 SAMPLE_EACH = 1000
-#: A word counts as labelled toxic if it is in so many toxic texts and, smoothed, so many times likelier there.
-LEAST_TEXTS, LEAST_ODDS = 5, 20.0
-ROUNDS, STEP, RIDGE = 40, 0.5, 0.02
+#: A word is first labelled toxic if it is in so many toxic texts and, smoothed, so many times likelier there. Texts of
+#: one label that share ALIKE of their words count as one, as copies of one text don't confirm each other.
+LEAST_TEXTS, LEAST_ODDS, ALIKE = 5, 20.0, 0.5
+SKETCH, BAND = 48, 2
+#: Words share weights by their last letters, in so many classes; rare words have no other.
+ENDING, CLASSES = 3, 1024
+#: Gradient steps of the first fit and of those after each relabelling.
+ROUNDS, AGAIN, STEP, RIDGE = 32, (12,), 0.5, 0.02
 TOKENS_AT_ONCE = 1_000_000
 #: Fitting holds the arrays of about so many words at a time.
 TOKENS_A_STEP = 200_000
@@ -96,15 +102,54 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def ending(word: str) -> int:
+    return zlib.crc32(word[-ENDING:].encode()) % CLASSES
+
+
+class Numbers(dict):
+    """Numbers of words: those of the vocabulary, then one for each class of endings; remembered up to a bound."""
+
+    def __init__(self, vocabulary: dict[str, int], limit: int = 400_000):
+        super().__init__(vocabulary)
+        self.size, self.limit = len(vocabulary), limit
+
+    def __missing__(self, word: str) -> int:
+        n = self.size + ending(word)
+        if len(self) < self.limit:
+            self[word] = n
+        return n
+
+
+def beside(ids: np.ndarray, first: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the words before and behind each word in its text, ``none`` at its ends."""
+    before, behind = np.append(none, ids[:-1]), np.append(ids[1:], none)
+    before[first] = none
+    behind[:-1][first[1:]] = none
+    return before, behind
+
+
 class Model:
-    """Word weights, bias and moves of the field, and the logistic calibration of document scores."""
+    """The field's weights by word number (of the word itself with its ending, of the word before and the one behind), its
+    bias and moves, and the logistic calibration of document scores."""
+
+    def __init__(self, vocabulary: dict[str, int], own: np.ndarray, before: np.ndarray, behind: np.ndarray, bias: float, move: np.ndarray, calibration: np.ndarray):
+        self.vocabulary, self.own, self.before, self.behind = vocabulary, own, before, behind
+        self.bias, self.move, self.calibration = bias, move, calibration
 
-    def __init__(self, weights: dict[str, float], bias: float, move: np.ndarray, calibration: np.ndarray):
-        self.weights, self.bias, self.move, self.calibration = weights, bias, move, calibration
+    @classmethod
+    def constant(cls, log_odds: float) -> Model:
+        """Says the same of every text."""
+        none = np.zeros(CLASSES + 1)
+        return cls({}, none, none, none, -8.0, np.zeros((2, 2)), np.array([log_odds, 0.0, 0.0]))
 
-    def tag(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        before, behind = beside(ids, first, len(self.own) - 1)
+        return self.own[ids] + self.before[before] + self.behind[behind] + self.bias
+
+    def tag(self, texts: list[list[str]], numbers: Numbers | None = None) -> list[np.ndarray]:
         """Marginal probability of toxic for each word of each text."""
         out: list[np.ndarray] = [np.zeros(0)] * len(texts)
+        number = (numbers if numbers is not None else Numbers(self.vocabulary)).__getitem__
         at: list[int] = []
         n = 0
         for i, words in enumerate(texts):
@@ -112,13 +157,12 @@ class Model:
                 at.append(i)
                 n += len(words)
             if at and (n >= TOKENS_AT_ONCE or i == len(texts) - 1):
-                get = self.weights.get
-                score = np.fromiter((get(w, 0.0) for j in at for w in texts[j]), float, n) + self.bias
+                ids = np.fromiter((number(w) for j in at for w in texts[j]), np.int64, n)
                 ends = np.cumsum([len(texts[j]) for j in at])
                 first = np.zeros(n, bool)
                 first[0] = True
                 first[ends[:-1]] = True
-                for j, p in zip(at, np.split(marginals(score, first, self.move), ends[:-1]), strict=True):
+                for j, p in zip(at, np.split(marginals(self.scores(ids, first), first, self.move), ends[:-1]), strict=True):
                     out[j] = p
                 at, n = [], 0
         return out
@@ -139,56 +183,113 @@ def _blocks(texts: list[np.ndarray]) -> list[np.ndarray]:
     return [part for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // TOKENS_A_STEP)) + 1) if len(part)]
 
 
-def fit(words: list[str], yes: np.ndarray, no: np.ndarray, texts: list[np.ndarray], toxic: list[int]) -> Model:
-    """Labels words from the labelled texts, fits the field to them by gradient steps, then calibrates.
+def without_copies(texts: list[np.ndarray]) -> list[int]:
+    """Numbers of the texts that share less than ALIKE of their distinct words with any text kept before.
 
-    ``words`` is the vocabulary, ``yes`` and ``no`` are the numbers of toxic and other texts with each word; a text is
-    the places of its words there, len(words) for others. Gradients are sums over blocks of whole texts.
+    Texts are compared if they agree in a band of their sketches, the least of several hashes of each text's words.
+    """
+    rng = np.random.default_rng(9)
+    factor = rng.integers(1, 1 << 62, SKETCH).astype(np.uint64) | np.uint64(1)
+    kept, sets, bands = [], {}, {}
+    for i, t in enumerate(texts):
+        words = np.unique(t)
+        if not len(words):
+            continue
+        with np.errstate(over="ignore"):
+            least = (mix(words.astype(np.uint64) + np.uint64(1))[:, None] * factor).min(axis=0)
+        keys = [(b, *least[b : b + BAND].tolist()) for b in range(0, SKETCH, BAND)]
+        met = {j for k in keys for j in bands.get(k, ())}
+        if any(len(np.intersect1d(words, sets[j])) >= ALIKE * len(np.union1d(words, sets[j])) for j in met):
+            continue
+        kept.append(i)
+        sets[i] = words
+        for k in keys:
+            bands.setdefault(k, []).append(i)
+    return kept
+
+
+def first_labels(texts: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """Marks words of the vocabulary that are in LEAST_TEXTS different toxic texts and LEAST_ODDS times likelier there."""
+    count, total = {}, {}
+    for label in (True, False):
+        own = [t[t < size] for t, y in zip(texts, toxic, strict=True) if y == label]
+        own = [own[i] for i in without_copies(own)]
+        count[label] = np.bincount(np.concatenate([np.unique(t) for t in own] or [np.zeros(0, np.int64)]), minlength=size)
+        total[label] = len(own)
+    yes, no = count[True], count[False]
+    return (yes >= LEAST_TEXTS) & ((yes + 0.5) * (total[False] + 1) >= LEAST_ODDS * (no + 0.5) * (total[True] + 1))
+
+
+def fit(vocabulary: dict[str, int], texts: list[np.ndarray], toxic: list[int]) -> Model:
+    """Labels words from the labelled texts, fits the field to them by gradient steps, relabels and refits, then calibrates.
+
+    A text is the numbers of its words (see Numbers). Words of texts that aren't toxic are never labelled; those of
+    toxic ones are after the first fit if their marginal is above one half, and the likeliest word if there is none and
+    its marginal isn't negligible. Gradients are sums over blocks of whole texts.
     """
-    n1 = sum(toxic)
-    n0 = len(toxic) - n1
-    if not n1 or not n0:
-        share = (n1 + 0.5) / (len(toxic) + 1)
-        return Model({}, -8.0, np.zeros((2, 2)), np.array([math.log(share / (1 - share)), 0.0, 0.0]))
-    size = len(words)
-    marked = np.append((yes >= LEAST_TEXTS) & ((yes + 0.5) / (n1 + 1) >= LEAST_ODDS * (no + 0.5) / (n0 + 1)), False)
-    blocks, told = [], np.zeros(4)
+    yes = np.array(toxic, bool)
+    if yes.all() or not yes.any():
+        return Model.constant(math.log((yes.sum() + 0.5) / ((~yes).sum() + 0.5)))
+    size = len(vocabulary)
+    n = size + CLASSES + 1  # the last number stands beside a text's ends
+    classes = np.append(np.fromiter(map(ending, vocabulary), np.int64, size), np.append(np.arange(CLASSES), 0))
+    marked = np.append(first_labels(texts, yes, size), np.zeros(CLASSES + 1, bool))
+    blocks = []
     for part in _blocks(texts):
         sizes = np.array([len(texts[i]) for i in part])
-        ids = np.concatenate([texts[i] for i in part])
+        ids = np.concatenate([texts[i] for i in part]).astype(np.int64)
         first = np.zeros(len(ids), bool)
         first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-        y = marked[ids] & np.repeat(np.array([toxic[i] > 0 for i in part]), sizes)
-        last = np.append(False, y[:-1])
-        told += np.bincount((2 * last + y)[~first], minlength=4)
-        blocks.append((part, sizes, ids, first, y))
-    weights, bias, move = np.zeros(size + 1), -4.0, np.zeros((2, 2))
-    square = np.full(size + 6, 1e-3)
-    for _ in range(ROUNDS):
-        by_word, total, moved = -RIDGE * weights, 0.0, np.zeros(4)
-        for _, _, ids, first, y in blocks:
-            p, joint = marginals(weights[ids] + bias, first, move, pairs=True)
-            off = y - p
-            by_word += np.bincount(ids, off, size + 1)
-            total += off.sum()
-            moved += joint.sum(axis=1)
-        by_word[size] = 0.0  # words out of the vocabulary have no weight
-        step = np.concatenate([by_word, [total], told - moved - RIDGE * move.reshape(-1)])
-        square += step**2
-        step = STEP * step / np.sqrt(square) * 4
-        weights, bias, move = weights + step[: size + 1], bias + step[size + 1], move + step[size + 2 :].reshape(2, 2)
-        weights[size] = 0.0
-    weights[np.abs(weights) <= 1e-3] = 0.0
+        of_toxic = np.repeat(yes[part], sizes)
+        blocks.append([part, sizes, ids, *beside(ids, first, n - 1), first, of_toxic, marked[ids] & of_toxic])
+    w = np.zeros(3 * n + CLASSES + 5)
+    w[-5] = -4.0
+    square = np.full(len(w), 1e-3)
+
+    def scores(ids, before, behind):
+        return (w[:n] + w[3 * n : -5][classes])[ids] + w[n : 2 * n][before] + w[2 * n : 3 * n][behind] + w[-5]
+
+    for turn, rounds in enumerate((ROUNDS, *AGAIN)):
+        if turn:  # relabel by the marginals
+            for block in blocks:
+                part, sizes, ids, before, behind, first, of_toxic, y = block
+                p = marginals(scores(ids, before, behind), first, w[-4:].reshape(2, 2))
+                y[:] = (p > 0.5) & of_toxic
+                for start, k, i in zip(np.cumsum(sizes) - sizes, sizes, part, strict=True):
+                    if yes[i] and k and not y[start : start + k].any():
+                        best = start + int(p[start : start + k].argmax())
+                        y[best] = p[best] > 0.05
+        told = np.zeros(4)
+        for _, _, _, _, _, first, _, y in blocks:
+            told += np.bincount((2 * np.append(False, y[:-1]) + y)[~first], minlength=4)
+        for _ in range(rounds):
+            step = -RIDGE * w
+            step[-5] = 0.0
+            for _, _, ids, before, behind, first, _, y in blocks:
+                p, joint = marginals(scores(ids, before, behind), first, w[-4:].reshape(2, 2), pairs=True)
+                off = y - p
+                own = np.bincount(ids, off, n)
+                step[:n] += own
+                step[n : 2 * n] += np.bincount(before, off, n)
+                step[2 * n : 3 * n] += np.bincount(behind, off, n)
+                step[3 * n : -5] += np.bincount(classes, own, CLASSES)
+                step[-5] += off.sum()
+                step[-4:] -= joint.sum(axis=1)
+            step[-4:] += told
+            square += step**2
+            w += 4 * STEP * step / np.sqrt(square)
+            w[n - 1] = 0.0
     x = np.empty((len(texts), 3))
-    for part, sizes, ids, first, _ in blocks:
-        for i, p in zip(part, np.split(marginals(weights[ids] + bias, first, move), np.cumsum(sizes)[:-1]), strict=True):
-            x[i] = Model.features(p)
-    target, prior = np.array(toxic, float), np.zeros(3)
+    for part, sizes, ids, before, behind, first, _, _ in blocks:
+        p = marginals(scores(ids, before, behind), first, w[-4:].reshape(2, 2))
+        for i, q in zip(part, np.split(p, np.cumsum(sizes)[:-1]), strict=True):
+            x[i] = Model.features(q)
+    target, prior = yes.astype(float), np.zeros(3)
     for _ in range(25):  # Newton steps of a ridge logistic regression
         q = sigmoid(x @ prior)
         hessian = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
         prior = prior + np.linalg.solve(hessian, x.T @ (target - q) - 0.05 * prior)
-    return Model({w: float(weights[i]) for i, w in enumerate(words) if weights[i]}, float(bias), move, prior)
+    return Model(vocabulary, w[:n] + w[3 * n : -5][classes], w[n : 2 * n].copy(), w[2 * n : 3 * n].copy(), float(w[-5]), w[-4:].reshape(2, 2).copy(), prior)
 
 
 def remainder(key: str) -> F.Column:
@@ -215,16 +316,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     store = Store(docs.sparkSession, "toxic")
     kept = store.keep(found.mapInPandas(lowered, "y int, words string"))
     rows = kept.withColumn("digest", F.sha2("words", 256)).dropDuplicates(["digest", "y"])  # one of each text
-    each = rows.select("y", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).filter("w <> ''").groupBy("w")
-    known = each.agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no")).filter(F.col("yes") + F.col("no") >= LEAST_TEXTS)
-    counts = sorted((r.w, r.yes, r.no) for r in known.toLocalIterator())
-    vocabulary = {w: i for i, (w, _, _) in enumerate(counts)}
+    each = rows.select(F.explode(F.array_distinct(F.split("words", " "))).alias("w")).filter("w <> ''").groupBy("w")
+    known = each.agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= LEAST_TEXTS)
+    vocabulary = {w: i for i, w in enumerate(sorted(r.w for r in known.toLocalIterator()))}
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get, size = shared.value.get, len(shared.value)
+        number = Numbers(shared.value).__getitem__
         for batch in batches:
-            ids = [np.array([get(w, size) for w in t.split()], np.int32).tobytes() for t in batch["words"]]
+            ids = [np.array(list(map(number, t.split())), np.int32).tobytes() for t in batch["words"]]
             yield pd.DataFrame({"digest": batch["digest"], "y": batch["y"], "ids": ids})
 
     ids, toxic = [], []
@@ -233,8 +333,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         toxic.append(r.y)
     store.drop(kept)
     if not ids:
-        return Model({}, -8.0, np.zeros((2, 2)), np.array([-2.0, 0.0, 0.0]))
-    return fit(list(vocabulary), np.array([c[1] for c in counts], float), np.array([c[2] for c in counts], float), ids, toxic)
+        return Model.constant(-2.0)
+    return fit(vocabulary, ids, toxic)
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,12 +348,13 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers(shared.value.vocabulary)
         for batch in batches:
             found = []
             texts = batch["t"].tolist()
             for a in range(0, len(texts), 500):
                 part = texts[a : a + 500]
-                for text, p in zip(part, shared.value.tag([words_in(t) for t in part]), strict=True):
+                for text, p in zip(part, shared.value.tag([words_in(t) for t in part], numbers), strict=True):
                     hit = set(np.flatnonzero(p > 0.5).tolist())
                     spans = ",".join(f"{m.start()}:{m.end()}" for i, m in enumerate(WORDS.finditer(text or "")) if i in hit) if hit else ""
                     found.append((shared.value.score(p), len(hit), spans))

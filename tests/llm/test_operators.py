@@ -54,46 +54,64 @@ def pairs_of(df):
 # 1
 
 
-def katz(rows):
-    tokens = [(k, t.encode().lower().split() + [None], zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1) for k, t in rows]
-    one, two = collections.Counter(), collections.defaultdict(collections.Counter)
-    for _, words, held in tokens:
+def katz(rows, order):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) by the definition, with dictionaries."""
+    texts = [(k, [None, *t.encode().lower().split(), None], zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1) for k, t in rows]
+    one, counts = collections.Counter(), {m: collections.defaultdict(collections.Counter) for m in range(2, order + 1)}
+    for _, words, held in texts:
         if not held:
-            one.update(words)
-            for h, w in zip([None, *words], words, strict=False):
-                two[h][w] += 1
+            one.update(words[1:])
+            for m in counts:
+                for i in range(max(1, m - 1), len(words)):
+                    counts[m][tuple(words[i - m + 1 : i])][words[i]] += 1
     total, size = sum(one.values()), len(one)
     p1 = lambda w: (one[w] + 0.5) / (total + 0.5 * (size + 1))
-    d = language_model.discounts([sum(1 for c in two.values() for r in c.values() if r == k) for k in range(1, 7)])
-    left = lambda r: d[r - 1] if r <= 5 else 1.0
-    below = {h: sum(c.values()) + (not any(r <= 5 for r in c.values())) for h, c in two.items()}
-    back = {h: (1 - sum(left(r) * r / below[h] for r in c.values())) / (1 - sum(p1(w) for w in c)) for h, c in two.items()}
+    d = {m: language_model.discounts([sum(1 for c in counts[m].values() for r in c.values() if r == k) for k in range(1, 7)]) for m in counts}
+    left = lambda m, r: d[m][r - 1] if r <= 5 else 1.0
+    weights = {}
+
+    def divisor(m, h):
+        return sum(counts[m][h].values()) + (not any(r <= 5 for r in counts[m][h].values()))
+
+    def weight(h):
+        m = len(h) + 1
+        if h not in weights:
+            seen = counts[m][h]
+            weights[h] = (1 - sum(left(m, r) * r / divisor(m, h) for r in seen.values())) / (1 - sum(p(h[1:], w) for w in seen))
+        return weights[h]
+
+    def p(h, w):
+        m = len(h) + 1
+        if not h:
+            return p1(w)
+        if h not in counts[m]:
+            return p(h[1:], w)
+        r = counts[m][h][w]
+        return left(m, r) * r / divisor(m, h) if r else weight(h) * p(h[1:], w)
+
+    for m in counts:  # the probabilities of all words and one unknown sum to 1
+        for h in list(counts[m])[:20]:
+            assert abs(sum(p(h, w) for w in one) + p(h, b"never seen") - 1) < 1e-9
     out = []
-    for k, words, held in tokens:
-        score = 0.0
-        for h, w in zip([None, *words], words, strict=False):
-            r = two[h][w] if h in two else 0
-            score += math.log10(left(r) * r / below[h] if r else back.get(h, 1.0) * p1(w))
-        out.append((k, held, len(words), sum(one[w] > 0 for w in words), total, sum(math.log10(p1(w)) for w in words), score))
-    for h, c in list(two.items())[:50]:  # the weights normalise exactly over the words and one unknown
-        rest = sum(p1(w) for w in one if w not in c) + 0.5 / (total + 0.5 * (size + 1))
-        assert abs(sum(left(r) * r / below[h] for r in c.values()) + back[h] * rest - 1) < 1e-9
+    for k, words, held in texts:
+        score = sum(math.log10(p(tuple(words[max(0, i - order + 1) : i]), words[i])) for i in range(1, len(words)))
+        out.append((k, held, len(words) - 1, sum(one[w] > 0 for w in words[1:]), total, sum(math.log10(p1(w)) for w in words[1:]), score))
     return out
 
 
-@pytest.mark.parametrize("which", ["docs", "edges"])
-def test_katz_scores(which, request, monkeypatch):
+@pytest.mark.parametrize("which, order", [("docs", 3), ("edges", 2), ("edges", 3), ("edges", 4)])
+def test_katz_scores(which, order, request, monkeypatch):
     df = request.getfixturevalue(which)
     monkeypatch.setattr(language_model, "TOKENS_A_BATCH", 4000)
-    got = sorted(map(tuple, language_model.katz_scores(df).collect()), key=str)
-    want = sorted(katz(pairs_of(df)), key=str)
+    got = sorted(map(tuple, language_model.katz_scores(df, order=order).collect()), key=str)
+    want = sorted(katz(pairs_of(df), order), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
-def test_katz_beats_unigrams_on_held_out_texts(docs):
-    held = [r for r in language_model.katz_scores(docs).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+def test_katz_gains_with_order_on_held_out_texts(docs):
+    base, *scores = (sum(r.base_score if order == 1 else r.score for r in language_model.katz_scores(docs, order=max(2, order)).collect() if r.held_out) for order in (1, 2, 3))
+    assert base < scores[0] < scores[1]
 
 
 # 2
@@ -143,15 +161,73 @@ def test_marginals_by_hand():
         assert np.allclose(toxicity.marginals(s, first, move), (a * b)[:, 1] / (a * b).sum(axis=1))
 
 
+def ranked_better(score, label):
+    """The share of pairs of either label that the score puts in order, ties half: the area under the curve."""
+    a, b = ([s for s, y in zip(score, label, strict=True) if y == k] for k in (1, 0))
+    return sum((x > y) + 0.5 * (x == y) for x in a for y in b) / (len(a) * len(b))
+
+
+def held_out(key):
+    return zlib.crc32(("" if key is None else str(key)).encode()) % 5 == 0
+
+
+def test_toxicity_beats_a_word_list(spark):
+    """On held-out rows: the area under the curve and the recall of label 1, against the bare list of likelier words."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: toxicity.words_in(r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id in known}
+    seen, total = {0: collections.Counter(), 1: collections.Counter()}, collections.Counter()
+    for k, words in texts.items():
+        if not held_out(k):
+            seen[known[k]].update(set(words))
+            total[known[k]] += 1
+    listed = {w for w, n in seen[1].items() if n >= 5 and (n + 0.5) / (total[1] + 1) >= 20 * (seen[0][w] + 0.5) / (total[0] + 1)}
+    rows = [r for r in toxicity.toxic_scores(docs, labels).collect() if r.doc_id in known and r.held_out]
+    assert all(held_out(r.doc_id) for r in rows) and len(rows) > 500
+    label, by_list = [known[r.doc_id] for r in rows], [sum(w in listed for w in texts[r.doc_id]) for r in rows]
+    recall = lambda said: sum(bool(s) and y for s, y in zip(said, label, strict=True)) / sum(label)
+    assert ranked_better([r.score for r in rows], label) > ranked_better(by_list, label) > 0.95
+    assert recall([r.predicted for r in rows]) >= min(0.92, recall(by_list))
+    assert sum(r.predicted and not known[r.doc_id] for r in rows) <= 0.03 * label.count(0)
+
+
 def test_toxicity(spark, edges, empty):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    """Every row of the query by a plain forward-backward of the same model, text by text."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    known = {r.doc_id: r.toxic for r in labels.collect()}
-    rows = [r for r in toxicity.toxic_scores(docs, labels).collect() if r.held_out and r.doc_id in known]
-    assert sum(r.predicted == known[r.doc_id] for r in rows) / len(rows) > 0.9
-    got = toxicity.toxic_scores(edges, labels).collect()
-    assert len(got) == edges.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    model = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    move = np.exp(model.move)
+    numbers = toxicity.Numbers(model.vocabulary)
+    got = {r.doc_id: r for r in docs.collect()}
+    for k in list(got)[:40]:
+        words = toxicity.words_in(got[k].text)[:400]
+        ids = [numbers[w] for w in words]
+        end = len(model.own) - 1
+        odds = [np.exp(model.own[i] + model.before[a] + model.behind[b] + model.bias) for i, a, b in zip(ids, [end, *ids], [*ids[1:], end], strict=False)]
+        forward, backward = [np.array([1.0, o]) for o in odds], [np.ones(2) for _ in odds]
+        for i in range(1, len(odds)):
+            forward[i] = forward[i] * (forward[i - 1] @ move)
+            forward[i] /= forward[i].sum()
+        for i in range(len(odds) - 2, -1, -1):
+            backward[i] = move @ (np.array([1.0, odds[i + 1]]) * backward[i + 1])
+            backward[i] /= backward[i].sum()
+        p = [f[1] * b[1] / (f @ b) for f, b in zip(forward, backward, strict=True)]
+        assert np.allclose(model.tag([words])[0], p)
+    rows = toxicity.toxic_scores(edges, labels).collect()
+    assert len(rows) == edges.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert {str(r.doc_id): r.held_out for r in rows} == {str(r[0]): held_out(r[0]) for r in edge_rows()}
     assert toxicity.toxic_scores(empty, labels).count() == 0
+    assert {r.predicted for r in toxicity.toxic_scores(edges, labels.limit(0)).collect()} == {0}
+
+
+def test_copies_do_not_confirm_each_other():
+    rng = np.random.default_rng(10)
+    texts = [rng.integers(0, 5000, 100) for _ in range(30)]
+    copies = [np.append(texts[0], i) for i in range(12)]
+    assert toxicity.without_copies(texts + copies) == list(range(30))
+    toxic = np.array([False] * 30 + [True] * 12)
+    assert not toxicity.first_labels(texts[1:] + copies, toxic[1:], 5000).any()
 
 
 def test_toxic_span_in_the_second_quarter_of_a_long_text(spark):
