@@ -61,24 +61,28 @@ class Store:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _table(self, file: str) -> str | None:
+        """The kept table that a file is of."""
+        name = self.root.rpartition("/")[2]
+        return f"{self.root}/{file.split(name + '/')[1].split('/')[0]}" if f"/{name}/" in file else None
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes kept tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
-            files = df.inputFiles()
-            if files:
-                path = self.root + "/" + files[0].split(self.root.rpartition("/")[2] + "/")[1].split("/")[0]
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-
-
-def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, which it counts; else as it is, for a shuffled join.
-
-    For narrow tables of ids, so what is broadcast stays within some tens of megabytes.
-    """
-    return F.broadcast(df) if df.count() <= most else df
+            for path in {self._table(x) for x in df.inputFiles()} - {None}:
+                self._delete(path)
+
+    def release(self, result: DataFrame) -> DataFrame:
+        """result, after deleting the kept tables that it doesn't read."""
+        used = {self._table(x) for x in result.inputFiles()}
+        for n in range(1, self.n + 1):
+            if f"{self.root}/{n}" not in used:
+                self._delete(f"{self.root}/{n}")
+        return result
 
 
 def cumulated(df: DataFrame, order: list[str | Column], value: str | Column, store: Store) -> DataFrame:

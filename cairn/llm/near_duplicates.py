@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, WordHashes, if_few, mix, windows
+from .common import Store, WordHashes, mix, windows
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -21,6 +21,9 @@ SHINGLES_AT_ONCE = 400_000
 #: agree. A component of a pair of similarity 0.8 agrees with probability 0.8125, so either screen loses such a pair
 #: less than once in 100,000, and pairs above 0.8 far more rarely.
 SKETCH, FIRST, LEAST_FIRST, LEAST_ALL = 512, 128, 85, 378
+#: A band's bucket with more texts than HOT is dealt anew, by each half number of the sketches. A pair of similarity 0.8
+#: shares none of these 64 pieces of 8 components less than twice in a million.
+HOT = 1000
 _ARRIVAL, _REGISTER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -172,20 +175,23 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 def _screened_pairs(named: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of different classes that share a band and may be alike; named has (band, u, c, bands, sketch).
 
-    In each bucket only texts outside its largest class are paired with the others. A pair comes out once, at the
-    first band it shares, if its sketches agree well enough, so what leaves the join is near the number of links.
+    In each bucket only texts outside its largest class are paired with the others; in a hot one only those that share a
+    piece of their sketches too, so its pairs are spread and few. A pair comes out at the first band it shares, if its
+    sketches agree well enough, so what leaves the join is near the number of links.
     """
     sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "main")
-    entries = named.join(main, "band")
-    x = entries.filter("c <> main").select("band", F.col("u").alias("x"), F.col("c").alias("cx"), F.col("bands").alias("bx"), F.col("sketch").alias("sx"))
-    y = entries.select(F.col("band").alias("band_y"), F.col("u").alias("y"), F.col("c").alias("cy"), F.col("c").eqNullSafe(F.col("main")).alias("inside"), F.col("bands").alias("by"), F.col("sketch").alias("sy"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.sum("n").alias("texts"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "main", "texts")
+    low, high = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)), lambda v: F.shiftrightunsigned(v, 32)
+    pieces = F.flatten(F.transform("sketch", lambda v, i: F.array(F.xxhash64("band", 2 * i, low(v)), F.xxhash64("band", 2 * i + 1, high(v)))))
+    entries = named.join(main, "band").withColumn("key", F.explode(F.when(F.col("texts") > HOT, pieces).otherwise(F.array("band"))))
+    x = entries.filter("c <> main").select("key", "band", F.col("u").alias("x"), F.col("c").alias("cx"), F.col("bands").alias("bx"), F.col("sketch").alias("sx"))
+    y = entries.select(F.col("key").alias("key_y"), F.col("band").alias("band_y"), F.col("u").alias("y"), F.col("c").alias("cy"), F.col("c").eqNullSafe(F.col("main")).alias("inside"), F.col("bands").alias("by"), F.col("sketch").alias("sy"))
     some = sum(_alike_components(F.col("sx")[i], F.col("sy")[i]) for i in range(FIRST // 16))
     all_ = F.aggregate(F.zip_with("sx", "sy", _alike_components), F.lit(0), lambda n, k: n + k)
     shared = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     once = F.col("inside") | (F.col("x") < F.col("y"))
-    on = (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & once & (some >= LEAST_FIRST) & (all_ >= LEAST_ALL) & (shared[0] == F.col("band"))
-    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    on = (F.col("key") == F.col("key_y")) & (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & once & (some >= LEAST_FIRST) & (all_ >= LEAST_ALL) & (shared[0] == F.col("band"))
+    return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame:
@@ -203,7 +209,7 @@ def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame
     pairs = store.keep(
         shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     )
-    wanted = if_few(store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi")))
+    wanted = store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi"))
     rows = docs.select(*_text_key(F.col(text)), F.col(text).alias("t")).join(wanted, ["r1", "r2"])
     shingles = store.keep(_shingle_table(rows.groupBy("u").agg(F.min("t").alias("t")), "u", "t"))
     links = store.keep(_verified(pairs, shingles))
@@ -217,8 +223,8 @@ def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame
     # a class that only null ids carry has a negative number made from its least digest
     unnamed = -F.shiftrightunsigned(F.xxhash64(F.min("digest")), 1) - 1
     names = numbered.groupBy("c").agg(F.coalesce(F.min("least"), unnamed).alias("class_id"))
-    classes = numbered.join(names, "c").select("digest", "c", "class_id")
-    return signed.select("doc_id", "r1", "r2", "digest").join(classes, "digest", "left")
+    classes = store.keep(numbered.join(names, "c").select("digest", "c", "class_id"))
+    return store.release(signed.select("doc_id", "r1", "r2", "digest").join(classes, "digest", "left"))
 
 
 def duplicate_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,18 +249,20 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts without words are one document for each doc_id; with a null doc_id all of them stay.
     """
-    store = Store(docs.sparkSession, "dedup")
+    store, near = Store(docs.sparkSession, "dedup"), Store(docs.sparkSession, "near")
+    classified = _classified(docs, near, "doc_id", "text")
     key = F.struct(F.col("doc_id").isNull().alias("e"), "doc_id", "digest", "r1", "r2")
     group = F.struct("c", F.when(F.col("c").isNull(), F.col("doc_id")).alias("d"))
-    rows = store.keep(_classified(docs, store, "doc_id", "text").filter("c is not null or doc_id is not null").select(group.alias("g"), key.alias("key")))
+    rows = store.keep(classified.filter("c is not null or doc_id is not null").select(group.alias("g"), key.alias("key")))
     # rows that meet others of their class are few, so only they are compared as rows
     many = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).filter("n > 1").select("g", "least")
-    again = store.keep(rows.join(many, "g").select("key.doc_id", "key.r1", "key.r2", (F.col("key").eqNullSafe(F.col("least"))).alias("first")).distinct())
-
-    def met(ids: DataFrame, how: str) -> DataFrame:
-        ids = if_few(ids.select(F.col("doc_id").alias("__k"), F.col("r1").alias("__r1"), F.col("r2").alias("__r2")))
-        r1, r2 = _text_key(docs["text"])
-        return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(F.col("__k")) & (r1 == F.col("__r1")) & (r2 == F.col("__r2")), how)
-
-    once, repeated = met(again, "left_anti"), met(again.filter("first"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    met = rows.join(many, "g").select("key.e", "key.r1", "key.r2", F.coalesce("key.doc_id", F.lit(0)).alias("k"), F.col("key").eqNullSafe(F.col("least")).alias("first"))
+    named = ["e", "k", "r1", "r2"]
+    met = near.release(store.release(store.keep(met.groupBy(*named).agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n")))))
+    # the texts are dealt once, each with its row; only equal rows of the kept ones are gathered
+    r1, r2 = _text_key(F.col("text"))
+    k = F.col("doc_id").cast("long")
+    dealt = docs.select(F.struct("*").alias("row"), k.isNull().alias("e"), F.coalesce(k, F.lit(0)).alias("k"), r1, r2).join(met, named, "left")
+    once = dealt.filter("first is null or first and n = 1").select("row")
+    repeated = dealt.filter("first and n > 1").dropDuplicates(named).select("row")
+    return once.unionByName(repeated).select("row.*")

@@ -19,11 +19,16 @@ RULES = {
     "repeated_lines": (3, lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
     "shouting": (4, lambda: 10 * F.col("n_exclaims") > 3 * F.col("n_words")),
     "word_length": (5, lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
+    "bullets": (6, lambda: 10 * F.col("n_bullet_lines") > 9 * F.col("n_lines")),
+    "ellipses": (7, lambda: 10 * F.col("n_ellipsis_lines") > 3 * F.col("n_lines")),
+    "letterless": (8, lambda: 10 * F.col("n_letter_words") < 7 * F.col("n_words")),
 }
 BASE_RULES = ("few_words", "repeated_windows")
 #: Versions of the policy: the rules whose failure drops a document.
-POLICIES = {"v1": BASE_RULES, "v2": tuple(RULES)}
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims")
+POLICIES = {"v1": BASE_RULES, "v2": tuple(RULES)[:6], "v3": tuple(RULES)}
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_bullet_lines", "n_ellipsis_lines", "n_letter_words")
+#: A line that starts with a bullet, one that ends in an ellipsis, and a word with a letter in it.
+BULLET, ELLIPSIS, LETTERED = rf"^[{SPACE}]*[-*•‣▪◦]", rf"(?:\.\.\.|…)[{SPACE}]*\z", rf"[^{SPACE}]*?\p{{L}}[^{SPACE}]*"
 
 
 def mask_of(rules) -> int:
@@ -43,10 +48,12 @@ def _covered(starts: Column) -> Column:
 def _repeat_words(words: Column) -> Column:
     """Words in windows of WINDOW words that the text holds twice or more, the first one included.
 
-    Windows are compared by 64-bit hash. Only texts that have a repeat sort their windows.
+    Words are hashed once and windows by the hashes of their words, to 64 bits. Only texts that have a repeat sort
+    their windows.
     """
     n = F.size(words) - WINDOW + 1
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = let(hashed, lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
     def repeats(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -64,30 +71,29 @@ def _repeat_words(words: Column) -> Column:
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measures of MEASURES (long) and fail_bits (long), each rule evaluated once; no shuffle.
 
-    Measured over the whole text; null counts as empty. Columns of docs with these names are replaced, others kept.
+    Measured over the whole text; null counts as empty. Columns of docs with these names are replaced, others kept,
+    whatever their names.
     """
     body = text_or_empty(F.col(text))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(rf"[^{SPACE}]"))
+    number = lambda x, name: x.cast("long").alias(name)
 
     def measured(w: Column) -> Column:
-        return F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).cast("long").alias("n_repeat_words"),
-        )
+        return F.struct(number(F.size(w), "n_words"), number(F.length(F.array_join(w, "")), "word_chars"), number(_repeat_words(w), "n_repeat_words"))
 
     def counted(x: Column) -> Column:
-        return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
-
-    out = docs.withColumns({
-        "__w": let(words_of(F.col(text)), measured),
-        "__l": let(lines, counted),
-        "n_symbols": F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_exclaims": F.regexp_count(body, F.lit("!!")).cast("long"),
-    })
-    out = out.withColumns({c: F.col(f"__w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"__l.{c}") for c in ("n_lines", "n_dup_lines")})
+        like = lambda pattern, name: number(F.size(F.filter(x, lambda y: y.rlike(pattern))), name)
+        return F.struct(number(F.size(x), "n_lines"), number(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines"), like(BULLET, "n_bullet_lines"), like(ELLIPSIS, "n_ellipsis_lines"))
+
+    counts = F.struct(
+        number(F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")), "n_symbols"), number(F.regexp_count(body, F.lit("!!")), "n_exclaims"), number(F.regexp_count(body, F.lit(LETTERED)), "n_letter_words")
+    )
+    told = docs.select(F.struct("*").alias("row"), let(words_of(F.col(text)), measured).alias("w"), let(lines, counted).alias("l"), counts.alias("n"))
+    of = {"n_words": "w", "word_chars": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l", "n_bullet_lines": "l", "n_ellipsis_lines": "l"}
+    rest = [F.col(f"row.`{c}`") for c in docs.columns if c not in MEASURES and c != "fail_bits"]
+    out = told.select(*rest, *[F.col(f"{of.get(m, 'n')}.{m}") for m in MEASURES])
     bits = [F.when(test(), F.lit(1 << bit)).otherwise(F.lit(0)) for bit, test in RULES.values()]
-    return out.drop("__w", "__l").withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
+    return out.withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
 
 
 def apply_policy(ledger: DataFrame, version: str = "v2", kept: str = "kept") -> DataFrame:

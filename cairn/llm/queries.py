@@ -24,6 +24,11 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the widest policy does to the corpus, from the ledger of op4."""
+    return quality.ablations(quality.rule_ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "v3")
+
+
 def op5_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.benchmark_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -55,6 +60,7 @@ QUERIES = {
         op2_jump_shards,
         op3_toxic_spans,
         op4_rule_ledger,
+        rule_ablations,
         op5_benchmark_passages,
         op6_near_duplicates,
         op7_main_text,
@@ -64,16 +70,21 @@ QUERIES = {
     )
 }
 _SPACE = r"[\x20\x09-\x0D]"
-ORACLES = {
-    "op4_rule_ledger": rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 k AS (SELECT r, i, array_to_string(w[i:i + 7], chr(1)) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM k) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest(range(0, 8)) AS j) GROUP BY r),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_exclaims FROM w LEFT JOIN rep ON rep.r = w.r),
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_exclaims,
+    len(list_filter(l, lambda x: regexp_matches(x, '{quality.BULLET}'))) AS n_bullets, len(list_filter(l, lambda x: regexp_matches(x, '{quality.ELLIPSIS}'))) AS n_ellipses, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered FROM w LEFT JOIN rep ON rep.r = w.r),
 b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_exclaims > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END AS bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits % 4 <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits, 'v2' AS policy FROM b""",
+    + CASE WHEN 10 * n_exclaims > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 32 ELSE 0 END + CASE WHEN 10 * n_bullets > 9 * n_lines THEN 64 ELSE 0 END
+    + CASE WHEN 10 * n_ellipses > 3 * n_lines THEN 128 ELSE 0 END + CASE WHEN 10 * n_lettered < 7 * n_words THEN 256 ELSE 0 END AS bits FROM m)"""
+_RULES = ", ".join(f"('{rule}', {1 << bit})" for rule, (bit, _) in quality.RULES.items())
+ORACLES = {
+    "op4_rule_ledger": f"{_LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits % 4 <> 0 AS base_failed, bits % 64 = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits, 'v2' AS policy FROM b",
+    "rule_ablations": f"""{_LEDGER} SELECT rule, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits = bit) AS only_this, count(*) FILTER (WHERE bits = 0 OR bits = bit) AS kept_without
+FROM b, (SELECT * FROM (VALUES {_RULES}) AS t(rule, bit)) GROUP BY 1""",
 }

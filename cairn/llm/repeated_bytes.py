@@ -304,7 +304,7 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     heads = plain.groupBy("v", "n", "crc").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head < last")
     copies = plain.filter(F.col("n") >= REPEAT).join(heads, ["v", "n", "crc"]).filter("k > head").select("k", "v", F.lit(0).alias("a"), F.col("n").alias("b"))
     found = store.keep(ranges.unionByName(copies).groupBy("k", "v").agg(F.collect_list(F.struct("a", "b")).alias("r")))
-    return rows, found
+    return rows, store.release(found)
 
 
 def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

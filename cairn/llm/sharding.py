@@ -63,9 +63,9 @@ def jump_hash(key: Column, n_shards: int) -> Column:
 
 def with_shards(df: DataFrame, key: str, n_shards: int, shard: str = "shard", grown: str = "grown_shard") -> DataFrame:
     """df with its shard and the shard it would have with one more; no shuffle. Columns of these names are replaced."""
-    both = jump_hash(F.col(key), n_shards)
-    df = df.withColumn("__jump", both)
-    return df.withColumns({shard: F.col("__jump.shard"), grown: F.col("__jump.grown")}).drop("__jump")
+    told = df.select(F.struct("*").alias("row"), jump_hash(F.col(key), n_shards).alias("jump"))
+    kept = [F.col(f"row.`{c}`") for c in df.columns if c not in (shard, grown)]
+    return told.select(*kept, F.col("jump.shard").alias(shard), F.col("jump.grown").alias(grown))
 
 
 def shard_slots(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -258,6 +258,23 @@ def test_quality_rules(which, request):
     assert got == sorted((str(k), measures(t)) for k, t in pairs_of(df))
 
 
+def test_ledger_keeps_columns_of_any_name(edges):
+    odd = edges.withColumn("w", F.lit(1)).withColumn("row", F.lit("r")).withColumn("n_words", F.lit(-5)).withColumn("__jump", F.lit(4))
+    ledger = quality.rule_ledger(odd)
+    assert ledger.columns == [*[c for c in odd.columns if c != "n_words"], *quality.MEASURES, "fail_bits"]
+    assert all((r.w, r.row) == (1, "r") and r.n_words >= 0 for r in ledger.collect())
+    sharded = sharding.with_shards(odd, "doc_id", 16)
+    assert sharded.columns == [*[c for c in odd.columns if c != "shard"], "shard", "grown_shard"]
+    assert all((r.row, r["__jump"]) == ("r", 4) and 0 <= r.shard < 16 for r in sharded.collect())
+
+
+def test_rules_on_lines_and_letters(spark):
+    texts = ["- one\n* two\n• three", "it goes on...\nand on …\nuntil", "12 34 5 six", "plain words\n\n... here"]
+    rows = quality.rule_ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bullet_lines, r.n_ellipsis_lines, r.n_letter_words) for r in rows] == [(3, 0, 3), (0, 2, 6), (0, 0, 1), (0, 0, 3)]
+    assert [[k for k, (bit, _) in quality.RULES.items() if bit > 5 and r.fail_bits >> bit & 1] for r in rows] == [["bullets", "letterless"], ["ellipses"], ["letterless"], []]
+
+
 def test_ledger_policies_and_ablations(docs):
     ledger = quality.rule_ledger(docs).cache()
     rows = ledger.select("fail_bits").collect()
@@ -400,6 +417,37 @@ def test_duplicate_classes(docs, edges, empty):
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 8, 9, 10, 12, 13]
 
 
+@pytest.mark.parametrize("hot", [near_duplicates.HOT, 1])
+def test_links_at_a_larger_size(spark, hot, monkeypatch):
+    """All links of a thousand documents, by exact similarity of every pair that shares a shingle."""
+    from cairn.llm.common import WordHashes
+
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = WordHashes()
+    rows = [(k, near_duplicates.weighted_shingles(t, known)) for k, t in pairs_of(df)]
+    owners = collections.defaultdict(list)
+    for i, (_, (keys, _)) in enumerate(rows):
+        for x in keys.tolist():
+            owners[x].append(i)
+    shared = collections.Counter((i, j) for ids in owners.values() for n, j in enumerate(ids) for i in ids[:n])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, j), n in shared.items():
+        if n >= 0.4 * min(len(rows[i][1][0]), len(rows[j][1][0])) and near_duplicates.probability_jaccard(*rows[i][1], *rows[j][1]) >= 0.8:
+            parent[find(j)] = find(i)
+    groups = collections.defaultdict(set)
+    for i, (k, _) in enumerate(rows):
+        groups[find(i)].add(k)
+    got = {r.doc_id: r.class_id for r in near_duplicates.duplicate_classes(df).collect()}
+    assert got == {k: min(g) for g in groups.values() for k in g}
+
+
 def test_null_and_shared_ids(spark):
     """Copies are dropped and passages found whatever the ids; texts of one doc_id are classed by what they say."""
     long = lambda k, n=300: " ".join(f"{k}{i}" for i in range(n))
