@@ -28,7 +28,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, in the order of the mix's slots."""
     return mixing.mixed_documents(docs)
 
 
@@ -52,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = store.keep(stage(spark, docs, sf_dir))
+        docs = store.release(store.keep(stage(spark, docs, sf_dir)))  # the table before isn't read again
     return STAGES[-1][1](spark, docs, sf_dir)
