@@ -130,8 +130,8 @@ def _rows(made: list[tuple]) -> pd.DataFrame:
 def _word_counter(parts: int):
     """The function that totals a part's words: the table's partition, and an answer (number, total) for each batch.
 
-    A word's number is its place, from 1, among its part's words that training has, times the parts, plus the part.
-    Words that training lacks have number 0.
+    A word's number is its place, from 1, among its part's words that training has, the most frequent first, times the
+    parts, plus the part; so numbers of common words are short. Words that training lacks have number 0.
     """
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +140,8 @@ def _word_counter(parts: int):
         words, at = np.unique(np.concatenate(asked), return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack(x) for x in group["b"]]), len(words)).astype(np.int64)
         seen = total > 0
-        number = np.where(seen, np.cumsum(seen) * parts + part, 0)
+        number = np.zeros(len(words), np.int64)
+        number[np.argsort(-total, kind="stable")[: int(seen.sum())]] = (np.arange(int(seen.sum())) + 1) * parts + part
         made = [("words", -1, part, [int(seen.sum())], pack(words[seen]), pack(number[seen]), pack(total[seen]))]
         for batch, local, places in zip(group["batch"], group["c"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
             made.append(("word_answer", batch, part, None, pack(number[places]), pack(total[places]), local))
@@ -149,15 +150,20 @@ def _word_counter(parts: int):
     return count
 
 
-def _order(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows given by columns, and a number for each row that equal rows share, ascending in that order."""
+def _sorted_by(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows given by columns of numbers from 0, and marks of the first of equal rows in that order."""
+    if sum(int(c.max(initial=0)).bit_length() for c in columns) < 63:  # one number tells a row
+        key = columns[0]
+        for c in columns[1:]:
+            key = (key << int(c.max(initial=0)).bit_length()) | c
+        order = np.argsort(key, kind="stable")
+        return order, np.append(True, np.diff(key[order]) > 0)[: len(order)]
     order = np.lexsort(columns[::-1])
     new = np.zeros(len(order), bool)
     for c in columns:
         new[1:] |= c[order[1:]] != c[order[:-1]]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new)
-    return order, number
+    new[:1] = True
+    return order, new
 
 
 class _Words:
@@ -212,10 +218,9 @@ class _Grams:
             spread = _hash_of(spread + x.view(np.uint64))
         spread = spread[self.h] + np.where(self.count[self.h] >= hot, number * 1_000_003 + 1, 0).astype(np.uint64)
         asked = np.flatnonzero(self.count[self.h] > 0)
-        part = (_hash_of(spread[asked]) % np.uint64(parts)).astype(np.int64)
-        rank = _order(self.history)[1]
-        order = np.lexsort((number[asked], rank[self.h[asked]], part))
-        self.requests = [(g, asked[order][at]) for g, at in _by_part(part[order])]
+        part = _hash_of(spread[asked]) % np.uint64(parts)
+        part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)  # short numbers are sorted in one pass
+        self.requests = [(g, asked[at]) for g, at in _by_part(part)]  # in order of history and word
 
     def heads(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The histories of a request, and where each one's run of grams starts."""
@@ -294,13 +299,13 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         col = {c: [unpack(x) for x in group[c]] for c in ("h", "n", "hc", "want", "under", "w", "wc", "t")}
         asked = [len(x) for x in col["n"]]
         history = [np.concatenate([h.reshape(m - 1, -1)[k] for h in col["h"]]) for k in range(m - 1)]
-        first_head, head = _order(history)
-        heads = first_head[np.append(True, np.diff(head[first_head]) > 0)]
+        order, new = _sorted_by(*history)
+        heads, head = order[new], np.empty(len(order), np.int64)
+        head[order] = np.cumsum(new) - 1
         n, hc, under = (np.concatenate(col[c]) for c in ("n", "hc", "under"))
         w, wc, t = (np.concatenate(col[c]) for c in ("w", "wc", "t"))
         h, u = np.repeat(head, n), np.repeat(under, n)
-        order = np.lexsort((w, h))
-        new = np.append(True, (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1]))
+        order, new = _sorted_by(h, w)
         first = order[new]
         gram = np.empty(len(h), np.int64)
         gram[order] = np.cumsum(new) - 1
@@ -375,7 +380,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
     words = store.keep(_word_requests(batches, parts).groupBy("part").applyInPandas(_word_counter(parts), ROW), "kind")
     vocabulary = words.filter("kind = 'words'").agg(F.coalesce(F.sum(F.col("n")[0]), F.lit(0))).first()[0]
     told = words.filter("kind = 'word_answer'")
-    texts = batches.select("batch", "end", "docs", "held", "lens", "ids")
+    texts = store.keep(batches.select("batch", "end", "docs", "held", "lens", "ids"))
+    store.drop(batches)
     hot, norm = max(1, -(-total // HOT)), total + 0.5 * (vocabulary + 1)
     levels: list[Level] = []
     for m in range(2, order + 1):
