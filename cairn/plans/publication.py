@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, names
+from ..functions import geo, items, names
 from ..operators import compare as cmp
 from ..operators import publish as op
 from ..operators.ranks import ordered_digest
@@ -322,13 +322,33 @@ def normalise_nhle(spark, d):
     return rows.select("id", "tidy", "kind.kind", "kind.confidence", "w.lng", "w.lat", F.when(c("w").isNull(), "position outside the grid").alias("rejected"), F.array_join(text.alternative_names(c("name"), c("tidy")), "|").alias("alternatives"))
 
 
-@query("normalise_wikidata")
+#: Class labels and designation labels of the items, by id.
+ITEM_CLASSES = ("castle", "Church building ", "tea room", "railway station", "mill")
+ITEM_LABELS = ("Grade I listed building", "listed building", "locally listed", "Registered battlefield")
+ITEMS = f"""items AS (SELECT id, qid, CASE id % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_CLASSES))} END AS c1, CASE (id + 3) % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_CLASSES))} END AS c2,
+    CASE id % 4 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_LABELS))} END AS d1, CASE id % 8 WHEN 0 THEN 'listed building' END AS d2, CASE WHEN id % 18 = 0 THEN NULL WHEN id % 42 = 0 THEN 95e0 ELSE lat END AS lat, lng,
+    CASE WHEN id % 24 <> 0 THEN (id % 7) / 1000e0 END AS precision FROM v_candidates WHERE qid IS NOT NULL)"""
+_KIND = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for k, names_ in items.CLASSES.items() for n in names_) + " END"
+_MARK = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for k, names_ in items.DESIGNATION_LABELS.items() for n in names_) + " END"
+_METRES = f"greatest(coalesce(precision * 111320e0, 25e0), 25e0)"
+
+
+@query("normalise_wikidata", twin(f"""WITH {ITEMS}, told AS (SELECT *, {_KIND('c1')} AS k1, {_KIND('c2')} AS k2, {_MARK('d1')} AS m1, {_MARK('d2')} AS m2, {_METRES} AS metres FROM items)
+    SELECT qid, coalesce(k1, k2, 'unknown') AS place_type, CASE WHEN coalesce(k1, k2) IS NULL THEN 0e0 ELSE 0.85e0 END AS type_confidence, coalesce('instance-of:' || lower(trim(CASE WHEN k1 IS NOT NULL THEN c1 WHEN k2 IS NOT NULL THEN c2 END)), 'unmapped') AS rule,
+    round(metres, 1) AS accuracy_m, CASE WHEN metres > 250 THEN 'approximate' ELSE 'source' END AS method, concat_ws('|', m1, CASE WHEN m2 IS DISTINCT FROM m1 THEN m2 END) AS designations,
+    concat_ws('|', CASE WHEN coalesce(k1, k2) IS NULL THEN 'no class is mapped' END, CASE WHEN precision IS NOT NULL AND metres > precision * 111320e0 + 1e-6 THEN 'stated precision is no measured accuracy' END) AS warnings,
+    CASE WHEN lat IS NULL OR lng IS NULL THEN 'no position' WHEN abs(lat) > 90 OR abs(lng) > 180 THEN 'impossible position' END AS rejected FROM told"""))
 def normalise_wikidata(spark, d):
-    """Items as candidates: kind by the class they are of, accuracy by their stated precision, or a reason to reject."""
-    rows = view(spark, d, "v_candidates").filter("qid IS NOT NULL")
-    metres = geo.stated_accuracy_m(c("accuracy") / 50000.0)
-    bad = F.when(~geo.in_box(c("lng"), c("lat"), (-8.7, 49.8, 1.8, 60.9)), "outside the region").when(c("place_type") == "unknown", "no mapped class")
-    return rows.select("id", "qid", "name", "place_type", F.lit(0.85).alias("confidence"), F.round(metres, 3).alias("accuracy_m"), (metres > 250).alias("approximate"), bad.alias("rejected"))
+    """Items as candidates: kind by the first mapped class, distinct designations, accuracy by stated precision, or why they are rejected."""
+    of = lambda values, x: F.element_at(F.array(*map(F.lit, values)), (x + 1).cast("int"))
+    k = view(spark, d, "v_candidates").filter("qid IS NOT NULL")
+    raw = k.select(
+        "qid", c("name").alias("label"), F.lit(None).cast("array<string>").alias("aliases"), F.when(c("id") % 18 == 0, None).when(c("id") % 42 == 0, 95.0).otherwise(c("lat")).alias("lat"), c("lng").alias("lon"),
+        F.when(c("id") % 24 != 0, c("id") % 7 / 1000.0).alias("precision"), F.array(of(ITEM_CLASSES, c("id") % 5), of(ITEM_CLASSES, (c("id") + 3) % 5)).alias("instance_of"),
+        F.array_compact(F.array(of(ITEM_LABELS, c("id") % 4), F.when(c("id") % 8 == 0, "listed building"))).alias("designations"), F.array(c("id").cast("string")).alias("register_ids"),
+    )
+    joined = [F.array_join(x, "|").alias(x) for x in ("designations", "warnings")]
+    return items.normalise_items(raw).select("qid", "place_type", "type_confidence", "rule", "accuracy_m", "method", *joined, "rejected")
 
 
 @query("sequential_resolution")
