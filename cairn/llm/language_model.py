@@ -25,8 +25,8 @@ NO_ID = -(1 << 63)
 
 def pack(values: np.ndarray) -> bytes:
     """Numbers as compressed byte planes of the least width that holds them."""
-    if values.dtype == np.float64:
-        width, kind = 8, b"f"
+    if values.dtype.kind == "f":
+        width, kind = values.dtype.itemsize, b"f"
     else:
         top = int(values.max()) if len(values) else 0
         width = 8 if len(values) and (top >= 1 << 32 or int(values.min()) < 0) else 4 if top >= 1 << 16 else 2 if top >= 1 << 8 else 1
@@ -40,7 +40,17 @@ def unpack(data: bytes) -> np.ndarray:
     width = data[1]
     planes = np.frombuffer(zstandard.decompress(data[2:]), np.uint8).reshape(width, -1)
     flat = np.ascontiguousarray(planes.T).reshape(-1)
-    return flat.view(np.float64) if data[:1] == b"f" else flat.view(f"i{width}" if width == 8 else f"u{width}").astype(np.int64)
+    return flat.view(f"f{width}") if data[:1] == b"f" else flat.view(f"i{width}" if width == 8 else f"u{width}").astype(np.int64)
+
+
+def pack_rows(columns: list[np.ndarray]) -> bytes:
+    """Rows in ascending order: the first column as steps."""
+    return pack(np.concatenate([np.diff(columns[0], prepend=0), *columns[1:]]))
+
+
+def unpack_rows(data: bytes, n: int) -> list[np.ndarray]:
+    first, *rest = unpack(data).reshape(n, -1)
+    return [np.cumsum(first), *rest]
 
 
 def discounts(counts_of_counts: list[int], k: int = DISCOUNTED) -> np.ndarray:
@@ -217,47 +227,59 @@ class _Grams:
         for x in self.history:
             spread = _hash_of(spread + x.view(np.uint64))
         spread = spread[self.h] + np.where(self.count[self.h] >= hot, number * 1_000_003 + 1, 0).astype(np.uint64)
-        asked = np.flatnonzero(self.count[self.h] > 0)
-        part = _hash_of(spread[asked]) % np.uint64(parts)
-        part = part.astype(np.uint16 if parts < 1 << 16 else np.int64)  # short numbers are sorted in one pass
-        self.requests = [(g, asked[at]) for g, at in _by_part(part)]  # in order of history and word
+        # a history that this batch alone has needs no part: all its grams are here
+        self.own = np.zeros(len(self.count), bool) if below is None else below.alone & (below.seen > 0)
+        asked = np.flatnonzero((self.count[self.h] > 0) & ~self.own[self.h])
+        part = (_hash_of(spread[asked]) % np.uint64(parts)).astype(np.int64)
+        order = _sorted_by(part, *(x[self.h[asked]] for x in self.history))[0]
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        self.requests = [(int(part[at[0]]), asked[at]) for at in np.split(order, cuts) if len(at)]
 
     def heads(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The histories of a request, and where each one's run of grams starts."""
         h = self.h[at]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
         return h[first], first
 
     def asks(self) -> list[tuple]:
+        mine = np.flatnonzero(self.own[self.h])
+        counts = [int((self.trained[mine] == k).sum()) for k in range(1, DISCOUNTED + 2)]
         made = []
-        for g, at in self.requests:
+        for g, at in self.requests or [(0, np.zeros(0, np.int64))]:
             heads, first = self.heads(at)
-            cells = (np.concatenate([x[heads] for x in self.history]), np.diff(np.append(first, len(at))), self.count[heads], self.wanted[heads].astype(np.int64), self.under[heads])
-            made.append((g, self.words.batch, *map(pack, cells), *map(pack, (self.words.number[self.w[at]], self.lower_count[at], self.trained[at]))))
+            cells = (np.diff(np.append(first, len(at))), self.count[heads], self.wanted[heads].astype(np.int64), self.under[heads], self.words.number[self.w[at]], self.lower_count[at], self.trained[at])
+            made.append((g, self.words.batch, counts, pack_rows([x[heads] for x in self.history]), *map(pack, cells)))
+            counts = None
         return made
 
-    def told(self, answers: pd.DataFrame, hot: int, hot_sums: dict, d: np.ndarray) -> None:
+    def told(self, answers: pd.DataFrame, x: Level, lower_d: np.ndarray | None) -> None:
         """Takes the parts' answers: counts of the grams, divisors and backoff weights of the histories."""
-        self.seen = np.zeros(len(self.h), np.int64)
+        self.seen, self.alone = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), bool)
         extra, self.backoff = np.zeros(len(self.count), np.int64), np.ones(len(self.count))
         by_part = {x.part: x for x in answers[answers["kind"] == f"answer{self.m}"].itertuples()}
         for g, at in self.requests:
-            x, heads = by_part[g], self.heads(at)[0]
-            self.seen[at] = unpack(x.a)
-            cold = self.count[heads] < hot
-            extra[heads[cold]] = unpack(x.b)[cold]
+            row, heads = by_part[g], self.heads(at)[0]
+            told = unpack(row.a)
+            self.seen[at], self.alone[at] = told >> 1, told & 1 > 0
+            cold = self.count[heads] < x.hot
+            extra[heads[cold]] = unpack(row.b)[cold]
             wanted = heads[self.wanted[heads] & cold]
-            self.backoff[wanted] = left_over(unpack(x.c).reshape(DISCOUNTED + 1, -1), self.count[wanted], d)[2]
-        for v in np.flatnonzero(self.count >= hot):
-            sums = hot_sums.get(tuple(int(x[v]) for x in self.history))
+            self.backoff[wanted] = left_over(unpack(row.c).reshape(DISCOUNTED + 1, -1), self.count[wanted], x.d)[2]
+        for v in np.flatnonzero((self.count >= x.hot) & ~self.own):
+            sums = x.hot_sums.get(tuple(int(k[v]) for k in self.history))
             if sums is not None:
-                more, _, weight = left_over(sums[:, None], self.count[v : v + 1], d)
+                more, _, weight = left_over(sums[:, None], self.count[v : v + 1], x.d)
                 extra[v], self.backoff[v] = more[0], weight[0]
+        mine = np.flatnonzero(self.own[self.h])
+        if len(mine):
+            self.seen[mine], self.alone[mine] = self.trained[mine], True
+            lower = held_back(lower_d, self.lower_count[mine]) * self.lower_count[mine] / np.maximum(self.under[self.h[mine]], 1)
+            sums = history_sums(self.h[mine], self.trained[mine], lower, len(self.count))[:, self.own]
+            extra[self.own], _, self.backoff[self.own] = left_over(sums, self.count[self.own], x.d)
         self.divisor = self.count + extra
-        self.d = d
 
 
-ASKED = "part long, batch long, h binary, n binary, hc binary, want binary, under binary, w binary, wc binary, t binary"
+ASKED = "part long, batch long, own array<long>, h binary, n binary, hc binary, want binary, under binary, w binary, wc binary, t binary"
 
 
 class Level:
@@ -269,10 +291,11 @@ class Level:
 
 def _grams(words: _Words, answers: pd.DataFrame, levels: list[Level]) -> _Grams | None:
     """The grams of the highest of some finished levels, with their answers."""
-    grams = None
+    grams, lower_d = None, None
     for x in levels:
         grams = _Grams(words, x.m, grams, x.parts, x.hot)
-        grams.told(answers, x.hot, x.hot_sums, x.d)
+        grams.told(answers, x, lower_d)
+        lower_d = x.d
     return grams
 
 
@@ -291,14 +314,25 @@ def held_back(d: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.append(np.append(0.0, d), 1.0)[np.minimum(r, DISCOUNTED + 1)]
 
 
+def history_sums(h: np.ndarray, r: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """(DISCOUNTED + 1, n): of each history, how many grams have each discounted count, and the sum of the lower
+    probabilities of those seen."""
+    return np.stack([np.bincount(h, x, n) for x in (*(r == k for k in range(1, DISCOUNTED + 1)), np.where(r > 0, lower, 0.0))])
+
+
 def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
-    """The function that counts a part's m-grams: its table, its histories' sums, and an answer for each batch."""
+    """The function that counts a part's m-grams: its table, its histories' sums, and an answer for each batch.
+
+    An answer tells for each gram its count and whether no other batch has it, and for each history whether none of
+    its counts is discounted, and its sums if wanted.
+    """
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
-        col = {c: [unpack(x) for x in group[c]] for c in ("h", "n", "hc", "want", "under", "w", "wc", "t")}
+        own = np.sum([np.zeros(DISCOUNTED + 1, np.int64), *(x for x in group["own"] if x is not None)], axis=0)
+        col = {c: [unpack(x) for x in group[c]] for c in ("n", "hc", "want", "under", "w", "wc", "t")}
         asked = [len(x) for x in col["n"]]
-        history = [np.concatenate([h.reshape(m - 1, -1)[k] for h in col["h"]]) for k in range(m - 1)]
+        history = [np.concatenate(x) for x in zip(*(unpack_rows(h, m - 1) for h in group["h"]), strict=True)]
         order, new = _sorted_by(*history)
         heads, head = order[new], np.empty(len(order), np.int64)
         head[order] = np.cumsum(new) - 1
@@ -310,17 +344,20 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         gram = np.empty(len(h), np.int64)
         gram[order] = np.cumsum(new) - 1
         r = np.bincount(gram, t, len(first)).astype(np.int64)
+        alone = np.bincount(gram, minlength=len(first)) == 1
         of, w1, wc1 = h[first], w[first], wc[first]
-        seen = r > 0
         lower = (wc1 + 0.5) / norm if lower_d is None else held_back(lower_d, wc1) * wc1 / np.maximum(u[first], 1)
-        sums = np.stack([np.bincount(of, x, len(heads)) for x in (*(r == k for k in range(1, DISCOUNTED + 1)), np.where(seen, lower, 0.0))])
+        sums = history_sums(of, r, lower, len(heads))
         is_hot = hc[heads] >= hot
-        kept = np.flatnonzero(seen)
-        numbers = np.stack([x[heads] for x in history])
-        made = [(f"grams{m}", -1, part, [int((r == k).sum()) for k in range(1, DISCOUNTED + 2)], pack(numbers[:, of[kept]].reshape(-1)), pack(w1[kept]), pack(r[kept]))]
-        for kind, which in ((f"histories{m}", ~is_hot), (f"hot{m}", is_hot)):
-            made.append((kind, -1, part, None, pack(numbers[:, which].reshape(-1)), pack(sums[:, which].reshape(-1))))
-        answers = np.split(r[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
+        kept = np.flatnonzero(r > 0)  # in order of history and word
+        run = np.bincount(of[kept], minlength=len(heads))
+        numbers = [x[heads] for x in history]
+        some = run > 0
+        counts = [int((r == k).sum()) + int(own[k - 1]) for k in range(1, DISCOUNTED + 2)]
+        made = [(f"grams{m}", -1, part, counts, pack_rows([x[some] for x in numbers]), pack(run[some]), pack(w1[kept]), pack(r[kept]))]
+        made.append((f"histories{m}", -1, part, None, pack_rows([x[~is_hot] for x in numbers]), pack(sums[-1, ~is_hot].astype(np.float32))))
+        made.append((f"hot{m}", -1, part, None, pack(np.concatenate([x[is_hot] for x in numbers])), pack(sums[:, is_hot].reshape(-1))))
+        answers = np.split((2 * r + alone)[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
         for batch, a, at, want in zip(group["batch"], answers, np.split(head, np.cumsum(asked)[:-1]), col["want"], strict=True):
             bare = sums[:DISCOUNTED, at].sum(axis=0) == 0
             wanted = at[(want > 0) & ~is_hot[at]]
@@ -348,7 +385,8 @@ def _hot_sums(table: DataFrame, m: int) -> dict:
         for frame in frames:
             for r in frame.itertuples():
                 heads, sums = unpack(r.a).reshape(m - 1, -1).T, unpack(r.b).reshape(DISCOUNTED + 1, -1).T
-                yield pd.DataFrame({"h": [x.tolist() for x in heads], "s": list(sums)})
+                if len(heads):
+                    yield pd.DataFrame({"h": [x.tolist() for x in heads], "s": list(sums)})
 
     rows = table.filter(F.col("kind") == f"hot{m}").select("a", "b").mapInPandas(opened, "h array<long>, s array<double>")
     total = rows.groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(DISCOUNTED + 1)])
@@ -396,10 +434,11 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
         words = _Words(next(row.itertuples()), told)
         base = np.log10((words.count + 0.5) / norm)
         value, under = base[words.ids], base
-        grams = None
+        grams, lower_d = None, None
         for x in shared.value:
             grams = _Grams(words, x.m, grams, x.parts, x.hot)
-            grams.told(told, x.hot, x.hot_sums, x.d)
+            grams.told(told, x, lower_d)
+            lower_d = x.d
             with np.errstate(divide="ignore", invalid="ignore"):
                 direct = np.log10(held_back(x.d, grams.seen) * grams.seen / grams.divisor[grams.h])
             under = np.where(grams.seen > 0, direct, np.log10(grams.backoff[grams.h]) + under[grams.lower])
