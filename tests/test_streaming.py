@@ -22,6 +22,22 @@ def test_ingest_and_replay(spark):
     stream.ingest(spark, f"{root}/in/*", f"{root}/table", SCHEMA, f"{root}/state").awaitTermination()
     assert stream.versions(spark, f"{root}/table")[-1] == 2
     assert stream.current(spark, f"{root}/table", SCHEMA).count() == 100
+    whole = {tuple(r) for r in stream.current(spark, f"{root}/table", SCHEMA).collect()}
+    assert stream.expire(spark, f"{root}/table") > 0 == stream.expire(spark, f"{root}/table")
+    assert {tuple(r) for r in stream.current(spark, f"{root}/table", SCHEMA).collect()} == whole
+
+
+def test_a_batch_rewrites_only_its_buckets(spark):
+    root = tempfile.mkdtemp(prefix="spark-stream-")
+    publish = stream.publisher(root, SCHEMA, buckets=16)
+    rows = SOURCES["events"](spark, {"dir": SMALL}).select("source_id", "source_record_id", "name", "modified")
+    publish(rows, 0)
+    one = rows.filter("source_record_id = '7'").selectExpr("source_id", "source_record_id", "'renamed' AS name", "modified")
+    publish(one, 1)
+    publish(one, 1)  # a batch that runs again
+    assert sum(n.startswith("bucket=") for n in stream._listed(spark, f"{root}/v2")) == 1
+    got = {r.source_record_id: r.name for r in stream.current(spark, root, SCHEMA).collect()}
+    assert got == {r.source_record_id: r.name for r in rows.collect()} | {"7": "renamed"}
 
 
 def test_staging_round_trip(spark):
