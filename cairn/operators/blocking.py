@@ -12,7 +12,8 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float | N
     """(l, r, metres) of all pairs within a distance, by an equi-join on grid cells.
 
     Only the left side is copied to its neighbouring cells, so the right side's rows are shuffled once. A cell is as
-    high as the distance unless a size is given, so a row goes to three rows of cells.
+    high as the distance unless a size is given, so a row goes to three rows of cells. The left side is dealt by cells
+    into as many partitions as shuffles have, which the join keeps: pairs cost far more than their rows' bytes tell.
     """
     size = size or max(0.001, metres / geo.METRES_A_DEGREE * 1.001)
     side = geo.lng_cells(F.col("lat"), metres * 1.001, size) + 0
@@ -22,6 +23,7 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float | N
         left.select(F.col("id").alias("l"), F.col("lng").alias("x1"), F.col("lat").alias("y1"), *[F.col(k).alias(f"l_{k}") for k in keep], F.explode(F.sequence(gx - side, gx + side)).alias("gx"), gy.alias("y"))
         .withColumn("gy", F.explode(F.sequence(F.col("y") - high, F.col("y") + high)))
         .drop("y")
+        .repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gx", "gy")
     )
     b = right.select(F.col("id").alias("r"), F.col("lng").alias("x2"), F.col("lat").alias("y2"), *[F.col(k).alias(f"r_{k}") for k in keep], gx.alias("gx"), gy.alias("gy"))
     pairs = a.join(b, ["gx", "gy"]).withColumn("metres", geo.haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
