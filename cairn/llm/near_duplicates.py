@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, WordHashes, mix, windows
+from .common import Store, WordHashes, if_few, mix, windows
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -209,7 +209,7 @@ def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame
     pairs = store.keep(
         shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     )
-    wanted = store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi"))
+    wanted = if_few(store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi")))
     rows = docs.select(*_text_key(F.col(text)), F.col(text).alias("t")).join(wanted, ["r1", "r2"])
     shingles = store.keep(_shingle_table(rows.groupBy("u").agg(F.min("t").alias("t")), "u", "t"))
     links = store.keep(_verified(pairs, shingles))
@@ -259,10 +259,10 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     met = rows.join(many, "g").select("key.e", "key.r1", "key.r2", F.coalesce("key.doc_id", F.lit(0)).alias("k"), F.col("key").eqNullSafe(F.col("least")).alias("first"))
     named = ["e", "k", "r1", "r2"]
     met = near.release(store.release(store.keep(met.groupBy(*named).agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n")))))
-    # the texts are dealt once, each with its row; only equal rows of the kept ones are gathered
+    # the texts are dealt once at most, each with its row; only equal rows of the kept ones are gathered
     r1, r2 = _text_key(F.col("text"))
     k = F.col("doc_id").cast("long")
-    dealt = docs.select(F.struct("*").alias("row"), k.isNull().alias("e"), F.coalesce(k, F.lit(0)).alias("k"), r1, r2).join(met, named, "left")
+    dealt = docs.select(F.struct("*").alias("row"), k.isNull().alias("e"), F.coalesce(k, F.lit(0)).alias("k"), r1, r2).join(if_few(met), named, "left")
     once = dealt.filter("first is null or first and n = 1").select("row")
     repeated = dealt.filter("first and n > 1").dropDuplicates(named).select("row")
     return once.unionByName(repeated).select("row.*")
