@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cairn.functions import classify, geo, names, rights, temporal, text
 from cairn.operators import discovery, publish, reports, visibility
-from cairn.operators.matching import resolve_in_order
 from cairn.operators.requests import SearchRequest
 from cairn.plans.substrate import PERIODS
 
@@ -102,15 +101,6 @@ def test_visibility(spark):
     assert visibility.staging(df, visibility.Actor()).count() == 0
 
 
-def test_resolution_in_order(spark):
-    """2 matches 1; 3 is close to 2 alone, which isn't canonical, so 3 is new."""
-    rows = spark.range(1, 5)
-    scored = spark.createDataFrame([(2, 1, 0.95), (3, 2, 0.95), (4, 3, 0.6)], "l long, r long, score double")
-    linked = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "v long, c long")
-    got = {r.id: (r.outcome, r.matched) for r in resolve_in_order(rows, scored, linked).collect()}
-    assert got == {1: ("NEW_CANONICAL", None), 2: ("MATCH_CONFIDENT", 1), 3: ("NEW_CANONICAL", None), 4: ("MATCH_REVIEW", 3)}
-
-
 def test_box_is_pushed_to_the_scan(spark):
     """A viewport over stored places reads only the columns and rows it needs."""
     import tempfile

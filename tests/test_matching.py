@@ -83,3 +83,13 @@ def test_resolution_in_order(spark, rows):
         want[i] = ("CONFLICT_REVIEW" if best.conflicts else "MATCH_CONFIDENT" if sure else "MATCH_REVIEW", best.r)
     got = {r.id: (r.outcome, r.matched) for r in op.resolve_in_order(rows).collect()}
     assert got == want and len({x for x, _ in want.values()}) > 1 and any(m is not None for _, m in want.values())
+
+
+def test_only_canonical_records_are_matched(spark):
+    """2 matches 1; 3 is like 2 alone, by another name of it, and 2 isn't canonical, so 3 is new; 4 is near enough to 3 for review."""
+    rows = [
+        record(1, "Skelton Castle", source=1), record(2, "Skelton Castle", alt=["Overton Priory Gatehouse"], source=2), record(3, "Overton Priory Gatehouse", source=3),
+        record(4, "Overton Priory House", source=4, kind="unknown", sure=0.5),
+    ]
+    got = {r.id: (r.outcome, r.matched) for r in op.resolve_in_order(op.prepared(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got[1] == ("NEW_CANONICAL", None) and got[2] == ("MATCH_CONFIDENT", 1) and got[3] == ("NEW_CANONICAL", None) and got[4] == ("MATCH_REVIEW", 3), got
