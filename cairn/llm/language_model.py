@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import Store, WordHashes, mix
 
-ORDER = 3
+#: Order of the model, and level of the tables' compression.
+ORDER, LEVEL = 3, 4
 TOKENS_A_BATCH = 1_500_000
 #: Counts up to DISCOUNTED are discounted; a history is hot if it holds 1 / HOT of all tokens, so at most HOT are.
 DISCOUNTED, HOT = 5, 1000
@@ -33,7 +34,7 @@ def pack(values: np.ndarray) -> bytes:
         kind = b"i"
         values = values.astype(f"i{width}" if width == 8 else f"u{width}")
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T
-    return kind + bytes([width]) + zstandard.compress(planes.tobytes(), 1)
+    return kind + bytes([width]) + zstandard.compress(planes.tobytes(), LEVEL)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -124,7 +125,7 @@ def _word_requests(batches: DataFrame, parts: int) -> DataFrame:
             for r in frame.itertuples():
                 vocab, train = unpack(r.vocab), unpack(r.train)
                 part = (vocab.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at]), pack(at)) for g, at in _by_part(part)], columns=["part", "batch", "a", "b", "c"])
+                yield pd.DataFrame([(g, r.batch, pack(vocab[at]), pack(train[at]), pack_rows([at])) for g, at in _by_part(part)], columns=["part", "batch", "a", "b", "c"])
 
     return batches.select("batch", "vocab", "train").mapInPandas(scan, "part long, batch long, a binary, b binary, c binary")
 
@@ -184,7 +185,7 @@ class _Words:
         self.batch, self.size = row.batch, int(self.ids.max()) + 1
         self.number, self.count = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
         for r in answers[answers["kind"] == "word_answer"].itertuples():
-            at = unpack(r.c)
+            (at,) = unpack_rows(r.c, 1)
             self.number[at], self.count[at] = unpack(r.a), unpack(r.b)
         self.starts = np.append(0, np.cumsum(self.lens)[:-1])
         self.place = np.arange(len(self.ids)) - np.repeat(self.starts, self.lens)
@@ -354,7 +355,10 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         numbers = [x[heads] for x in history]
         some = run > 0
         counts = [int((r == k).sum()) + int(own[k - 1]) for k in range(1, DISCOUNTED + 2)]
-        made = [(f"grams{m}", -1, part, counts, pack_rows([x[some] for x in numbers]), pack(run[some]), pack(w1[kept]), pack(r[kept]))]
+        steps = np.diff(w1[kept], prepend=0)  # words ascend within a history
+        begins = np.cumsum(run[some]) - run[some]
+        steps[begins] = w1[kept][begins]
+        made = [(f"grams{m}", -1, part, counts, pack_rows([x[some] for x in numbers]), pack(run[some]), pack(steps), pack(r[kept]))]
         made.append((f"histories{m}", -1, part, None, pack_rows([x[~is_hot] for x in numbers]), pack(sums[-1, ~is_hot].astype(np.float32))))
         made.append((f"hot{m}", -1, part, None, pack(np.concatenate([x[is_hot] for x in numbers])), pack(sums[:, is_hot].reshape(-1))))
         answers = np.split((2 * r + alone)[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
