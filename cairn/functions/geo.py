@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import capture_scale_metres, round_half_up
+from .text import capture_scale_metres, let, round_half_up
 
 EARTH_M = 6371008.8
 METRES_A_DEGREE = 111195.0
@@ -67,11 +67,6 @@ def meridian_arc(lat: Column) -> Column:
     return F.lit(AIRY_B * SCALE0) * terms
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def grid_to_osgb36(easting: Column, northing: Column, rounds: int = 5) -> Column:
     """Struct (lat, lng) in radians on the Airy ellipsoid; five rounds settle the latitude far below a micrometre."""
     first = (northing - NORTH0) / (AIRY_A * SCALE0) + LAT0

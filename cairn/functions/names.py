@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geo import let
-from .text import bigram_set, bigram_dice, containment, is_subset, same_tokens, tokenise
+from .text import bigram_dice, bigram_set, containment, is_subset, let, same_tokens, tokenise
 
 #: Phrases that place the subject relative to something else, richer forms first.
 RELATIONS = (

@@ -15,6 +15,11 @@ SMALL_WORDS = ("of", "the", "and", "to", "at", "in", "on", "for", "a", "an")
 ROMAN = "^(i{1,3}|iv|v|vi{1,3}|ix|x)$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise_name(name: Column) -> Column:
     """Accents, case, apostrophes and punctuation removed; & spelled out; single spaces."""
     x = F.lower(F.translate(name, ACCENTED, PLAIN))
@@ -90,8 +95,8 @@ def bigrams(x: Column) -> Column:
 
 def bigram_set(x: Column) -> Column:
     """The bigrams of x, each with its number among equal ones, so that sets of them intersect like multisets."""
-    grams = bigrams(x)
-    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda y: y == g)).cast("string")))
+    numbered = lambda grams: F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda y: y == g)).cast("string")))
+    return let(x, lambda s: let(bigrams(s), numbered))
 
 
 def bigram_dice(a: Column, grams_a: Column, b: Column, grams_b: Column) -> Column:
@@ -102,7 +107,8 @@ def bigram_dice(a: Column, grams_a: Column, b: Column, grams_b: Column) -> Colum
 
 def dice(a: Column, b: Column) -> Column:
     """Sorensen-Dice coefficient on character-bigram multisets."""
-    return bigram_dice(a, bigram_set(a), b, bigram_set(b))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda p: bigram_dice(p["a"], bigram_set(p["a"]), p["b"], bigram_set(p["b"])))
 
 
 def containment(a: Column, b: Column) -> Column:
