@@ -417,12 +417,10 @@ def test_duplicate_classes(docs, edges, empty):
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 7, 8, 9, 10, 12, 13]
 
 
-@pytest.mark.parametrize("hot", [near_duplicates.HOT, 1])
-def test_links_at_a_larger_size(spark, hot, monkeypatch):
+def test_links_at_a_larger_size(spark):
     """All links of a thousand documents, by exact similarity of every pair that shares a shingle."""
     from cairn.llm.common import WordHashes
 
-    monkeypatch.setattr(near_duplicates, "HOT", hot)
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = WordHashes()
     rows = [(k, near_duplicates.weighted_shingles(t, known)) for k, t in pairs_of(df)]
