@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,17 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def id_columns(key: Column) -> list[Column]:
+    """A document's id as k and e, whether it is null: a null would make pandas turn the ids of a batch into floats."""
+    k = key.cast("long")
+    return [F.coalesce(k, F.lit(0)).alias("k"), k.isNull().alias("e")]
+
+
+def ids_of(batch: pd.DataFrame) -> pd.Series:
+    """The ids of a batch with id_columns()."""
+    return batch["k"].astype("Int64").mask(batch["e"])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+``; null has none."""
     return F.filter(F.split(text_or_empty(text), rf"[{SPACE}]+"), lambda w: w != "")

@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, windows
+from .common import WordHashes, id_columns, ids_of, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -200,13 +200,12 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             finder = Finder(shared.value)
             for batch in batches:
-                ids = batch["k"].astype("Int64")
-                rows = [(d, *x) for d, t in zip(ids, batch["t"], strict=True) for x in finder.passages(t)]
+                rows = [(d, *x) for d, t in zip(ids_of(batch), batch["t"], strict=True) for x in finder.passages(t)]
                 yield pd.DataFrame(rows, columns=columns).astype(
                     {"doc_id": "Int64", "item_id": "int64", "similarity": "float64", "start_word": "int64", "n_words": "int64", "hamming": "int32"}
                 )
 
-        found = docs.selectExpr(f"cast(`{doc}` as long) as k", f"`{text}` as t").mapInPandas(scan, schema)
+        found = docs.select(*id_columns(F.col(doc)), F.col(text).alias("t")).mapInPandas(scan, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_columns, ids_of
+
 #: Markup: comments, elements whose content isn't text, tags, declarations; the last may be cut off by the page's end.
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -353,6 +355,6 @@ def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", htm
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [main_text(x, weights) for x in batch["h"]]
-            yield pd.DataFrame({"page_id": batch["p"].astype("Int64"), "url": batch["u"], "text": texts, "n_chars": [len(x) for x in texts]})
+            yield pd.DataFrame({"page_id": ids_of(batch), "url": batch["u"], "text": texts, "n_chars": [len(x) for x in texts]})
 
-    return pages.selectExpr(f"cast(`{page}` as long) as p", f"`{url}` as u", f"`{html}` as h").mapInPandas(scan, "page_id long, url string, text string, n_chars long")
+    return pages.select(*id_columns(F.col(page)), F.col(url).alias("u"), F.col(html).alias("h")).mapInPandas(scan, "page_id long, url string, text string, n_chars long")

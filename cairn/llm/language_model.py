@@ -448,10 +448,10 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
             under = np.where(grams.seen > 0, direct, np.log10(grams.backoff[grams.h]) + under[grams.lower])
             value[grams.tokens] = under[grams.gram_of[grams.tokens]]
         return pd.DataFrame({
-            "doc_id": pd.Series(words.docs, dtype="Int64").mask(words.docs == NO_ID),
-            "held_out": words.held, "n_tokens": words.lens, "n_known": np.add.reduceat((words.count[words.ids] > 0).astype(np.int64), words.starts), "train_tokens": total,
+            "k": words.docs, "held_out": words.held, "n_tokens": words.lens, "n_known": np.add.reduceat((words.count[words.ids] > 0).astype(np.int64), words.starts), "train_tokens": total,
             "base_score": np.add.reduceat(base[words.ids], words.starts), "score": np.add.reduceat(value, words.starts),
         })
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, schema)
+    schema = "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(score, schema)
+    return scored.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), *scored.columns[1:])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, mix, text_or_empty
+from .common import Store, id_columns, ids_of, mix, text_or_empty
 
 #: Bytes of a repeat, and of the q-grams whose buckets are refined. Every repeat holds an anchor at the same place.
 REPEAT, Q = 100, 32
@@ -330,7 +330,7 @@ def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
                 digest.update(data[at:])
                 made.append((len(data), sum(end - start for start, end in spans), len(spans), digest.hexdigest()))
             out = pd.DataFrame(made, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", ids_of(batch).array)
             yield out.astype({"doc_id": "Int64"})
 
-    return rows.join(found, ["k", "v"], "left").select("doc_id", "t", F.col("r.a").alias("a"), F.col("r.b").alias("b")).mapInPandas(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(found, ["k", "v"], "left").select(*id_columns(F.col("doc_id")), "t", F.col("r.a").alias("a"), F.col("r.b").alias("b")).mapInPandas(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

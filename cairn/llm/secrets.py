@@ -9,6 +9,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import id_columns, ids_of
 
 #: The base kinds, in order; kind -> (pattern, group measured, least characters of it).
 BASE = {
@@ -131,7 +134,7 @@ def secret_spans(docs: DataFrame, vocabulary: str | None = None, pattern: str |
         encode = None
         for batch in batches:
             rows = []
-            for doc, body in zip(batch["k"], batch["t"], strict=True):
+            for doc, body in zip(ids_of(batch), batch["t"], strict=True):
                 body = body or ""
                 base = base_spans(body)
                 if encode is None and CANDIDATE.search(body):
@@ -144,4 +147,4 @@ def secret_spans(docs: DataFrame, vocabulary: str | None = None, pattern: str |
             yield out.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
-    return docs.selectExpr(f"cast(`{key}` as long) as k", f"`{text}` as t").mapInPandas(scan, schema)
+    return docs.select(*id_columns(F.col(key)), F.col(text).alias("t")).mapInPandas(scan, schema)

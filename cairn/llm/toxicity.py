@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, mix
+from .common import Store, id_columns, ids_of, mix
 
 WORDS = re.compile(r"[^\W_]+")
 #: The model is fitted on at most so many labelled rows of either label, taken in order of a hash of doc_id.
@@ -360,9 +360,9 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                     found.append((shared.value.score(p), len(hit), spans))
             score = np.array([x[0] for x in found], float)
             yield pd.DataFrame({
-                "doc_id": batch["k"].astype("Int64"), "held_out": batch["h"], "score": score, "predicted": (score >= 0.5).astype("int32"),
+                "doc_id": ids_of(batch), "held_out": batch["h"], "score": score, "predicted": (score >= 0.5).astype("int32"),
                 "n_toxic_words": np.array([x[1] for x in found], "int64"), "spans": [x[2] for x in found],
             })
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), (remainder(key) == 0).alias("h"))
+    rows = docs.select(*id_columns(F.col(key)), F.col(text).alias("t"), (remainder(key) == 0).alias("h"))
     return rows.mapInPandas(scan, "doc_id long, held_out boolean, score double, predicted int, n_toxic_words long, spans string")

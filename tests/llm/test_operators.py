@@ -446,6 +446,20 @@ def test_links_at_a_larger_size(spark):
     assert got == {k: min(g) for g in groups.values() for k in g}
 
 
+def test_large_ids_beside_null_ones(spark):
+    """Ids beyond 2**53 keep their digits in a batch with a null id."""
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, PASSAGE), (big, PASSAGE), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    want = {None, big, big + 2}
+    assert {r.doc_id for r in secrets.secret_spans(df).collect()} == {r.doc_id for r in repeated_bytes.without_repeats(df).collect()} == want
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.benchmark_passages(df, items).collect()} == {None, big}
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r.doc_id for r in toxicity.toxic_scores(df, labels).collect()} == want
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert {r.page_id for r in html_extraction.extract_pages(pages).collect()} == {r.doc_id for r in language_model.katz_scores(df).collect()} == want
+
+
 def test_null_and_shared_ids(spark):
     """Copies are dropped and passages found whatever the ids; texts of one doc_id are classed by what they say."""
     long = lambda k, n=300: " ".join(f"{k}{i}" for i in range(n))
