@@ -12,15 +12,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, id_columns, ids_of, mix
+from .common import Store, id_columns, ids_of
 
 WORDS = re.compile(r"[^\W_]+")
 #: The model is fitted on at most so many labelled rows of either label, taken in order of a hash of doc_id.
 SAMPLE_EACH = 1000
-#: A word is first labelled toxic if it is in so many toxic texts and, smoothed, so many times likelier there. Texts of
-#: one label that share ALIKE of their words count as one, as copies of one text don't confirm each other.
-LEAST_TEXTS, LEAST_ODDS, ALIKE = 5, 20.0, 0.5
-SKETCH, BAND = 48, 2
+#: A word is first labelled toxic if it is in so many toxic texts and, smoothed, so many times likelier there.
+LEAST_TEXTS, LEAST_ODDS = 5, 20.0
 #: Words share weights by their last letters, in so many classes; rare words have no other.
 ENDING, CLASSES = 3, 1024
 #: Gradient steps of the first fit and of those after each relabelling.
@@ -183,41 +181,10 @@ def _blocks(texts: list[np.ndarray]) -> list[np.ndarray]:
     return [part for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // TOKENS_A_STEP)) + 1) if len(part)]
 
 
-def without_copies(texts: list[np.ndarray]) -> list[int]:
-    """Numbers of the texts that share less than ALIKE of their distinct words with any text kept before.
-
-    Texts are compared if they agree in a band of their sketches, the least of several hashes of each text's words.
-    """
-    rng = np.random.default_rng(9)
-    factor = rng.integers(1, 1 << 62, SKETCH).astype(np.uint64) | np.uint64(1)
-    kept, sets, bands = [], {}, {}
-    for i, t in enumerate(texts):
-        words = np.unique(t)
-        if not len(words):
-            continue
-        with np.errstate(over="ignore"):
-            least = (mix(words.astype(np.uint64) + np.uint64(1))[:, None] * factor).min(axis=0)
-        keys = [(b, *least[b : b + BAND].tolist()) for b in range(0, SKETCH, BAND)]
-        met = {j for k in keys for j in bands.get(k, ())}
-        if any(len(np.intersect1d(words, sets[j])) >= ALIKE * len(np.union1d(words, sets[j])) for j in met):
-            continue
-        kept.append(i)
-        sets[i] = words
-        for k in keys:
-            bands.setdefault(k, []).append(i)
-    return kept
-
-
 def first_labels(texts: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
-    """Marks words of the vocabulary that are in LEAST_TEXTS different toxic texts and LEAST_ODDS times likelier there."""
-    count, total = {}, {}
-    for label in (True, False):
-        own = [t[t < size] for t, y in zip(texts, toxic, strict=True) if y == label]
-        own = [own[i] for i in without_copies(own)]
-        count[label] = np.bincount(np.concatenate([np.unique(t) for t in own] or [np.zeros(0, np.int64)]), minlength=size)
-        total[label] = len(own)
-    yes, no = count[True], count[False]
-    return (yes >= LEAST_TEXTS) & ((yes + 0.5) * (total[False] + 1) >= LEAST_ODDS * (no + 0.5) * (total[True] + 1))
+    """Marks words of the vocabulary that are in LEAST_TEXTS toxic texts and LEAST_ODDS times likelier there."""
+    yes, no = (np.bincount(np.concatenate([np.unique(t[t < size]) for t, y in zip(texts, toxic, strict=True) if y == label]), minlength=size) for label in (True, False))
+    return (yes >= LEAST_TEXTS) & ((yes + 0.5) * ((~toxic).sum() + 1) >= LEAST_ODDS * (no + 0.5) * (toxic.sum() + 1))
 
 
 def fit(vocabulary: dict[str, int], texts: list[np.ndarray], toxic: list[int]) -> Model:
