@@ -116,9 +116,9 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
 def _codes(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
     """Plain Lloyd: each row's part against every entry of its position, with the entry's squared distance and then its index as order."""
     sql = f"""
-WITH v AS (SELECT vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 d AS (SELECT max(len(x)) // {parts} AS width FROM v),
-x AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, p, list_transform(x[p * width + 1:(p + 1) * width], lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM v, d, (SELECT unnest(range(0, {parts})) AS p)),
+x AS MATERIALIZED (SELECT r, vec_id, label, p, list_transform(x[p * width + 1:(p + 1) * width], lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM v, d, (SELECT unnest(range(0, {parts})) AS p)),
 i AS (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j FROM x),
 c0 AS MATERIALIZED (SELECT p, j, x AS c FROM i WHERE j < {entries})"""
     for n in range(rounds + 1):
