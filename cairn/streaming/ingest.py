@@ -9,38 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.publish import upsert
+from ..operators.versions import bucket_of, expire, listed, read, touched_buckets, versions, write
 
+__all__ = ["current", "expire", "ingest", "late_counts", "listed", "publisher", "versions"]
 KEY = ["source_id", "source_record_id"]
-
-
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, through Spark's own file system; none if there is no such folder."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished versions under a folder."""
-    return sorted(int(n[1:]) for n in _listed(spark, root) if n.startswith("v") and "_SUCCESS" in _listed(spark, f"{root}/{n}"))
-
-
-def _places(spark: SparkSession, root: str, upto: int | None = None) -> dict[int, str]:
-    """Bucket -> the folder of its last version, at most ``upto``."""
-    found: dict[int, str] = {}
-    for v in versions(spark, root):
-        if upto is None or v <= upto:
-            found |= {int(n.partition("=")[2]): f"{root}/v{v}/{n}" for n in _listed(spark, f"{root}/v{v}") if n.startswith("bucket=")}
-    return found
-
-
-def _read(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+_listed = listed
 
 
 def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The table: the last version of each bucket."""
-    return _read(spark, sorted(_places(spark, root).values()), schema)
+    return read(spark, root, schema)
 
 
 def publisher(root: str, schema: str, key: list[str] = KEY, order: str = "modified", buckets: int = 64) -> Callable[[DataFrame, int], None]:
@@ -50,27 +28,13 @@ def publisher(root: str, schema: str, key: list[str] = KEY, order: str = "modifi
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most so many numbers
-        before = _places(spark, root, number)
-        old = _read(spark, [before[b] for b in sorted(touched) if b in before], schema)
-        upsert(old, batch, key, order).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{number + 1}")
+        touched = touched_buckets(batch, key, buckets)
+        old = read(batch.sparkSession, root, schema, touched, number)
+        write(upsert(old, batch, key, order), root, number + 1, touched, bucket_of(key, buckets))
 
     return publish
 
 
-def expire(spark: SparkSession, root: str) -> int:
-    """Deletes the folders of buckets that have a later version; how many those were."""
-    kept, gone = set(_places(spark, root).values()), 0
-    for v in versions(spark, root):
-        for n in _listed(spark, f"{root}/v{v}"):
-            if n.startswith("bucket=") and f"{root}/v{v}/{n}" not in kept:
-                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{v}/{n}")
-                gone += p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    return gone
-
-
 def ingest(spark: SparkSession, source: str, root: str, schema: str, checkpoint: str) -> StreamingQuery:
     """Publishes the Parquet files that appear in ``source``, all there are now, then stops."""
     rows = spark.readStream.schema(schema).parquet(source)
