@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,46 +36,93 @@ BOILERPLATE = frozenset("head title nav header footer aside form menu button dia
 CONTENT = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTED = frozenset("li dt dd td th option".split())
-#: Names of classes, ids and roles that tell boilerplate wherever they stand, those of reader comments, those that only
-#: hint at boilerplate, and those that hint at content.
-NAMES = {
-    "strong": r"nav\w*|menu\w*|header|masthead|footer|sidebar\w*|aside|ad|ads|adsbygoogle|advert\w*|banner\w*|promo\w*|sponsor\w*|cookie\w*|notice\w*|consent\w*|gdpr|alert\w*|shar(?:e|ing)|social|recommend\w*"
-    r"|breadcrumbs?|subscribe\w*|newsletter|popup|modal|widget\w*|toolbar|login|signup|copyright|disclaimer|pagination|contentinfo|complementary|related(?=$|\s|[_-](?:post|article|link|stor|content|item|read|news|topic))",
-    "readers": r"comments?|comment(?:list|ers?|form|text|body)|disqus|repl(?:y|ies)",
-    "weak": r"related|side|foot|pager|skip\w*|tags?|form|search",
-    "content": r"article|content|post|entry|story|main|body|text",
-}
-NAMES = {k: re.compile(rf"(?:^|[\s_-])(?:{v})(?=$|[\s_-])", re.I) for k, v in NAMES.items()}
-#: Names of boxes around a whole layout: if they hold an article, their hints don't count.
-WRAPPER = re.compile(r"(?:^|[\s_-])(?:\w*wrap\w*|container|layout|site|has|with)(?=$|[\s_-])", re.I)
+#: Parts of the names of classes, ids and roles. A name is cut at hyphens, underscores and inner capitals. It tells
+#: boilerplate if no part says anything else, and may do so if its last part does, which says what the thing is (a
+#: menu-review is a review).
+BOILER = frozenset(
+    """nav navs navbar navigation navlinks topnav sidenav subnav menu menus submenu dropdown hamburger header masthead footer sidebar sidebars aside ad ads adsbygoogle advert adverts
+    advertisement advertisements advertising banner banners promo promos promotion promotions sponsor sponsors sponsored cookie cookies notice notices notification notifications consent gdpr
+    alert alerts share shares sharing social socials recommend recommended recommendation recommendations breadcrumb breadcrumbs crumbs subscribe subscription newsletter newsletters popup
+    popups modal widget widgets toolbar topbar login signin signup copyright disclaimer pagination contentinfo complementary related""".split()
+)
+READERS = frozenset("comment comments commentlist commenter commenters commentform commenttext commentbody disqus reply replies".split())
+HINTS = frozenset("side foot pager skip skiplink tag tags search".split())
+CONTENT_NAMES = frozenset("article content post entry story main body text".split())
+NEUTRAL = CONTENT_NAMES | frozenset(
+    """articles posts stories entries news topic topics site page blog web top bottom left right center global primary secondary tertiary inner outer mobile desktop sticky fixed floating
+    container wrapper wrap box bar block blocks link links list lists item items button buttons icon icons slot unit area section panel group col column row form inline small large big new
+    js region module component template part holder zone print media policy toggle""".split()
+)
+#: Names that say what a layout has or lacks, not what it is; and those of boxes around a whole layout: if they hold an
+#: article, or content that is most of the page's text, their hints don't count.
+STATES = frozenset("has with no is not without".split())
+WRAPPERS = frozenset("wrap wrapper container layout site".split())
+NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 NAMED = re.compile(r"(?:\b(?:class|id|role)\s*=\s*)(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LINK = "a"
 #: Log-odds of content that the elements around a block give, each kind once: one kind of strong boilerplate outweighs
-#: all hints at content, whichever is inside the other.
-EVIDENCE = {"strong": -7.0, "readers": -7.0, "weak": -1.5, "article": 3.0, "content": 1.5}
+#: all hints at content, whichever is inside the other. Those of FITTED are where fit() starts from.
+EVIDENCE = {"strong": -7.0, "header": -7.0, "readers": -7.0, "named": -3.5, "weak": -1.5, "article": 3.0, "content": 1.5}
+FITTED = ("named", "weak", "content")
 #: Log-odds of content by a block's own text, for the features of text_features(); fit() starts from these.
 WEIGHTS = np.array([-0.9, 2.0, -3.0, 0.6, -0.4, 0.3])
 #: Cost of parting neighbours that share a parent, less for each step between them in the tree; of parting siblings; and
 #: the share of it where one of both is boilerplate by markup, as the page parts them itself.
 NEXT, STEP, SIBLING, MARKED = 1.2, 0.5, 0.8, 0.2
-STRONG = frozenset({"strong", "readers"})
-#: The weights are fitted on so many blocks at most, of so many pages at most, taken by hashes; RIDGE holds them near WEIGHTS.
-SAMPLE_PAGES, SAMPLE_BLOCKS, RIDGE = 500, 20_000, 5.0
+STRONG = frozenset({"strong", "header", "readers"})
+#: The weights are fitted on so many blocks at most, of so many pages at most, taken by hashes; RIDGE holds them near WEIGHTS,
+#: HINT_RIDGE those of names near EVIDENCE, as markup that labels blocks says less of pages that only have names.
+SAMPLE_PAGES, SAMPLE_BLOCKS, RIDGE, HINT_RIDGE = 500, 20_000, 5.0, 50.0
 SPACES = re.compile(r"\s+")
 SENTENCE = re.compile(r"[.!?;:,](?:\s|$)|[。！？]")
 
 
-@dataclass
+def name_kinds(names: str) -> tuple[set[str], bool]:
+    """The kinds of evidence in the names of an element, and whether it may be a box around a layout."""
+    kinds: set[str] = set()
+    wraps = False
+    for name in names.split():
+        parts = [x.lower() for x in NAME_PART.findall(name)]
+        if not parts or parts[0] in STATES:
+            continue
+        wraps |= any(x in WRAPPERS or x.endswith(("wrap", "wrapper")) for x in parts)
+        boiler, readers = [x for x in parts if x in BOILER], [x for x in parts if x in READERS]
+        said = [x for x in parts if x not in BOILER and x not in READERS and x not in NEUTRAL and len(x) > 2]
+        content = any(x in CONTENT_NAMES for x in parts)
+        if readers and not said:
+            kinds.add("readers")
+        elif boiler == ["header"] and content:
+            kinds.add("content")
+        elif boiler and not said:
+            kinds.add("header" if set(boiler) == {"header"} else "strong")
+        elif boiler and parts[-1] in BOILER:
+            kinds.add("named")
+        elif not boiler and any(x in HINTS for x in parts) and not any(x not in HINTS and x not in NEUTRAL for x in parts):
+            kinds.add("weak")
+        if not boiler and not readers and content:
+            kinds.add("content")
+    if kinds & STRONG:
+        kinds -= {"named", "weak", "content"}
+    return kinds, wraps
+
+
+@dataclass(eq=False)
 class Element:
+    """An element; two of the same look are not equal. around: the evidence of all elements from the top down to it,
+    whether one is a header, and whether a heading stands in that header."""
+
     tag: str
     parent: Element | None
     depth: int
     kinds: frozenset[str] = frozenset()
     wraps: bool = False
     holds_article: bool = False
+    holds_content: bool = False
+    words: int = 0
+    around: tuple[frozenset[str], bool, bool] = (frozenset(), False, False)
 
 
-@dataclass
+@dataclass(eq=False)
 class Block:
     """A run of text with no block markup inside."""
 
@@ -85,17 +132,15 @@ class Block:
     linked: int
     kinds: frozenset[str] = field(default=frozenset())
 
-    @property
-    def evidence(self) -> float:
-        return sum(EVIDENCE[k] for k in self.kinds)
-
 
 class Page:
-    """The text blocks of a page in order, with the elements around them."""
+    """The text blocks of a page in order, with the elements around them; in time linear in the page."""
 
     def __init__(self, page: str):
         self.blocks: list[Block] = []
+        self.elements: list[Element] = []
         self.open: list[Element] = []
+        self.opened: Counter = Counter()
         self.links = self.linked = 0
         self.parts: list[str] = []
         at = 0
@@ -110,8 +155,7 @@ class Page:
         if at < len(page):
             self.add(page[at:])
         self.close()
-        for block in self.blocks:
-            block.kinds = self.kinds_around(block.element)
+        self.weigh()
 
     def add(self, text: str) -> None:
         self.parts.append(text)
@@ -125,25 +169,10 @@ class Page:
                 self.blocks.append(Block(self.open[-1] if self.open else None, text, len(text.split()), self.linked))
             self.parts, self.linked = [], 0
 
-    @staticmethod
-    def kinds_around(element: Element | None) -> frozenset[str]:
-        """The kinds of evidence in the elements around a block.
-
-        A heading in an article's header is the article's. A form or a box of layout around the article isn't
-        boilerplate for that; reader comments stay what they are.
-        """
-        found: set[str] = set()
-        heading = in_header = False
-        while element is not None:
-            kinds = element.kinds
-            heading |= element.tag in HEADINGS
-            if heading and element.tag == "header":
-                in_header, kinds = True, kinds - {"strong"}
-            if element.holds_article and element.wraps:
-                kinds = kinds - {"strong", "weak"}
-            found |= kinds
-            element = element.parent
-        return frozenset(found | {"strong"} if in_header and "article" not in found else found)
+    def pop(self, n: int) -> None:
+        for x in self.open[n:]:
+            self.opened[x.tag] -= 1
+        del self.open[n:]
 
     def element(self, tag: str, end: bool, attrs: str) -> None:
         if tag in INLINE:
@@ -153,29 +182,62 @@ class Page:
         if tag in VOID:
             return
         if end:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i].tag == tag:
-                    del self.open[i:]
-                    self.links = 0
-                    break
+            if self.opened[tag]:
+                n = len(self.open) - 1
+                while self.open[n].tag != tag:
+                    n -= 1
+                self.pop(n)
+                self.links = 0
             return
         if tag in CLOSED_BY_LIKE and self.open and self.open[-1].tag == tag:
-            self.open.pop()
-        kinds, wraps = set(), tag == "form"
+            self.pop(len(self.open) - 1)
+        kinds, wraps = set(), False
         if attrs and tag not in ("html", "body"):
-            names = " ".join(a or b or c for a, b, c in NAMED.findall(attrs))
-            kinds = {k for k, pattern in NAMES.items() if pattern.search(names)} if names else kinds
-            if kinds & STRONG:
-                kinds -= {"weak", "content"}
-            wraps |= bool(WRAPPER.search(names)) and tag not in BOILERPLATE
+            kinds, wraps = name_kinds(" ".join(a or b or c for a, b, c in NAMED.findall(attrs)))
+        wraps = tag == "form" or (wraps and tag not in BOILERPLATE)
         if tag in BOILERPLATE:
-            kinds.add("strong")
+            kinds.add("header" if tag == "header" else "strong")
         if tag in CONTENT and not kinds & STRONG:
             kinds.add("article")
-            for outer in self.open:
-                outer.holds_article = True
-        parent = self.open[-1] if self.open else None
-        self.open.append(Element(tag, parent, len(self.open), frozenset(kinds), wraps))
+            self.mark("holds_article")
+        if kinds & {"article", "content"} and not kinds & STRONG:
+            self.mark("holds_content")
+        self.opened[tag] += 1
+        self.open.append(Element(tag, self.open[-1] if self.open else None, len(self.open), frozenset(kinds), wraps))
+        self.elements.append(self.open[-1])
+
+    def mark(self, what: str) -> None:
+        """Marks all open elements; those around a marked one are marked already."""
+        for x in reversed(self.open):
+            if getattr(x, what):
+                break
+            setattr(x, what, True)
+
+    def weigh(self) -> None:
+        """The kinds of evidence around each block, from the outermost element down.
+
+        A heading in an article's header is the article's. A form or a box of layout isn't boilerplate for the article
+        in it, nor for content that makes up most of the page; reader comments stay what they are.
+        """
+        for block in self.blocks:
+            if block.element:
+                block.element.words += block.words
+        for x in reversed(self.elements):
+            if x.parent:
+                x.parent.words += x.words
+        total = sum(block.words for block in self.blocks)
+        for x in self.elements:
+            found, header, heading = x.parent.around if x.parent else (frozenset(), False, False)
+            kinds = x.kinds
+            if x.wraps and (x.holds_article or (x.holds_content and 2 * x.words > total)):
+                kinds = kinds - {"strong", "header", "named", "weak"}
+            heading |= header and x.tag in HEADINGS
+            if "header" in kinds:
+                header, heading = True, False
+            x.around = (found | kinds - {"header"} if kinds - {"header"} - found else found, header, heading)
+        for block in self.blocks:
+            found, header, heading = block.element.around if block.element else (frozenset(), False, False)
+            block.kinds = found | {"header"} if header and not (heading and "article" in found) else found
 
 
 def text_features(block: Block) -> list[float]:
@@ -184,23 +246,32 @@ def text_features(block: Block) -> list[float]:
     return [1.0, min(math.log1p(block.words), 4.0) / 4.0, min(1.0, block.linked / max(1, block.words)), float(bool(SENTENCE.search(block.text))), float(tag in LISTED), float(tag in HEADINGS)]
 
 
+START = np.concatenate([WEIGHTS, [EVIDENCE[k] for k in FITTED]])
+
+
+def features(block: Block) -> list[float]:
+    return [*text_features(block), *(float(k in block.kinds) for k in FITTED)]
+
+
 def fit(features: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Weights of a logistic regression on labelled blocks, held near WEIGHTS, by Newton steps; either label weighs the same."""
+    """Weights of a logistic regression on labelled blocks, held near START, by Newton steps; either label weighs the same."""
     share = content.mean() if len(content) else 0.0
     if not 0 < share < 1:
-        return WEIGHTS
+        return START
     each = np.where(content > 0, 0.5 / share, 0.5 / (1 - share))
-    w = WEIGHTS.copy()
+    w = START.copy()
+    ridge = np.array([RIDGE] * len(WEIGHTS) + [HINT_RIDGE] * len(FITTED))
     for _ in range(25):
         p = 1.0 / (1.0 + np.exp(-np.clip(features @ w, -30, 30)))
-        hessian = (features * (each * p * (1 - p))[:, None]).T @ features + RIDGE * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, features.T @ (each * (content - p)) - RIDGE * (w - WEIGHTS))
+        hessian = (features * (each * p * (1 - p))[:, None]).T @ features + np.diag(ridge)
+        w = w + np.linalg.solve(hessian, features.T @ (each * (content - p)) - ridge * (w - START))
     return w
 
 
 def costs(block: Block, weights: np.ndarray) -> float:
-    """Log-odds of content: the capacity to the source if above 0, to the sink if below."""
-    return block.evidence + float(np.dot(text_features(block), weights))
+    """Log-odds of content: the capacity to the source if above 0, to the sink if below. weights: of features()."""
+    marked = sum(EVIDENCE[k] for k in block.kinds if k not in FITTED)
+    return marked + float(np.dot(features(block), weights))
 
 
 class Network:
@@ -274,7 +345,7 @@ def distance(a: Element | None, b: Element | None) -> int:
     return steps
 
 
-def label_blocks(blocks: list[Block], weights: np.ndarray = WEIGHTS) -> list[bool]:
+def label_blocks(blocks: list[Block], weights: np.ndarray = START) -> list[bool]:
     """Content or not, for each block, by a minimum cut.
 
     Neighbouring blocks of one parent and evidence are one node, whose capacities add up. Edges join neighbours, the
@@ -286,7 +357,7 @@ def label_blocks(blocks: list[Block], weights: np.ndarray = WEIGHTS) -> list[boo
     of: list[int] = []
     for block in blocks:
         around = block.element.parent if block.element and block.element.tag in CLOSED_BY_LIKE | HEADINGS else block.element
-        if not node or node[-1] != (around, block.kinds):
+        if not node or node[-1][0] is not around or node[-1][1] != block.kinds:
             node.append((around, block.kinds))
             capacity.append(0.0)
         capacity[-1] += costs(block, weights)
@@ -313,13 +384,18 @@ def label_blocks(blocks: list[Block], weights: np.ndarray = WEIGHTS) -> list[boo
     return [side[i] for i in of]
 
 
-def main_text(page: str | None, weights: np.ndarray = WEIGHTS) -> str:
+def main_text(page: str | None, weights: np.ndarray = START) -> str:
     blocks = Page(page or "").blocks
     return " ".join(x.text for x, keep in zip(blocks, label_blocks(blocks, weights), strict=True) if keep)
 
 
 def fitted_weights(pages: DataFrame, page: str = "page_id", html: str = "html") -> np.ndarray:
-    """Weights of text_features() from blocks that markup alone labels: inside an article, or in strong boilerplate.
+    """Weights of text_features() alone."""
+    return fitted_costs(pages, page, html)[: len(WEIGHTS)]
+
+
+def fitted_costs(pages: DataFrame, page: str = "page_id", html: str = "html") -> np.ndarray:
+    """Weights of features() from blocks that markup alone labels: inside an article, or in strong boilerplate.
 
     The sample is bounded by SAMPLE_PAGES and SAMPLE_BLOCKS, taken in order of hashes, so it doesn't grow with the
     table; its pages are read whole, and the driver gets a few numbers for each block.
@@ -335,12 +411,12 @@ def fitted_weights(pages: DataFrame, page: str = "page_id", html: str = "html")
                 for n, block in enumerate(Page(h or "").blocks):
                     strong = bool(block.kinds & STRONG)
                     if strong or "article" in block.kinds:
-                        rows.append((p, n, text_features(block), int(not strong)))
+                        rows.append((p, n, features(block), int(not strong)))
             yield pd.DataFrame(rows, columns=["p", "n", "x", "y"]).astype({"p": "int64", "n": "int32", "y": "int32"})
 
     rows = chosen.mapInPandas(scan, schema).orderBy(F.xxhash64("p", "n"), "p", "n").limit(SAMPLE_BLOCKS).select("x", "y").collect()
     if not rows:
-        return WEIGHTS
+        return START
     return fit(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
 
 
@@ -348,9 +424,9 @@ def extract_pages(pages: DataFrame, page: str = "page_id", url: str = "url", htm
     """(page_id, url, text, n_chars) of each row of pages, over the whole html; no shuffle.
 
     Null and empty pages, and pages of boilerplate alone, give an empty text; repeated rows are treated alike; an empty
-    table gives no rows; other columns are not read. What is broadcast is the weights of fitted_weights().
+    table gives no rows; other columns are not read. What is broadcast is the weights of fitted_costs().
     """
-    weights = fitted_weights(pages, page, html)
+    weights = fitted_costs(pages, page, html)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -516,6 +517,51 @@ def test_enclosing_boilerplate_outweighs_inner_hints(page, text):
     assert html_extraction.main_text(page) == text
 
 
+LINKS = " ".join(f"<a href=x>Link {i}</a>" for i in range(6))
+P = f"<p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><a>Home</a> <a>News</a></div><div>{P}{P}</div>", f"{PROSE} {PROSE}"),
+        (f"<div>{LINKS}</div><div>{P}{P}</div>", f"{PROSE} {PROSE}"),
+        (f"<div>{P * 4}</div><div>{LINKS}</div>", " ".join([PROSE] * 4)),
+        (f'<div>{P}<p class="noticeable">{PROSE}</p></div>', f"{PROSE} {PROSE}"),
+        (f'<div class="social-history">{P}</div>', PROSE),
+        (f'<div class="elementor-widget-container">{P}{P}</div>', f"{PROSE} {PROSE}"),
+        (f'<article class="menu-review">{P}</article>', PROSE),
+        (f'<section class="ad-hoc-committee content">{P}</section>', PROSE),
+        (f'<article><div class="entry-header"><h1>Title</h1></div>{P}</article>', f"Title {PROSE}"),
+        (f'<article><div class="header"><h1>Title</h1></div>{P}</article><div class="header"><h1>Site</h1></div>', f"Title {PROSE}"),
+        (f"<form><div class=main>{P}{P}</div></form>", f"{PROSE} {PROSE}"),
+        (f"<div class=content>{P}</div><form>Your name <input> {P}</form>", PROSE),
+        (f'<div class="layout has-sidebar"><div class=post>{P}{P}</div></div>', f"{PROSE} {PROSE}"),
+        (f"<div class='site-footer'>{P}</div><div>{P}{P}</div>", f"{PROSE} {PROSE}"),
+        (f"<div>{P}{P}</div><div class='relatedPosts'>{P}</div><div class='newsletter-signup'>{P}</div>", f"{PROSE} {PROSE}"),
+        (f"<article>{P}<div class='post-share-buttons'>{P}</div><div id=comment-list>{P}</div></article>", PROSE),
+    ],
+)
+def test_plain_layouts_and_names(page, text):
+    """Sibling elements of one look are not one; names count by their parts; with fitted weights as well."""
+    assert html_extraction.main_text(page) == text
+
+
+def test_deep_pages_take_linear_time():
+    deep = 50_000
+    start = time.monotonic()
+    assert html_extraction.main_text("<div>" * deep + P + "</div>" * deep + "<div>" * deep + P) == f"{PROSE} {PROSE}"
+    assert html_extraction.main_text(f"<div>{PROSE}" * deep) == " ".join([PROSE] * deep)
+    assert html_extraction.main_text("<article>" * deep + P + "</x></q>" * deep) == PROSE
+    assert time.monotonic() - start < 20
+
+
+def test_plain_layouts_with_fitted_costs(spark):
+    weights = html_extraction.fitted_costs(spark.read.parquet(f"{SMALL}/pages.parquet"))
+    for page in (f"<div>{LINKS}</div><div>{P}{P}</div>", f"<div>{P}{P}</div><div>{LINKS}</div>", f'<div class="elementor-widget-container">{P}{P}</div>'):
+        assert html_extraction.main_text(page, weights) == f"{PROSE} {PROSE}"
+
+
 def test_smoothing_can_overturn_a_block():
     """A short line that its text alone would drop stays between paragraphs and goes between links."""
     line = "<div>Two words</div>"
