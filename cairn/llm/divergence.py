@@ -180,20 +180,21 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     """(lang, source, part, item, value, rank) of each group (lang, source): part ``pair`` compares it with each other
     source of its language over all kept terms, part ``term`` has the terms that tell it from the language most.
 
-    Terms are counted in tasks and added up by term, so a hot source or term is a row for each task. Everything after
+    Terms are counted in tasks and added up by term, once dealt, so a hot source or term is a row for each task. Everything after
     that goes by distinct terms of groups; numbers are whole and exact. Null text, lang and source are ''. Repeated
     rows are documents of their own; groups without terms have pairs alone; a language without kept terms has sums of
     0; ties go by item; an empty table gives no rows. Other columns are not read.
     """
     store = Store(docs.sparkSession, "divergence")
-    counted = group_terms(docs, lang, source, text).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counted = store.keep(counted)
-    by_term = counted.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("c"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("s"))
-    postings = store.keep(by_term.filter(F.col("docs") >= LEAST_DOCS).select("lang", "term", "c", "s"))
+    dealt = group_terms(docs, lang, source, text).repartition("lang", "term")  # tasks have added up what they read
+    counted = dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counted.groupBy("lang", "term").agg(F.sum("n").alias("c"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("s"))
+    kept = store.keep(by_term.filter((F.col("docs") >= LEAST_DOCS) | (F.col("term") == "")).select("lang", "term", "c", "s"))
+    postings = kept.filter("term <> ''")
     rows = postings.select("lang", "term", "c", F.inline("s"))
     langs = postings.groupBy("lang").agg(F.count("*").alias("v"), F.sum("c").alias("lang_n"))
     totals = rows.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = counted.filter("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = kept.filter("term = ''").select("lang", F.inline("s")).select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     zero = F.lit(0).cast("long")
     groups = groups.select("lang", "source", *(F.coalesce(F.col(c), zero).alias(c) for c in ("n", "v", "lang_n")))
     p0 = F.when(F.col("v") > 0, probability(zero, F.col("n"), F.greatest("v", F.lit(1)))).otherwise(1)
@@ -201,7 +202,7 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     known = groups.select("lang", "source", F.col("n").alias("group_n"), "v", "lang_n", "p0")
     p, q = probability(F.col("n"), F.col("group_n"), F.col("v")), probability(F.col("c"), F.col("lang_n"), F.col("v"))
     terms = store.keep(rows.join(known, ["lang", "source"]).select("lang", "source", "term", bucket(F.col("n")).alias("bucket"), p.alias("p"), q.alias("q"), "p0"))
-    store.drop(counted, postings)
+    store.drop(kept)
     best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = pair_sums(terms, groups).withColumn("rank", F.row_number().over(best))
     named = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")

@@ -33,7 +33,7 @@ def odd_rows():
     same = rows[5][1]
     more = [
         (400, None, 1), (401, [], 1), (402, [0.0] * 16, 1), (403, [1.0, None] + [0.0] * 14, 2), (404, [math.nan] + [1.0] * 15, 2), (405, [math.inf] + [1.0] * 15, None),
-        (406, [2.0, -1.0], 0), (None, rows[7][1], None), (None, rows[7][1], None), (420, [-0.0] * 16, 1), rows[40], rows[40], (440, [100 * c for c in rows[9][1]], 1), (460, [c / 64 for c in rows[9][1]], 1),
+        (406, [2.0, -1.0], 0), (None, rows[7][1], None), (None, rows[7][1], None), (420, [-0.0] * 16, 1), rows[40], rows[40], (440, [128 * c for c in rows[9][1]], 1), (460, [c / 64 for c in rows[9][1]], 1),
     ]
     return rows + more + [(i, same, 0) for i in range(1000, 1100)]
 
