@@ -2,32 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 
+#: Rows of either side that one group of the join has at most, and how often a crowded cell is halved at most.
+CROWDED, HALVINGS = 2000, 8
+LEAF = ["level", "lx", "ly"]
 
-def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float | None = None, keep=()) -> DataFrame:
-    """(l, r, metres) of all pairs within a distance, by an equi-join on grid cells.
+
+def _cells(df: DataFrame, size: float) -> tuple[Column, Column]:
+    return geo.cell_of(F.col("lng"), size), geo.cell_of(F.col("lat"), size)
+
+
+def crowded_leaves(right: DataFrame, size: float, most: int, asking: DataFrame | None = None) -> DataFrame | None:
+    """Leaves of a quadtree over the crowded cells: (gx, gy, hx, hy, level, lx, ly, n), a row for each finest cell in use.
+
+    The tree is drawn from counts: those of cells first, then, for cells with more than ``most`` rows of the right, or of
+    the left rows that come to it (``asking``, with gx and gy), those of the finest cells in them (4^HALVINGS at most), summed up level by level; a leaf is the largest square that has no
+    more than ``most`` rows, or a finest one that has. None if no cell is crowded.
+    """
+    gx, gy = _cells(right, size)
+    cells = right.select(gx.alias("gx"), gy.alias("gy"))
+    crowded = cells.groupBy("gx", "gy").count().filter(F.col("count") > most).select("gx", "gy")
+    if asking is not None:
+        crowded = crowded.union(asking.groupBy("gx", "gy").count().filter(F.col("count") > most).select("gx", "gy")).distinct()
+    if crowded.isEmpty():
+        return None
+    fine = 2**HALVINGS
+    hx, hy = (F.floor(F.col(x) / F.lit(size) * fine).cast("long") for x in ("lng", "lat"))
+    counts = right.select(gx.alias("gx"), gy.alias("gy"), hx.alias("hx"), hy.alias("hy")).join(crowded, ["gx", "gy"], "left_semi").groupBy("gx", "gy", "hx", "hy").count()
+    level, n = F.lit(HALVINGS), F.col("count")
+    counts = counts.repartition("gx", "gy")  # all sums below are inside a cell
+    for k in range(HALVINGS, 0, -1):
+        square = Window.partitionBy("gx", "gy", F.shiftright("hx", k), F.shiftright("hy", k))
+        counts = counts.withColumn(f"n{k}", F.sum("count").over(square))
+    for k in range(1, HALVINGS + 1):
+        level, n = F.when(F.col(f"n{k}") <= most, HALVINGS - k).otherwise(level), F.when(F.col(f"n{k}") <= most, F.col(f"n{k}")).otherwise(n)
+    return counts.select("gx", "gy", "hx", "hy", level.cast("int").alias("level"), n.alias("n")).withColumns({"lx": _up("hx"), "ly": _up("hy")})
+
+
+def _up(fine: str) -> Column:
+    """The number of the square of a row's level that holds a finest cell."""
+    return F.floor(F.col(fine) / F.pow(F.lit(2.0), F.lit(HALVINGS) - F.col("level"))).cast("long")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, metres: float, size: float | None = None, keep=(), most: int = CROWDED) -> DataFrame:
+    """(l, r, metres) of all pairs within a distance, by an equi-join on cells.
 
     Only the left side is copied to its neighbouring cells, so the right side's rows are shuffled once. A cell is as
-    high as the distance unless a size is given, so a row goes to three rows of cells. The left side is dealt by cells
-    into as many partitions as shuffles have, which the join keeps: pairs cost far more than their rows' bytes tell.
+    high as the distance unless a size is given, so a row goes to three rows of cells. Crowded cells are split into the
+    leaves of a quadtree, of which a left row goes to those in its reach; a leaf's left rows, and the right rows of a
+    finest leaf that is still crowded (places at one point), are cut into blocks by hash. So each group of the join has
+    at most ``most`` rows of the right and about as many of the left, however the places lie, and a pair meets once.
+
+    Rows without a position are near nothing. The groups are dealt into as many partitions as shuffles have: they are of
+    bounded size, and pairs cost far more than their rows' bytes tell.
     """
     size = size or max(0.001, metres / geo.METRES_A_DEGREE * 1.001)
+    left, right = (df.filter("lng IS NOT NULL AND lat IS NOT NULL") for df in (left, right))
     side = geo.lng_cells(F.col("lat"), metres * 1.001, size) + 0
     high = int(-(-metres * 1.001 // (size * geo.METRES_A_DEGREE)))
-    gx, gy = geo.cell_of(F.col("lng"), size), geo.cell_of(F.col("lat"), size)
+    gx, gy = _cells(left, size)
     a = (
         left.select(F.col("id").alias("l"), F.col("lng").alias("x1"), F.col("lat").alias("y1"), *[F.col(k).alias(f"l_{k}") for k in keep], F.explode(F.sequence(gx - side, gx + side)).alias("gx"), gy.alias("y"))
         .withColumn("gy", F.explode(F.sequence(F.col("y") - high, F.col("y") + high)))
         .drop("y")
-        .repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gx", "gy")
     )
     b = right.select(F.col("id").alias("r"), F.col("lng").alias("x2"), F.col("lat").alias("y2"), *[F.col(k).alias(f"r_{k}") for k in keep], gx.alias("gx"), gy.alias("gy"))
-    pairs = a.join(b, ["gx", "gy"]).withColumn("metres", geo.haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
-    return pairs.filter(F.col("metres") <= metres).drop("gx", "gy", "x1", "y1", "x2", "y2")
+    leaves = crowded_leaves(right, size, most, a.select("gx", "gy"))
+    key = ["gx", "gy"]
+    if leaves is not None:
+        a, b = _split(a, b, leaves, metres, size, most)
+        key = ["gx", "gy", *LEAF, "lb", "rb"]
+    a = a.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    pairs = a.join(b, key).withColumn("metres", geo.haversine_m(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    return pairs.filter(F.col("metres") <= metres).drop(*key, "x1", "y1", "x2", "y2")
+
+
+def _split(a: DataFrame, b: DataFrame, leaves: DataFrame, metres: float, size: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the leaf and the blocks that their rows belong to; cells that aren't crowded are leaves of level 0."""
+    c, zero = F.col, F.lit(0).cast("long")
+    fine = 2**HALVINGS
+    cell = ["gx", "gy"]
+    squares = leaves.groupBy(*cell, *LEAF).agg(F.max("n").alias("n")).withColumn("rbs", F.ceil(c("n") / most))
+    width = F.lit(size) / F.pow(F.lit(2.0), c("level"))
+    up = F.lit(metres * 1.001 / geo.METRES_A_DEGREE)
+    aside = F.least(F.lit(180.0), up / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(c("y1")) + up)))))
+    reached = (c("x1") + aside >= c("lx") * width) & (c("x1") - aside <= (c("lx") + 1) * width) & (c("y1") + up >= c("ly") * width) & (c("y1") - up <= (c("ly") + 1) * width)
+    crowded = squares.select(*cell).distinct()
+    plain = a.join(crowded, cell, "left_anti").select("*", F.lit(0).alias("level"), zero.alias("lx"), zero.alias("ly"), zero.alias("lb"), zero.alias("rb"))
+    there = a.join(squares, cell).filter(reached)
+    blocks = there.groupBy(*cell, *LEAF).agg(F.ceil(F.count(F.lit(1)) / most).alias("lbs"))  # a row for each leaf
+    there = there.join(blocks, [*cell, *LEAF]).withColumn("lb", F.pmod(F.xxhash64("l"), "lbs")).withColumn("rb", F.explode(F.sequence(zero, c("rbs") - 1)))
+    a = plain.unionByName(there.drop("n", "rbs", "lbs"))
+    hx, hy = (F.floor(c(x) / F.lit(size) * fine).cast("long") for x in ("x2", "y2"))
+    placed = b.withColumns({"hx": hx, "hy": hy}).join(leaves.select("hx", "hy", *LEAF), ["hx", "hy"], "left").drop("hx", "hy")
+    placed = placed.withColumns({"level": F.coalesce("level", F.lit(0)), "lx": F.coalesce("lx", zero), "ly": F.coalesce("ly", zero)})
+    many = squares.select(*cell, *LEAF, "rbs").join(blocks, [*cell, *LEAF])
+    placed = placed.join(crowded.withColumn("c", F.lit(True)), cell, "left").join(many, [*cell, *LEAF], "left").filter(F.col("c").isNull() | F.col("lbs").isNotNull())
+    placed = placed.withColumns({"rb": F.coalesce(F.pmod(F.xxhash64("r"), "rbs"), zero), "lb": F.explode(F.sequence(zero, F.coalesce(c("lbs") - 1, zero)))})
+    return a, placed.drop("rbs", "lbs", "c")
 
 
 def identifier_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

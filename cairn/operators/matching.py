@@ -59,9 +59,25 @@ def pairs_of(candidates: DataFrame, places: DataFrame, metres: float = FARTHEST_
     return near_pairs(candidates, places, metres, keep=FIELDS)
 
 
+def identifier_keys(external: Column | None = None, references: Column | None = None, **schemes: Column) -> Column:
+    """What a record can be found by: its external identifiers, an array of (scheme, value); its designations' references,
+    which any register may have given; and single columns of one scheme. Empty and null ones are left out, each is once."""
+    found = [F.array(F.concat(F.lit(f"ext:{k}:"), F.nullif(F.trim(x.cast("string")), F.lit("")))) for k, x in schemes.items()]
+    if external is not None:
+        found.append(F.transform(external, lambda x: F.concat(F.lit("ext:"), x["scheme"], F.lit(":"), F.nullif(F.trim(x["value"]), F.lit("")))))
+    if references is not None:
+        found.append(F.transform(references, lambda x: F.concat(F.lit("ref:"), F.nullif(F.trim(x), F.lit("")))))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.array_compact(F.concat(*[F.coalesce(x, none) for x in found]))) if found else none
+
+
+def keyed(records: DataFrame) -> DataFrame:
+    """(id, keys) of records: their own keys, or those of their qid where they have no such column."""
+    return records.select("id", "keys" if "keys" in records.columns else identifier_keys(qid=F.col("qid")).alias("keys"))
+
+
 def shared_identifiers(candidates: DataFrame, places: DataFrame) -> DataFrame:
-    """(l, r) of pairs that share an identifier, at any distance."""
-    keyed = lambda df: df.select("id", F.array_compact(F.array(F.concat(F.lit("qid:"), F.col("qid")))).alias("keys"))
+    """(l, r) of pairs that share an identifier of any scheme or a designation's reference, at any distance."""
     return identifier_pairs(keyed(candidates), keyed(places))
 
 
@@ -144,29 +160,49 @@ def decisions(candidates: DataFrame, scored: DataFrame, shared: DataFrame) -> Da
     )
 
 
-def resolve_in_order(rows: DataFrame) -> DataFrame:
-    """(id, outcome, matched, confidence) of prepared records decided in order of id, each against those that became canonical before it.
+def not_canonical(links: DataFrame) -> tuple[DataFrame, int]:
+    """(ids, rounds): records that an earlier canonical one holds back, of (l, r) links to earlier records.
 
-    A pair that scores under REVIEW less NEAR_TIE and shares no identifier can change no outcome, so only the others
-    link records. Each round decides the records none of whose earlier linked ones is undecided, by decisions() over
-    the pairs with canonical ones; rounds are joins over the pairs that are left, and a checkpoint ends each. A record
-    without links is new at once.
+    A record is canonical if none of its earlier linked ones is. Each round takes the records without an earlier one
+    left as canonical, at once drops all that are linked to them, and goes on with the links among the rest: a clique
+    ends in one round, whatever its size, and a decided record is not written again. Rounds end with a checkpoint.
+    """
+    checkpoint_folder(links.sparkSession)
+    left = links.select("l", "r").distinct().checkpoint()
+    gone: DataFrame = left.select(F.col("l").alias("id")).limit(0)
+    rounds = 0
+    while not left.isEmpty():
+        first = left.select("r").distinct().join(left.select(F.col("l").alias("r")), "r", "left_anti")
+        out = left.join(first, "r", "left_semi").select(F.col("l").alias("id")).distinct().checkpoint()
+        left = left.join(out.withColumnRenamed("id", "l"), "l", "left_anti").join(out.withColumnRenamed("id", "r"), "r", "left_anti").checkpoint()
+        gone, rounds = gone.unionByName(out), rounds + 1
+    return gone, rounds
+
+
+def resolve(rows: DataFrame, near: DataFrame | None = None, identified: DataFrame | None = None) -> DataFrame:
+    """(id, outcome, matched, confidence) of prepared records decided in order of id, each against those that became
+    canonical before it: earlier ones among rows, and the canonical records of earlier runs that are near or share an
+    identifier with one of rows, if these are given.
+
+    A record is held back by an earlier canonical one that it scores REVIEW or more with, or shares an identifier with;
+    that settles which are canonical. Then all are decided together by their pairs with canonical ones.
     """
     checkpoint_folder(rows.sparkSession)
     earlier = F.col("r") < F.col("l")
-    scored = signals(pairs_of(rows, rows).filter(earlier)).filter((F.col("score") >= REVIEW - NEAR_TIE - 1e-9) & ~F.col("name_veto") & ~F.col("register_veto")).checkpoint()
-    shared = vetoes(identified_pairs(rows, rows).filter(earlier)).filter(~F.col("register_veto")).checkpoint()
-    links = scored.select("l", "r").union(shared.select("l", "r")).distinct().checkpoint()
-    linked = links.select(F.col("l").alias("id")).distinct()
-    new = rows.select("id").join(linked, "id", "left_anti")
-    empty = {"outcome": F.lit("NEW_CANONICAL"), "matched": F.lit(None).cast("long"), "confidence": F.lit(0.0)}
-    told = new.withColumns(empty).checkpoint()
-    left = linked.checkpoint()
-    while left.limit(1).count():
-        waiting = links.join(left.select(F.col("id").alias("r")), "r").join(left.select(F.col("id").alias("l")), "l", "left_semi").select(F.col("l").alias("id")).distinct()
-        ready = left.join(waiting, "id", "left_anti")
-        canonical = told.filter("outcome = 'NEW_CANONICAL'").select(F.col("id").alias("r"))
-        now = lambda pairs: pairs.join(ready.select(F.col("id").alias("l")), "l", "left_semi").join(canonical, "r", "left_semi")  # noqa: B023, E731
-        told = told.unionByName(decisions(ready, now(scored), now(shared))).checkpoint()
-        left = left.join(told, "id", "left_anti").checkpoint()
-    return told
+    pairs, told = pairs_of(rows, rows).filter(earlier), identified_pairs(rows, rows).filter(earlier)
+    if near is not None:
+        pairs = pairs.unionByName(pairs_of(rows, near))
+    if identified is not None:
+        told = told.unionByName(identified_pairs(rows, identified))
+    scored = signals(pairs).filter((F.col("score") >= REVIEW - NEAR_TIE - 1e-9) & ~F.col("name_veto") & ~F.col("register_veto")).checkpoint()
+    shared = vetoes(told).filter(~F.col("register_veto")).checkpoint()
+    strong = scored.filter(F.col("score") >= REVIEW).select("l", "r").union(shared.select("l", "r"))
+    gone, _ = not_canonical(strong)
+    gone = gone.withColumnRenamed("id", "r").checkpoint()
+    of_canonical = lambda df: df.join(gone, "r", "left_anti")
+    return decisions(rows, of_canonical(scored), of_canonical(shared))
+
+
+def resolve_in_order(rows: DataFrame) -> DataFrame:
+    """(id, outcome, matched, confidence) of prepared records, all in one run; see resolve()."""
+    return resolve(rows)

@@ -93,3 +93,28 @@ def test_only_canonical_records_are_matched(spark):
     ]
     got = {r.id: (r.outcome, r.matched) for r in op.resolve_in_order(op.prepared(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got[1] == ("NEW_CANONICAL", None) and got[2] == ("MATCH_CONFIDENT", 1) and got[3] == ("NEW_CANONICAL", None) and got[4] == ("MATCH_REVIEW", 3), got
+
+
+@pytest.mark.parametrize(
+    "links, gone, most",
+    [
+        ([], set(), 0),
+        ([(i, j) for i in range(60) for j in range(i)], set(range(1, 60)), 1),  # a clique ends at once
+        ([(i, i - 1) for i in range(1, 9)], {1, 3, 5, 7}, 4),  # a chain takes a round for every other record
+        ([(2, 1), (3, 2), (4, 2), (4, 3)], {2, 4}, 2),
+        ([(i, 0) for i in range(1, 50)] + [(i, i - 1) for i in range(2, 50)], set(range(1, 50)), 1),
+    ],
+)
+def test_rounds_of_canonical_records(spark, links, gone, most):
+    got, rounds = op.not_canonical(spark.createDataFrame(links, "l long, r long"))
+    assert {r.id for r in got.collect()} == gone and rounds <= most
+
+
+def test_identifiers_of_all_schemes(spark):
+    """Pairs that share only a designation's reference, or an identifier of any scheme, are found; the same value of another scheme is none."""
+    schema = "id long, external array<struct<scheme: string, value: string>>, refs array<string>, qid string"
+    a = spark.createDataFrame([(1, [("nhle", "100"), ("wd", " Q5 ")], None, None), (2, None, ["100", ""], "Q9"), (3, [("isni", "100"), ("x", None)], ["7"], None), (4, None, None, None)], schema)
+    b = spark.createDataFrame([(10, [("nhle", "100")], ["7"], None), (11, [("wd", "Q5")], ["100"], "Q9"), (12, [("wd", "")], [""], None)], schema)
+    keys = op.identifier_keys(F.col("external"), F.col("refs"), qid=F.col("qid")).alias("keys")
+    got = sorted(map(tuple, op.shared_identifiers(a.select("id", keys), b.select("id", keys)).collect()))
+    assert got == [(1, 10), (1, 11), (2, 11), (3, 10)]
