@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import math
@@ -758,7 +759,7 @@ def test_mix(which, request):
     for r in rows:
         assert r.taken <= 3 * r.size and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert all(abs(taken[s] - target[s]) <= 4 * mixing.block_size(sum(sizes.values())) for s in order)  # the sequence's discrepancy
 
 
 def test_mix_of_nothing(empty):
@@ -789,22 +790,55 @@ def test_golden_points(spark):
     assert {r.id: r.x for r in got} == {i: i * step % n for i in ids}
 
 
+def van_der_corput(n):
+    """The base-2 sequence as places of the ring."""
+    return [int(f"{i:040b}"[::-1], 2) for i in range(n)]
+
+
 def test_what_is_taken_follows_from_the_slots(docs):
-    """Half of the schedule serves half of each target, and another step serves other documents near the cut."""
+    """Half of the schedule serves half of each target; another sequence takes other words of the documents near the cut."""
     whole = mixing.mix_counts(docs).collect()
     n = max(r.first_slot for r in whole if r.first_slot is not None) + 1
+    n = max(n, sum(r.taken for r in whole))
     half = mixing.mix_counts(docs, slots=n // 2).collect()
     target, taken = {r.source: r.target for r in whole}, collections.Counter()
     for r in half:
         taken[r.source] += r.taken
         assert (r.taken == 0) == (r.n_slots == 0) == (r.first_slot is None) and (r.first_slot is None or r.first_slot < n // 2)
     served = sum(taken.values()) / sum(target.values())
-    assert all(abs(taken[s] - served * target[s]) <= 8 * mixing.BLOCK for s in target)
-    total = sum(math.ceil(round(t) / mixing.BLOCK) for t in target.values())
-    other = mixing.mix_counts(docs, slots=n // 2, step=next(k for k in range(2, total) if math.gcd(k, total) == 1)).collect()
-    assert {(r.doc_id, r.taken) for r in half} != {(r.doc_id, r.taken) for r in other}
+    assert all(abs(taken[s] - served * target[s]) <= 8 for s in target)
+    other = mixing.mix_counts(docs, step=mixing.golden_step(mixing.RING) + 2 * 10**9).collect()
+    assert {(r.doc_id, r.taken) for r in whole} != {(r.doc_id, r.taken) for r in other}
+    by_source = collections.Counter()
+    for r in other:
+        by_source[r.source] += r.taken
+    assert max(abs(by_source[s] - target[s]) for s in target) <= 60
     with pytest.raises(ValueError):
-        mixing.mix_counts(docs, step=total)
+        mixing.mix_counts(docs, step=2)
+
+
+def test_rows_are_those_of_the_points(docs):
+    """``taken`` of every document, from the points themselves in plain Python: who is served, and what each slot hands out."""
+    rows = mixing.mix_counts(docs).collect()
+    sizes = {r.source: r.source_size for r in rows}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    shares = [int(next(r.target for r in rows if r.source == s) * mixing.SHARES) for s in order]
+    ends, at = [], 0
+    for x in shares:
+        at += x
+        ends.append(int(at / sum(shares) * mixing.RING))
+    total, step = sum(sizes.values()), mixing.golden_step(mixing.RING)
+    served = collections.Counter(order[bisect.bisect_right(ends, i * step % mixing.RING)] for i in range(total))
+    assert mixing.block_size(total) == 1
+    for s in order:
+        stop = min(served[s], 3 * sizes[s])
+        assert sum(r.taken for r in rows if r.source == s) == stop
+        passes, rest = divmod(stop, sizes[s])
+        own = [r.taken - passes * r.size for r in rows if r.source == s]
+        assert all(0 <= x for x in own) and sum(own) == rest and sum(0 < x < r.size for x, r in zip(own, (r for r in rows if r.source == s), strict=True)) <= 1
+    points = van_der_corput(total)
+    others = collections.Counter(order[bisect.bisect_right(ends, x)] for x in points)
+    assert others != served and all(abs(others[s] - served[s]) <= 24 for s in order)
 
 
 def test_mixed_documents(spark, edges, empty, docs):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
-import math
 import re
 
 import duckdb
@@ -69,7 +69,7 @@ def without_items(rows, items):
 
 
 def mixed(spark, rows):
-    """(slot, doc_id) of what the mix takes, by walking the streams and the ring slot by slot."""
+    """(slot, doc_id) of what the mix takes, by walking the streams and the points slot by slot."""
     size = {k: len(t.encode().split()) for k, t, _ in rows}
     sizes = collections.Counter()
     for k, _, s in rows:
@@ -83,17 +83,16 @@ def mixed(spark, rows):
         if not over:
             break
         capped |= over
-    stop = {s: math.floor((3 * sizes[s] if s in capped else level * weight[s]) + 0.5) for s in order}
-    quota = {s: -(-stop[s] // mixing.BLOCK) for s in order}
-    total = sum(quota.values())
-    step, first, at = mixing.golden_step(total), {}, 0
-    for s in order:
-        first[s] = at
-        at += quota[s]
-    slots = collections.defaultdict(list)
-    for i in range(total):
-        x = i * step % total
-        slots[max((s for s in order if first[s] <= x), key=first.get)].append(i)
+    target = {s: 3.0 * sizes[s] if s in capped else level * weight[s] for s in order}
+    shares, ends, at = [int(target[s] * mixing.SHARES) for s in order], [], 0
+    for x in shares:
+        at += x
+        ends.append(int(at / sum(shares) * mixing.RING))
+    block = mixing.block_size(sum(sizes.values()))
+    step, slots = mixing.golden_step(mixing.RING), collections.defaultdict(list)
+    for i in range(-(-sum(sizes.values()) // block)):
+        slots[order[bisect.bisect_right(ends, i * step % mixing.RING)]].append(i)
+    stop = {s: min(len(slots[s]) * block, 3 * sizes[s]) for s in order}
     ids = spark.createDataFrame([(k, n) for k, n in size.items()], "doc_id long, size long")
     h = {r.doc_id: r.h for r in ids.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "size", F.lit(1).cast("long")).alias("h")).collect()}
     out = []
@@ -104,7 +103,7 @@ def mixed(spark, rows):
                 begin = start + p * sizes[s]
                 words = min(size[k], stop[s] - begin)
                 if words > 0 and 2 * words >= size[k]:
-                    out.append((slots[s][begin // mixing.BLOCK], k))
+                    out.append((slots[s][begin // block], k))
             start += size[k]
     return sorted(out)
 
@@ -195,7 +194,8 @@ def test_run_is_registered(spark):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, SMALL)
         run = con.execute(sql)
