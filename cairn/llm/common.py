@@ -86,14 +86,6 @@ class Store:
         return result
 
 
-def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, which it counts; else as it is, for a shuffled join.
-
-    For narrow tables of ids, so what is broadcast stays within some tens of megabytes. Either join has the same rows.
-    """
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def cumulated(df: DataFrame, order: list[str | Column], value: str | Column, store: Store) -> DataFrame:
     """df, kept, with ``before``: the sum of a whole-numbered value over all rows ahead in the order, which has no ties.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, WordHashes, if_few, mix, windows
+from .common import Store, WordHashes, mix, windows
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -17,6 +17,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 SHINGLES_AT_ONCE = 400_000
+#: Texts of a bucket that one group of the join has of either side, about.
+BLOCK = 2000
 #: Components of the sketches by which pairs of a bucket are screened, first some and then all, and how many must
 #: agree. A component of a pair of similarity 0.8 agrees with probability 0.8125, so either screen loses such a pair
 #: less than once in 100,000, and pairs above 0.8 far more rarely.
@@ -172,19 +174,26 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 def _screened_pairs(named: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of different classes that share a band and may be alike; named has (band, u, c, bands, sketch).
 
-    In each bucket only texts outside its largest class are paired with the others. A pair comes out once, at the
-    first band it shares, if its sketches agree well enough, so what leaves the join is near the number of links.
+    In each bucket only texts outside its largest class are paired with the others. Both sides of a bucket are cut into
+    blocks of about BLOCK texts, and blocks meet in groups of their own, so a hot bucket is spread over the tasks. A
+    pair comes out once, at the first band it shares, if its sketches agree well enough, so what leaves the join is near
+    the number of links.
     """
     sizes = named.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("band").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("band", "main")
+    largest = F.max(F.struct("n", "c"))
+    main = sizes.groupBy("band").agg(largest.alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).filter("classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    main = main.select("band", F.col("m.c").alias("main"), blocks(F.col("all") - F.col("m.n")).alias("nx"), blocks(F.col("all")).alias("ny"))
     entries = named.join(main, "band")
-    x = entries.filter("c <> main").select("band", F.col("u").alias("x"), F.col("c").alias("cx"), F.col("bands").alias("bx"), F.col("sketch").alias("sx"))
-    y = entries.select(F.col("band").alias("band_y"), F.col("u").alias("y"), F.col("c").alias("cy"), F.col("c").eqNullSafe(F.col("main")).alias("inside"), F.col("bands").alias("by"), F.col("sketch").alias("sy"))
+    own = lambda n: F.pmod(F.xxhash64("u"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    x = entries.filter("c <> main").withColumn("block", own(F.col("nx"))).select("band", F.col("u").alias("x"), F.col("c").alias("cx"), F.col("bands").alias("bx"), F.col("sketch").alias("sx"), "block", every(F.col("ny")).alias("with"))
+    y = entries.withColumn("with", own(F.col("ny"))).withColumn("block", every(F.col("nx"))).select(F.col("band").alias("band_y"), F.col("block").alias("block_y"), F.col("with").alias("with_y"), F.col("u").alias("y"), F.col("c").alias("cy"), F.col("c").eqNullSafe(F.col("main")).alias("inside"), F.col("bands").alias("by"), F.col("sketch").alias("sy"))
     some = sum(_alike_components(F.col("sx")[i], F.col("sy")[i]) for i in range(FIRST // 16))
     all_ = F.aggregate(F.zip_with("sx", "sy", _alike_components), F.lit(0), lambda n, k: n + k)
     shared = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull())
     once = F.col("inside") | (F.col("x") < F.col("y"))
-    on = (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & once & (some >= LEAST_FIRST) & (all_ >= LEAST_ALL) & (shared[0] == F.col("band"))
+    on = (F.col("band") == F.col("band_y")) & (F.col("block") == F.col("block_y")) & (F.col("with") == F.col("with_y")) & (F.col("cx") != F.col("cy")) & once & (some >= LEAST_FIRST) & (all_ >= LEAST_ALL) & (shared[0] == F.col("band"))
     return x.join(y, on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -203,9 +212,10 @@ def _classified(docs: DataFrame, store: Store, doc: str, text: str) -> DataFrame
     pairs = store.keep(
         shared.join(heads, "band").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b")).distinct()
     )
-    wanted = if_few(store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi")))
-    rows = docs.select(*_text_key(F.col(text)), F.col(text).alias("t")).join(wanted, ["r1", "r2"])
-    shingles = store.keep(_shingle_table(rows.groupBy("u").agg(F.min("t").alias("t")), "u", "t"))
+    wanted = store.keep(texts.select("u", "r1", "r2").join(met, "u", "left_semi"))
+    # each task drops copies before texts are dealt, once; the join keeps that partitioning
+    once = docs.select(*_text_key(F.col(text)), F.col(text).alias("t")).dropDuplicates(["r1", "r2"])
+    shingles = store.keep(_shingle_table(once.join(wanted, ["r1", "r2"]), "u", "t"))
     links = store.keep(_verified(pairs, shingles))
     labels = components(links, store)
     named = store.keep(shared.select("band", "u").join(labels, F.col("u") == F.col("v"), "left").select("band", "u", F.coalesce("c", "u").alias("c")))
@@ -253,10 +263,10 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     met = rows.join(many, "g").select("key.e", "key.r1", "key.r2", F.coalesce("key.doc_id", F.lit(0)).alias("k"), F.col("key").eqNullSafe(F.col("least")).alias("first"))
     named = ["e", "k", "r1", "r2"]
     met = near.release(store.release(store.keep(met.groupBy(*named).agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n")))))
-    # the texts are dealt once at most, each with its row; only equal rows of the kept ones are gathered
+    # the texts are dealt once, each with its row; only equal rows of the kept ones are gathered
     r1, r2 = _text_key(F.col("text"))
     k = F.col("doc_id").cast("long")
-    dealt = docs.select(F.struct("*").alias("row"), k.isNull().alias("e"), F.coalesce(k, F.lit(0)).alias("k"), r1, r2).join(if_few(met), named, "left")
+    dealt = docs.select(F.struct("*").alias("row"), k.isNull().alias("e"), F.coalesce(k, F.lit(0)).alias("k"), r1, r2).join(met, named, "left")
     once = dealt.filter("first is null or first and n = 1").select("row")
     repeated = dealt.filter("first and n > 1").dropDuplicates(named).select("row")
     return once.unionByName(repeated).select("row.*")
