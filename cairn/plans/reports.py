@@ -222,7 +222,7 @@ query("audit_report", twin("SELECT predicate, count(*) AS merged, CAST(max(sourc
     lambda s, d: view(s, d, "v_claims").groupBy("entity_id", "predicate").agg(F.countDistinct("source_id").alias("sources")).filter("sources > 1").groupBy("predicate").agg(F.count(F.lit(1)).alias("merged"), F.max("sources").alias("most"))
 )
 query("discovery_report", twin("SELECT action AS scenario, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) <= 300 AS ok FROM v_audit GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_audit").groupBy(c("action").alias("scenario")).agg(F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.95)).alias("p95")).withColumn("ok", c("p95") <= 300)
+    lambda s, d: ranks.interpolated(view(s, d, "v_audit").select(c("action").alias("scenario"), "value"), ["scenario"], "value", {"p50": 50, "p95": 95}).withColumn("ok", c("p95") <= 300)
 )
 query("review_pressure", twin("SELECT date_precision AS cause, count(*) AS n, round(count(*) * 2e0 / 60, 2) AS hours FROM v_temporal WHERE status <> 'approved' GROUP BY 1"))(
     lambda s, d: op.histogram(view(s, d, "v_temporal").filter("status <> 'approved'"), c("date_precision"), "cause").withColumn("hours", F.round(c("n") * 2.0 / 60, 2))
