@@ -16,6 +16,7 @@ from ..operators.reports import unique_slugs
 from .basics import c, digest_sql, distance_sql
 from .catalog import query
 from .matching import compatible_sql
+from .resolution import RESOLVED
 from .substrate import twin, view
 
 
@@ -351,7 +352,7 @@ def normalise_wikidata(spark, d):
     return items.normalise_items(raw).select("qid", "place_type", "type_confidence", "rule", "accuracy_m", "method", *joined, "rejected")
 
 
-@query("sequential_resolution")
+@query("sequential_resolution", RESOLVED)
 def sequential_resolution(spark, d):
     """Records decided in order against those that became canonical before them, by the matcher's own score."""
     from ..operators.matching import resolve_in_order
