@@ -22,6 +22,8 @@ BYTES_A_PART = 16 << 20
 CONTEXTS_AT_ONCE = 8_000
 #: An anchor with more places than this is dealt in two bands of offsets, each by HALF more bytes than the q-gram.
 HOT, HALF, MIDDLE = 10_000, 32, SIDE // 2
+#: Contexts of a batch that are compared at a time, before anything is shuffled.
+COLLAPSED = 20_000
 FIRST = -(1 << 63)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
@@ -127,9 +129,38 @@ def _split(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
             yield int(part[rows[0]]), *(c[rows] for c in columns)
 
 
+def _collapsed(texts: list[bytes], of: np.ndarray, h: np.ndarray, k: np.ndarray, v: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(kept, ranges): marks of the anchors of a batch that go on, and the ranges (k, v, a, b) of those that don't.
+
+    Of equal contexts of an anchor in the batch only the first by document and offset goes on: the others' strings all
+    occur in it, earlier. So a hot passage has a place for each batch, not for each document.
+    """
+    kept = np.ones(len(h), bool)
+    _, number, count = np.unique(h, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(count[number] > 1)
+    rows = rows[np.lexsort((pos[rows], v[rows], k[rows], h[rows]))]
+    sizes = np.array([len(t) for t in texts])
+    told = []
+    for x in np.split(rows, np.arange(COLLAPSED, len(rows), COLLAPSED)) if len(rows) else ():
+        x = x[np.lexsort((pos[x], v[x], k[x]))]
+        docs, doc = np.unique(of[x], return_inverse=True)
+        flat = np.frombuffer(b"".join(bytes(SIDE) + texts[d] + bytes(CONTEXT) for d in docs.tolist()), np.uint8)
+        start = np.cumsum(sizes[docs] + SIDE + CONTEXT) - (sizes[docs] + SIDE + CONTEXT)
+        c = flat[(start[doc] + pos[x])[:, None] + np.arange(CONTEXT)[None, :]]
+        p = pos[x].astype(np.int64) - SIDE
+        lo, hi = np.maximum(0, -p), np.minimum(SIDE + 1, sizes[of[x]] - REPEAT + 1 - p)
+        gone = _copies(c, lo, hi)
+        kept[x[gone]] = False
+        told.append((k[x[gone]], v[x[gone]], (p + lo)[gone], (p + hi - 1 + REPEAT)[gone]))
+    return kept, [np.concatenate(y) if told else np.zeros(0, np.int64) for y in (zip(*told, strict=True) if told else [()] * 4)]
+
+
 def _anchor_rows(rows: DataFrame, parts: int) -> DataFrame:
+    """Anchors by part, and ranges that a batch alone tells; of the copies of a text in a batch the first by k stands for all."""
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch.iloc[np.lexsort((batch["k"], batch["v"]))].drop_duplicates("v")
             texts = [(t or "").encode() for t in batch["t"]]
             k, v = batch["k"].to_numpy(np.int64), batch["v"].to_numpy(np.int64)
             sizes = np.array([len(t) for t in texts])
@@ -140,10 +171,14 @@ def _anchor_rows(rows: DataFrame, parts: int) -> DataFrame:
                 of = np.searchsorted(ends, at, "right")
                 found.append((h, a + of, (at - (ends - sizes[a:b])[of]).astype(np.int32)))
             h, of, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-            made = list(_split((h % np.uint64(parts)).astype(np.int64), h.view(np.int64), k[of], v[of], pos))
-            yield pd.DataFrame(made, columns=["part", "h", "k", "v", "pos"])
+            kept, told = _collapsed(texts, of, h, k[of], v[of], pos)
+            h, of, pos = h[kept], of[kept], pos[kept]
+            none = np.zeros(0, np.int64)
+            made = [(*x, none, none, none, none) for x in _split((h % np.uint64(parts)).astype(np.int64), h.view(np.int64), k[of], v[of], pos)]
+            made += [(x[0], none, none, none, none, *x[1:]) for x in _split(told[1] % parts, *told)]
+            yield pd.DataFrame(made, columns=["part", "h", "k", "v", "pos", "dk", "dv", "da", "db"])
 
-    return rows.mapInPandas(scan, "part long, h array<long>, k array<long>, v array<long>, pos array<int>")
+    return rows.mapInPandas(scan, "part long, h array<long>, k array<long>, v array<long>, pos array<int>, dk array<long>, dv array<long>, da array<int>, db array<int>")
 
 
 def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -157,25 +192,37 @@ def _chunks(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def _by_document(k: np.ndarray, v: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[np.ndarray]]]:
+    """(k, v, [each column in pieces]) of rows in order of document."""
+    cut = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1])) + 1
+    first = np.append(0, cut)
+    return k[first], v[first], [np.split(c, cut) for c in columns]
+
+
 def _repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-    """The anchors of a part that occur at two places or more, and the hot ones, copies of whole texts counted once."""
-    h, k, v, pos = (np.concatenate(group[c].to_list()) for c in ("h", "k", "v", "pos"))
+    """The anchors of a part that occur at two places or more, and the hot ones, copies of whole texts counted once; and
+    the ranges told already."""
+    h, k, v, pos, dk, dv, da, db = (np.concatenate(group[c].to_list()) for c in ("h", "k", "v", "pos", "dk", "dv", "da", "db"))
+    out = [pd.DataFrame({"k": k[:0], "v": v[:0], **{c: pd.Series([], dtype=object) for c in ("pos", "hot", "da", "db")}})]
+    none = np.zeros(0, np.int32)
+    if len(dk):
+        order = np.lexsort((da, dv, dk))
+        k_, v_, (a, b) = _by_document(*(x[order] for x in (dk, dv, da, db)))
+        out.append(pd.DataFrame({"k": k_, "v": v_, "pos": [none] * len(k_), "hot": [none] * len(k_), "da": a, "db": b}))
     order = np.lexsort((k, pos, v, h))
     h, k, v, pos = h[order], k[order], v[order], pos[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]) | (pos[1:] != pos[:-1]))
+    new = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]) | (pos[1:] != pos[:-1]))[: len(h)]
     h, k, v, pos = h[new], k[new], v[new], pos[new]
     same = h[1:] == h[:-1]
-    many = np.append(same, False) | np.append(False, same)
-    number = np.append(0, np.cumsum(~same))
+    many = (np.append(same, False) | np.append(False, same))[: len(h)]
+    number = np.append(0, np.cumsum(~same))[: len(h)]
     hot = (np.bincount(number)[number] > HOT)[many]
     k, v, pos = k[many], v[many], pos[many]
-    if not len(k):
-        return pd.DataFrame({"k": k, "v": v, "pos": pd.Series([], dtype=object), "hot": pd.Series([], dtype=object)})
-    order = np.lexsort((pos, v, k))
-    k, v, pos, hot = k[order], v[order], pos[order], hot[order]
-    cut = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1])) + 1
-    first = np.append(0, cut)
-    return pd.DataFrame({"k": k[first], "v": v[first], "pos": np.split(pos, cut), "hot": np.split(pos[hot], np.searchsorted(np.flatnonzero(hot), cut))})
+    if len(k):
+        order = np.lexsort((pos, v, k))
+        k_, v_, (at, marks) = _by_document(*(x[order] for x in (k, v, pos, hot)))
+        out.append(pd.DataFrame({"k": k_, "v": v_, "pos": at, "hot": [a[m] for a, m in zip(at, marks, strict=True)], "da": [none] * len(k_), "db": [none] * len(k_)}))
+    return pd.concat(out)
 
 
 def _first_of_each(*columns: np.ndarray) -> np.ndarray:
@@ -286,7 +333,9 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     sampled offsets, in buckets by hash; the bytes around those that share a bucket, whose suffixes are refined to
     REPEAT bytes by bucket pointers; and the ranges per document. Copies of a whole text are told by two checksums and
     length; all other strings are compared byte by byte. What is shuffled by anchor comes in parts whose number grows
-    with the bytes of the corpus; a hot anchor's places are dealt by HALF more bytes, in two bands of offsets.
+    with the bytes of the corpus. Before that each batch keeps one place of equal contexts, so a passage that many
+    documents share has as many places as there are batches; an anchor that is hot all the same, by different contexts,
+    is dealt by HALF more bytes, in two bands of offsets.
     """
     store = Store(docs.sparkSession, "bytes")
     body = text_or_empty(F.col(text))
@@ -294,16 +343,16 @@ def repeated_ranges(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BYTES_A_PART)
     candidates = store.keep(
-        _anchor_rows(rows.select("k", "v", "t"), parts).groupBy("part").applyInPandas(_repeated_anchors, "k long, v long, pos array<int>, hot array<int>")
+        _anchor_rows(rows.select("k", "v", "t"), parts).groupBy("part").applyInPandas(_repeated_anchors, "k long, v long, pos array<int>, hot array<int>, da array<int>, db array<int>")
     )
-    asked = candidates.groupBy("k", "v").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("hot")).alias("hot"))
+    told = candidates.filter(F.size("da") > 0).select("k", "v", F.inline(F.arrays_zip(F.col("da").alias("a"), F.col("db").alias("b"))))
+    asked = candidates.filter(F.size("pos") > 0).groupBy("k", "v").agg(F.flatten(F.collect_list("pos")).alias("pos"), F.flatten(F.collect_list("hot")).alias("hot"))
     texts = rows.select("k", "v", "t").join(asked, ["k", "v"])
     ranges = store.keep(_context_rows(texts, parts).groupBy("part").applyInPandas(_ranges, "k long, v long, a int, b int"))
-    store.drop(candidates)
     plain = rows.select("k", "v", F.octet_length("t").alias("n"), F.crc32("t").alias("crc"))
     heads = plain.groupBy("v", "n", "crc").agg(F.min("k").alias("head"), F.max("k").alias("last")).filter("head < last")
     copies = plain.filter(F.col("n") >= REPEAT).join(heads, ["v", "n", "crc"]).filter("k > head").select("k", "v", F.lit(0).alias("a"), F.col("n").alias("b"))
-    found = store.keep(ranges.unionByName(copies).groupBy("k", "v").agg(F.collect_list(F.struct("a", "b")).alias("r")))
+    found = store.keep(ranges.unionByName(told).unionByName(copies).groupBy("k", "v").agg(F.collect_list(F.struct("a", "b")).alias("r")))
     return rows, store.release(found)
 
 

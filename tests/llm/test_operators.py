@@ -677,6 +677,21 @@ def test_repeated_bytes(spark, docs, empty, monkeypatch, hot):
     assert repeated_bytes.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [3, 20_000])
+def test_batches_collapse_equal_contexts(spark, monkeypatch, at_once):
+    """One batch holds all: a passage of every document has few places left, exact and near copies too, and the result is that of brute force."""
+    monkeypatch.setattr(repeated_bytes, "COLLAPSED", at_once)
+    y = "".join(chr(97 + i * i % 23) for i in range(400))
+    rows = [(i, f"{i * 7919} begins " + y + f" ends {i * i}" + ("" if i % 3 else y[50:190])) for i in range(80)] + [(100 + i, "whole copy " + y[::-1]) for i in range(40)] + [(200 + i, y[i : 150 + i]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: tuple(r)[1:] for r in repeated_bytes.without_repeats(df).collect()} == repeats(rows)
+    if at_once > len(rows):
+        body = df.select(F.col("doc_id").alias("k"), F.xxhash64("text").alias("v"), F.col("text").alias("t"))
+        left = sum(len(r.pos) for r in repeated_bytes._anchor_rows(body, 4).select("pos").collect())
+        text = "".join(t for _, t in rows).encode()
+        assert left < len(repeated_bytes.anchors(np.frombuffer(text, np.uint8), np.array([len(text)]))[0]) / 2
+
+
 # 9
 
 
