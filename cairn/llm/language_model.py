@@ -16,8 +16,9 @@ from .common import Store, WordHashes, mix
 #: Order of the model, and level of the tables' compression.
 ORDER, LEVEL = 3, 4
 TOKENS_A_BATCH = 1_500_000
-#: Counts up to DISCOUNTED are discounted; a history is hot if it holds 1 / HOT of all tokens, so at most HOT are.
-DISCOUNTED, HOT = 5, 1000
+#: Counts up to DISCOUNTED are discounted. A history that stands before as many tokens as a batch has is hot: its grams
+#: are dealt by gram, so no part gets more of one history than of a batch.
+DISCOUNTED = 5
 #: The hash of the token that ends each text and stands before its first word.
 END = 0
 HELD_OUT = 1
@@ -266,8 +267,11 @@ class _Grams:
             extra[heads[cold]] = unpack(row.b)[cold]
             wanted = heads[self.wanted[heads] & cold]
             self.backoff[wanted] = left_over(unpack(row.c).reshape(DISCOUNTED + 1, -1), self.count[wanted], x.d)[2]
+        hot_sums = {}
+        for r in answers[answers["kind"] == f"hot_answer{self.m}"].itertuples():
+            hot_sums = dict(zip(map(tuple, unpack(r.a).reshape(-1, self.m - 1).tolist()), unpack(r.b).reshape(-1, DISCOUNTED + 1), strict=True))
         for v in np.flatnonzero((self.count >= x.hot) & ~self.own):
-            sums = x.hot_sums.get(tuple(int(k[v]) for k in self.history))
+            sums = hot_sums.get(tuple(int(k[v]) for k in self.history))
             if sums is not None:
                 more, _, weight = left_over(sums[:, None], self.count[v : v + 1], x.d)
                 extra[v], self.backoff[v] = more[0], weight[0]
@@ -284,10 +288,10 @@ ASKED = "part long, batch long, own array<long>, h binary, n binary, hc binary,
 
 
 class Level:
-    """What is known of a finished level: its order, parts, discounts, and the sums of its hot histories."""
+    """What is known of a finished level: its order, parts, bound of hot histories and discounts."""
 
-    def __init__(self, m: int, parts: int, hot: int, d: np.ndarray, hot_sums: dict):
-        self.m, self.parts, self.hot, self.d, self.hot_sums = m, parts, hot, d, hot_sums
+    def __init__(self, m: int, parts: int, hot: int, d: np.ndarray):
+        self.m, self.parts, self.hot, self.d = m, parts, hot, d
 
 
 def _grams(words: _Words, answers: pd.DataFrame, levels: list[Level]) -> _Grams | None:
@@ -325,7 +329,7 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
     """The function that counts a part's m-grams: its table, its histories' sums, and an answer for each batch.
 
     An answer tells for each gram its count and whether no other batch has it, and for each history whether none of
-    its counts is discounted, and its sums if wanted.
+    its counts is discounted, and its sums if wanted; it names the batch's hot histories, whose sums no part has whole.
     """
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -365,7 +369,8 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         for batch, a, at, want in zip(group["batch"], answers, np.split(head, np.cumsum(asked)[:-1]), col["want"], strict=True):
             bare = sums[:DISCOUNTED, at].sum(axis=0) == 0
             wanted = at[(want > 0) & ~is_hot[at]]
-            made.append((f"answer{m}", batch, part, None, pack(a), pack(bare.astype(np.int64)), pack(sums[:, wanted].reshape(-1))))
+            asked_hot = at[is_hot[at]]
+            made.append((f"answer{m}", batch, part, None, pack(a), pack(bare.astype(np.int64)), pack(sums[:, wanted].reshape(-1)), pack(np.concatenate([x[asked_hot] for x in numbers]))))
         return _rows(made)
 
     return count
@@ -382,19 +387,32 @@ def left_over(sums: np.ndarray, count: np.ndarray, d: np.ndarray) -> tuple[np.nd
     return extra, mass, mass / (1.0 - sums[DISCOUNTED])
 
 
-def _hot_sums(table: DataFrame, m: int) -> dict:
-    """The sums of the hot histories, which parts hold in pieces; at most HOT of them."""
+def _hot_answers(table: DataFrame, m: int) -> DataFrame:
+    """The sums of hot histories, which parts hold in pieces, for each batch that has grams of them."""
+    kind = lambda name: table.filter(F.col("kind") == f"{name}{m}")
 
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
                 heads, sums = unpack(r.a).reshape(m - 1, -1).T, unpack(r.b).reshape(DISCOUNTED + 1, -1).T
                 if len(heads):
                     yield pd.DataFrame({"h": [x.tolist() for x in heads], "s": list(sums)})
 
-    rows = table.filter(F.col("kind") == f"hot{m}").select("a", "b").mapInPandas(opened, "h array<long>, s array<double>")
-    total = rows.groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(DISCOUNTED + 1)])
-    return {tuple(r.h): np.array(list(r)[1:]) for r in total.collect()}
+    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                heads = unpack(r.d).reshape(m - 1, -1).T
+                if len(heads):
+                    yield pd.DataFrame({"batch": np.full(len(heads), r.batch), "h": [x.tolist() for x in heads]})
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        heads, sums = np.array(group["h"].tolist(), np.int64), group[names].to_numpy(np.float64)
+        return _rows([(f"hot_answer{m}", int(group["batch"].iloc[0]), -1, None, pack(heads.reshape(-1)), pack(sums.reshape(-1)))])
+
+    names = [f"s{k}" for k in range(DISCOUNTED + 1)]
+    total = kind("hot").select("a", "b").mapInPandas(pieces, "h array<long>, s array<double>").groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(n) for k, n in enumerate(names)])
+    needs = kind("answer").select("batch", "d").mapInPandas(asked, "batch long, h array<long>").distinct()
+    return needs.join(total, "h").groupBy("batch").applyInPandas(packed, ROW)
 
 
 def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,8 +428,8 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
     words and then, length by length, of its distinct grams, from parts dealt by hash; a part totals what all batches
     ask, stores its partition of the tables (kinds words, grams2, histories2, grams3 ...) and answers the batches. What
     a history needs to be normalised exactly, the lower probabilities of the words seen with it, follows from counts
-    that come along. Grams of hot histories are dealt by gram, so no part gathers them; there are at most HOT of those
-    of each length, and their sums are broadcast. Words are told apart by 64-bit hashes. Null texts have the end token
+    that come along. Grams of hot histories are dealt by gram, so no part gathers them; their sums are joined to the
+    batches that have some. Words are told apart by 64-bit hashes. Null texts have the end token
     alone; repeated rows count as often as they occur; an empty table gives no rows; other columns aren't read.
     """
     spark = docs.sparkSession
@@ -424,14 +442,14 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
     told = words.filter("kind = 'word_answer'")
     texts = store.keep(batches.select("batch", "end", "docs", "held", "lens", "ids"))
     store.drop(batches)
-    hot, norm = max(1, -(-total // HOT)), total + 0.5 * (vocabulary + 1)
+    hot, norm = TOKENS_A_BATCH, total + 0.5 * (vocabulary + 1)
     levels: list[Level] = []
     for m in range(2, order + 1):
         asked = _gram_requests(texts, told, spark.sparkContext.broadcast(levels), m, parts, hot)
         table = store.keep(asked.groupBy("part").applyInPandas(_counter(m, norm, levels[-1].d if levels else None, hot), ROW), "kind")
         found = table.filter(F.col("kind") == f"grams{m}").agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
-        levels = [*levels, Level(m, parts, hot, discounts(list(found)), _hot_sums(table, m))]
-        told = told.unionByName(table.filter(F.col("kind") == f"answer{m}"))
+        levels = [*levels, Level(m, parts, hot, discounts(list(found)))]
+        told = told.unionByName(table.filter(F.col("kind") == f"answer{m}").withColumn("d", F.lit(None).cast("binary"))).unionByName(store.keep(_hot_answers(table, m)))
     shared = spark.sparkContext.broadcast(levels)
 
     def score(row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:

@@ -101,10 +101,11 @@ def katz(rows, order):
     return out
 
 
-@pytest.mark.parametrize("which, order", [("docs", 3), ("edges", 2), ("edges", 3), ("edges", 4)])
-def test_katz_scores(which, order, request, monkeypatch):
+@pytest.mark.parametrize("which, order, batch", [("docs", 3, 4000), ("docs", 3, 400), ("edges", 2, 4000), ("edges", 3, 4000), ("edges", 3, 40), ("edges", 4, 40)])
+def test_katz_scores(which, order, batch, request, monkeypatch):
+    """With small batches many histories are hot, of every length."""
     df = request.getfixturevalue(which)
-    monkeypatch.setattr(language_model, "TOKENS_A_BATCH", 4000)
+    monkeypatch.setattr(language_model, "TOKENS_A_BATCH", batch)
     got = sorted(map(tuple, language_model.katz_scores(df, order=order).collect()), key=str)
     want = sorted(katz(pairs_of(df), order), key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
