@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import checkpoint_folder
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The old table with the new rows in; a key that both have takes the new row, but for the columns in ``keep``.
@@ -153,6 +155,45 @@ def change_roles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
     return told.withColumn("verdict", verdict).select("change_id", "user_id", "verdict", F.when(c("verdict") == "changed", c("role")).otherwise(c("now")).alias("role"))
 
 
+def replay_roles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """(change_id, user_id, verdict, role): asked changes of roles in order of change_id, each judged by the roles that the
+    ones before it left.
+
+    Verdicts are those of change_roles(); role is the user's after the change. Who is an administrator when depends on
+    the accepted changes, and these on who is; so rounds start from the first roles and go on until no verdict changes.
+    A round settles at least the changes whose actors' roles the round before had settled. An actor's times as an
+    administrator are spans, joined to the actor's changes, so a busy one is split like any hot key of a join.
+    """
+    c = F.col
+    checkpoint_folder(profiles.sparkSession)
+    first = profiles.select("user_id", F.lit(None).cast("long").alias("from"), "role")
+    users = profiles.select("user_id", F.lit(True).alias("known"))
+    told = changes.join(users, "user_id", "left")
+    refused = F.when(c("known").isNull(), "refused: no such user").when(c("actor_id") == c("user_id"), "refused: own role")
+    told = told.withColumn("refused", refused).checkpoint()
+    asked = told.filter(c("refused").isNull())
+
+    def spans(accepted: DataFrame) -> DataFrame:
+        """(user_id, from, to, role): who has which role after a change and until another, null at either end."""
+        steps = first.unionByName(asked.filter(c("role").isin(*ROLES)).join(accepted, "change_id", "left_semi").select("user_id", c("change_id").alias("from"), "role"))
+        return steps.withColumn("to", F.lead("from").over(Window.partitionBy("user_id").orderBy(c("from").asc_nulls_first())))
+
+    def at(changes: DataFrame, who: str, roles: DataFrame) -> DataFrame:
+        r = roles.select(c("user_id").alias("__who"), "from", "to", c("role").alias("has"))
+        return changes.join(r, (c(who) == c("__who")) & (c("from").isNull() | (c("from") < c("change_id"))) & (c("to").isNull() | (c("change_id") <= c("to"))))
+
+    accepted = asked.join(profiles.filter("role = 'admin'").select(c("user_id").alias("actor_id")), "actor_id", "left_semi").select("change_id").checkpoint()
+    while True:
+        now = at(asked, "actor_id", spans(accepted).filter("role = 'admin'")).select("change_id").checkpoint()
+        if now.exceptAll(accepted).union(accepted.exceptAll(now)).isEmpty():
+            break
+        accepted = now
+    before = at(told.select("change_id", "user_id"), "user_id", spans(accepted)).select("change_id", "has")
+    out = told.join(accepted.withColumn("ok", F.lit(True)), "change_id", "left").join(before, "change_id", "left")
+    verdict = F.coalesce("refused", F.when(c("ok").isNull(), "refused: not an administrator").when(~c("role").isin(*ROLES), "refused: no such role"), F.lit("changed"))
+    return out.withColumn("verdict", verdict).select("change_id", "user_id", "verdict", F.when(c("verdict") == "changed", c("role")).otherwise(c("has")).alias("role"))
+
+
 def badges_earned(visits: DataFrame, criteria: DataFrame) -> DataFrame:
     """(user_id, badge_id) of users who meet a badge's criteria.
 

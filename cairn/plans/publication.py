@@ -192,6 +192,18 @@ query("change_role", twin("""WITH asked AS (SELECT a.id AS change_id, a.id % 700
     FROM asked x LEFT JOIN v_profiles a ON a.user_id = x.actor_id LEFT JOIN v_profiles u ON u.user_id = x.user_id) SELECT change_id, user_id, verdict, CASE WHEN verdict = 'changed' THEN role ELSE was END AS role FROM told"""))(
     lambda s, d: op.change_roles(view(s, d, "v_profiles"), view(s, d, "v_audit").select(c("id").alias("change_id"), (c("id") % 700).alias("actor_id"), c("target_id").alias("user_id"), F.when(c("id") % 7 == 0, "owner").otherwise("editor").alias("role")))
 )
+#: Changes among a few users, who make and unmake administrators.
+ASKED = """asked AS (SELECT id AS change_id, id * 31 % 97 AS actor_id, target_id AS user_id, CASE id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'user' WHEN 2 THEN 'owner' ELSE 'editor' END AS role, row_number() OVER (ORDER BY id) AS i FROM v_audit)"""
+#: The walk carries the administrators as a list, change by change.
+REPLAYED = twin(f"""WITH {ASKED}, ok AS MATERIALIZED (SELECT x.*, u.role AS was, u.user_id IS NOT NULL AS known FROM asked x LEFT JOIN v_profiles u ON u.user_id = x.user_id),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(CAST(user_id AS BIGINT)) FROM v_profiles WHERE role = 'admin' AND user_id < 100) AS admins, false AS granted
+    UNION ALL SELECT o.i, CASE WHEN NOT (known AND actor_id <> user_id AND list_contains(admins, actor_id) AND o.role <> 'owner') THEN admins WHEN o.role = 'admin' THEN list_append(list_filter(admins, lambda a: a <> user_id), user_id)
+        ELSE list_filter(admins, lambda a: a <> user_id) END, list_contains(admins, actor_id) FROM walk w JOIN ok o ON o.i = w.i + 1),
+    told AS (SELECT o.*, CASE WHEN NOT known THEN 'refused: no such user' WHEN actor_id = user_id THEN 'refused: own role' WHEN NOT granted THEN 'refused: not an administrator' WHEN role = 'owner' THEN 'refused: no such role' ELSE 'changed' END AS verdict FROM ok o JOIN walk USING (i))
+    SELECT change_id, user_id, verdict, coalesce(last_value(CASE WHEN verdict = 'changed' THEN role END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i), was) AS role FROM told""").replace("WITH ", "WITH RECURSIVE ", 1)
+query("role_replay", REPLAYED)(
+    lambda s, d: op.replay_roles(view(s, d, "v_profiles"), view(s, d, "v_audit").select(c("id").alias("change_id"), (c("id") * 31 % 97).alias("actor_id"), c("target_id").alias("user_id"), F.when(c("id") % 5 == 0, "admin").when(c("id") % 5 == 1, "user").when(c("id") % 5 == 2, "owner").otherwise("editor").alias("role")))
+)
 BADGES = (("first-steps", 1, None), ("explorer", 20, None), ("castles", 3, "castle"), ("churches", 4, "church"))
 query("badge_criteria", twin("""WITH visits AS (SELECT a.target_id AS user_id, p.id AS place_id, p.place_type FROM v_audit a JOIN v_places p ON p.id = a.id % 400 WHERE a.action = 'view'),
     rules AS (SELECT * FROM (VALUES ('first-steps', 1, NULL), ('explorer', 20, NULL), ('castles', 3, 'castle'), ('churches', 4, 'church')) AS t(badge_id, place_count, kind))
