@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import basics, discovery, fulltext, matching, publication, reports, resolution  # noqa: F401
+    from . import basics, discovery, fulltext, guards, matching, publication, reports, resolution  # noqa: F401
