@@ -7,43 +7,69 @@ from pyspark.sql import functions as F
 
 from .geo import stated_accuracy_m
 
-#: Kinds of place by the class labels that stand for them; other labels stand for none.
+#: The kind of place that a class label stands for; other labels stand for none.
 CLASSES = {
-    "castle": ("castle",),
-    "country_house": ("episcopal palace", "english country house", "country house"),
-    "palace": ("palace",),
-    "abbey": ("abbey", "monastery"),
-    "priory": ("priory",),
-    "cathedral": ("cathedral",),
-    "church": ("church building", "church", "chapel"),
-    "battlefield": ("battle", "battlefield"),
-    "historic_village": ("model village", "village"),
-    "archaeological_site": ("deserted medieval village", "bowl barrow", "round barrow", "archaeological site", "roman town"),
-    "hillfort": ("hillfort",),
-    "industrial_site": ("mill building", "mill", "mine", "colliery"),
-    "canal_structure": ("lock", "weir"),
-    "railway_site": ("railway station",),
-    "garden": ("botanical garden", "french formal garden", "garden"),
-    "historic_landscape": ("park",),
-    "museum": ("museum",),
-    "monument": ("market cross", "high cross", "monument", "memorial"),
-    "building": ("house",),
-    "structure": ("architectural structure", "wall", "bridge"),
-    "ruin": ("ruins",),
+    "castle": "castle",
+    "episcopal palace": "country_house",
+    "english country house": "country_house",
+    "country house": "country_house",
+    "palace": "palace",
+    "abbey": "abbey",
+    "monastery": "abbey",
+    "priory": "priory",
+    "cathedral": "cathedral",
+    "church building": "church",
+    "church": "church",
+    "chapel": "church",
+    "battle": "battlefield",
+    "battlefield": "battlefield",
+    "model village": "historic_village",
+    "village": "historic_village",
+    "deserted medieval village": "archaeological_site",
+    "bowl barrow": "archaeological_site",
+    "round barrow": "archaeological_site",
+    "archaeological site": "archaeological_site",
+    "roman town": "archaeological_site",
+    "hillfort": "hillfort",
+    "mill building": "industrial_site",
+    "mill": "industrial_site",
+    "mine": "industrial_site",
+    "colliery": "industrial_site",
+    "lock": "canal_structure",
+    "weir": "canal_structure",
+    "railway station": "railway_site",
+    "botanical garden": "garden",
+    "french formal garden": "garden",
+    "garden": "garden",
+    "park": "historic_landscape",
+    "museum": "museum",
+    "market cross": "monument",
+    "high cross": "monument",
+    "monument": "monument",
+    "memorial": "monument",
+    "house": "building",
+    "architectural structure": "structure",
+    "wall": "structure",
+    "bridge": "structure",
+    "ruins": "ruin",
 }
-#: Designations by their labels; the confidence of a mapped kind; metres from which a position is approximate.
+#: The designation that a label stands for.
 DESIGNATION_LABELS = {
-    "listed_building": ("grade i listed building", "grade ii* listed building", "grade ii listed building", "listed building"),
-    "scheduled_monument": ("scheduled monument",),
-    "world_heritage_site": ("world heritage site",),
-    "registered_park_garden": ("registered historic park or garden",),
-    "registered_battlefield": ("registered battlefield",),
+    "grade i listed building": "listed_building",
+    "grade ii* listed building": "listed_building",
+    "grade ii listed building": "listed_building",
+    "listed building": "listed_building",
+    "scheduled monument": "scheduled_monument",
+    "world heritage site": "world_heritage_site",
+    "registered historic park or garden": "registered_park_garden",
+    "registered battlefield": "registered_battlefield",
 }
+#: The confidence of a mapped kind; metres from which a position is approximate.
 SURE, APPROXIMATE_M = 0.85, 250.0
 
 
-def _of_label(label: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    pairs = [F.lit(x) for kind, labels in table.items() for name in labels for x in (name, kind)]
+def _of_label(label: Column, table: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), F.lower(F.trim(label)))
 
 

@@ -341,8 +341,8 @@ ITEM_LABELS = ("Grade I listed building", "listed building", "locally listed", "
 ITEMS = f"""items AS (SELECT id, qid, CASE id % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_CLASSES))} END AS c1, CASE (id + 3) % 5 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_CLASSES))} END AS c2,
     CASE id % 4 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(ITEM_LABELS))} END AS d1, CASE id % 8 WHEN 0 THEN 'listed building' END AS d2, CASE WHEN id % 18 = 0 THEN NULL WHEN id % 42 = 0 THEN 95e0 ELSE lat END AS lat, lng,
     CASE WHEN id % 24 <> 0 THEN (id % 7) / 1000e0 END AS precision FROM v_candidates WHERE qid IS NOT NULL)"""
-_KIND = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for k, names_ in items.CLASSES.items() for n in names_) + " END"
-_MARK = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for k, names_ in items.DESIGNATION_LABELS.items() for n in names_) + " END"
+_KIND = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in items.CLASSES.items()) + " END"
+_MARK = lambda x: f"CASE lower(trim({x})) " + " ".join(f"WHEN '{n}' THEN '{k}'" for n, k in items.DESIGNATION_LABELS.items()) + " END"
 _METRES = f"greatest(coalesce(precision * 111320e0, 25e0), 25e0)"
 
 
