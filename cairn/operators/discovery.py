@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .checkpoints import checkpoint_folder
 
 Box = tuple[float, float, float, float]
 #: The widest viewport, in degrees, and the bounds of rows and cells.
@@ -164,13 +165,15 @@ def period_summaries(temporal: DataFrame, periods: DataFrame) -> DataFrame:
 def map_places(t: Tables, box: Box, ranking: tuple[str, ...], f: Filters | None = None, rows: int | None = None) -> DataFrame:
     """Markers of a viewport, the most important first.
 
-    Details are aggregated for the kept places alone: their ids, MAX_MARKERS at most, are broadcast to the detail scans.
+    The kept places, MAX_MARKERS at most, are found once and checkpointed; their ids reach the detail scans as filters.
     """
     check_box(box)
     kept = matching_places(t, box, f or Filters()).orderBy(F.desc("content_level"), "name", "id").limit(min(max(rows or 250, 1), MAX_MARKERS))
     kept = kept.select("id", "slug", "name", "place_type", "lng", "lat", "accuracy", "survival_status")
-    few = F.broadcast(kept.select(F.col("id").alias("place_id")))
-    of_few = lambda df: df.join(few, "place_id", "left_semi")
+    checkpoint_folder(kept.sparkSession)
+    kept = kept.checkpoint()
+    few = [r[0] for r in kept.select("id").collect()]
+    of_few = lambda df: df.filter(F.col("place_id").isin(few))
     for more in (primary_designations(of_few(t.designations), ranking), thumbnails(of_few(t.images), t.rights), period_summaries(of_few(t.temporal), t.periods)):
         kept = kept.join(more.withColumnRenamed("place_id", "id"), "id", "left")
     return kept
