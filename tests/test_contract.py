@@ -19,7 +19,7 @@ def test_views_keep_the_contract(spark, table, name):
     path = f"{tempfile.mkdtemp(prefix='spark-contract-')}/t"
     contract.write(df, table, path)
     again = contract.read(spark, table, path)
-    assert again.columns == contract.SCHEMAS[table].names and again.count() == df.count()
+    assert again.columns == contract.schema(table).names and again.count() == df.count()
 
 
 def test_differences_and_nulls(spark):
