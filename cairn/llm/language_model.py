@@ -363,7 +363,8 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         begins = np.cumsum(run[some]) - run[some]
         steps[begins] = w1[kept][begins]
         made = [(f"grams{m}", -1, part, counts, pack_rows([x[some] for x in numbers]), pack(run[some]), pack(steps), pack(r[kept]))]
-        made.append((f"histories{m}", -1, part, None, pack_rows([x[~is_hot] for x in numbers]), pack(sums[-1, ~is_hot].astype(np.float32))))
+        # in the order of the table's histories; a hot one's sum is in pieces and not here
+        made.append((f"histories{m}", -1, part, None, pack(np.where(is_hot, 0.0, sums[-1])[some].astype(np.float32))))
         made.append((f"hot{m}", -1, part, None, pack(np.concatenate([x[is_hot] for x in numbers])), pack(sums[:, is_hot].reshape(-1))))
         answers = np.split((2 * r + alone)[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
         for batch, a, at, want in zip(group["batch"], answers, np.split(head, np.cumsum(asked)[:-1]), col["want"], strict=True):
