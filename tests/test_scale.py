@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from cairn.operators import blocking
+from cairn.plans import load
+from cairn.plans.catalog import QUERIES
 
 from .test_blocking import SCHEMA, near, places
 
+load()
+
 
 def broadcasts(plan):
     """Column names of each table that a plan broadcasts."""
@@ -29,3 +33,11 @@ def test_no_side_of_near_pairs_is_broadcast(spark, tmp_path):
         sides = [x for x in broadcasts(pairs._jdf.queryExecution().executedPlan()) if x & {"x1", "x2", "l", "r", "l_name", "r_name"}]
         assert not sides
         assert sorted((r.l, r.r) for r in pairs.collect()) == near(a, b, 2000.0)
+
+
+def test_costly_rows_are_dealt_over_all_tasks(spark, tmp_path):
+    """A small file of names is one task's input, but its names are analysed in as many tasks as shuffles have."""
+    parts = [(i, f"part {i}", "b", "t", i % 50, 1.0) for i in range(200)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("names_distinct", "name_similarity", "analyse_name"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
