@@ -9,10 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, items, names
+from ..functions.text import let
 from ..operators import compare as cmp
 from ..operators import publish as op
 from ..operators.ranks import ordered_digest
 from ..operators.reports import unique_slugs
+from ..operators.spread import spread
 from .basics import c, digest_sql, distance_sql
 from .catalog import query
 from .matching import compatible_sql
@@ -30,7 +32,7 @@ BOTH = """sides AS (SELECT p.id, p.name AS pn, k.name AS kn, p.place_type AS pt,
 def both(spark, d):
     p, k = view(spark, d, "v_places").alias("p"), view(spark, d, "v_candidates").alias("k")
     i = c("p.id")
-    return p.join(k, i == c("k.id")).select(
+    return spread(p.join(k, i == c("k.id")), "p.id").select(
         i, c("p.name").alias("pn"), c("k.name").alias("kn"), c("p.place_type").alias("pt"), c("k.place_type").alias("kt"), c("p.type_confidence").alias("pc"), c("k.type_confidence").alias("kc"),
         c("p.qid").alias("pq"), c("k.qid").alias("kq"), c("p.designation").alias("pd"), c("k.designation").alias("kd"), c("p.accuracy").alias("pa"), c("k.accuracy").alias("ka"),
         geo.haversine_m(c("p.lng"), c("p.lat"), c("k.lng"), c("k.lat")).alias("metres"), F.when(i % 5 != 0, 1700 + i % 90).alias("py"), F.when(i % 7 != 0, 1700 + i % 77).alias("ky"),
@@ -41,7 +43,7 @@ def both(spark, d):
 ids = lambda x: F.array_compact(F.array(c(x)))
 FIELDS = {
     "cmp_identifiers": (lambda: cmp.identifiers(ids("pq"), ids("kq")), "CASE WHEN kq IS NOT NULL THEN CASE WHEN pq IS NULL THEN 'COMPLEMENTARY' WHEN pq = kq THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
-    "cmp_name": (lambda: cmp.name(names.similarity(names.analyse(c("pn")), names.analyse(c("kn")))["score"]), "CASE WHEN pn = kn THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
+    "cmp_name": (lambda: let(F.struct(names.analyse(c("pn")).alias("p"), names.analyse(c("kn")).alias("k")), lambda s: cmp.name(names.similarity(s["p"], s["k"])["score"])), "CASE WHEN pn = kn THEN 'AGREEMENT' ELSE 'COMPLEMENTARY' END"),
     "cmp_type": (lambda: cmp.kind(c("pt"), c("pc"), c("kt"), c("kc")), f"CASE WHEN kc >= 0.7e0 THEN CASE WHEN pc < 0.7e0 THEN 'COMPLEMENTARY' WHEN {compatible_sql('pt', 'kt')} THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
     "cmp_position": (lambda: cmp.position(geo.positions_conflict(c("metres"), c("pa"), c("ka"))), "CASE WHEN metres > pa + ka + 25e0 THEN 'CONFLICT' ELSE 'AGREEMENT' END"),
     "cmp_inception": (lambda: cmp.year(c("py"), c("ky")), "CASE WHEN ky IS NOT NULL THEN CASE WHEN py IS NULL THEN 'COMPLEMENTARY' WHEN abs(py - ky) <= 25 THEN 'AGREEMENT' ELSE 'CONFLICT' END END"),
