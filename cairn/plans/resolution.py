@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import register
 from ..operators import matching as op
 from ..operators.checkpoints import shared_folder
+from ..operators.spread import spread
 from ..streaming import matched
 from .basics import SCALE, _wgs_sql, c
 from .catalog import query
@@ -24,7 +25,7 @@ ROWS = """rows AS (SELECT g.id, CAST(1000000 + g.id AS VARCHAR) AS entry, n.name
 
 
 def register_rows(spark, d):
-    rows = view(spark, d, "v_grid").join(view(spark, d, "v_names").select("id", "name", "designation"), "id")
+    rows = spread(view(spark, d, "v_grid").join(view(spark, d, "v_names").select("id", "name", "designation"), "id"), "id")
     i = c("id")
     return rows.select(
         "id", (i + 1_000_000).cast("string").alias("entry"), "name", F.when(i % 13 != 0, c("designation")).alias("designation"),
