@@ -10,6 +10,7 @@ from ..functions import stemming
 from ..operators import discovery as op
 from ..operators import text_index
 from ..operators.checkpoints import shared_folder
+from ..operators.spread import spread
 from .catalog import query
 from .substrate import twin, view
 
@@ -75,7 +76,7 @@ x AS MATERIALIZED (SELECT k.id, stem AS lexeme, w AS weight, CAST(i + before AS
 
 
 def place_documents(spark, d):
-    places = view(spark, d, "v_places")
+    places = spread(view(spark, d, "v_places"), "id")
     parts = (("A", c("title")), ("B", F.concat_ws(" ", "town", "county")), ("C", c("survival_status")))
     return places.select("id", stemming.document([(w, op.text_tokens(x)) for w, x in parts]).alias("document"))
 
