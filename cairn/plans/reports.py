@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import ranks
 from ..operators import reports as op
 from ..operators import visibility as vis
+from ..operators.spread import spread_by_count
 from .basics import c
 from .catalog import query
 from .substrate import DESIGNATIONS, twin, view
@@ -219,7 +220,7 @@ def verify_report(spark, d):
 
 
 query("audit_report", twin("SELECT predicate, count(*) AS merged, CAST(max(sources) AS BIGINT) AS most FROM (SELECT entity_id, predicate, count(DISTINCT source_id) AS sources FROM v_claims GROUP BY 1, 2) WHERE sources > 1 GROUP BY 1"))(
-    lambda s, d: view(s, d, "v_claims").groupBy("entity_id", "predicate").agg(F.countDistinct("source_id").alias("sources")).filter("sources > 1").groupBy("predicate").agg(F.count(F.lit(1)).alias("merged"), F.max("sources").alias("most"))
+    lambda s, d: spread_by_count(view(s, d, "v_claims").select("entity_id", "predicate", "source_id"), "entity_id", "predicate").groupBy("entity_id", "predicate").agg(F.countDistinct("source_id").alias("sources")).filter("sources > 1").groupBy("predicate").agg(F.count(F.lit(1)).alias("merged"), F.max("sources").alias("most"))
 )
 query("discovery_report", twin("SELECT action AS scenario, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_cont(0.95) WITHIN GROUP (ORDER BY value) <= 300 AS ok FROM v_audit GROUP BY 1"))(
     lambda s, d: ranks.interpolated(view(s, d, "v_audit").select(c("action").alias("scenario"), "value"), ["scenario"], "value", {"p50": 50, "p95": 95}).withColumn("ok", c("p95") <= 300)

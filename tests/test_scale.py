@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.operators import blocking
+from cairn.operators import blocking, publish, spread
 from cairn.plans import load
 from cairn.plans.catalog import QUERIES
 
@@ -41,3 +41,18 @@ def test_costly_rows_are_dealt_over_all_tasks(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     for name in ("names_distinct", "name_similarity", "analyse_name"):
         assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_aggregates_that_hold_their_keys_have_tasks_by_rows(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "k")
+    dealt = spread.spread_by_count(rows, "k", most=50)
+    assert dealt.rdd.getNumPartitions() == 20 and spread.spread_by_count(rows, "k").rdd.getNumPartitions() == 4
+    assert max(map(len, dealt.rdd.glom().collect())) < 100
+
+
+def test_replayed_counts_repeats_and_nulls(spark):
+    ddl = "k long, v string"
+    once = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], ddl)
+    again = spark.createDataFrame([(1, "a"), (2, None), (3, "d"), (3, "d")], ddl)
+    assert tuple(publish.replayed(once, again).first()) == (4, 4)  # one a, one c, two d
+    assert tuple(publish.replayed(once, once).first()) == (4, 0) and tuple(publish.replayed(once.limit(0), once.limit(0)).first()) == (0, 0)
