@@ -35,3 +35,14 @@ def test_replay(spark):
     gone = [(0, 0, 1, "user"), (1, 1, 2, "user"), (2, 0, 1, "admin"), (3, 1, 0, "user"), (4, 0, 2, "user")]  # 1 can't act while it is no administrator, nor 0 at the end
     got = op.replay_roles(spark.createDataFrame(profiles, profile), spark.createDataFrame(gone, change))
     assert sorted(map(tuple, got.collect())) == replay(profiles, gone)
+
+
+def test_replay_in_cells(spark, monkeypatch):
+    """Changes are walked in cells of equal size, whoever makes them: one actor makes most, one user meets most."""
+    monkeypatch.setattr(op, "CHANGES_AT_ONCE", 7)
+    rng = random.Random(6)
+    profiles = [(i, "admin" if i < 2 else "user") for i in range(40)]
+    one = lambda often: often if rng.random() < 0.7 else rng.randrange(41)
+    changes = [(3 * i, one(0), one(39), rng.choice(("admin", "user", "editor", "owner"))) for i in range(200)]
+    got = op.replay_roles(spark.createDataFrame(profiles, "user_id long, role string"), spark.createDataFrame(changes, "change_id long, actor_id long, user_id long, role string"))
+    assert sorted(map(tuple, got.collect())) == replay(profiles, changes)
