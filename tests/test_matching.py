@@ -118,3 +118,24 @@ def test_identifiers_of_all_schemes(spark):
     keys = op.identifier_keys(F.col("external"), F.col("refs"), qid=F.col("qid")).alias("keys")
     got = sorted(map(tuple, op.shared_identifiers(a.select("id", keys), b.select("id", keys)).collect()))
     assert got == [(1, 10), (1, 11), (2, 11), (3, 10)]
+
+
+def test_pairs_below_review_are_counted_not_ranked(spark):
+    """However many places are near a candidate, what is ranked is its pairs of REVIEW or more and one row for all others."""
+    places = [record(100 + i, f"Thing {i}", lng=-1.5 + i / 10000, kind="church", source=2) for i in range(200)] + [record(400, "Skelton Castle", source=2), record(401, "Skelton Castle", source=1)]
+    a, b = (op.prepared(spark.createDataFrame(x, SCHEMA)) for x in ([record(1, "Skelton Castle"), record(2, "Nothing near", lat=56.0)], places))
+    scored = op.signals(op.pairs_of(a, b))
+    got = {(x.l, x.r): (round(x.score, 6), x.odd, x.sure, x.n) for x in op.tallied(scored).collect()}
+    best = scored.filter("r NOT IN (400, 401)").agg(F.max("score")).first()[0]
+    assert got == {(1, 400): (0.95, False, True, 1), (1, None): (round(best, 6), None, None, 201)}  # 401 is another entry of one register
+    assert {(x.id, x.outcome, x.matched) for x in op.decisions(a, scored, op.identified_pairs(a, b)).collect()} == {(1, "MATCH_CONFIDENT", 400), (2, "NEW_CANONICAL", None)}
+
+
+def test_shortlist_has_each_pair_once_and_deals_near_ones_no_more(spark):
+    """Pairs near and identified, near alone, identified alone, and identified without a position."""
+    places = [record(100, "A", qid="Q1"), record(101, "B"), record(102, "C", lat=56.0, qid="Q2"), record(103, "D", lng=None, qid="Q1"), record(104, "E", lat=56.0)]
+    a, b = (spark.createDataFrame(x, SCHEMA) for x in ([record(1, "A", qid="Q1"), record(2, "C", qid="Q2")], places))
+    pairs = op.shortlisted(a, b)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 100), (1, 101), (1, 103), (2, 100), (2, 101), (2, 102)]
+    top = pairs._jdf.queryExecution().optimizedPlan()
+    assert "Union" in top.nodeName()  # nothing is grouped once all pairs are there
