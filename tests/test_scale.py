@@ -35,6 +35,17 @@ def test_no_side_of_near_pairs_is_broadcast(spark, tmp_path):
         assert sorted((r.l, r.r) for r in pairs.collect()) == near(a, b, 2000.0)
 
 
+def test_no_side_of_identified_pairs_is_broadcast(spark, tmp_path):
+    """What shares an identifier is joined by it, on sides of any number of rows in files of few bytes."""
+    rows = [(i, f"Customer#{i}", i % 25, 1.0 * i, "BUILDING") for i in range(600)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("shared_identifier", "join_union_pairs", "review_cause"):
+        pairs = QUERIES[name](spark, str(tmp_path))
+        assert not [x for x in broadcasts(pairs._jdf.queryExecution().executedPlan()) if x & {"key", "l", "r", "lp", "rp"}]
+    found = sorted(map(tuple, QUERIES["shared_identifier"](spark, str(tmp_path)).collect()))
+    assert found == [(i, i) for i in range(600) if i % 12 == 0]
+
+
 def test_costly_rows_are_dealt_over_all_tasks(spark, tmp_path):
     """A small file of names is one task's input, but its names are analysed in as many tasks as shuffles have."""
     parts = [(i, f"part {i}", "b", "t", i % 50, 1.0) for i in range(200)]
