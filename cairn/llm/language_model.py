@@ -178,6 +178,18 @@ def _sorted_by(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def _numbered(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The number of each row's group, from 0 in the order; see _sorted_by()."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def _endings(history: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """_sorted_by() of histories without their first word, what their lower grams' histories are; all are alike if that was all."""
+    return _sorted_by(*(history[1:] or [np.zeros_like(history[0])]))
+
+
 class _Words:
     """A batch's texts by local word numbers, with what the word table says of the words."""
 
@@ -203,7 +215,7 @@ class _Grams:
     """
 
     def __init__(self, words: _Words, m: int, below: _Grams | None, parts: int, hot: int):
-        self.words, self.m, self.below = words, m, below
+        self.words, self.m, self.below, self.hot = words, m, below, hot
         self.tokens = np.flatnonzero(words.place >= m - 2)
         h = words.before if below is None else np.append(-1, below.gram_of[:-1])
         grams, gram = np.unique(h[self.tokens] * words.size + words.ids[self.tokens], return_inverse=True)
@@ -249,8 +261,12 @@ class _Grams:
         made = []
         for g, at in self.requests or [(0, np.zeros(0, np.int64))]:
             heads, first = self.heads(at)
-            cells = (np.diff(np.append(first, len(at))), self.count[heads], self.wanted[heads].astype(np.int64), self.under[heads], self.words.number[self.w[at]], self.lower_count[at], self.trained[at])
-            made.append((g, self.words.batch, counts, pack_rows([x[heads] for x in self.history]), *map(pack, cells)))
+            history = [x[heads] for x in self.history]
+            order, new = _endings(history)
+            under = np.rint(self.under[heads[order[new]]]).astype(np.int64)  # one for each ending, as it is the same for all that share it
+            flags = ((self.count[heads] >= self.hot).astype(np.int64), self.wanted[heads].astype(np.int64))
+            cells = (np.diff(np.append(first, len(at))), *flags, under, self.words.number[self.w[at]], self.lower_count[at], self.trained[at])
+            made.append((g, self.words.batch, counts, pack_rows(history), *map(pack, cells)))
             counts = None
         return made
 
@@ -261,12 +277,14 @@ class _Grams:
         by_part = {x.part: x for x in answers[answers["kind"] == f"answer{self.m}"].itertuples()}
         for g, at in self.requests:
             row, heads = by_part[g], self.heads(at)[0]
-            told = unpack(row.a)
-            self.seen[at], self.alone[at] = told >> 1, told & 1 > 0
+            told, few = unpack(row.a), unpack(row.b)
+            self.alone[at] = told == 0
+            self.seen[at] = np.where(told == 0, self.trained[at], told - 1)
             cold = self.count[heads] < x.hot
-            extra[heads[cold]] = unpack(row.b)[cold]
+            extra[heads[cold]] = few[: len(heads)][cold]
             wanted = heads[self.wanted[heads] & cold]
-            self.backoff[wanted] = left_over(unpack(row.c).reshape(DISCOUNTED + 1, -1), self.count[wanted], x.d)[2]
+            sums = np.vstack([few[len(heads) :].reshape(DISCOUNTED, -1), unpack(row.c)])
+            self.backoff[wanted] = left_over(sums, self.count[wanted], x.d)[2]
         hot_sums = {}
         for r in answers[answers["kind"] == f"hot_answer{self.m}"].itertuples():
             hot_sums = dict(zip(map(tuple, unpack(r.a).reshape(-1, self.m - 1).tolist()), unpack(r.b).reshape(-1, DISCOUNTED + 1), strict=True))
@@ -284,7 +302,7 @@ class _Grams:
         self.divisor = self.count + extra
 
 
-ASKED = "part long, batch long, own array<long>, h binary, n binary, hc binary, want binary, under binary, w binary, wc binary, t binary"
+ASKED = "part long, batch long, own array<long>, h binary, n binary, hot binary, want binary, under binary, w binary, wc binary, t binary"
 
 
 class Level:
@@ -325,35 +343,35 @@ def history_sums(h: np.ndarray, r: np.ndarray, lower: np.ndarray, n: int) -> np.
     return np.stack([np.bincount(h, x, n) for x in (*(r == k for k in range(1, DISCOUNTED + 1)), np.where(r > 0, lower, 0.0))])
 
 
-def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
+def _counter(m: int, norm: float, lower_d: np.ndarray | None):
     """The function that counts a part's m-grams: its table, its histories' sums, and an answer for each batch.
 
-    An answer tells for each gram its count and whether no other batch has it, and for each history whether none of
-    its counts is discounted, and its sums if wanted; it names the batch's hot histories, whose sums no part has whole.
+    An answer tells for each gram one more than its count, or 0 if no other batch has it, so the batch knows its count;
+    for each history whether none of its counts is discounted, and its sums if wanted; it names the batch's hot histories,
+    whose sums no part has whole.
     """
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
         own = np.sum([np.zeros(DISCOUNTED + 1, np.int64), *(x for x in group["own"] if x is not None)], axis=0)
-        col = {c: [unpack(x) for x in group[c]] for c in ("n", "hc", "want", "under", "w", "wc", "t")}
+        col = {c: [unpack(x) for x in group[c]] for c in ("n", "hot", "want", "under", "w", "wc", "t")}
         asked = [len(x) for x in col["n"]]
-        history = [np.concatenate(x) for x in zip(*(unpack_rows(h, m - 1) for h in group["h"]), strict=True)]
+        histories = [unpack_rows(h, m - 1) for h in group["h"]]
+        under = np.concatenate([told[_numbered(*_endings(h))] for h, told in zip(histories, col["under"], strict=True)])
+        history = [np.concatenate(x) for x in zip(*histories, strict=True)]
         order, new = _sorted_by(*history)
-        heads, head = order[new], np.empty(len(order), np.int64)
-        head[order] = np.cumsum(new) - 1
-        n, hc, under = (np.concatenate(col[c]) for c in ("n", "hc", "under"))
+        heads, head = order[new], _numbered(order, new)
+        n, hot = (np.concatenate(col[c]) for c in ("n", "hot"))
         w, wc, t = (np.concatenate(col[c]) for c in ("w", "wc", "t"))
         h, u = np.repeat(head, n), np.repeat(under, n)
         order, new = _sorted_by(h, w)
-        first = order[new]
-        gram = np.empty(len(h), np.int64)
-        gram[order] = np.cumsum(new) - 1
+        first, gram = order[new], _numbered(order, new)
         r = np.bincount(gram, t, len(first)).astype(np.int64)
         alone = np.bincount(gram, minlength=len(first)) == 1
         of, w1, wc1 = h[first], w[first], wc[first]
         lower = (wc1 + 0.5) / norm if lower_d is None else held_back(lower_d, wc1) * wc1 / np.maximum(u[first], 1)
         sums = history_sums(of, r, lower, len(heads))
-        is_hot = hc[heads] >= hot
+        is_hot = hot[heads] > 0
         kept = np.flatnonzero(r > 0)  # in order of history and word
         run = np.bincount(of[kept], minlength=len(heads))
         numbers = [x[heads] for x in history]
@@ -366,12 +384,12 @@ def _counter(m: int, norm: float, lower_d: np.ndarray | None, hot: int):
         # in the order of the table's histories; a hot one's sum is in pieces and not here
         made.append((f"histories{m}", -1, part, None, pack(np.where(is_hot, 0.0, sums[-1])[some].astype(np.float32))))
         made.append((f"hot{m}", -1, part, None, pack(np.concatenate([x[is_hot] for x in numbers])), pack(sums[:, is_hot].reshape(-1))))
-        answers = np.split((2 * r + alone)[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
+        answers = np.split(np.where(alone, 0, r + 1)[gram], np.cumsum([len(x) for x in col["w"]])[:-1])
         for batch, a, at, want in zip(group["batch"], answers, np.split(head, np.cumsum(asked)[:-1]), col["want"], strict=True):
             bare = sums[:DISCOUNTED, at].sum(axis=0) == 0
             wanted = at[(want > 0) & ~is_hot[at]]
             asked_hot = at[is_hot[at]]
-            made.append((f"answer{m}", batch, part, None, pack(a), pack(bare.astype(np.int64)), pack(sums[:, wanted].reshape(-1)), pack(np.concatenate([x[asked_hot] for x in numbers]))))
+            made.append((f"answer{m}", batch, part, None, pack(a), pack(np.append(bare, sums[:DISCOUNTED, wanted]).astype(np.int64)), pack(sums[DISCOUNTED, wanted]), pack(np.concatenate([x[asked_hot] for x in numbers]))))
         return _rows(made)
 
     return count
@@ -447,7 +465,7 @@ def katz_scores(docs: DataFrame, order: int = ORDER, doc: str = "doc_id", text:
     levels: list[Level] = []
     for m in range(2, order + 1):
         asked = _gram_requests(texts, told, spark.sparkContext.broadcast(levels), m, parts, hot)
-        table = store.keep(asked.groupBy("part").applyInPandas(_counter(m, norm, levels[-1].d if levels else None, hot), ROW), "kind")
+        table = store.keep(asked.groupBy("part").applyInPandas(_counter(m, norm, levels[-1].d if levels else None), ROW), "kind")
         found = table.filter(F.col("kind") == f"grams{m}").agg(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(DISCOUNTED + 1)]).first()
         levels = [*levels, Level(m, parts, hot, discounts(list(found)))]
         told = told.unionByName(table.filter(F.col("kind") == f"answer{m}").withColumn("d", F.lit(None).cast("binary"))).unionByName(store.keep(_hot_answers(table, m)))

@@ -112,6 +112,22 @@ def test_katz_scores(which, order, batch, request, monkeypatch):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
+def test_katz_requests_tell_what_endings_share_once(docs, monkeypatch):
+    """Histories of a request with the same ending have the same lower history, whose divisor is told once for all."""
+    monkeypatch.setattr(language_model, "TOKENS_A_BATCH", 20_000)
+    made, real = {}, language_model._gram_requests
+
+    def spy(*args):
+        made[args[3]] = (asked := real(*args)).collect()
+        return asked
+
+    monkeypatch.setattr(language_model, "_gram_requests", spy)
+    language_model.katz_scores(docs).count()
+    told = [(language_model.unpack_rows(bytes(r.h), 2), language_model.unpack(bytes(r.under))) for r in made[3]]
+    assert all(len(under) == len(set(h[1].tolist())) for h, under in told)
+    assert sum(len(under) for _, under in told) < sum(len(h[0]) for h, _ in told)
+
+
 def test_katz_gains_with_order_on_held_out_texts(docs):
     base, *scores = (sum(r.base_score if order == 1 else r.score for r in language_model.katz_scores(docs, order=max(2, order)).collect() if r.held_out) for order in (1, 2, 3))
     assert base < scores[0] < scores[1]
