@@ -822,6 +822,23 @@ def test_golden_points(spark):
     assert {r.id: r.x for r in got} == {i: i * step % n for i in ids}
 
 
+def test_words_are_dealt_one_by_one_in_mixes_of_any_size(spark):
+    """Of 9.2 million words, each source's taken words are its slots, counted by plain points."""
+    sizes = {"a": [4_000_000, 1], "b": [3_000_000, 7], "c": [2_200_000]}
+    rows = [(10 * i + j, s, n) for i, (s, of) in enumerate(sizes.items()) for j, n in enumerate(of)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.expr("repeat('w ', n)").alias("text"))
+    got = mixing.mix_counts(docs).collect()
+    total = sum(n for _, _, n in rows)
+    points = np.arange(total, dtype=np.uint64) * np.uint64(mixing.golden_step(mixing.RING)) % np.uint64(mixing.RING)
+    shares = np.cumsum([int(next(r.target for r in got if r.source == s) * mixing.SHARES) for s in sizes])
+    served = np.searchsorted([int(x / int(shares[-1]) * mixing.RING) for x in shares.tolist()], points.astype(np.int64), side="right")
+    for i, s in enumerate(sizes):
+        slots, own = np.flatnonzero(served == i), [r for r in got if r.source == s]
+        assert sum(r.taken for r in own) == min(len(slots), 3 * sum(sizes[s]))
+        assert min(r.first_slot for r in own if r.first_slot is not None) == slots[0]
+        assert {r.first_slot for r in own} <= {None, *(int(slots[k]) for k in (0, *sizes[s]) if k < len(slots))}
+
+
 def van_der_corput(n):
     """The base-2 sequence as places of the ring."""
     return [int(f"{i:040b}"[::-1], 2) for i in range(n)]
