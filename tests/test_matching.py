@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from cairn.functions import classify, names, text
 from cairn.operators import matching as op
 from cairn.plans.matching import records
 
@@ -139,3 +144,44 @@ def test_shortlist_has_each_pair_once_and_deals_near_ones_no_more(spark):
     assert sorted(map(tuple, pairs.collect())) == [(1, 100), (1, 101), (1, 103), (2, 100), (2, 101), (2, 102)]
     top = pairs._jdf.queryExecution().optimizedPlan()
     assert "Union" in top.nodeName()  # nothing is grouped once all pairs are there
+
+
+KINDS = [None, "", "unknown", "structure", "shed", "Castle", *sorted({k for group in (*classify.KIN, classify.BUILT) for k in group})]
+
+
+def test_kinds_fit_as_types_are_compatible(spark):
+    """Bits made once a record say what the lists of kinds say, nulls and kinds of no list included."""
+    k = spark.createDataFrame([(x,) for x in KINDS], "k string")
+    a = k.select(F.col("k").alias("a"), classify.asked_kin(F.col("k")).alias("asked"))
+    b = k.select(F.col("k").alias("b"), classify.given_kin(F.col("k")).alias("given"))
+    fit, plain = classify.kinds_fit(*map(F.col, ("a", "b", "asked", "given"))), classify.types_compatible(F.col("a"), F.col("b"))
+    assert a.crossJoin(b).filter(~fit.eqNullSafe(plain)).count() == 0
+
+
+def test_similarity_by_pairs_is_that_of_columns(spark):
+    """Single names, compiled apart, and lists give the same; texts outside the first plane and repeats count as they should."""
+    lists = [[], ["Skelton Castle"], ["Castle"], ["banana bandana", "anana"], ["2, High Street", "High Street"], ["Mill attached to Ash Hall"], ["Church of St Mary", "St Mary"], ["of the"], ["Mary Church St"]]
+    rows = spark.createDataFrame([(x,) for x in lists], "n array<string>").withColumn("n", F.transform("n", names.analyse))
+    pairs = rows.select(F.col("n").alias("a")).crossJoin(rows.select(F.col("n").alias("b")))
+    got = names.with_best_similarity(pairs, "a", "b").withColumn("plain", names.best_similarity(F.col("a"), F.col("b")))
+    assert got.filter(~F.col("sim").eqNullSafe(F.col("plain"))).count() == 0 and got.filter("sim.score = 1").count() >= 7
+    texts = spark.createDataFrame([("😀😀😀", "😀😀"), ("aaaa", "aaa"), ("abab", "baba"), ("a", "b")], "a string, b string")
+    assert [round(r[0], 6) for r in texts.select(text.dice(F.col("a"), F.col("b"))).collect()] == [round(x, 6) for x in (2 / 3, 4 / 5, 4 / 6, 0.0)]
+
+
+def test_pair_projections_are_compiled(spark):
+    """No method of the pairs' stages is over the 8,000 bytes of code that the JVM compiles; nor are conflicts or areas functions of arrays."""
+    rows = op.prepared(spark.createDataFrame([record(1, "Skelton Castle")], SCHEMA))
+    scored = op.signals(op.pairs_of(rows, rows))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else code is made as stages end
+    try:
+        for columns in (["score"], ["score", "register_veto", "name_veto"], ["conflicts", "area", "register_veto"], ["s_type"]):
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                scored.select("l", "r", *columns).explain(mode="codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    plan = scored.select("conflicts", "area", "register_veto")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"filter\(array|forall\(array|arrays_overlap", plan)
