@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.blocking import cells_between, images, placed, reach, wrapped
 from ..operators.checkpoints import checkpoint_folder
 from ..operators.matching import FARTHEST_M, FIELDS, identifier_keys, resolve
 from ..operators.versions import bucket_of, read, touched_buckets, write
@@ -18,17 +19,17 @@ DECISIONS = "id long, outcome string, matched long, confidence double"
 
 
 def _square(x: str):
-    return geo.cell_of(F.col(x), SQUARE)
+    return geo.cell_of(wrapped(F.col(x)) if x == "lng" else F.col(x), SQUARE)
 
 
 def _reached(rows: DataFrame) -> DataFrame:
     """(sx, sy) of the squares that hold anything near the rows."""
-    side = geo.lng_cells(F.col("lat"), FARTHEST_M * 1.001, SQUARE)
-    high = int(-(-FARTHEST_M * 1.001 // (SQUARE * geo.METRES_A_DEGREE)))
-    there = rows.filter("lng IS NOT NULL AND lat IS NOT NULL")
-    sx, sy = _square("lng"), _square("lat")
-    wide = there.select(F.explode(F.sequence(sx - side, sx + side)).alias("sx"), sy.alias("y"))
-    return wide.select("sx", F.explode(F.sequence(F.col("y") - high, F.col("y") + high)).alias("sy")).distinct()
+    up = FARTHEST_M * 1.001 / geo.METRES_A_DEGREE
+    there = rows.filter(placed()).select(F.col("lng").alias("x"), F.col("lat").alias("y"), reach(F.col("lat"), FARTHEST_M).alias("aside"))
+    there = images(there, "x", "aside")
+    low, high = F.greatest(F.lit(-180.0), F.col("x") - F.col("aside")), F.least(F.lit(180.0), F.col("x") + F.col("aside"))
+    wide = there.select(F.explode(cells_between(low, high, SQUARE)).alias("sx"), "y")
+    return wide.select("sx", F.explode(cells_between(F.col("y") - up, F.col("y") + up, SQUARE)).alias("sy")).distinct()
 
 
 def matcher(root: str, buckets: int = 64) -> Callable[[DataFrame, int], DataFrame]:
@@ -55,7 +56,7 @@ def matcher(root: str, buckets: int = 64) -> Callable[[DataFrame, int], DataFram
         identified = known.join(asked, "key", "left_semi").drop("key").dropDuplicates(["id"])
         told = resolve(rows, near, identified).checkpoint()
         new = rows.join(told.filter("outcome = 'NEW_CANONICAL'").select("id"), "id", "left_semi")
-        in_squares = new.filter("lng IS NOT NULL AND lat IS NOT NULL").select(_square("lng").alias("sx"), _square("lat").alias("sy"), *rows.columns)
+        in_squares = new.filter(placed()).select(_square("lng").alias("sx"), _square("lat").alias("sy"), *rows.columns)
         in_keys = new.select(F.explode("keys").alias("key"), *rows.columns)
         for table, added, key, ddl in ((places, in_squares, ["sx", "sy"], by_square), (keys, in_keys, ["key"], by_key)):
             touched = touched_buckets(added, key, buckets)

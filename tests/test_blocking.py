@@ -74,3 +74,14 @@ def test_nothing_crowded_or_nothing_at_all(spark):
     rows = spark.createDataFrame(places(50, 4, 0.0), SCHEMA)
     assert blocking.crowded_leaves(rows.filter("lng IS NOT NULL AND lat IS NOT NULL"), 0.05, 2000) is None
     assert blocking.near_pairs(rows.limit(0), rows, 500.0).count() == blocking.near_pairs(rows, rows.limit(0), 500.0).count() == 0
+
+
+def test_pairs_meet_over_the_antimeridian_and_at_the_poles(spark):
+    """Reach is that of the sphere: what brute force finds near, at any longitude and latitude, is found once."""
+    rng = random.Random(7)
+    rows = [(x, y) for x in (180.0, -180.0, 179.99, -179.99, 179.999, 180.01, 0.0, 90.0, -90.0) for y in (-17.0, 0.0, 88.95, 89.99, -89.999, 90.0)]
+    rows += [(rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(89.93, 90)) for _ in range(60)] + [(rng.choice([-1, 1]) * rng.uniform(179.98, 180), rng.uniform(-17, -16.9)) for _ in range(60)]
+    a, b = ([(i, *rows[i], f"n{i}") for i in range(len(rows)) if i % 3 != k] for k in (0, 1))
+    frames = [spark.createDataFrame([*x, (10**6, math.nan, 1.0, "z"), (10**6 + 1, 1.0, math.inf, "z")], SCHEMA) for x in (a, b)]
+    for metres, most in ((5000.0, 2000), (5000.0, 10), (300.0, 2000)):
+        assert sorted((r.l, r.r) for r in blocking.near_pairs(*frames, metres, size=0.5, most=most).collect()) == near(a, b, metres)

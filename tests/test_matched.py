@@ -50,3 +50,13 @@ def test_only_touched_buckets_are_read_and_written(spark):
         after = versions.manifest(spark, f"{root}/{t}")
         assert sum(after[b] != before[t].get(b) for b in after) == 1  # of the one new record
     assert decide(op.prepared(spark.createDataFrame([], SCHEMA)), 2).count() == 0
+
+
+def test_decisions_over_the_antimeridian(spark):
+    """A place on the other side of the antimeridian is near, in one run and in batches, and it is reported so."""
+    rows = [record(1, "Skelton Castle", lng=179.9999, lat=-17.0, source=1), record(2, "Skelton Castle", lng=-179.9999, lat=-17.0, source=2)]
+    a, b = (op.prepared(spark.createDataFrame([r], SCHEMA)) for r in rows)
+    assert by_id(op.decisions(b, op.signals(op.pairs_of(b, a)), op.identified_pairs(b, a)))[2][:2] == ("MATCH_CONFIDENT", 1)
+    decide = matched.matcher(tempfile.mkdtemp(prefix="spark-matched-"), 16)
+    decide(a, 0)
+    assert by_id(decide(b, 1))[2][:2] == ("MATCH_CONFIDENT", 1)
